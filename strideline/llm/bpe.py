@@ -22,6 +22,7 @@ import sys
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHORT = 128
-#: Pieces that a worker remembers, and the bytes of the longest of them.
-CACHE_PIECES, CACHE_BYTES = 400_000, 48
+#: Pieces that a worker remembers, and the characters of the longest of them.
+CACHE_PIECES, CACHE_CHARS = 700_000, 48
 
 #: What counts as white space in the vocabulary's pattern.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -126,17 +127,33 @@ class Vocabulary:
         return [x for x in ids if x >= 0]
 
 
-class Encoder:
-    """Texts to ids, as little-endian unsigned 32-bit integers, with a bounded memory of pieces.
+class PieceMemory(dict):
+    """Ids of pieces met, as little-endian unsigned 32-bit integers; a new piece is encoded when it is first asked for.
 
-    ``encode_pieces`` gives the ids of pieces that are not remembered.
+    Holds ``CACHE_PIECES`` at most: the older half goes when it is full.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[list[int]]], added: dict[str, int]):
-        self.encode_pieces = encode_pieces
+    def __init__(self, encode_piece: Callable[[str], list[int]]):
+        super().__init__()
+        self.encode_piece = encode_piece
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array(self.encode_piece(piece), dtype="<u4").tobytes()
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE_PIECES:
+                for old in list(islice(self, CACHE_PIECES // 2)):
+                    del self[old]
+            self[piece] = ids
+        return ids
+
+
+class Encoder:
+    """Texts to ids, as little-endian unsigned 32-bit integers; ``encode_piece`` gives the ids of one piece."""
+
+    def __init__(self, encode_piece: Callable[[str], list[int]], added: dict[str, int]):
+        self.memory = PieceMemory(encode_piece)
         self.added = added
         self.splitter = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
-        self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text."""
@@ -146,19 +163,7 @@ class Encoder:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        pieces = piece_pattern().findall(text)
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        fresh = list({p for p in pieces if p not in known})
-        coded = {p: np.array(ids, dtype="<u4").tobytes() for p, ids in zip(fresh, self.encode_pieces(fresh), strict=True)}
-        out = b"".join([known[p] if p in known else coded[p] for p in pieces])
-        if len(known) + len(coded) > CACHE_PIECES:
-            known.clear()
-        known.update((p, ids) for p, ids in coded.items() if len(p) <= CACHE_BYTES)
-        return out
+        return b"".join(map(self.memory.__getitem__, piece_pattern().findall(text)))
 
 
 @lru_cache(maxsize=2)
@@ -171,7 +176,7 @@ def vocabulary(path: str) -> Vocabulary:
 def encoder(path: str) -> Encoder:
     """An encoder by rank arrays, kept with its memory for the life of a worker."""
     v = vocabulary(path)
-    return Encoder(lambda pieces: [v.encode_piece(p.encode()) for p in pieces], v.added)
+    return Encoder(lambda piece: v.encode_piece(piece.encode()), v.added)
 
 
 def decode(ids: bytes, v: Vocabulary) -> str:

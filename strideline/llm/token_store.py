@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm.bpe import Encoder
+from strideline.llm.bpe import Encoder, byte_symbols
 from strideline.llm.scratch import stored
 
 #: Ids after which a block is closed.
@@ -67,15 +67,15 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> Encoder:
-    """Encoder whose unknown pieces go through the tokenizers library, kept for the life of a worker."""
+    """Encoder whose unknown pieces go through the tokenizers library's model, kept for the life of a worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
     added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    return Encoder(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)], added)
+    # the library's own model on a piece in the symbols of its byte-level step
+    model, symbols = tokenizer.model, byte_symbols()
+    return Encoder(lambda piece: [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(symbols))], added)
 
 
 @lru_cache(maxsize=2)
