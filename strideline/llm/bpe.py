@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -33,15 +34,16 @@ SHORT = 128
 #: Pieces that a worker remembers, and the characters of the longest of them.
 CACHE_PIECES, CACHE_CHARS = 700_000, 48
 
-#: What counts as white space in the vocabulary's pattern.
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+#: What counts as white space in the vocabulary's pattern, as the inside of a character class.
+WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LATIN_WHITE_SPACE = r"\t-\r \x85\xa0"
 
 
-def _category(first: str) -> str:
-    """Inside of a character class: all code points whose general category starts with ``first``."""
+def _category(first: str, end: int) -> str:
+    """Inside of a character class: the code points below ``end`` whose general category starts with ``first``."""
     out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == first
+    for c in range(end + 1):
+        inside = c < end and unicodedata.category(chr(c))[0] == first
         if inside and start is None:
             start = c
         elif not inside and start is not None:
@@ -50,13 +52,26 @@ def _category(first: str) -> str:
     return "".join(out)
 
 
-@lru_cache(maxsize=1)
-def piece_pattern() -> re.Pattern:
-    """The pattern that cuts a text into pieces: contractions, words, numbers, signs, each with a blank before it, and white space."""
-    letter, number, blank = _category("L"), _category("N"), WHITE_SPACE
+@lru_cache(maxsize=2)
+def piece_pattern(latin: bool = False) -> re.Pattern:
+    """The pattern that cuts a text into pieces: contractions, words, numbers, signs, each with a blank before it, and white space.
+
+    With ``latin`` it knows the code points below 256 only, which makes it several times as fast.
+    """
+    end = 256 if latin else sys.maxunicode + 1
+    letter, number, blank = _category("L", end), _category("N", end), LATIN_WHITE_SPACE if latin else WHITE_SPACE
     return re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{number}]+| ?[^{blank}{letter}{number}]+|[{blank}]+(?![^{blank}])|[{blank}]+")
 
 
+def pieces(text: str) -> list[str]:
+    """The pieces of a text."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return piece_pattern().findall(text)
+    return piece_pattern(latin=True).findall(text)
+
+
 def byte_symbols() -> dict[int, str]:
     """The printable character that a byte-level vocabulary writes for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -138,7 +153,7 @@ class PieceMemory(dict):
         self.encode_piece = encode_piece
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode_piece(piece), dtype="<u4").tobytes()
+        ids = struct.pack("<%dI" % len(found := self.encode_piece(piece)), *found)
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_PIECES:
                 for old in list(islice(self, CACHE_PIECES // 2)):
@@ -163,7 +178,7 @@ class Encoder:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.memory.__getitem__, piece_pattern().findall(text)))
+        return b"".join(map(self.memory.__getitem__, pieces(text)))
 
 
 @lru_cache(maxsize=2)
