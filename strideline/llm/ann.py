@@ -11,9 +11,12 @@ exactly, in double precision on the original vectors.
 
 The number of probes is fitted on a bounded sample (``SAMPLE`` vectors, of which
 ``SAMPLE_QUERIES`` query the rest) to a recall of ``RECALL``; neighbours in a sample
-are farther than in the whole, so the sample errs on the safe side.  A query's
-40th best in the sample lies far below its 20th best in the whole; cells hand on
-nothing below that.
+are farther than in the whole, so the sample errs on the safe side.
+
+Tables are looked up in two rounds.  The nearest cell in each of the first
+``FIRST_TABLES`` tables gives each query a 20th best so far; the cells of the second
+round hand on only what is not below it, so what a query gathers does not grow
+with the table.
 
 Cells are compared in blocks of ``CELL`` vectors by ``QUERIES`` queries, so a cell of
 any size is spread over tasks.  Equal vectors are one node: only the ``top + 1``
@@ -39,8 +42,8 @@ TABLES = 8
 CELL, QUERIES = 4096, 1024
 SAMPLE, SAMPLE_QUERIES, RECALL = 4096, 256, 0.96
 MOST_PROBES = 2048
-#: Candidates below a query's (FLOOR * top)-th best of the sample are not handed on.
-FLOOR = 2
+#: Tables of the first round.
+FIRST_TABLES = 4
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -153,7 +156,7 @@ def _best_nodes(vt: VectorTable, asked: DataFrame, top: int) -> DataFrame:
     """(asker, node, score): the nearest nodes of each asking vector, its own among them."""
     n = vt.nodes.count()
     d, dtype = vt.dimension, vt.dtype
-    names, sample = sampled(vt, SAMPLE, n)
+    _, sample = sampled(vt, SAMPLE, n)
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,34 +172,31 @@ def _best_nodes(vt: VectorTable, asked: DataFrame, top: int) -> DataFrame:
         parts += 1
     index = CrossPolytope(d, TABLES, parts, longest)
     count = fitted_probes(index, sample, top)
-    spare = FLOOR * top
-    sample_names = np.array(names, dtype=object)
+    first_cells = FIRST_TABLES * index.axes**index.parts
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 cells = index.cells(matrix(batch.column(1), d, dtype))
                 pick = pa.array(np.repeat(np.arange(batch.num_rows), index.tables))
-                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), batch.column(0).take(pick), batch.column(1).take(pick)], names=["cell", "node", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), *(batch.column(k).take(pick) for k in range(3))], names=["cell", "node", "vec", "least_id"])
 
-    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                x = matrix(part.column(1), d, dtype)
-                probes = index.probes(x, count).reshape(len(x), -1)
-                floor = np.full(len(x), -np.inf)
-                if len(sample) > spare + 1:
-                    score = x @ sample.T
-                    score[sample_names[None, :] == np.array([*part.column(0).to_pylist(), None], dtype=object)[:-1, None]] = -np.inf
-                    floor = -np.partition(-score, spare - 1, axis=1)[:, spare - 1] - 1e-9 * (1 + np.abs(score[:, :1]).ravel())
-                    floor[~np.isfinite(floor)] = -np.inf
-                pick = pa.array(np.repeat(np.arange(len(x)), probes.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(probes.ravel()), part.column(0).take(pick), part.column(1).take(pick), pa.array(floor).take(pick)], names=["cell", "asker", "vec", "floor"])
+    def asks(first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 256):
+                    part = batch.slice(i, 256)
+                    probes = index.probes(matrix(part.column(1), d, dtype), 1 if first else count)
+                    asked_first = np.zeros(probes.shape, bool)
+                    asked_first[:, :FIRST_TABLES, 0] = True
+                    row, table, nth = np.nonzero(asked_first == first)
+                    yield pa.RecordBatch.from_arrays([pa.array(probes[row, table, nth]), *(part.column(k).take(pa.array(row)) for k in range(3))], names=["cell", "asker", "vec", "floor"])
+
+        return run
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
-            return pa.table({"asker": binaries([]), "node": binaries([]), "score": pa.array([], pa.float64())})
+            return pa.table({"asker": binaries([]), "node": binaries([]), "least_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         x, q = matrix(left["vec"], d, dtype), matrix(right["vec"], d, dtype)
         floor = right["floor"].to_numpy()
         rough = q @ x.T
@@ -205,31 +205,43 @@ def _best_nodes(vt: VectorTable, asked: DataFrame, top: int) -> DataFrame:
             best = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
         else:
             best = np.arange(len(x))[None, :].repeat(len(q), 0)
-        i, j = np.nonzero(np.take_along_axis(rough, best, 1) >= floor[:, None])
+        i, j = np.nonzero(np.take_along_axis(rough, best, 1) >= (floor - 1e-9 * (1 + np.abs(floor)))[:, None])
         j = best[i, j]
         score = (q[i] * x[j]).sum(axis=1)
-        return pa.table({"asker": right["asker"].combine_chunks().take(pa.array(i)), "node": left["node"].combine_chunks().take(pa.array(j)), "score": pa.array(score)})
-
-    askers = stored(asked.select(F.col("asker").alias("node")).distinct().join(vt.nodes, "node").select(F.col("node").alias("asker"), "vec"), "asking")
-    index_rows = vt.nodes.select("node", "vec").mapInArrow(entries, "cell long, node binary, vec binary")
-    query_rows = askers.mapInArrow(asks, "cell long, asker binary, vec binary, floor double")
-    # blocks: cells by their own counts, vectors of a cell by queries of that cell
-    blocks = index_rows.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("chunks"))
-    blocks = stored(blocks.join(query_rows.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("turns")), "cell"), "cells")
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = index_rows.join(blocks, "cell").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("turn", every("turns"))
-    right = query_rows.join(blocks, "cell").withColumn("turn", F.pmod(F.xxhash64("asker"), F.col("turns")).cast("int")).withColumn("chunk", every("chunks"))
-    left, right = left.select("cell", "chunk", "turn", "node", "vec"), right.select("cell", "chunk", "turn", "asker", "vec", "floor")
-    keys = ["cell", "chunk", "turn"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "asker binary, node binary, score double")
+        mine, theirs = left.take(pa.array(j)), right.take(pa.array(i))
+        return pa.table({"asker": theirs["asker"], "node": mine["node"], "least_id": mine["least_id"], "score": pa.array(score)})
+
+    def looked_up(index_rows: DataFrame, query_rows: DataFrame) -> DataFrame:
+        """Candidates of the queries in the cells they probe, in blocks: vectors of a cell by queries of that cell."""
+        blocks = index_rows.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("chunks"))
+        blocks = stored(blocks.join(query_rows.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("turns")), "cell"), "cells")
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        left = index_rows.join(blocks, "cell").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("turn", every("turns"))
+        right = query_rows.join(blocks, "cell").withColumn("turn", F.pmod(F.xxhash64("asker"), F.col("turns")).cast("int")).withColumn("chunk", every("chunks"))
+        left, right = left.select("cell", "chunk", "turn", "node", "vec", "least_id"), right.select("cell", "chunk", "turn", "asker", "vec", "floor")
+        keys = ["cell", "chunk", "turn"]
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "asker binary, node binary, least_id long, score double")
+        return found.where("asker != node")
+
+    askers = asked.select(F.col("asker").alias("node")).distinct().join(vt.nodes, "node").select(F.col("node").alias("asker"), "vec", "least_id")
+    askers = stored(askers, "asking")
+    index_rows = vt.nodes.select("node", "vec", "least_id").mapInArrow(entries, "cell long, node binary, vec binary, least_id long")
+    no_floor = F.lit(float("-inf")).alias("floor")
+    rows = "cell long, asker binary, vec binary, floor double"
+    found = stored(looked_up(index_rows.where(F.col("cell") < first_cells), askers.select("asker", "vec", no_floor).mapInArrow(asks(True), rows)), "first-round")
+    # each query's top-th best so far, from a few rows for each query
+    so_far = found.select("asker", "node", "score").distinct().groupBy("asker").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
+    so_far = so_far.select("asker", F.coalesce(F.get("scores", F.lit(top - 1)), F.lit(float("-inf"))).alias("floor"))
+    second = askers.join(so_far, "asker", "left").select("asker", "vec", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    found = found.unionByName(looked_up(index_rows, second.mapInArrow(asks(False), rows)))
 
     def itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column(1), d, dtype)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0), pa.array((x * x).sum(axis=1))], names=["asker", "node", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0), batch.column(2), pa.array((x * x).sum(axis=1))], names=["asker", "node", "least_id", "score"])
 
     # a vector is always among its own candidates: rows equal to the query's
-    found = found.where("asker != node").unionByName(askers.mapInArrow(itself, "asker binary, node binary, score double"))
-    found = found.groupBy("asker", "node").agg(F.max("score").alias("score")).join(vt.nodes.select("node", "least_id"), "node")
+    found = found.unionByName(askers.select("asker", "vec", "least_id").mapInArrow(itself, "asker binary, node binary, least_id long, score double"))
+    found = found.groupBy("asker", "node").agg(F.max("score").alias("score"), F.min("least_id").alias("least_id"))
     order = Window.partitionBy("asker").orderBy(F.desc("score"), F.col("least_id").asc_nulls_last())
     return stored(found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= top + 1).select("asker", "node", "score"), "best-nodes")
