@@ -136,7 +136,7 @@ def belt_length_events(spark, d):
     return folds.run_machine(samples(spark, d), folds.BeltTrigger()).select("session", "seq", "event", r6("baseline", "baseline"), r6("amplitude", "amplitude"))
 
 
-@query(_BELT + ", g AS (SELECT *, max(CASE WHEN event = 'heel_strike' THEN t END) OVER w AS hs FROM f WINDOW w AS (PARTITION BY session ORDER BY i ROWS UNBOUNDED PRECEDING)), h AS (SELECT session, t, t - lag(t) OVER (PARTITION BY session ORDER BY t) AS period FROM f WHERE event = 'heel_strike') SELECT g.session, g.seq, CASE WHEN h.period IS NULL THEN NULL WHEN least((g.t - g.hs) / h.period, 1) >= 0.15 AND least((g.t - g.hs) / h.period, 1) < 0.55 THEN 'SWING' ELSE 'STANCE' END AS phase, round(least((g.t - g.hs) / h.period, 1), 6) AS u FROM g LEFT JOIN h ON g.session = h.session AND g.hs = h.t")
+@query(_BELT + ", g AS (SELECT *, max(CASE WHEN event = 'heel_strike' THEN t END) OVER w AS hs FROM f WINDOW w AS (PARTITION BY session ORDER BY i ROWS UNBOUNDED PRECEDING)), h AS (SELECT session, t, t - lag(t) OVER (PARTITION BY session ORDER BY t) AS period FROM f WHERE event = 'heel_strike') SELECT g.session, g.seq, CASE WHEN h.period IS NULL THEN NULL WHEN least((g.t - g.hs) / h.period, 1) >= 0.15 AND least((g.t - g.hs) / h.period, 1) < 0.55 THEN 'SWING' ELSE 'STANCE' END AS phase, CASE WHEN h.period IS NOT NULL THEN round(least((g.t - g.hs) / h.period, 1), 6) END AS u FROM g LEFT JOIN h ON g.session = h.session AND g.hs = h.t")
 def belt_cycle_phase(spark, d):
     rows = folds.run_machine(samples(spark, d), folds.BeltTrigger())
     strike = F.when(F.col("event") == "heel_strike", F.col("t"))
@@ -585,3 +585,63 @@ def matrix_log_nd(spark, d):
 
 
 QUERIES["matrix_log_nd"] = matrix_log_nd
+
+
+def k_selection(spark, d):
+    """Evidence for the number of clusters among the first vectors of each label."""
+    from strideline.operators.clusters import choose_clusters
+    first = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    rows = table(spark, d, "embeddings").withColumn("nth", first).where("nth <= 30")  # a baseline is the first 30 rows by definition
+    return choose_clusters(rows.select(F.col("label").alias("key"), F.col("embedding").alias("v")))
+
+
+def event_match_f1(spark, d):
+    """Agreement of detected strikes with the recorded ones, within 12 hours."""
+    from strideline.operators.clusters import matched_sessions
+    rows = samples(spark, d)
+    found = folds.run_machine(rows, folds.BeltTrigger()).where("event = 'heel_strike'").select("session", "t", F.lit(True).alias("detected"))
+    return matched_sessions(found.unionByName(rows.where("strike").select("session", "t", F.lit(False).alias("detected"))), 12.0)
+
+
+QUERIES |= {"k_selection": k_selection, "event_match_f1": event_match_f1}
+
+
+_MEANS = ", a AS (SELECT session, min(x) AS lo, max(x) AS hi, 0 AS i FROM s GROUP BY session UNION ALL SELECT session, lo2, hi2, i + 1 FROM (SELECT a.session, a.i, coalesce(avg(s.x) FILTER (WHERE abs(s.x - a.lo) <= abs(s.x - a.hi)), any_value(a.lo)) AS lo2, coalesce(avg(s.x) FILTER (WHERE abs(s.x - a.lo) > abs(s.x - a.hi)), any_value(a.hi)) AS hi2 FROM a JOIN s ON s.session = a.session WHERE a.i < 12 GROUP BY a.session, a.i))"
+
+
+@query(_MEANS + " SELECT session, CASE WHEN hi - lo >= 5 THEN round(0.65::DOUBLE * lo + 0.35::DOUBLE * hi, 6) END AS threshold, CASE WHEN hi - lo >= 5 THEN round(0.2::DOUBLE * lo + 0.8::DOUBLE * hi, 6) END AS reset FROM a WHERE i = 12")
+def two_means_threshold(spark, d):
+    from strideline.operators.clusters import thresholds
+    return thresholds(samples(spark, d)).select("session", r6("threshold", "threshold"), r6("reset", "reset"))
+
+
+@query(", h AS (SELECT session, t, k, t - lag(t) OVER w AS gap, k % 2 = lag(k) OVER w % 2 AS same FROM s WHERE strike WINDOW w AS (PARTITION BY session ORDER BY t, seq)) SELECT session, count(*) AS strikes, round(min(gap), 6) AS least_gap, round(avg(CASE WHEN same THEN 0.0 WHEN NOT same THEN 1.0 END), 6)::DOUBLE AS alternation FROM h GROUP BY session")
+def speed_metrics(spark, d):
+    rows = samples(spark, d).where("strike").withColumn("gap", F.col("t") - F.lag("t").over(win())).withColumn("same", F.pmod("k", F.lit(2)) == F.pmod(F.lag("k").over(win()), F.lit(2)))
+    return rows.groupBy("session").agg(F.count("*").alias("strikes"), r6(F.min("gap"), "least_gap"), r6(F.avg(F.when(F.col("same"), 0.0).when(~F.col("same"), 1.0)), "alternation"))
+
+
+@query("SELECT doc_id, regexp_extract(line, 'belt= *(-?[0-9.]+)mm', 1) AS belt, regexp_extract(line, 'torque=(-?[0-9.]+)', 1) AS torque FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '[TEL] belt= ' || doc_id || '.5mm vel=1mm/s spring_torque=' || doc_id ELSE '[TEL] belt= -' || doc_id || 'mm' END AS line FROM documents)", "none AS (SELECT 1)")
+def telemetry_text(spark, d):
+    i = F.col("doc_id").cast("string")
+    line = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("[TEL] belt= "), i, F.lit(".5mm vel=1mm/s spring_torque="), i)).otherwise(F.concat(F.lit("[TEL] belt= -"), i, F.lit("mm")))
+    rows = table(spark, d, "documents").withColumn("line", line)
+    return rows.select("doc_id", F.regexp_extract("line", "belt= *(-?[0-9.]+)mm", 1).alias("belt"), F.regexp_extract("line", "torque=(-?[0-9.]+)", 1).alias("torque"))
+
+
+#: States of a session and the events that lead from one to the next; anything else leaves the state as it is.
+_EDGES = {("INIT", "signup"): "CALIBRATION", ("CALIBRATION", "click"): "BASELINE", ("BASELINE", "view"): "READY", ("READY", "click"): "WALKING", ("WALKING", "signup"): "OOD", ("OOD", "view"): "WALKING"}
+_NEXT = " ".join(f"WHEN f.state = '{a}' AND n.kind = '{k}' THEN '{b}'" for (a, k), b in _EDGES.items())
+
+
+@query(f", n AS (SELECT session, seq, kind, row_number() OVER {W} AS i FROM s), f AS (SELECT session, seq, i, CASE WHEN kind = 'signup' THEN 'CALIBRATION' ELSE 'INIT' END AS state FROM n WHERE i = 1 UNION ALL SELECT n.session, n.seq, n.i, CASE {_NEXT} ELSE f.state END FROM f JOIN n ON n.session = f.session AND n.i = f.i + 1) SELECT session, seq, state FROM f")
+def session_states(spark, d):
+    rows = samples(spark, d).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("t", "seq", "kind"))).alias("rows"))
+    edges = F.create_map(*[F.lit(x) for (a, k), b in _EDGES.items() for x in (f"{a}/{k}", b)])
+    start = F.struct(F.lit("INIT").alias("y"), F.array().cast("array<struct<seq: bigint, state: string>>").alias("out"))
+
+    def merge(acc, x):
+        new = F.coalesce(F.element_at(edges, F.concat(acc["y"], F.lit("/"), x["kind"])), acc["y"])
+        return C.let(new, lambda v: F.struct(v.alias("y"), F.concat(acc["out"], F.array(F.struct(x["seq"].alias("seq"), v.alias("state")))).alias("out")))
+
+    return rows.select("session", F.inline(F.aggregate("rows", start, merge, lambda acc: acc["out"])))
