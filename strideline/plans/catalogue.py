@@ -645,3 +645,66 @@ def session_states(spark, d):
         return C.let(new, lambda v: F.struct(v.alias("y"), F.concat(acc["out"], F.array(F.struct(x["seq"].alias("seq"), v.alias("state")))).alias("out")))
 
     return rows.select("session", F.inline(F.aggregate("rows", start, merge, lambda acc: acc["out"])))
+
+
+@query(f"SELECT session, seq, CASE WHEN n > 1 AND t > first_t THEN round((n - 1) / (t - first_t), 6) END AS rate FROM (SELECT session, seq, t, count(*) OVER r AS n, min(t) OVER r AS first_t FROM s WINDOW r AS (PARTITION BY session ORDER BY t, seq ROWS 9 PRECEDING))")
+def tick_rate(spark, d):
+    w = win(-9, 0)
+    rows = samples(spark, d).withColumn("n", F.count("*").over(w)).withColumn("first_t", F.min("t").over(w))
+    return rows.select("session", "seq", r6(F.when((F.col("n") > 1) & (F.col("t") > F.col("first_t")), (F.col("n") - 1) / F.nullif(F.col("t") - F.col("first_t"), F.lit(0.0))), "rate"))
+
+
+@query(f", h AS (SELECT *, x >= 100 AND lag(x) OVER {W} < 100 AS up FROM s) SELECT session, count(*) FILTER (WHERE up) AS crossings, count(*) FILTER (WHERE x >= 100) AS above, round(min(t) FILTER (WHERE up) - min(t), 6) AS first_after FROM h GROUP BY session")
+def rising_crossings(spark, d):
+    rows = samples(spark, d).withColumn("up", F.coalesce((F.col("x") >= 100) & (F.lag("x").over(win()) < 100), F.lit(False)))
+    return rows.groupBy("session").agg(F.count_if("up").alias("crossings"), F.count_if(F.col("x") >= 100).alias("above"), r6(F.min(F.when(F.col("up"), F.col("t"))) - F.min("t"), "first_after"))
+
+
+@query(_NUMBERED + ", f AS (SELECT session, seq, i, t, x >= 100 AS fired, CASE WHEN x >= 100 THEN t END AS last FROM n WHERE i = 1 UNION ALL SELECT n.session, n.seq, n.i, n.t, n.x >= 100 AND (f.last IS NULL OR n.t - f.last >= 31.2::DOUBLE), CASE WHEN n.x >= 100 AND (f.last IS NULL OR n.t - f.last >= 31.2::DOUBLE) THEN n.t ELSE f.last END FROM f JOIN n ON n.session = f.session AND n.i = f.i + 1) SELECT session, seq, fired FROM f")
+def torque_trigger(spark, d):
+    """Strikes that may start a pulse: at least 0.65 of a cycle of 48 hours after the last that did."""
+    rows = folds.scan_fold(samples(spark, d), lambda x: F.when(x["x"] >= 100, x["t"]).otherwise(F.lit(-1e18)), lambda y, x: F.when((x["x"] >= 100) & (x["t"] - y >= 31.2), x["t"]).otherwise(y), "last", ["x"])
+    rows = samples(spark, d).join(rows, ["session", "seq"])
+    return rows.select("session", "seq", (F.col("last") == F.col("t")).alias("fired"))
+
+
+@query(_NUMBERED + ", f AS (SELECT session, seq, i, 0.2::DOUBLE * CASE WHEN abs(k - 50) <= 5 THEN 0 ELSE k - 50 END AS y FROM (SELECT n.*, s.k FROM n JOIN s USING (session, seq)) WHERE i = 1 UNION ALL SELECT n.session, n.seq, n.i, 0.2::DOUBLE * CASE WHEN abs(s.k - 50) <= 5 THEN 0 ELSE s.k - 50 END + 0.8::DOUBLE * f.y FROM f JOIN n ON n.session = f.session AND n.i = f.i + 1 JOIN s ON s.session = n.session AND s.seq = n.seq) SELECT session, seq, round(0.5::DOUBLE * y, 6) AS torque FROM f")
+def proportional_assist(spark, d):
+    """Dead band, exponential mean from 0, and gain."""
+    dead = lambda x: F.when(F.abs(x["k"] - 50) <= 5, F.lit(0.0)).otherwise((x["k"] - 50).cast("double"))
+    rows = folds.scan_fold(samples(spark, d), lambda x: dead(x) * 0.2, lambda y, x: dead(x) * 0.2 + y * 0.8, "y", ["k"])
+    return rows.select("session", "seq", r6(F.col("y") * 0.5, "torque"))
+
+
+@query("SELECT session, round(max(abs(x)) * 0.02::DOUBLE, 6) AS peak_force, round(0.87::DOUBLE * 3 - 0.04::DOUBLE, 6) AS ceiling, max(abs(x)) * 0.02::DOUBLE > 0.87::DOUBLE * 3 - 0.04::DOUBLE AS clipped FROM s GROUP BY session")
+def force_budget(spark, d):
+    peak, ceiling = F.max(F.abs("x")) * 0.02, 0.87 * 3 - 0.04
+    return samples(spark, d).groupBy("session").agg(r6(peak, "peak_force"), r6(F.lit(ceiling), "ceiling"), (peak > ceiling).alias("clipped"))
+
+
+@query(", u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 10 = 0), p AS (SELECT a.vec_id, a.label, b.vec_id AS other, b.label AS ol, sqrt(sum((a.v - b.v) ** 2)) AS d FROM u a JOIN u b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY ALL), g AS (SELECT vec_id, label, ol, avg(d) AS m FROM p GROUP BY vec_id, label, ol), z AS (SELECT vec_id, label, max(m) FILTER (WHERE ol = label) AS a, min(m) FILTER (WHERE ol <> label) AS b FROM g GROUP BY vec_id, label) SELECT vec_id, round(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6)::DOUBLE AS silhouette FROM z", "none AS (SELECT 1)")
+def silhouette(spark, d):
+    """Silhouette of the recorded labels among every tenth vector, a clustering's usual sample."""
+    rows = table(spark, d, "embeddings").where("vec_id % 10 = 0").select("vec_id", "label", "embedding")
+    other = rows.select(F.col("vec_id").alias("other"), F.col("label").alias("ol"), F.col("embedding").alias("w"))
+    pairs = rows.join(other, F.col("vec_id") != F.col("other")).select("vec_id", "label", "ol", C.distance(F.col("embedding"), F.col("w")).alias("d"))
+    mean = pairs.groupBy("vec_id", "label", "ol").agg(F.avg("d").alias("m"))
+    out = mean.groupBy("vec_id").agg(F.max(F.when(F.col("ol") == F.col("label"), F.col("m"))).alias("a"), F.min(F.when(F.col("ol") != F.col("label"), F.col("m"))).alias("b"))
+    return out.select("vec_id", r6(F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")), "silhouette"))
+
+
+def offline_replay(spark, d):
+    """Strides, baseline model, scores and gain of every session."""
+    from strideline.plans.batch import replay
+    from strideline.sources.sinks import Config
+    return replay(samples(spark, d), Config(baseline_strides=4))
+
+
+def mock_session(spark, d):
+    """Strikes that the belt trigger finds in mock sessions."""
+    from strideline.sources.mock import mock_sessions
+    found = folds.run_machine(mock_sessions(spark, 4, 30.0), folds.BeltTrigger(tau=2.0, refractory=0.35))
+    return found.groupBy("session").agg(F.count_if(F.col("event") == "heel_strike").alias("strikes"))
+
+
+QUERIES |= {"offline_replay": offline_replay, "mock_session": mock_session}

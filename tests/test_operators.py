@@ -138,3 +138,47 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("counted").agg(F.sum("n")).first()[0] == len(events)
+
+
+def test_policy_order_and_limits():
+    from strideline.operators.policy import AssistPolicy
+
+    m = AssistPolicy()
+    s = m.start()
+    gains = [m.step(s, i, 0.8)[0] for i in range(30)]
+    assert gains[:2] == [0.0, 0.0] and max(np.diff([0.0, *gains])) <= 0.1 + 1e-12 and gains[-1] == pytest.approx(0.8)
+    assert m.step(s, 31, -1.0)[0] == pytest.approx(0.7)  # a veto goes through the rate limit
+    rows = [m.step(s, i, 2.0) for i in range(5)]
+    assert [r[1] for r in rows] == [0, 0, 0, 0, 1]
+    s = m.start()
+    updated = [m.step(s, i, 0.0)[2] for i in range(20)]
+    assert updated[:10] == [1] * 10 and 0 in updated[10:]
+
+
+def test_logs_models_and_config(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    from strideline.sources import sinks
+
+    df = spark.createDataFrame([(1, float("nan"), True), (2, 0.5, False)], "id long, v double, flag boolean")
+    sinks.write_log(df, f"{tmp_path}/log")
+    sinks.write_log(df.drop("v"), f"{tmp_path}/old")
+    both = sinks.read_logs(spark, [f"{tmp_path}/log", f"{tmp_path}/old"], StructType.fromDDL("id long, v double, flag int")).collect()
+    assert sorted((r.id, r.v, r.flag) for r in both if r.v is not None) == [(2, 0.5, 0)] and len(both) == 4
+    sinks.write_models(df, f"{tmp_path}/models")
+    assert spark.read.json(f"{tmp_path}/models").count() == 2
+    for run in ("20260101_0900", "20260102_0900"):
+        (tmp_path / "runs" / run).mkdir(parents=True)
+    (tmp_path / "runs" / "20260101_0900" / "step1.csv").write_text("a\n")
+    assert "20260101_0900" in sinks.newest_log(spark, f"{tmp_path}/runs", "step1") and sinks.newest_log(spark, f"{tmp_path}/runs", "step9") is None
+    assert sinks.Config.load('{"window": 5}').window == 5
+    with pytest.raises(KeyError):
+        sinks.Config.load('{"windows": 5}')
+
+
+def test_mock_sessions_walk_at_their_period(spark):
+    from strideline.sources.mock import mock_sessions
+
+    rows = folds.run_machine(mock_sessions(spark, 2, 30.0), folds.BeltTrigger(tau=2.0, refractory=0.35)).where("event = 'heel_strike'").orderBy("session", "t").collect()
+    times = np.array([r.t for r in rows if r.session == 0])
+    assert np.median(np.diff(times)) == pytest.approx(1.2, abs=0.03) and 21 <= len(times) <= 26
