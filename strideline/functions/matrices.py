@@ -38,3 +38,40 @@ def covariance_logs(table: DataFrame) -> DataFrame:
         out = vectorise(log_spd(covariance(v))).tolist() if len(v) > 1 else None
         return pa.table({"key": pa.array([group["key"][0].as_py()], pa.int32()), "n": pa.array([len(v)]), "log_vector": pa.array([out], pa.list_(pa.float64()))})
     return table.groupBy("key").applyInArrow(run, "key int, n long, log_vector array<double>")
+
+
+def unvectorise(v: np.ndarray) -> np.ndarray:
+    """The symmetric matrix whose ``vectorise`` is v; its length must be triangular."""
+    n = int((np.sqrt(8 * len(v) + 1) - 1) / 2)
+    if n * (n + 1) // 2 != len(v):
+        raise ValueError(f"{len(v)} entries are no upper triangle")
+    i, j = np.triu_indices(n)
+    m = np.zeros((n, n))
+    m[i, j] = m[j, i] = np.where(i == j, 1.0, np.sqrt(0.5)) * v
+    return m
+
+
+def condition_number(m: np.ndarray) -> float:
+    """Largest over smallest eigenvalue; infinite unless the smallest is positive."""
+    w = np.linalg.eigvalsh(m)
+    return float(w[-1] / w[0]) if w[0] > 0 else float("inf")
+
+
+def nearest_spd(m: np.ndarray, floor: float = 1e-10) -> np.ndarray:
+    """Nearest symmetric matrix whose eigenvalues are ``floor`` or more."""
+    w, v = np.linalg.eigh((m + m.T) / 2)
+    return (v * np.maximum(w, floor)) @ v.T
+
+
+def matrix_checks(table: DataFrame) -> DataFrame:
+    """(key, n, reason, least, condition) of rows (key, v): why a key's covariance is not positive definite, its least eigenvalue and condition number."""
+    from strideline.operators.clusters import spd_reason
+
+    def run(group: pa.Table) -> pa.Table:
+        v = np.stack(group["v"].to_pylist()).astype(float)
+        m = covariance(v) if len(v) > 1 else np.full((1, 1), np.nan)
+        reason = spd_reason(m)
+        finite = reason != "non_finite"
+        least, cond = (float(np.linalg.eigvalsh(m)[0]), condition_number(m)) if finite else (None, None)
+        return pa.table({"key": pa.array([group["key"][0].as_py()], pa.int32()), "n": pa.array([len(v)]), "reason": pa.array([reason]), "least": pa.array([least], pa.float64()), "condition": pa.array([cond], pa.float64())})
+    return table.groupBy("key").applyInArrow(run, "key int, n long, reason string, least double, condition double")

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def kmeans(x: np.ndarray, k: int, starts: int = 10, seed: int = 0, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +101,8 @@ def choose_clusters(table: DataFrame) -> DataFrame:
         chosen, evidence = select_k(np.stack(group["v"].to_pylist()).astype(float))
         columns = list(zip(*evidence, strict=True))
         n = len(evidence)
-        return pa.table({"key": pa.array([group["key"][0].as_py()] * n, pa.int32()), "chosen_k": pa.array([chosen] * n, pa.int32()), "k": pa.array(columns[0], pa.int32()), "silhouette": pa.array(columns[1], pa.float64()), "stability": pa.array(columns[2], pa.float64()), "reason": pa.array(columns[3], pa.string())})
-    return table.groupBy("key").applyInArrow(run, "key int, chosen_k int, k int, silhouette double, stability double, reason string")
+        return pa.table({"key": pa.array([group["key"][0].as_py()] * n, pa.int64()), "chosen_k": pa.array([chosen] * n, pa.int32()), "k": pa.array(columns[0], pa.int32()), "silhouette": pa.array(columns[1], pa.float64()), "stability": pa.array(columns[2], pa.float64()), "reason": pa.array(columns[3], pa.string())})
+    return table.withColumn("key", F.col("key").cast("long")).groupBy("key").applyInArrow(run, "key long, chosen_k int, k int, silhouette double, stability double, reason string")
 
 
 def spd_reason(m: np.ndarray, tolerance: float = 1e-10) -> str:
@@ -115,15 +116,21 @@ def spd_reason(m: np.ndarray, tolerance: float = 1e-10) -> str:
     return "" if np.linalg.eigvalsh(m).min() > tolerance else "not_positive_definite"
 
 
-def two_means_threshold(x: np.ndarray, least_gap: float = 5.0, rounds: int = 12) -> tuple[float, float] | None:
-    """Threshold at 65 % and reset at 80 % of the way between the two means of a signal, from its higher mean; None without a gap."""
+def two_means_threshold(x: np.ndarray, lower: bool = True, least_gap: float = 5.0, rounds: int = 12) -> tuple[float, float] | None:
+    """Threshold and reset at 65 % and 80 % of the way from one mean of a signal to the other; None without a gap.
+
+    The way starts at the low mean if the gate opens below the threshold, else at the high one.
+    """
     low, high = float(np.min(x)), float(np.max(x))
     for _ in range(rounds):
         near_low = np.abs(x - low) <= np.abs(x - high)
-        low, high = float(x[near_low].mean()) if near_low.any() else low, float(x[~near_low].mean()) if (~near_low).any() else high
+        if near_low.all() or not near_low.any():
+            return None
+        low, high = float(x[near_low].mean()), float(x[~near_low].mean())
     if high - low < least_gap:
         return None
-    return 0.65 * low + 0.35 * high, 0.2 * low + 0.8 * high
+    start, way = (low, high - low) if lower else (high, low - high)
+    return start + 0.65 * way, start + 0.8 * way
 
 
 def match_events(reference: list[float], detected: list[float], tolerance: float = 0.25) -> tuple[int, float, float, float]:
@@ -138,21 +145,36 @@ def match_events(reference: list[float], detected: list[float], tolerance: float
     return hits, p, q, 2 * p * q / (p + q) if p + q else 0.0
 
 
+def trailing_mean(x: np.ndarray, width: int) -> np.ndarray:
+    """Mean of the last ``width`` values, of all so far at the start."""
+    width, i = max(1, width), np.arange(1, len(x) + 1)
+    total = np.concatenate([[0.0], np.cumsum(x)])
+    return (total[i] - total[np.maximum(i - width, 0)]) / np.minimum(i, width)
+
+
 def cycle_by_autocorrelation(x: np.ndarray, dt: float, shortest: float = 0.9, longest: float = 2.5) -> float | None:
-    """Period of a signal: first local peak of its autocorrelation of at least half the greatest, refined by a parabola."""
+    """Period of a signal: first local peak of its autocorrelation of at least half the highest one, refined by a parabola.
+
+    None for fewer than 100 values, for signals shorter than the lags, and without a peak of 0.1.
+    """
     if len(x) < 100:
         return None
-    w = max(1, round(0.05 / dt))
-    y = np.convolve(x - x.mean(), np.ones(w) / w, mode="same")
-    lags = np.arange(max(1, int(shortest / dt)), min(int(longest / dt), len(y) - 2) + 1)
-    if len(lags) < 3:
+    y = trailing_mean(x, round(0.05 / dt))
+    y = y - y.mean()
+    first, last = max(1, round(shortest / dt)), min(len(y) - 2, round(longest / dt))
+    if last <= first:
         return None
-    r = np.array([np.dot(y[:-k], y[k:]) / max(np.linalg.norm(y[:-k]) * np.linalg.norm(y[k:]), 1e-12) for k in lags])
-    for i in range(1, len(r) - 1):
-        if r[i] >= r[i - 1] and r[i] >= r[i + 1] and r[i] >= max(0.1, 0.5 * r.max()):
-            bend = r[i - 1] - 2 * r[i] + r[i + 1]
-            return float((lags[i] + (0.5 * (r[i - 1] - r[i + 1]) / bend if bend else 0.0)) * dt)
-    return None
+    lags = np.arange(first - 1, last + 2)
+    size = np.array([np.linalg.norm(y[: len(y) - k]) * np.linalg.norm(y[k:]) for k in lags])
+    dots = np.array([np.dot(y[: len(y) - k], y[k:]) for k in lags])
+    r = np.where(size > 1e-12, dots / np.maximum(size, 1e-300), 0.0)
+    peaks = 1 + np.flatnonzero((r[1:-1] > r[:-2]) & (r[1:-1] >= r[2:]))
+    if len(peaks) == 0 or r[peaks].max() < 0.1:
+        return None
+    i = peaks[np.argmax(r[peaks] >= max(0.1, 0.5 * r[peaks].max()))]
+    bend = r[i - 1] - 2 * r[i] + r[i + 1]
+    shift = 0.5 * (r[i - 1] - r[i + 1]) / bend if abs(bend) > 1e-12 else 0.0
+    return float((lags[i] + min(max(shift, -0.5), 0.5)) * dt)
 
 
 def matched_sessions(events: DataFrame, tolerance: float) -> DataFrame:
@@ -171,3 +193,55 @@ def thresholds(samples: DataFrame) -> DataFrame:
         got = two_means_threshold(np.array(group["x"].to_pylist(), float)) or (None, None)
         return pa.table({"session": pa.array([group["session"][0].as_py()]), "threshold": pa.array([got[0]], pa.float64()), "reset": pa.array([got[1]], pa.float64())})
     return samples.select("session", "x").groupBy("session").applyInArrow(run, "session long, threshold double, reset double")
+
+
+def silhouettes(table: DataFrame, block: int = 512) -> DataFrame:
+    """(key, label, silhouette) of rows (key, label, v): Euclidean silhouette of every row against all rows.
+
+    Rows are packed into blocks of about ``block``, and each block meets each other one in
+    a task of its own, which adds its distances up by row and label; so what a task holds does
+    not grow with the table.  A row alone in its label has 0.
+    """
+    n = -(-table.count() // block)  # blocks
+    packed = table.select("key", "label", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("key"), F.lit(max(n, 1))).alias("own"))
+    packed = packed.groupBy("own").agg(F.collect_list(F.struct("key", "label", "v")).alias("rows"))
+    left = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)).cast("array<long>")))
+    right = packed.select(F.col("own").alias("other"), F.col("rows").alias("against"))
+    pairs = left.join(right, "other").select("rows", "against")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                x, y = (np.array([r["v"] for r in part]) for part in (a, b))
+                names, code = np.unique([r["label"] for r in b], return_inverse=True)
+                keys = [r["key"] for r in a]
+                sums = np.stack([np.bincount(code, np.sqrt(((y - row) ** 2).sum(1)), len(names)) for row in x])
+                flat = [(k, a[j]["label"], int(names[m]), float(sums[j, m])) for j, k in enumerate(keys) for m in range(len(names))]
+                columns = list(zip(*flat, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.float64())], names=["key", "label", "other", "d"])
+
+    sums = pairs.mapInArrow(run, "key long, label int, other int, d double").groupBy("key", "label", "other").agg(F.sum("d").alias("d"))
+    sizes = table.groupBy(F.col("label").alias("other")).agg(F.count("*").alias("n"))
+    means = sums.join(sizes, "other").withColumn("mine", F.col("label") == F.col("other"))
+    means = means.withColumn("m", F.col("d") / F.nullif(F.col("n") - F.col("mine").cast("int"), F.lit(0)))
+    both = means.groupBy("key", "label").agg(F.max(F.when(F.col("mine"), F.col("m"))).alias("a"), F.min(F.when(~F.col("mine"), F.col("m"))).alias("b"))
+    return both.select("key", "label", F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0))).alias("silhouette"))
+
+
+def principal_plane(table: DataFrame, axes: int = 2) -> DataFrame:
+    """(key, axis0, axis1, ...) of rows (key, v): coordinates about the mean on the main axes.
+
+    The axes come from one pass over the table; only a matrix of dimensions by axes
+    reaches the driver.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows = table.select("key", array_to_vector(F.col("v").cast("array<double>")).alias("f"))
+    model = PCA(k=axes, inputCol="f", outputCol="p").fit(rows)
+    loads, mean = model.pc.toArray(), rows.agg(Summarizer.mean(F.col("f")).alias("m")).first()["m"].toArray()
+    sign = np.sign(loads[np.abs(loads).argmax(0), np.arange(axes)])
+    out = model.transform(rows).select("key", vector_to_array("p").alias("p"))
+    return out.select("key", *[((F.col("p")[i] - float(mean @ loads[:, i])) * float(sign[i])).alias(f"axis{i}") for i in range(axes)])

@@ -45,18 +45,23 @@ def rate_limited(samples: DataFrame, most: float) -> DataFrame:
 
 
 class Machine:
-    """State machine; subclasses give ``schema`` of what a sample adds, a start state and a step."""
+    """State machine; subclasses give ``schema`` of what a sample adds, its ``inputs``, a start state and a step."""
 
+    inputs: tuple[str, ...] = ("x",)
     schema = ""
 
     def start(self) -> dict:
         """State before the first sample."""
         raise NotImplementedError
 
-    def step(self, state: dict, t: float, x: float) -> tuple:
-        """Changes the state and returns the output columns of one sample."""
+    def step(self, state: dict, t: float, *values) -> tuple:
+        """Changes the state and returns the output columns of one sample; ``values`` are its inputs."""
         raise NotImplementedError
 
+    def fields(self) -> list[str]:
+        """Columns that a table of samples must have."""
+        return ["session", "seq", "t", "x", *[c for c in self.inputs if c != "x"]]
+
 
 class BeltTrigger(Machine):
     """Schmitt trigger on a signal about its own slow mean, in units of its own slow amplitude."""
@@ -122,23 +127,41 @@ class LevelTrigger(Machine):
 
 
 class PersistentGain(Machine):
-    """Gain that follows a score: a rise or fall must persist, and no step is larger than ``most_step``."""
+    """Gain that follows a score: a rise needs a streak of scores above 0, a fall one of zeros, and no step is larger than ``most_step``."""
 
-    schema = "gain double, rises int, falls int"
+    schema = "gain double, deficits int, recoveries int"
 
     def __init__(self, persist: int = 3, most_step: float = 0.1, most_gain: float = 0.8):
         self.persist, self.most_step, self.most_gain = persist, most_step, most_gain
 
     def start(self) -> dict:
-        return {"gain": 0.0, "rises": 0, "falls": 0}
+        return {"gain": 0.0, "deficits": 0, "recoveries": 0}
 
     def step(self, s: dict, t: float, x: float) -> tuple:
         target = min(max(x, 0.0), 1.0) * self.most_gain
-        s["rises"] = s["rises"] + 1 if target > s["gain"] else 0
-        s["falls"] = s["falls"] + 1 if target < s["gain"] else 0
-        if s["rises"] >= self.persist or s["falls"] >= self.persist:
+        s["deficits"], s["recoveries"] = (s["deficits"] + 1, 0) if target > 0 else (0, s["recoveries"] + 1)
+        if (s["deficits"] if target > s["gain"] else s["recoveries"]) >= self.persist:
             s["gain"] = min(max(s["gain"] + min(max(target - s["gain"], -self.most_step), self.most_step), 0.0), self.most_gain)
-        return s["gain"], s["rises"], s["falls"]
+        return s["gain"], s["deficits"], s["recoveries"]
+
+
+class GateRearm(Machine):
+    """A gate that a strike below ``threshold`` uses up, until the signal has risen above ``reset``."""
+
+    inputs = ("x", "strike")
+    schema = "passed int, armed int"
+
+    def __init__(self, threshold: float, reset: float):
+        self.threshold, self.reset = threshold, reset
+
+    def start(self) -> dict:
+        return {"armed": True}
+
+    def step(self, s: dict, t: float, x: float, strike: bool) -> tuple:
+        s["armed"] = s["armed"] or x > self.reset
+        passed = s["armed"] and strike and x <= self.threshold
+        s["armed"] = s["armed"] and not passed
+        return int(passed), int(s["armed"])
 
 
 #: Detectors by name; ``register_detector`` adds to them.
@@ -173,12 +196,14 @@ def run_machine(samples: DataFrame, machine: Machine) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("t", "ascending"), ("seq", "ascending")])
         state = machine.start()
-        rows = [machine.step(state, t, x) for t, x in zip(group["t"].to_pylist(), group["x"].to_pylist(), strict=True)]
+        columns = [group[c].to_pylist() for c in ("t", *machine.inputs)]
+        rows = [machine.step(state, *values) for values in zip(*columns, strict=True)]
+        group = group.select(["session", "seq", "t", "x"])
         for i, (name, kind) in enumerate(_outputs(machine).items()):
             group = group.append_column(name, pa.array([r[i] for r in rows], kinds[kind]))
         return group
 
-    rows = samples.select("session", "seq", "t", "x")
+    rows = samples.select(*machine.fields())
     return rows.groupBy("session").applyInArrow(run, f"session long, seq long, t double, x double, {machine.schema}")
 
 
@@ -191,7 +216,7 @@ def stream_step(machine: Machine):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         own = json.loads(state.get[0]) if state.exists else machine.start()
         rows = pd.concat(list(batches)).sort_values(["t", "seq"])
-        out = [machine.step(own, t, x) for t, x in zip(rows["t"].tolist(), rows["x"].tolist(), strict=True)]
+        out = [machine.step(own, *values) for values in zip(*[rows[c].tolist() for c in ("t", *machine.inputs)], strict=True)]
         state.update((json.dumps(own),))
         result = rows[["session", "seq", "t", "x"]].copy()
         for i, name in enumerate(names):
@@ -203,5 +228,5 @@ def stream_step(machine: Machine):
 
 def run_machine_stream(samples: DataFrame, machine: Machine) -> DataFrame:
     """``run_machine`` on a stream of samples that come in time order within a session."""
-    return samples.select("session", "seq", "t", "x").groupBy("session").applyInPandasWithState(
+    return samples.select(*machine.fields()).groupBy("session").applyInPandasWithState(
         stream_step(machine), f"session long, seq long, t double, x double, {machine.schema}", "state string", "append", "NoTimeout")

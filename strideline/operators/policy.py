@@ -7,46 +7,56 @@ from strideline.sources.sinks import Config
 
 
 class AssistPolicy(Machine):
-    """Gain per stride from its raw gain ``x``; a negative x is a safety veto, an x of 2 or more an outlier.
-
-    In order: a veto leads toward 0; a streak of outliers caps the gain; else the
-    largest of the last raw gains is the aim.  Once the gain has not changed for
-    ``settle`` strides it is recomputed only every ``hold`` strides.  A rise or fall must
-    persist, and no step passes the rate limit.  Every path goes through that limit.
+    """Gain per stride from its raw gain ``x``, its outlier flag ``ood`` and a safety ``veto``.
+
+    In order: a stride without a raw gain leads toward 0 and changes nothing else; a
+    veto leads toward 0; a long enough streak of outliers caps the gain; else the largest
+    of the last raw gains is the aim.  Once the gain has stood still for ``settle``
+    strides it is recomputed every ``hold`` strides only, while raw gains are still
+    remembered.  A rise needs a streak of strides with a deficit, a fall one of strides
+    without.  Every path goes through the rate limit.
     """
 
-    schema = "gain double, engaged int, updated int"
+    inputs = ("x", "ood", "veto")
+    schema = "gain double, engaged int, updated int, deficits int, recoveries int"
 
     def __init__(self, config: Config | None = None):
         self.c = config or Config()
 
     def start(self) -> dict:
-        return {"gain": 0.0, "window": [], "rises": 0, "falls": 0, "streak": 0, "same": 0, "since": 0}
-
-    def step(self, s: dict, t: float, x: float) -> tuple:
-        before, updated = s["gain"], 1
-        outlier = x is not None and x >= 2
-        s["streak"] = s["streak"] + 1 if outlier else 0
-        engaged = s["streak"] >= self.c.ood_streak
-        if x is None or x < 0:
-            s.update(window=[], rises=0, falls=0)
+        return {"gain": 0.0, "window": [], "deficits": 0, "recoveries": 0, "streak": 0, "same": 0, "since": 0, "last": None}
+
+    def step(self, s: dict, t: float, x: float | None, ood: bool, veto: bool) -> tuple:
+        engaged, updated = False, 1
+        if x is None or x != x:
             self._toward(s, 0.0)
-        elif engaged:
-            s.update(window=[], rises=0, falls=0)
-            self._toward(s, min(s["gain"], self.c.ood_gain))
-        elif s["same"] >= self.c.settle and s["since"] + 1 < self.c.hold:
-            updated = 0
         else:
-            s["window"] = [*s["window"], 0.0 if outlier else x][-self.c.window :]
-            aim = min(max(max(s["window"]), 0.0), self.c.most_gain)
-            s["rises"] = s["rises"] + 1 if aim > s["gain"] else 0
-            s["falls"] = s["falls"] + 1 if aim < s["gain"] else 0
-            if s["rises"] >= self.c.persist or s["falls"] >= self.c.persist:
-                self._toward(s, aim)
-        s["since"] = 0 if updated else s["since"] + 1
-        s["same"] = s["same"] + 1 if s["gain"] == before else 0
-        return s["gain"], int(engaged), updated
+            s["streak"] = s["streak"] + 1 if ood else 0
+            engaged = s["streak"] >= self.c.ood_streak
+            if veto or engaged:
+                s.update(window=[], since=0)
+                self._toward(s, 0.0 if veto else min(s["gain"], self.c.ood_gain))
+            else:
+                s["window"] = [*s["window"], x][-self.c.window :]
+                updated = int(self._due(s))
+                if updated:
+                    self._toward(s, self._aim(s))
+        s["same"] = s["same"] + 1 if s["last"] is not None and abs(s["gain"] - s["last"]) <= 1e-12 else 0
+        s["last"] = s["gain"]
+        return s["gain"], int(engaged), updated, s["deficits"], s["recoveries"]
+
+    def _due(self, s: dict) -> bool:
+        """Whether the gain may move: always while it is moving, then every ``hold`` strides."""
+        s["since"] = (s["since"] + 1) % self.c.hold if s["same"] >= self.c.settle else 0
+        return s["since"] == 0
+
+    def _aim(self, s: dict) -> float:
+        """Largest gain of the window if its direction has persisted, else the gain as it is."""
+        best = max(s["window"])
+        s["deficits"], s["recoveries"] = (s["deficits"] + 1, 0) if best > 0 else (0, s["recoveries"] + 1)
+        streak = s["deficits"] if best > s["gain"] else s["recoveries"]
+        return best if streak >= self.c.persist else s["gain"]
 
     def _toward(self, s: dict, aim: float) -> None:
-        step = min(max(aim - s["gain"], -self.c.most_step), self.c.most_step)
+        step = min(max(min(aim, self.c.most_gain) - s["gain"], -self.c.most_step), self.c.most_step)
         s["gain"] = min(max(s["gain"] + step, 0.0), self.c.most_gain)

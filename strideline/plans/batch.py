@@ -32,8 +32,8 @@ def replay(samples: DataFrame, config: Config | None = None) -> DataFrame:
     e_r = F.when(F.col("bound") > 0, C.clip(F.col("d") / F.nullif(F.col("bound"), F.lit(0.0)), 0.0, 1.0)).otherwise(1.0)
     e_b = C.clip(F.greatest(F.col("base_swing") - F.col("swing_ratio"), F.lit(0.0)) / 0.1, 0.0, 1.0)
     late = late.withColumn("ood", F.col("d") > F.col("bound")).withColumn("e_r", e_r).withColumn("e_b", e_b)
-    raw = F.when(F.col("ood"), F.lit(2.0)).otherwise(C.assist_score(F.col("e_b"), F.col("e_r")) * config.most_gain)
-    scored = late.withColumn("x", raw).withColumn("t", F.col("stride_id").cast("double"))
-    gain = folds.run_machine(scored.select("session", F.col("stride_id").alias("seq"), "t", "x"), AssistPolicy(config))
+    raw = C.assist_score(F.col("e_b"), F.col("e_r")) * config.most_gain
+    scored = late.withColumn("x", raw).withColumn("t", F.col("stride_id").cast("double")).withColumn("veto", F.lit(False))
+    gain = folds.run_machine(scored.select("session", F.col("stride_id").alias("seq"), "t", "x", "ood", "veto"), AssistPolicy(config))
     gain = gain.select("session", F.col("seq").alias("stride_id"), "gain", "engaged", "updated")
     return scored.select("session", "stride_id", "t_end", "d", "bound", "ood", "e_b", "e_r").join(gain, ["session", "stride_id"])

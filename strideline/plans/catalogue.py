@@ -498,14 +498,43 @@ def legacy_score(spark, d):
 
 
 @query(_SCORED + """, gn AS (SELECT session, stride_id, least(e_b, 1) * 0.8::DOUBLE AS target, row_number() OVER (PARTITION BY session ORDER BY stride_id) AS i FROM sd), z AS (
-  SELECT session, stride_id, i, 0.0::DOUBLE AS gain, (target > 0)::INT AS rises, (target < 0)::INT AS falls FROM gn WHERE i = 1
+  SELECT DISTINCT session, -1::BIGINT AS stride_id, 0::BIGINT AS i, 0.0::DOUBLE AS gain, 0 AS deficits, 0 AS recoveries FROM gn
   UNION ALL
-  SELECT session, stride_id, i, CASE WHEN rises >= 3 OR falls >= 3 THEN least(greatest(gain + least(greatest(target - gain, -0.1::DOUBLE), 0.1::DOUBLE), 0), 0.8::DOUBLE) ELSE gain END, rises, falls FROM (
-    SELECT gn.session, gn.stride_id, gn.i, gn.target, z.gain, CASE WHEN gn.target > z.gain THEN z.rises + 1 ELSE 0 END AS rises, CASE WHEN gn.target < z.gain THEN z.falls + 1 ELSE 0 END AS falls FROM z JOIN gn ON gn.session = z.session AND gn.i = z.i + 1)
-) SELECT session, stride_id, round(gain, 6) AS gain, rises, falls FROM z""")
+  SELECT session, stride_id, i, CASE WHEN CASE WHEN target > gain THEN deficits ELSE recoveries END >= 3 THEN least(greatest(gain + least(greatest(target - gain, -0.1::DOUBLE), 0.1::DOUBLE), 0), 0.8::DOUBLE) ELSE gain END, deficits, recoveries FROM (
+    SELECT gn.session, gn.stride_id, gn.i, gn.target, z.gain, CASE WHEN gn.target > 0 THEN z.deficits + 1 ELSE 0 END AS deficits, CASE WHEN gn.target > 0 THEN 0 ELSE z.recoveries + 1 END AS recoveries FROM z JOIN gn ON gn.session = z.session AND gn.i = z.i + 1)
+) SELECT session, stride_id, round(gain, 6) AS gain, deficits, recoveries FROM z WHERE i > 0""")
 def gain_policy(spark, d):
     rows = scored(spark, d).select("session", F.col("stride_id").alias("seq"), F.col("stride_id").cast("double").alias("t"), F.col("e_b").alias("x"))
-    return folds.run_machine(rows, folds.PersistentGain()).select("session", F.col("seq").alias("stride_id"), r6("gain", "gain"), "rises", "falls")
+    return folds.run_machine(rows, folds.PersistentGain()).select("session", F.col("seq").alias("stride_id"), r6("gain", "gain"), "deficits", "recoveries")
+
+
+@query(_SCORED + """, gn AS (SELECT session, stride_id, 0.8::DOUBLE * least(e_b * (0.5 + 0.5 * e_r), 1) AS raw, e_r > 0 AS ood, e_exc >= 1 AS veto, row_number() OVER (PARTITION BY session ORDER BY stride_id) AS i FROM sd), z AS (
+  SELECT DISTINCT session, -1::BIGINT AS stride_id, 0::BIGINT AS i, 0.0::DOUBLE AS gain, NULL::DOUBLE AS last, NULL::DOUBLE AS w1, NULL::DOUBLE AS w2, NULL::DOUBLE AS w3, 0 AS deficits, 0 AS recoveries, 0 AS streak, 0 AS same, 0 AS since, false AS engaged, true AS updated FROM gn
+  UNION ALL
+  SELECT session, stride_id, i, gain, gain, w1, w2, w3, deficits, recoveries, streak, CASE WHEN last IS NOT NULL AND abs(gain - last) <= 1e-12 THEN same + 1 ELSE 0 END, since, engaged, updated FROM (
+    SELECT *  REPLACE (least(greatest(gain + least(greatest(CASE WHEN veto THEN 0 WHEN engaged THEN least(gain, 0.2::DOUBLE) WHEN NOT updated THEN gain WHEN CASE WHEN best > gain THEN deficits ELSE recoveries END >= 2 THEN best ELSE gain END - gain, -0.1::DOUBLE), 0.1::DOUBLE), 0), 0.8::DOUBLE) AS gain) FROM (
+      SELECT * REPLACE (CASE WHEN veto OR engaged OR NOT updated THEN deficits WHEN best > 0 THEN deficits + 1 ELSE 0 END AS deficits, CASE WHEN veto OR engaged OR NOT updated THEN recoveries WHEN best > 0 THEN 0 ELSE recoveries + 1 END AS recoveries) FROM (
+        SELECT *, greatest(w1, w2, w3) AS best, veto OR engaged OR since = 0 AS updated FROM (
+          SELECT session, stride_id, i, gain, last, veto, engaged, CASE WHEN NOT veto AND NOT engaged THEN raw END AS w1, CASE WHEN NOT veto AND NOT engaged THEN w1 END AS w2, CASE WHEN NOT veto AND NOT engaged THEN w2 END AS w3, deficits, recoveries, streak, same, CASE WHEN NOT veto AND NOT engaged AND same >= 4 THEN (since + 1) % 3 ELSE 0 END AS since FROM (
+            SELECT gn.session, gn.stride_id, gn.i, gn.raw, gn.veto, z.gain, z.last, z.w1, z.w2, z.deficits, z.recoveries, z.same, z.since, CASE WHEN gn.ood THEN z.streak + 1 ELSE 0 END AS streak, CASE WHEN gn.ood THEN z.streak + 1 ELSE 0 END >= 2 AS engaged FROM z JOIN gn ON gn.session = z.session AND gn.i = z.i + 1)))))
+) SELECT session, stride_id, round(gain, 6) AS gain, engaged::INT AS engaged, updated::INT AS updated, deficits, recoveries FROM z WHERE i > 0""")
+def assist_policy(spark, d):
+    """The whole policy, with streaks short enough for the sessions of the tables to reach."""
+    from strideline.operators.policy import AssistPolicy
+    from strideline.sources.sinks import Config
+    raw = C.assist_score(F.col("e_b"), F.col("e_r")) * 0.8
+    rows = scored(spark, d).select("session", F.col("stride_id").alias("seq"), F.col("stride_id").cast("double").alias("t"), raw.alias("x"), (F.col("e_r") > 0).alias("ood"), (F.col("e_exc") >= 1).alias("veto"))
+    out = folds.run_machine(rows, AssistPolicy(Config(ood_streak=2, persist=2, settle=4)))
+    return out.select("session", F.col("seq").alias("stride_id"), r6("gain", "gain"), "engaged", "updated", "deficits", "recoveries")
+
+
+@query(_SCORED + ", h AS (SELECT *, e_b > 0 AS deficit, row_number() OVER w - row_number() OVER (PARTITION BY session, e_b > 0 ORDER BY stride_id) AS island FROM sd WINDOW w AS (PARTITION BY session ORDER BY stride_id)) SELECT session, stride_id, deficit, row_number() OVER (PARTITION BY session, deficit, island ORDER BY stride_id)::INT AS streak FROM h")
+def persistence_streaks(spark, d):
+    rows = scored(spark, d).withColumn("deficit", F.col("e_b") > 0)
+    before = Window.partitionBy("session").orderBy("stride_id")
+    change = F.coalesce((F.col("deficit") != F.lag("deficit").over(before)).cast("int"), F.lit(0))
+    rows = rows.withColumn("change", change).withColumn("island", F.sum("change").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.select("session", "stride_id", "deficit", F.row_number().over(Window.partitionBy("session", "island").orderBy("stride_id")).alias("streak"))
 
 
 # --- control ----------------------------------------------------------------------------
@@ -588,11 +617,17 @@ QUERIES["matrix_log_nd"] = matrix_log_nd
 
 
 def k_selection(spark, d):
-    """Evidence for the number of clusters among the first vectors of each label."""
+    """Evidence for the number of clusters among the log vectors of each session's strides."""
     from strideline.operators.clusters import choose_clusters
-    first = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    rows = table(spark, d, "embeddings").withColumn("nth", first).where("nth <= 30")  # a baseline is the first 30 rows by definition
-    return choose_clusters(rows.select(F.col("label").alias("key"), F.col("embedding").alias("v")))
+    return choose_clusters(stride_logs(spark, d).select(F.col("session").alias("key"), "v"))
+
+
+def stride_logs(spark: SparkSession, d: str) -> DataFrame:
+    """(session, stride_id, v): logarithm of each stride's covariance as a vector that keeps lengths."""
+    k = F.col("k").cast("double")
+    rows = S.cut(samples(spark, d)).groupBy("session", "stride_id").agg((F.var_samp("x") + 1e-6).alias("a"), F.covar_samp("x", k).alias("b"), (F.var_samp(k) + 1e-6).alias("c"))
+    v = C.vectorise_2x2(*C.matrix_log_2x2(F.col("a"), F.col("b"), F.col("c")))
+    return rows.select("session", "stride_id", v.alias("v"))
 
 
 def event_match_f1(spark, d):
@@ -606,13 +641,14 @@ def event_match_f1(spark, d):
 QUERIES |= {"k_selection": k_selection, "event_match_f1": event_match_f1}
 
 
-_MEANS = ", a AS (SELECT session, min(x) AS lo, max(x) AS hi, 0 AS i FROM s GROUP BY session UNION ALL SELECT session, lo2, hi2, i + 1 FROM (SELECT a.session, a.i, coalesce(avg(s.x) FILTER (WHERE abs(s.x - a.lo) <= abs(s.x - a.hi)), any_value(a.lo)) AS lo2, coalesce(avg(s.x) FILTER (WHERE abs(s.x - a.lo) > abs(s.x - a.hi)), any_value(a.hi)) AS hi2 FROM a JOIN s ON s.session = a.session WHERE a.i < 12 GROUP BY a.session, a.i))"
+_MEANS = ", a AS (SELECT session, min(x) AS lo, max(x) AS hi, 0 AS i FROM s GROUP BY session UNION ALL SELECT session, lo2, hi2, i + 1 FROM (SELECT a.session, a.i, avg(s.x) FILTER (WHERE abs(s.x - a.lo) <= abs(s.x - a.hi)) AS lo2, avg(s.x) FILTER (WHERE abs(s.x - a.lo) > abs(s.x - a.hi)) AS hi2 FROM a JOIN s ON s.session = a.session WHERE a.i < 12 GROUP BY a.session, a.i))"
 
 
-@query(_MEANS + " SELECT session, CASE WHEN hi - lo >= 5 THEN round(0.65::DOUBLE * lo + 0.35::DOUBLE * hi, 6) END AS threshold, CASE WHEN hi - lo >= 5 THEN round(0.2::DOUBLE * lo + 0.8::DOUBLE * hi, 6) END AS reset FROM a WHERE i = 12")
+@query(_MEANS + " SELECT session, CASE WHEN hi - lo >= 5 THEN round(lo + 0.65::DOUBLE * (hi - lo), 10) END AS threshold, CASE WHEN hi - lo >= 5 THEN round(lo + 0.8::DOUBLE * (hi - lo), 10) END AS reset FROM a WHERE i = 12")
 def two_means_threshold(spark, d):
+    """To 10 places: means of values with 2 decimals times 0.65 end in exact halves at the sixth."""
     from strideline.operators.clusters import thresholds
-    return thresholds(samples(spark, d)).select("session", r6("threshold", "threshold"), r6("reset", "reset"))
+    return thresholds(samples(spark, d)).select("session", *[F.round(c, 10).alias(c) for c in ("threshold", "reset")])
 
 
 @query(", h AS (SELECT session, t, k, t - lag(t) OVER w AS gap, k % 2 = lag(k) OVER w % 2 AS same FROM s WHERE strike WINDOW w AS (PARTITION BY session ORDER BY t, seq)) SELECT session, count(*) AS strikes, round(min(gap), 6) AS least_gap, round(avg(CASE WHEN same THEN 0.0 WHEN NOT same THEN 1.0 END), 6)::DOUBLE AS alternation FROM h GROUP BY session")
@@ -682,15 +718,12 @@ def force_budget(spark, d):
     return samples(spark, d).groupBy("session").agg(r6(peak, "peak_force"), r6(F.lit(ceiling), "ceiling"), (peak > ceiling).alias("clipped"))
 
 
-@query(", u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 10 = 0), p AS (SELECT a.vec_id, a.label, b.vec_id AS other, b.label AS ol, sqrt(sum((a.v - b.v) ** 2)) AS d FROM u a JOIN u b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY ALL), g AS (SELECT vec_id, label, ol, avg(d) AS m FROM p GROUP BY vec_id, label, ol), z AS (SELECT vec_id, label, max(m) FILTER (WHERE ol = label) AS a, min(m) FILTER (WHERE ol <> label) AS b FROM g GROUP BY vec_id, label) SELECT vec_id, round(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6)::DOUBLE AS silhouette FROM z", "none AS (SELECT 1)")
+@query(", u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), p AS (SELECT a.vec_id, a.label, b.vec_id AS other, b.label AS ol, sqrt(sum((a.v - b.v) ** 2)) AS d FROM u a JOIN u b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY ALL), g AS (SELECT vec_id, label, ol, avg(d) AS m FROM p GROUP BY vec_id, label, ol), z AS (SELECT vec_id, label, max(m) FILTER (WHERE ol = label) AS a, min(m) FILTER (WHERE ol <> label) AS b FROM g GROUP BY vec_id, label) SELECT vec_id, round(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6)::DOUBLE AS silhouette FROM z", "none AS (SELECT 1)")
 def silhouette(spark, d):
-    """Silhouette of the recorded labels among every tenth vector, a clustering's usual sample."""
-    rows = table(spark, d, "embeddings").where("vec_id % 10 = 0").select("vec_id", "label", "embedding")
-    other = rows.select(F.col("vec_id").alias("other"), F.col("label").alias("ol"), F.col("embedding").alias("w"))
-    pairs = rows.join(other, F.col("vec_id") != F.col("other")).select("vec_id", "label", "ol", C.distance(F.col("embedding"), F.col("w")).alias("d"))
-    mean = pairs.groupBy("vec_id", "label", "ol").agg(F.avg("d").alias("m"))
-    out = mean.groupBy("vec_id").agg(F.max(F.when(F.col("ol") == F.col("label"), F.col("m"))).alias("a"), F.min(F.when(F.col("ol") != F.col("label"), F.col("m"))).alias("b"))
-    return out.select("vec_id", r6(F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")), "silhouette"))
+    """Silhouette of the recorded labels among all vectors."""
+    from strideline.operators.clusters import silhouettes
+    out = silhouettes(table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "label", F.col("embedding").alias("v")))
+    return out.select(F.col("key").alias("vec_id"), r6("silhouette", "silhouette"))
 
 
 def offline_replay(spark, d):
@@ -708,3 +741,121 @@ def mock_session(spark, d):
 
 
 QUERIES |= {"offline_replay": offline_replay, "mock_session": mock_session}
+
+
+# --- further recurrences and windows -----------------------------------------------------
+
+@query(_NUMBERED + ", e AS (SELECT *, 1 - exp(-greatest(t - lag(t) OVER (PARTITION BY session ORDER BY i), 0) / 24.0::DOUBLE) AS a FROM n), f AS (SELECT session, seq, i, x AS y FROM e WHERE i = 1 UNION ALL SELECT e.session, e.seq, e.i, f.y + e.a * (e.x - f.y) FROM f JOIN e ON e.session = f.session AND e.i = f.i + 1) SELECT session, seq, round(y, 6) AS ema FROM f")
+def ema_elapsed(spark, d):
+    """Exponential mean whose weight follows the time since the last sample."""
+    rows = samples(spark, d).withColumn("a", 1 - F.exp(-F.greatest(F.coalesce(F.col("t") - F.lag("t").over(win()), F.lit(0.0)), F.lit(0.0)) / 24.0))
+    return folds.scan_fold(rows, lambda x: x["x"], lambda y, x: y + x["a"] * (x["x"] - y), "ema", ["x", "a"]).select("session", "seq", r6("ema", "ema"))
+
+
+@query(_NUMBERED + ", e AS (SELECT n.*, 40.0::DOUBLE * greatest(least(s.k / 10.0::DOUBLE, 5), -5) AS drive, 1 - exp(-greatest(n.t - lag(n.t) OVER (PARTITION BY n.session ORDER BY i), 0) / 12.0::DOUBLE) AS a FROM n JOIN s USING (session, seq)), f AS (SELECT session, seq, i, 0.0::DOUBLE AS y FROM e WHERE i = 1 UNION ALL SELECT e.session, e.seq, e.i, f.y + e.a * (e.drive - f.y) FROM f JOIN e ON e.session = f.session AND e.i = f.i + 1) SELECT session, seq, round(y, 6) AS position FROM f")
+def motor_lag(spark, d):
+    """First-order plant: 40 mm an ampere, the current held to 5."""
+    rows = samples(spark, d).withColumn("drive", 40.0 * C.clip(F.col("k") / 10.0, -5.0, 5.0))
+    rows = rows.withColumn("a", 1 - F.exp(-F.greatest(F.coalesce(F.col("t") - F.lag("t").over(win()), F.lit(0.0)), F.lit(0.0)) / 12.0))
+    return folds.scan_fold(rows, lambda x: F.lit(0.0), lambda y, x: y + x["a"] * (x["drive"] - y), "y", ["drive", "a"]).select("session", "seq", r6("y", "position"))
+
+
+@query(_level_sql(70, 30, 12, True).replace("SELECT session, seq, t, x, row_number()", "SELECT session, seq, t, k AS x, row_number()"))
+def gyro_events(spark, d):
+    rows = samples(spark, d).withColumn("x", F.col("k").cast("double"))
+    return folds.run_machine(rows, folds.create_detector("level", high=70, low=30, refractory=12)).select("session", "seq", "event")
+
+
+@query(_NUMBERED + ", e AS (SELECT *, coalesce(lag(x) OVER (PARTITION BY session ORDER BY i) < 100 AND x >= 100, false) AS up FROM n), f AS (SELECT session, seq, i, false AS crossing, NULL::DOUBLE AS last FROM e WHERE i = 1 UNION ALL SELECT e.session, e.seq, e.i, e.up AND (f.last IS NULL OR e.t - f.last >= 24), CASE WHEN e.up AND (f.last IS NULL OR e.t - f.last >= 24) THEN e.t ELSE f.last END FROM f JOIN e ON e.session = f.session AND e.i = f.i + 1) SELECT session, seq, crossing FROM f")
+def refractory_crossings(spark, d):
+    """Rises through a threshold, each at least 24 hours after the one before."""
+    rows = samples(spark, d).withColumn("up", F.coalesce((F.lag("x").over(win()) < 100) & (F.col("x") >= 100), F.lit(False)))
+    last = folds.scan_fold(rows, lambda x: F.lit(-1e18), lambda y, x: F.when(x["up"] & (x["t"] - y >= 24), x["t"]).otherwise(y), "last", ["up"])
+    return last.join(rows, ["session", "seq"]).select("session", "seq", (F.col("last") == F.col("t")).alias("crossing"))
+
+
+@query(f", n AS (SELECT *, row_number() OVER {W} AS i FROM s), f AS (SELECT DISTINCT session, -1::BIGINT AS seq, 0::BIGINT AS i, false AS passed, true AS armed FROM n UNION ALL SELECT session, seq, i, ready AND strike AND x <= 80, ready AND NOT (strike AND x <= 80) FROM (SELECT n.session, n.seq, n.i, n.strike, n.x, f.armed OR n.x > 120 AS ready FROM f JOIN n ON n.session = f.session AND n.i = f.i + 1)) SELECT session, seq, passed::INT AS passed, armed::INT AS armed FROM f WHERE i > 0")
+def belt_gate_rearm(spark, d):
+    return folds.run_machine(samples(spark, d), folds.GateRearm(80.0, 120.0)).select("session", "seq", "passed", "armed")
+
+
+@query(f", h AS (SELECT *, max(CASE WHEN strike THEN t END) OVER w AS hs, count(*) FILTER (WHERE strike) OVER w AS strikes FROM s WINDOW w AS (PARTITION BY session ORDER BY t, seq ROWS UNBOUNDED PRECEDING)), r AS (SELECT session, t AS hs, x AS ref FROM s WHERE strike) SELECT h.session, h.seq, strikes, round(CASE WHEN h.t - h.hs <= 8.4::DOUBLE THEN greatest(least(0.05::DOUBLE * (ref - h.x) - 0.01::DOUBLE * h.k + 2, 30), 0) ELSE 0 END, 6)::DOUBLE AS force FROM h LEFT JOIN r ON r.session = h.session AND r.hs = h.hs")
+def impedance_window(spark, d):
+    """Spring and damper about the length at the last strike, for a while after it, and the strikes so far."""
+    upto = win(None, 0)
+    last = lambda c: F.last(F.when(F.col("strike"), F.col(c)), ignorenulls=True).over(upto)
+    rows = samples(spark, d).withColumn("hs", last("t")).withColumn("ref", last("x")).withColumn("strikes", F.sum(F.col("strike").cast("long")).over(upto))
+    force = C.clip(0.05 * (F.col("ref") - F.col("x")) - 0.01 * F.col("k") + 2, 0.0, 30.0)
+    return rows.select("session", "seq", "strikes", r6(F.when(F.col("t") - F.col("hs") <= 8.4, force).otherwise(0.0), "force"))
+
+
+@query(f", g AS (SELECT session, t - lag(t) OVER (PARTITION BY session ORDER BY t, seq) AS gap FROM s WHERE strike), m AS (SELECT session, median(gap) AS period FROM g GROUP BY session), h AS (SELECT session, seq, t, max(CASE WHEN strike THEN t END) OVER (PARTITION BY session ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS hs FROM s) SELECT h.session, h.seq, CASE WHEN period > 0 THEN round(hs + period * (floor((t - hs) / period) + 1) - t, 6) END AS due_in FROM h LEFT JOIN m ON m.session = h.session")
+def next_strike(spark, d):
+    """Hours to the next strike that a session's median interval lets expect, rolled on while none comes."""
+    strike = F.when(F.col("strike"), F.col("t"))
+    rows = samples(spark, d).withColumn("hs", F.last(strike, ignorenulls=True).over(win(None, 0))).withColumn("before", F.last(strike, ignorenulls=True).over(win(None, -1)))
+    gap = F.when(F.col("strike"), F.col("t") - F.col("before"))
+    period = F.nullif(F.percentile(gap, 0.5).over(Window.partitionBy("session")), F.lit(0.0))
+    rows = rows.withColumn("period", period)
+    return rows.select("session", "seq", r6(F.col("hs") + F.col("period") * (F.floor((F.col("t") - F.col("hs")) / F.col("period")) + 1) - F.col("t"), "due_in"))
+
+
+@query(_LOG + " SELECT session, round(p, 6) AS v0, round(q * sqrt(2), 6) AS v1, round(r, 6) AS v2, round(sqrt(p * p + 2 * q * q + r * r), 6) AS norm FROM l")
+def vectorise_2x2(spark, d):
+    v = C.vectorise_2x2(F.col("p"), F.col("q"), F.col("r"))
+    rows = logs(spark, d).withColumn("v", v)
+    return rows.select("session", *[r6(F.col("v")[i], f"v{i}") for i in range(3)], r6(C.distance(F.col("v"), F.array(*[F.lit(0.0)] * 3)), "norm"))
+
+
+@query(_COV + ", e AS (SELECT session, (a + c) / 2 - sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) AS least, (a + c) / 2 + sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) AS most FROM cv) SELECT session, round(least, 6) AS least, CASE WHEN least > 0 THEN round(most / least, 4) END AS condition, least > 1e-10 AS spd FROM e")
+def spd_check_2x2(spark, d):
+    """Eigenvalues of each session's covariance in closed form."""
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    half = F.sqrt(((a - c) / 2) * ((a - c) / 2) + b * b)
+    rows = covariances(spark, d).select("session", ((a + c) / 2 - half).alias("least"), ((a + c) / 2 + half).alias("most"))
+    return rows.select("session", r6("least", "least"), F.when(F.col("least") > 0, F.round(F.col("most") / F.nullif(F.col("least"), F.lit(0.0)), 4)).alias("condition"), (F.col("least") > 1e-10).alias("spd"))
+
+
+@query("SELECT own AS label, count(*) AS members, round(sum(d * d), 4) AS inertia, round(avg(d), 6) AS mean_distance FROM di WHERE own = label GROUP BY own", _EMB)
+def single_cluster(spark, d):
+    """The model of one cluster for each label: members, inertia and mean distance to their centre."""
+    rows = table(spark, d, "embeddings").join(centroids(spark, d), "label").select("label", C.distance(F.col("embedding"), F.col("centre")).alias("d"))
+    return rows.groupBy("label").agg(F.count("*").alias("members"), F.round(F.sum(F.col("d") * F.col("d")), 4).alias("inertia"), r6(F.avg("d"), "mean_distance"))
+
+
+@query(f", h AS (SELECT *, lag(k) OVER {W} AS before FROM s) SELECT session, seq, k - before AS step FROM h WHERE k > before")
+def counter_edges(spark, d):
+    """Samples where a counter has risen."""
+    rows = samples(spark, d).withColumn("before", F.lag("k").over(win())).where(F.col("k") > F.col("before"))
+    return rows.select("session", "seq", (F.col("k") - F.col("before")).alias("step"))
+
+
+def spd_check(spark, d):
+    """Why a label's 64 x 64 covariance is not positive definite, with its least eigenvalue."""
+    from strideline.functions.matrices import matrix_checks
+    return matrix_checks(table(spark, d, "embeddings").select(F.col("label").alias("key"), F.col("embedding").alias("v")))
+
+
+def pca_display(spark, d):
+    """Vectors on the two main axes of the table; each axis points to where its largest loading is positive."""
+    from strideline.operators.clusters import principal_plane
+    return principal_plane(table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("v")))
+
+
+def adaptive_detector(spark, d):
+    """Strikes, sides, cadence and assists of mock walks at two speeds, with the unit mounted at odd angles."""
+    from strideline.operators.imu_steps import AdaptiveSteps
+    from strideline.sources.mock import mock_walks
+    rows = mock_walks(spark, 3).unionByName(mock_walks(spark, 3, 23.0, step=0.75).withColumn("session", F.col("session") + 100))
+    found = folds.run_machine(rows, AdaptiveSteps())
+    hit = F.col("event") == "heel_strike"
+    return found.groupBy("session").agg(F.count_if(hit & (F.col("side") == "left")).alias("left"), F.count_if(hit & (F.col("side") == "right")).alias("right"), F.sum("assist").alias("assists"), F.max_by("cycle", "t").alias("cycle"), F.max_by("pulse", "t").alias("pulse"))
+
+
+def telemetry_decode(spark, d):
+    """Samples written as device frames between text lines, one capture a session, and read back."""
+    from strideline.sources.telemetry import decode_captures, encode_captures
+    return decode_captures(encode_captures(samples(spark, d))).select("path", "at", "kind", "seq", "values", "line")
+
+
+QUERIES |= {"spd_check": spd_check, "pca_display": pca_display, "adaptive_detector": adaptive_detector, "telemetry_decode": telemetry_decode}

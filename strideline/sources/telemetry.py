@@ -86,6 +86,22 @@ def decode_captures(captures: DataFrame) -> DataFrame:
     return captures.select("path", "content").mapInArrow(run, "path string, at int, kind string, seq int, time10ms long, values array<int>, line string")
 
 
+def encode_captures(samples: DataFrame) -> DataFrame:
+    """(path, content): a capture of each session's samples (session, seq, t, x, k), one frame a sample after a line of text.
+
+    The first two values of a frame are k and x in tenths, held to 16 bits; the rest are 0.
+    """
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("t", "ascending"), ("seq", "ascending")])
+        out = bytearray()
+        for i, (t, x, k) in enumerate(zip(*(group[c].to_pylist() for c in "txk"), strict=True)):
+            tenths = [0 if v is None or v != v else int(min(max(round(v * 10), -32768), 32767)) for v in (k, x)]
+            frame = struct.pack(LAYOUT, FRAME_TYPE, FRAME_VERSION, i & 0xFFFF, int(round(t * 360000)) & 0xFFFFFFFF, *tenths, *[0] * 22)
+            out += f"OK n={i}\n".encode() + b"\0" + cobs_encode(frame) + b"\0"
+        return pa.table({"path": pa.array([str(group["session"][0].as_py())]), "content": pa.array([bytes(out)], pa.binary())})
+    return samples.select("session", "seq", "t", "x", "k").groupBy("session").applyInArrow(run, "path string, content binary")
+
+
 def key_value(line: Column, key: str) -> Column:
     """Value of the first ``key=`` up to the next blank; empty if there is none."""
     return F.regexp_extract(line, key + "=([^ ]*)", 1)

@@ -145,14 +145,119 @@ def test_policy_order_and_limits():
 
     m = AssistPolicy()
     s = m.start()
-    gains = [m.step(s, i, 0.8)[0] for i in range(30)]
+    step = lambda x, ood=False, veto=False: m.step(s, 0.0, x, ood, veto)
+    gains = [step(0.8)[0] for _ in range(15)]
     assert gains[:2] == [0.0, 0.0] and max(np.diff([0.0, *gains])) <= 0.1 + 1e-12 and gains[-1] == pytest.approx(0.8)
-    assert m.step(s, 31, -1.0)[0] == pytest.approx(0.7)  # a veto goes through the rate limit
-    rows = [m.step(s, i, 2.0) for i in range(5)]
-    assert [r[1] for r in rows] == [0, 0, 0, 0, 1]
+    assert step(0.8, veto=True)[0] == pytest.approx(0.7)  # a veto goes through the rate limit
+    assert s["deficits"] == 15 and s["window"] == []  # and leaves the streaks as they are
+    assert step(None)[0] == pytest.approx(0.6)  # so does a stride that cannot be represented
+    rows = [step(0.8, ood=True) for _ in range(6)]
+    assert [r[1] for r in rows] == [0, 0, 0, 0, 1, 1]
+    assert [r[0] for r in rows[3:]] == pytest.approx([0.8, 0.7, 0.6])  # outliers act as others until their streak is long
+
+
+def test_policy_holds_only_a_settled_gain():
+    from strideline.operators.policy import AssistPolicy
+
+    m = AssistPolicy()
+    s = m.start()
+    updated = [m.step(s, 0.0, 0.0, False, False)[2] for _ in range(20)]
+    assert updated == [1] * 11 + [0, 0, 1] * 3
+    gains = [m.step(s, 0.0, x, False, False)[0] for x in [0.3, 0.0, 0.0, 0.3, 0.0, 0.0, 0.3, 0.0, 0.0, 0.3, 0.0, 0.0]]
+    assert gains[-1] == pytest.approx(0.3)  # a deficit on one stride of three is one: the window keeps its largest
+    late = [m.step(s, 0.0, 0.1, False, False)[0] for _ in range(30)]
+    assert late[-1] == pytest.approx(0.3)  # a smaller deficit is no recovery
+
+
+def walk(settings=None, turned=None, strikes=None, seconds=14.0):
+    from strideline.operators.imu_steps import AdaptiveSteps
+
+    m = AdaptiveSteps(settings)
+    s, out = m.start(), []
+    strikes = strikes or [(0.7 + 0.6 * i, i % 2 == 0) for i in range(22)]
+    turned = np.eye(3) if turned is None else turned
+    for i in range(round(seconds * 100)):
+        t = i / 100
+        bump = lambda width: [math.exp(-(((t - at) / width) ** 2)) for at, _ in strikes]  # noqa: E731, B023
+        turn = sum(5 * v if left else -5 * v for v, (_, left) in zip(bump(0.07), strikes, strict=True))
+        belt = -110 + sum(-70 * v if left else 10 * v for v, (_, left) in zip(bump(0.09), strikes, strict=True))
+        row = m.step(s, t, *(turned @ [turn, 0.2 * math.sin(2 * t), 0.0]), *(turned @ [0.0, 0.0, 1 + 0.55 * sum(bump(0.025))]), belt)
+        if row[0]:
+            out.append((round(row[2], 2), row[1], row[8]))
+    return s, out
+
+
+def test_adaptive_steps_find_each_foot_however_the_unit_is_mounted():
+    s, found = walk()
+    assert [a for a, _, _ in found] == pytest.approx([6.1 + 0.6 * i for i in range(13)])
+    assert [side for _, side, _ in found] == ["right", "left"] * 6 + ["right"]
+    assert [assist for _, _, assist in found] == [0, 1] * 6 + [0]
+    turned = np.linalg.qr(np.random.default_rng(3).normal(size=(3, 3)))[0]
+    other, again = walk(turned=turned)
+    assert again == found and other["model"]["belt"] == pytest.approx(s["model"]["belt"])
+
+
+def test_adaptive_steps_follow_the_cadence_and_ask_for_walking():
+    from strideline.operators.imu_steps import AdaptiveSteps, StepSettings
+
+    at = [*np.arange(0.7, 8.0, 0.8)]
+    at += [*np.arange(at[-1] + 0.8, 22.0, 0.55)]
+    s, _ = walk(strikes=[(t, i % 2 == 0) for i, t in enumerate(at)], seconds=23.0)
+    assert 2 * s["step"] == pytest.approx(1.1, abs=0.006)
+    assert walk(StepSettings(impact_percentile=90.0))[0]["model"]["impact"] > walk()[0]["model"]["impact"]
+    assert len(walk(StepSettings(at_peak=False, gyro_gate=False))[1]) == 13
+    m = AdaptiveSteps()
     s = m.start()
-    updated = [m.step(s, i, 0.0)[2] for i in range(20)]
-    assert updated[:10] == [1] * 10 and 0 in updated[10:]
+    assert {m.step(s, i / 100, 0, 0, 0, 0, 0, 1.0, -120.0)[1] for i in range(700)} == {"calibrating"}
+
+
+def test_gate_is_used_once_until_the_belt_has_reset():
+    m = folds.GateRearm(80.0, 120.0)
+    s = m.start()
+    assert [m.step(s, 0.0, x, hit)[0] for x, hit in [(70, True), (70, True), (110, True), (70, True), (130, False), (70, True)]] == [1, 0, 0, 0, 0, 1]
+
+
+def test_two_means_need_a_gap_and_two_groups():
+    x = np.array([0.0, 1.0, 9.0, 10.0])
+    assert clusters.two_means_threshold(x) == pytest.approx((0.5 + 0.65 * 9, 0.5 + 0.8 * 9))
+    assert clusters.two_means_threshold(x, lower=False) == pytest.approx((0.5 + 0.35 * 9, 0.5 + 0.2 * 9))
+    assert clusters.two_means_threshold(np.array([1.0, 3.0])) is None and clusters.two_means_threshold(np.ones(5)) is None
+
+
+def test_matrix_helpers():
+    a = spd(2)
+    assert np.allclose(M.unvectorise(M.vectorise(a)), a)
+    with pytest.raises(ValueError):
+        M.unvectorise(np.zeros(4))
+    assert M.condition_number(np.diag([1.0, 4.0])) == pytest.approx(4.0) and M.condition_number(-np.eye(2)) == math.inf
+    assert np.linalg.eigvalsh(M.nearest_spd(np.diag([1.0, -2.0])))[0] >= 1e-10 * 0.99
+
+
+def test_silhouettes_do_not_depend_on_the_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 3)) + np.repeat(np.arange(3), 20)[:, None] * 4
+    rows = spark.createDataFrame([(i, i // 20 if i else 9, v.tolist()) for i, v in enumerate(x)], "key long, label int, v array<double>")
+    got = {r.key: r.silhouette for r in clusters.silhouettes(rows, block=7).collect()}
+    label = np.array([9] + [i // 20 for i in range(1, 60)])
+    assert got[0] == 0.0 and np.mean(list(got.values())) == pytest.approx(clusters.silhouette(x, label))
+    assert clusters.silhouettes(rows.where("key < 0")).count() == 0
+
+
+def test_principal_plane_is_centred_and_ordered(spark):
+    x = np.random.default_rng(6).normal(size=(50, 4)) * [9, 3, 1, 1] + 5
+    out = clusters.principal_plane(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key long, v array<double>")).orderBy("key").toPandas()
+    w, v = np.linalg.eigh(np.cov(x, rowvar=False))
+    assert np.allclose(np.abs(out["axis0"]), np.abs((x - x.mean(0)) @ v[:, -1])) and out["axis0"].var() > out["axis1"].var()
+
+
+def test_captures_round_trip(spark):
+    from strideline.plans import catalogue
+
+    rows = catalogue.telemetry_decode(spark, SMALL)
+    counts = {r.kind: r["count"] for r in rows.groupBy("kind").count().collect()}
+    assert counts == {"line": 1000, "frame": 1000}
+    sums = rows.where("kind = 'frame'").agg(F.sum(F.col("values")[0])).first()[0]
+    assert sums == samples(spark, SMALL).agg(F.sum("k") * 10).first()[0]
 
 
 def test_logs_models_and_config(spark, tmp_path):
