@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHORT = 128
-#: Pieces that a worker remembers, and the characters of the longest of them.
-CACHE_PIECES, CACHE_CHARS = 700_000, 48
+#: Pieces that a worker remembers, and the characters of the longest of them. It lives on in the workers
+#: that a later stage shares, and a piece forgotten is only encoded anew.
+CACHE_PIECES, CACHE_CHARS = 250_000, 48
 
 #: What counts as white space in the vocabulary's pattern, as the inside of a character class.
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -145,18 +146,18 @@ class Vocabulary:
 class PieceMemory(dict):
     """Ids of pieces met, as little-endian unsigned 32-bit integers; a new piece is encoded when it is first asked for.
 
-    Holds ``CACHE_PIECES`` at most: the older half goes when it is full.
+    Holds ``most`` at most: the older half goes when it is full.
     """
 
-    def __init__(self, encode_piece: Callable[[str], list[int]]):
+    def __init__(self, encode_piece: Callable[[str], list[int]], most: int = CACHE_PIECES):
         super().__init__()
-        self.encode_piece = encode_piece
+        self.encode_piece, self.most = encode_piece, most
 
     def __missing__(self, piece: str) -> bytes:
         ids = struct.pack("<%dI" % len(found := self.encode_piece(piece)), *found)
         if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_PIECES:
-                for old in list(islice(self, CACHE_PIECES // 2)):
+            if len(self) >= self.most:
+                for old in list(islice(self, self.most // 2)):
                     del self[old]
             self[piece] = ids
         return ids
@@ -165,8 +166,8 @@ class PieceMemory(dict):
 class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit integers; ``encode_piece`` gives the ids of one piece."""
 
-    def __init__(self, encode_piece: Callable[[str], list[int]], added: dict[str, int]):
-        self.memory = PieceMemory(encode_piece)
+    def __init__(self, encode_piece: Callable[[str], list[int]], added: dict[str, int], most: int = CACHE_PIECES):
+        self.memory = PieceMemory(encode_piece, most)
         self.added = added
         self.splitter = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
 

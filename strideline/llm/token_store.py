@@ -65,6 +65,10 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return words[begin] & _MASKS[length]
 
 
+#: Pieces that a worker remembers while it writes a store.
+STORE_PIECES = 700_000
+
+
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> Encoder:
     """Encoder whose unknown pieces go through the tokenizers library's model, kept for the life of a worker."""
@@ -75,7 +79,7 @@ def library_encoder(path: str) -> Encoder:
     added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
     # the library's own model on a piece in the symbols of its byte-level step
     model, symbols = tokenizer.model, byte_symbols()
-    return Encoder(lambda piece: [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(symbols))], added)
+    return Encoder(lambda piece: [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(symbols))], added, STORE_PIECES)
 
 
 @lru_cache(maxsize=2)
