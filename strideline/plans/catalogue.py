@@ -859,3 +859,58 @@ def telemetry_decode(spark, d):
 
 
 QUERIES |= {"spd_check": spd_check, "pca_display": pca_display, "adaptive_detector": adaptive_detector, "telemetry_decode": telemetry_decode}
+
+
+# --- records and goals -------------------------------------------------------------------
+
+@query(f"SELECT session, stride_id, gain, round(gain - coalesce(lag(gain) OVER (PARTITION BY session ORDER BY stride_id), 0), 6) AS gain_delta, round(mean_x - gain * 30, 6) AS target, state, stride_time, excursion FROM ({ORACLE['gain_policy']}) JOIN ({ORACLE['stride_metrics']}) USING (session, stride_id) JOIN ({ORACLE['decision_state']}) USING (session, stride_id)", "none AS (SELECT 1)")
+def stride_records(spark, d):
+    """The log row of each valid stride: gain, its change, the target it sets at 30 mm of travel, state and metrics."""
+    key = ["session", "stride_id"]
+    rows = gain_policy(spark, d).join(stride_metrics(spark, d), key).join(decision_state(spark, d), key)
+    before = F.coalesce(F.lag("gain").over(Window.partitionBy("session").orderBy("stride_id")), F.lit(0.0))
+    return rows.select(*key, "gain", r6(F.col("gain") - before, "gain_delta"), r6(F.col("mean_x") - F.col("gain") * 30, "target"), "state", "stride_time", "excursion")
+
+
+@query(f"SELECT session, count(*) AS strides, count(*) FILTER (WHERE raw_gain > 0 AND gain = 0) AS blocked, count(*) FILTER (WHERE e_b > 0) AS deficits FROM ({ORACLE['assist_score']}) JOIN ({ORACLE['gain_policy']}) USING (session, stride_id) GROUP BY session", "none AS (SELECT 1)")
+def gate_blocked(spark, d):
+    """Strides whose raw gain the policy held back."""
+    rows = assist_score(spark, d).join(gain_policy(spark, d).select("session", "stride_id", "gain"), ["session", "stride_id"])
+    return rows.groupBy("session").agg(F.count("*").alias("strides"), F.count_if((F.col("raw_gain") > 0) & (F.col("gain") == 0)).alias("blocked"), F.count_if(F.col("e_b") > 0).alias("deficits"))
+
+
+@query(f"SELECT session, strides >= 8 AS enough_strides, valid_strides >= 0.8::DOUBLE * strides AS mostly_valid, strides >= 8 AND valid_strides >= 0.8::DOUBLE * strides AS met FROM ({ORACLE['stride_summary']})", "none AS (SELECT 1)")
+def stage_goals(spark, d):
+    """Whether a session has met the goals of a stage."""
+    enough, mostly = F.col("strides") >= 8, F.col("valid_strides") >= F.col("strides") * 0.8
+    return stride_summary(spark, d).select("session", enough.alias("enough_strides"), mostly.alias("mostly_valid"), (enough & mostly).alias("met"))
+
+
+@query(_level_sql(120, 40, 12, True).replace("SELECT session, seq, event FROM f", """, a AS (SELECT f.*, max(CASE WHEN event = 'toe_off' THEN t END) OVER w AS toe, max(CASE WHEN event = 'heel_strike' THEN t END) OVER w AS hs, max(CASE WHEN event = 'heel_strike' THEN t END) OVER (PARTITION BY session ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f WINDOW w AS (PARTITION BY session ORDER BY i ROWS UNBOUNDED PRECEDING)),
+  b AS (SELECT *, last_value(CASE WHEN event = 'heel_strike' THEN t - toe END IGNORE NULLS) OVER w AS swing_time, last_value(CASE WHEN event = 'heel_strike' THEN t - before END IGNORE NULLS) OVER w AS period FROM a WINDOW w AS (PARTITION BY session ORDER BY i ROWS UNBOUNDED PRECEDING))
+  SELECT session, seq, CASE WHEN toe IS NOT NULL AND (hs IS NULL OR toe > hs) THEN 'SWING' ELSE 'STANCE' END AS phase, round(CASE WHEN toe IS NOT NULL AND (hs IS NULL OR toe > hs) THEN CASE WHEN swing_time > 0 THEN least((t - toe) / swing_time, 1) END WHEN period IS NOT NULL THEN least((t - hs) / greatest(period - swing_time, 1e-3), 1) END, 6)::DOUBLE AS progress FROM b"""))
+def phase_progress(spark, d):
+    """Share of the present phase that has passed, by the lengths of the last swing and cycle; null until they are known."""
+    rows = folds.run_machine(samples(spark, d), folds.LevelTrigger(120, 40, 12))
+    upto, strike = win(None, 0), F.col("event") == "heel_strike"
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    rows = rows.withColumn("toe", last(F.when(F.col("event") == "toe_off", F.col("t")), upto)).withColumn("hs", last(F.when(strike, F.col("t")), upto)).withColumn("before", last(F.when(strike, F.col("t")), win(None, -1)))
+    rows = rows.withColumn("swing_time", last(F.when(strike, F.col("t") - F.col("toe")), upto)).withColumn("period", last(F.when(strike, F.col("t") - F.col("before")), upto))
+    swings = F.col("toe").isNotNull() & (F.col("hs").isNull() | (F.col("toe") > F.col("hs")))
+    share = F.when(swings, F.when(F.col("swing_time") > 0, F.least((F.col("t") - F.col("toe")) / F.nullif(F.col("swing_time"), F.lit(0.0)), F.lit(1.0)))).when(F.col("period").isNotNull(), F.least((F.col("t") - F.col("hs")) / F.greatest(F.col("period") - F.col("swing_time"), F.lit(1e-3)), F.lit(1.0)))
+    return rows.select("session", "seq", F.when(swings, "SWING").otherwise("STANCE").alias("phase"), r6(share, "progress"))
+
+
+@query(_RANGES + " SELECT session, stride_id, metric, round(CASE WHEN value > upper THEN value - upper ELSE 0 END, 6)::DOUBLE AS excess, round(CASE WHEN value < lower THEN lower - value ELSE 0 END, 6)::DOUBLE AS deficit, value >= lower AND value <= upper AS inside FROM u JOIN rg USING (metric)")
+def range_excess(spark, d):
+    """How far each metric of each stride lies above or below its reference interval."""
+    rows = unpivoted(spark, d).join(F.broadcast(ranges(spark, d)), "metric")  # a row a metric
+    v, low, high = F.col("value"), F.col("lower"), F.col("upper")
+    return rows.select("session", "stride_id", "metric", r6(F.greatest(v - high, F.lit(0.0)), "excess"), r6(F.greatest(low - v, F.lit(0.0)), "deficit"), ((v >= low) & (v <= high)).alias("inside"))
+
+
+@query(", b AS (SELECT kind AS label, quantile_cont(x, 0.25) AS lower, quantile_cont(x, 0.75) AS upper FROM s GROUP BY kind) SELECT label, round(lower, 6) AS lower, round(upper, 6) AS upper, row_number() OVER (ORDER BY lower NULLS LAST, label)::INT AS place FROM b")
+def bank_order(spark, d):
+    """The labels of a bank by their lower bound; one without comes last."""
+    bank = samples(spark, d).groupBy(F.col("kind").alias("label")).agg(F.percentile("x", 0.25).alias("lower"), F.percentile("x", 0.75).alias("upper"))
+    return bank.select("label", r6("lower", "lower"), r6("upper", "upper"), F.row_number().over(Window.orderBy(F.col("lower").asc_nulls_last(), "label")).alias("place"))
