@@ -11,7 +11,10 @@ exactly, in double precision on the original vectors.
 
 The number of probes is fitted on a bounded sample (``SAMPLE`` vectors, of which
 ``SAMPLE_QUERIES`` query the rest) to a recall of ``RECALL``; neighbours in a sample
-are farther than in the whole, so the sample errs on the safe side.
+are farther than in the whole, so the sample errs on the safe side.  Where no number
+of probes up to ``MOST_PROBES`` reaches it, as with joined names and norms that differ
+much, the second round compares each query with every vector, exactly, in blocks of
+``BLOCK_BYTES`` a side.
 
 Tables are looked up in two rounds.  The nearest cell in each of the first
 ``FIRST_TABLES`` tables gives each query a 20th best so far; the cells of the second
@@ -42,6 +45,8 @@ TABLES = 8
 CELL, QUERIES = 4096, 1024
 SAMPLE, SAMPLE_QUERIES, RECALL = 4096, 256, 0.96
 MOST_PROBES = 2048
+#: Packed vectors on a side of a block where everything is compared.
+BLOCK_BYTES = 16 << 20
 #: Tables of the first round.
 FIRST_TABLES = 4
 
@@ -114,11 +119,14 @@ class CrossPolytope:
         return out
 
 
-def fitted_probes(index: CrossPolytope, sample: np.ndarray, top: int, recall: float = RECALL) -> int:
-    """Least number of probes a table with which sampled queries find ``recall`` of their neighbours in the sample."""
+def fitted_probes(index: CrossPolytope, sample: np.ndarray, top: int, recall: float = RECALL) -> int | None:
+    """Least number of probes a table with which sampled queries find ``recall`` of their neighbours in the sample.
+
+    None if ``MOST_PROBES`` do not reach it.
+    """
     most = min(MOST_PROBES, index.axes**index.parts)
     if len(sample) <= top + 1:
-        return most
+        return most if most == index.axes**index.parts else None
     q = sample[:: max(1, len(sample) // SAMPLE_QUERIES)][:SAMPLE_QUERIES]
     own = np.arange(0, len(sample), max(1, len(sample) // SAMPLE_QUERIES))[:SAMPLE_QUERIES]
     score = q @ sample.T
@@ -132,7 +140,7 @@ def fitted_probes(index: CrossPolytope, sample: np.ndarray, top: int, recall: fl
             first[i] = np.minimum(first[i], [place.get(c, most) for c in cells[near[i], t].tolist()])
     reached = np.sort(first.ravel())
     at = min(len(reached) - 1, int(np.ceil(recall * len(reached))) - 1)
-    return int(min(most, reached[at] + 1))
+    return int(reached[at] + 1) if reached[at] < most else None
 
 
 def nearest(table: DataFrame, is_query: Column, top: int = 20, tables: int = TABLES, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -211,6 +219,34 @@ def _best_nodes(vt: VectorTable, asked: DataFrame, top: int) -> DataFrame:
         mine, theirs = left.take(pa.array(j)), right.take(pa.array(i))
         return pa.table({"asker": theirs["asker"], "node": mine["node"], "least_id": mine["least_id"], "score": pa.array(score)})
 
+    def compare_all(left: pa.Table, right: pa.Table) -> pa.Table:
+        """``compare`` of a block of any size in squares of ``CELL`` by ``QUERIES``; of each query's finds the ``top + 1`` best."""
+        found = []
+        for i in range(0, right.num_rows, QUERIES):
+            asking = right.slice(i, QUERIES)
+            best = pa.concat_tables([compare(left.slice(j, CELL), asking) for j in range(0, max(left.num_rows, 1), CELL)])
+            if best.num_rows == 0:
+                continue
+            place = {a: k for k, a in enumerate(asking["asker"].to_pylist())}
+            asker = np.array([place[a] for a in best["asker"].to_pylist()])
+            least = best["least_id"].fill_null(2**63 - 1).to_numpy()
+            order = np.lexsort((least, -best["score"].to_numpy(), asker))
+            begin = np.searchsorted(asker[order], asker[order])
+            found.append(best.take(pa.array(order[np.arange(len(order)) - begin <= top + 1])))
+        return pa.concat_tables(found) if found else compare(left.slice(0, 0), right)
+
+    def against_all(query_rows: DataFrame) -> DataFrame:
+        """Candidates of the queries among all vectors: blocks of vectors by blocks of queries."""
+        held = max(1, BLOCK_BYTES // (d * np.dtype(dtype).itemsize))
+        chunks, turns = -(-n // held), -(-query_rows.count() // held)
+        left = vt.nodes.select("node", "vec", "least_id").withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(chunks)).cast("int"))
+        right = query_rows.withColumn("turn", F.pmod(F.xxhash64("asker"), F.lit(max(turns, 1))).cast("int"))
+        left = left.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(max(turns, 1) - 1))))
+        right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+        left, right = left.select("chunk", "turn", "node", "vec", "least_id"), right.select("chunk", "turn", "asker", "vec", "floor")
+        found = left.groupBy("chunk", "turn").cogroup(right.groupBy("chunk", "turn")).applyInArrow(compare_all, "asker binary, node binary, least_id long, score double")
+        return found.where("asker != node")
+
     def looked_up(index_rows: DataFrame, query_rows: DataFrame) -> DataFrame:
         """Candidates of the queries in the cells they probe, in blocks: vectors of a cell by queries of that cell."""
         blocks = index_rows.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("chunks"))
@@ -233,7 +269,8 @@ def _best_nodes(vt: VectorTable, asked: DataFrame, top: int) -> DataFrame:
     so_far = found.select("asker", "node", "score").distinct().groupBy("asker").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
     so_far = so_far.select("asker", F.coalesce(F.get("scores", F.lit(top - 1)), F.lit(float("-inf"))).alias("floor"))
     second = askers.join(so_far, "asker", "left").select("asker", "vec", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-    found = found.unionByName(looked_up(index_rows, second.mapInArrow(asks(False), rows)))
+    again = against_all(second) if count is None and n else looked_up(index_rows, second.mapInArrow(asks(False), rows))
+    found = found.unionByName(again)
 
     def itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

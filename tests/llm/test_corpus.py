@@ -343,6 +343,24 @@ def test_nearest_with_unequal_norms(spark):
     assert hit / 600 >= 0.9
 
 
+def test_nearest_where_no_number_of_probes_is_enough(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2400, 16)) * rng.lognormal(0, 1, (2400, 1))
+    old = ann.CELL, ann.MOST_PROBES
+    ann.CELL, ann.MOST_PROBES = 16, 32
+    try:
+        index = ann.CrossPolytope(16, ann.TABLES, 2, float(np.linalg.norm(x, axis=1).max()))
+        assert ann.fitted_probes(index, x, 20) is None
+        got = ann.nearest(vectors(spark, [(i, list(map(float, v)), 0) for i, v in enumerate(x)]), F.col("vec_id") % 20 == 0).toPandas()
+    finally:
+        ann.CELL, ann.MOST_PROBES = old
+    x = x.astype(np.float32).astype(float)
+    for q in range(0, 2400, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == np.argsort(-score)[:20].tolist()
+
+
 def plain_components(ids, x):
     u = x / np.linalg.norm(x, axis=1)[:, None]
     link = u @ u.T >= 0.9
