@@ -4,7 +4,8 @@ An Order MinHash draws, for each of ``m`` hash functions, the ``ell`` k-mers of
 smallest hash among the document's occurrence-labelled k-mers and keeps them in
 text order.  Two documents share such an entry only if they share those k-mers
 *and* their order, which ties the collision probability to edit similarity
-rather than to set overlap alone.
+rather than to set overlap alone.  Copies whose blocks have moved seldom share one,
+so the ``few`` smallest k-mers of each hash function give an entry without order too.
 """
 
 from __future__ import annotations
@@ -23,14 +24,14 @@ def _multipliers(m: int) -> np.ndarray:
     return mix64(np.arange(1, m + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
 
 
-def sketch(labels: np.ndarray, at: np.ndarray, m: int, ell: int) -> np.ndarray:
-    """(documents, m) sketch values; a row of a document without k-mers is 0.
+def sketch(labels: np.ndarray, at: np.ndarray, m: int, ell: int, few: int) -> np.ndarray:
+    """(documents, 2 * m) sketch values, first those in text order, then those without order; a row of a document without k-mers is 0.
 
-    A document of fewer than ``ell`` k-mers is represented by all of them.
+    A document of fewer than ``ell`` (or ``few``, at most ``ell``) k-mers is represented by all of them.
     """
     sizes = np.diff(at)
     n = len(sizes)
-    out = np.zeros((n, m), np.uint64)
+    out = np.zeros((n, 2 * m), np.uint64)
     some = np.flatnonzero(sizes)
     if len(some) == 0:
         return out
@@ -47,21 +48,24 @@ def sketch(labels: np.ndarray, at: np.ndarray, m: int, ell: int) -> np.ndarray:
         short = np.flatnonzero(got < np.minimum(ell, sizes))
         if len(short):
             low = np.union1d(low, np.concatenate([np.arange(at[i], at[i + 1]) for i in short]))
-        out[:, j] = _ordered(value, labels, low, doc[low], n, ell)
+        out[:, j], out[:, m + j] = _entries(value, labels, low, doc[low], n, ell, few)
     return out
 
 
-def _ordered(value: np.ndarray, labels: np.ndarray, low: np.ndarray, doc: np.ndarray, n: int, ell: int) -> np.ndarray:
-    """Hash of the ``ell`` smallest of each document's candidates, read in text order."""
+def _entries(value: np.ndarray, labels: np.ndarray, low: np.ndarray, doc: np.ndarray, n: int, ell: int, few: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the ``ell`` smallest of each document's candidates, read in text order, and of the ``few`` smallest by size."""
     order = np.lexsort((value[low], doc))
     counts = np.bincount(doc, minlength=n)
     begin = np.concatenate([[0], np.cumsum(counts)[:-1]])
     nth = np.arange(len(low)) - begin[doc]  # doc is ascending, so it is its own order after the sort
-    chosen = np.sort(low[order[nth < ell]])
-    sizes = np.minimum(counts, ell)
+    return _hashed(np.sort(low[order[nth < ell]]), labels, np.minimum(counts, ell)), _hashed(low[order[nth < few]], labels, np.minimum(counts, few))
+
+
+def _hashed(chosen: np.ndarray, labels: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hash of each document's chosen k-mers as they stand; ``sizes`` of them a document."""
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    out = np.zeros(n, np.uint64)
-    for i in range(ell):
+    out = np.zeros(len(sizes), np.uint64)
+    for i in range(sizes.max(initial=0)):
         has = np.flatnonzero(sizes > i)
         out[has] = mix64((out[has] ^ labels[chosen[begin[has] + i]]) * GOLDEN + np.uint64(i + 1))
     return out

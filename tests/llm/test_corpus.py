@@ -238,6 +238,18 @@ def test_large_group_of_near_copies(spark):
     assert [r.class_size for r in got if r.doc_id == 1000] == [1]
 
 
+def test_near_copies_with_moved_parts(spark):
+    rng, rows = np.random.default_rng(6), []
+    for k in range(60):
+        words = [f"w{k}x{i}" for i in range(600)]
+        parts = [words[i : i + 60] for i in range(0, 600, 60)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(w for p in rng.permutation(10) for w in parts[p]))]
+    want = [rows[c][0] for c in plain_classes([t for _, t in rows])]
+    assert want == [i - i % 2 for i, _ in rows]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).documents.collect()}
+    assert [got[i] for i, _ in rows] == want
+
+
 def test_near_duplicates_of_odd_rows(docs, none):
     got = near_dup.near_duplicates(docs).documents.toPandas()
     assert len(got) == len(ROWS)
