@@ -15,7 +15,8 @@ A pair of similarity 0.8 agrees in one entry of four k-mers with probability
 about 0.8**4 = 0.41 where its order is kept, so 32 such entries miss it once in 2e7
 pairs.  Where blocks have moved the order seldom agrees, so each hash function also
 gives an entry of its three smallest k-mers without order: 0.8**3 = 0.51 wherever
-they stand, a miss in 1e10 pairs.
+they stand, a miss in 1e10 pairs.  The least such rate is that of documents of 4 and
+5 shingles, 0.4 and a miss in about 1e7 pairs.
 
 Defined results: a null or empty text, or one without words, is like no other
 document; documents of fewer than five words are alike only if their words are;

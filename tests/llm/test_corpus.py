@@ -250,6 +250,14 @@ def test_near_copies_with_moved_parts(spark):
     assert [got[i] for i, _ in rows] == want
 
 
+def test_near_copies_of_few_words_share_an_entry():
+    labels = textcore.mix64(np.arange(1, 50001, dtype=np.uint64)).reshape(-1, 5)
+    short = omh.sketch(labels[:, :4].ravel(), np.arange(0, 40001, 4), near_dup.ENTRIES, near_dup.KMERS, near_dup.FREE_KMERS)
+    whole = omh.sketch(labels.ravel(), np.arange(0, 50001, 5), near_dup.ENTRIES, near_dup.KMERS, near_dup.FREE_KMERS)
+    assert (short == whole).any(axis=1).all()
+    assert not (short == whole)[:, : near_dup.ENTRIES].any(axis=1).all()
+
+
 def test_near_duplicates_of_odd_rows(docs, none):
     got = near_dup.near_duplicates(docs).documents.toPandas()
     assert len(got) == len(ROWS)
