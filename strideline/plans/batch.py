@@ -2,38 +2,79 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideline.functions import columns as C
 from strideline.operators import folds, segments
+from strideline.operators.clusters import kmeans, select_k
 from strideline.operators.policy import AssistPolicy
 from strideline.sources.sinks import Config
 
+#: Added to each variance.
+RIDGE = 1e-6
+#: Weights of the terms of the deficit, and the swing deficit that counts as 1.
+SWING_WEIGHT, EXCURSION_WEIGHT, SWING_SCALE = 0.5, 0.5, 0.1
+
+
+def _model(group: pa.Table) -> pa.Table:
+    """One row: centre, state centres and spreads of a session's baseline."""
+    x = np.stack(group["v"].to_pylist()).astype(float)
+    k, _ = select_k(x)
+    centres = x.mean(axis=0)[None, :]
+    if k > 1:
+        _, centres = kmeans(x, k)
+    near = np.linalg.norm(x[:, None] - centres[None], axis=2).min(axis=1)
+    own = np.linalg.norm(x - x.mean(axis=0), axis=1)
+    return pa.table({
+        "session": group["session"].slice(0, 1), "centre": [x.mean(axis=0).tolist()], "centres": [centres.tolist()],
+        "near_mean": [near.mean()], "near_sd": [near.std()], "scale": [own.mean() + 2 * own.std()],
+    })
+
 
 def replay(samples: DataFrame, config: Config | None = None) -> DataFrame:
-    """One row per stride after the baseline: log distance to the baseline, outlier flag, score and gain.
+    """One row per stride after the baseline: nearest state, log distances, outlier flag, errors, score and gain.
 
-    The model of a session, mean and spread of its first strides, is one row that is
+    The baseline, a session's first strides, gives the frozen scaling of both channels,
+    the number of states and their centres, the outlier bound, the spread that distances
+    are measured in, and the intervals of the metrics.  That model is one row that is
     joined back to the session's strides; nothing leaves the executors.
     """
     config = config or Config()
     cut = segments.cut(samples)
     strides = segments.metrics(cut).where("valid")
     k = F.col("k").cast("double")
-    cov = cut.groupBy("session", "stride_id").agg((F.var_samp("x") + 1e-6).alias("a"), F.covar_samp("x", k).alias("b"), (F.var_samp(k) + 1e-6).alias("c"))
-    p, q, r = C.matrix_log_2x2(F.col("a"), F.col("b"), F.col("c"))
-    rows = strides.join(cov.select("session", "stride_id", C.vectorise_2x2(p, q, r).alias("v")), ["session", "stride_id"])
+    cov = cut.groupBy("session", "stride_id").agg(F.var_samp("x").alias("xx"), F.covar_samp("x", k).alias("xk"), F.var_samp(k).alias("kk"))
+    rows = strides.join(cov, ["session", "stride_id"])
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("session").orderBy("stride_id")))
+    early = rows.where(F.col("nth") <= config.baseline_strides)
+    spread = lambda c: F.greatest(F.stddev_pop(c), F.lit(1e-8))
+    scaling = cut.join(early.select("session", "stride_id"), ["session", "stride_id"]).groupBy("session").agg(spread("x").alias("sx"), spread(k).alias("sk"))
+    scaled = rows.join(scaling, "session")
+    log = C.matrix_log_2x2(F.col("xx") / (F.col("sx") * F.col("sx")) + RIDGE, F.col("xk") / (F.col("sx") * F.col("sk")), F.col("kk") / (F.col("sk") * F.col("sk")) + RIDGE)
+    rows = scaled.withColumn("v", C.vectorise_2x2(*log))
     first = rows.where(F.col("nth") <= config.baseline_strides)
-    centre = first.groupBy("session").agg(F.array(*[F.avg(F.col("v")[i]) for i in range(3)]).alias("centre"), F.avg("swing_ratio").alias("base_swing"))
-    spread = first.join(centre, "session").groupBy("session", "centre", "base_swing").agg((F.avg(C.distance(F.col("v"), F.col("centre"))) + config.ood_sigmas * F.stddev_pop(C.distance(F.col("v"), F.col("centre")))).alias("bound"))
-    late = rows.where(F.col("nth") > config.baseline_strides).join(spread, "session").withColumn("d", C.distance(F.col("v"), F.col("centre")))
-    e_r = F.when(F.col("bound") > 0, C.clip(F.col("d") / F.nullif(F.col("bound"), F.lit(0.0)), 0.0, 1.0)).otherwise(1.0)
-    e_b = C.clip(F.greatest(F.col("base_swing") - F.col("swing_ratio"), F.lit(0.0)) / 0.1, 0.0, 1.0)
-    late = late.withColumn("ood", F.col("d") > F.col("bound")).withColumn("e_r", e_r).withColumn("e_b", e_b)
+    session = dict(rows.dtypes)["session"]
+    model = first.select("session", "stride_id", "v").groupBy("session").applyInArrow(
+        lambda group: _model(group.sort_by("stride_id")), f"session {session}, centre array<double>, centres array<array<double>>, near_mean double, near_sd double, scale double"
+    )
+    ends = F.array(F.lit(0.05), F.lit(0.95))
+    intervals = first.groupBy("session").agg(F.percentile("swing_ratio", ends).alias("swing_range"), F.percentile("excursion", ends).alias("excursion_range"))
+    late = rows.where(F.col("nth") > config.baseline_strides).join(model, "session").join(intervals, "session")
+    late = late.withColumn("d", C.distance(F.col("v"), F.col("centre"))).withColumn("bound", F.col("near_mean") + config.ood_sigmas * F.col("near_sd"))
+    nearest = F.array_min(F.transform("centres", lambda c, i: F.struct(C.distance(F.col("v"), c).alias("d"), i.alias("state"))))
+    late = late.withColumn("nearest", nearest).withColumn("state", F.col("nearest.state")).withColumn("d_state", F.col("nearest.d"))
+    e_r = F.when(F.col("scale") > 0, C.clip(F.col("d") / F.nullif(F.col("scale"), F.lit(0.0)), 0.0, 1.0)).otherwise(0.0)
+    swing, exc = F.col("swing_range"), F.col("excursion_range")
+    late = late.withColumn("e_swing", C.interval_error(F.col("swing_ratio"), swing[0], swing[1], F.lit(SWING_SCALE), "deficit"))
+    # a total loss of excursion is an error of 1
+    late = late.withColumn("e_exc", C.interval_error(F.col("excursion"), exc[0], exc[1], F.greatest(exc[0], F.lit(1e-9)), "deficit"))
+    e_b = C.weighted_deficit([(SWING_WEIGHT, F.col("e_swing")), (EXCURSION_WEIGHT, F.col("e_exc"))])
+    late = late.withColumn("ood", F.col("d_state") > F.col("bound")).withColumn("e_r", e_r).withColumn("e_b", e_b)
     raw = C.assist_score(F.col("e_b"), F.col("e_r")) * config.most_gain
     scored = late.withColumn("x", raw).withColumn("t", F.col("stride_id").cast("double")).withColumn("veto", F.lit(False))
     gain = folds.run_machine(scored.select("session", F.col("stride_id").alias("seq"), "t", "x", "ood", "veto"), AssistPolicy(config))
     gain = gain.select("session", F.col("seq").alias("stride_id"), "gain", "engaged", "updated")
-    return scored.select("session", "stride_id", "t_end", "d", "bound", "ood", "e_b", "e_r").join(gain, ["session", "stride_id"])
+    return scored.select("session", "stride_id", "t_end", "state", "d_state", "d", "bound", "scale", "ood", "e_swing", "e_exc", "e_b", "e_r").join(gain, ["session", "stride_id"])

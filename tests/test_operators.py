@@ -287,3 +287,39 @@ def test_mock_sessions_walk_at_their_period(spark):
     rows = folds.run_machine(mock_sessions(spark, 2, 30.0), folds.BeltTrigger(tau=2.0, refractory=0.35)).where("event = 'heel_strike'").orderBy("session", "t").collect()
     times = np.array([r.t for r in rows if r.session == 0])
     assert np.median(np.diff(times)) == pytest.approx(1.2, abs=0.03) and 21 <= len(times) <= 26
+
+
+def test_replay_scores_both_deficits_against_the_baseline(spark):
+    import pandas as pd
+
+    from strideline.plans.batch import replay
+    from strideline.sources.sinks import Config
+
+    rng = np.random.default_rng(0)
+    rows, seq, n_strides = [], 0, 14
+    for i in range(n_strides + 1):
+        height, swings = (10.0 + rng.uniform(-1, 1), 4) if i < 8 else (4.0, 4) if i < 11 else (10.0, 2)
+        for j in range(10):
+            rows.append((1, seq, float(seq), float(height * np.sin(np.pi * j / 9)), int(rng.integers(0, 9)), j == 0, j >= 10 - swings))
+            seq += 1
+    samples = spark.createDataFrame(rows, "session long, seq long, t double, x double, k long, strike boolean, swing boolean")
+    got = replay(samples, Config(baseline_strides=8)).toPandas().sort_values("stride_id").set_index("stride_id")
+    assert got.index.tolist() == list(range(8, n_strides))
+
+    frame = pd.DataFrame(rows, columns=["session", "seq", "t", "x", "k", "strike", "swing"])
+    parts = [frame[10 * i : 10 * i + 11] for i in range(n_strides)]
+    base = pd.concat(parts[:8])
+    logs = []
+    for p in parts:
+        c = np.cov(p.x / base.x.std(ddof=0), p.k / base.k.std(ddof=0)) + 1e-6 * np.eye(2)
+        w, u = np.linalg.eigh(c)
+        logs.append((u * np.log(w)) @ u.T)
+    d = np.array([np.linalg.norm(m - np.mean(logs[:8], axis=0)) for m in logs])
+    scale = d[:8].mean() + 2 * d[:8].std()
+    assert np.allclose(got.e_r, np.clip(d[8:] / scale, 0, 1), atol=1e-6) and np.allclose(got.scale, scale, atol=1e-6)
+    exc = np.array([p.x.max() - p.x.min() for p in parts])
+    ratio = np.array([p.swing[:-1].sum() / 10 for p in parts])
+    low, low_ratio = np.quantile(exc[:8], 0.05), np.quantile(ratio[:8], 0.05)
+    e_exc, e_swing = np.clip((low - exc[8:]) / low, 0, 1), np.clip((low_ratio - ratio[8:]) / 0.1, 0, 1)
+    assert e_exc[0] > 0.3 and e_swing[-1] == 1
+    assert np.allclose(got.e_exc, e_exc) and np.allclose(got.e_swing, e_swing) and np.allclose(got.e_b, 0.5 * e_exc + 0.5 * e_swing)
