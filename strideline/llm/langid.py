@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideline.llm.textcore import text_buffer
@@ -167,20 +167,30 @@ def held_out(doc_id: Column) -> Column:
 def training_windows(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> tuple[list[bytes], list[str]]:
     """Windows of at most ``sample_texts`` labelled texts that are not held out, taken by hash of the id.
 
-    A first filter on the hash leaves about as many rows as are wanted, whatever
-    the size of the table, so the final cut orders a bounded set.
+    Where there are more, each language gives an equal share, and what small ones
+    leave goes to the others, so none is missing.  A first filter on the hash leaves
+    about as many rows of each as are wanted, whatever the size of the table, so the
+    final cut orders a bounded set.  Of more languages than ``sample_texts`` those of
+    most texts are learned.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    n = usable.select("doc_id", "lang").count()
+    held = usable.groupBy("lang").agg(F.count("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_texts).collect()
+    share = shares({row["lang"]: row["n"] for row in held}, sample_texts)
     order = F.xxhash64("doc_id", F.lit("sample"))
-    if n > sample_texts:
-        usable = usable.where(F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.3 * sample_texts / n)))
+    if sum(row["n"] for row in held) > sum(share.values()):
+        table = docs.sparkSession.createDataFrame([(row["lang"], share[row["lang"]], _cut(share[row["lang"]], row["n"])) for row in held], "lang string, share int, cut long")
+        usable = usable.join(F.broadcast(table), "lang").where(F.pmod(order, F.lit(1 << 30)) < F.col("cut"))
+    else:
+        usable = usable.withColumn("share", F.lit(sample_texts))
     length = F.length("text")
     parts = []
     for k in range(WINDOWS_PER_TEXT):
         start = F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(length - WINDOW, F.lit(1))).cast("int") + 1
         parts.append(F.substring(F.col("text"), start, F.lit(WINDOW)))
-    picked = usable.select(order.alias("rank"), "doc_id", "lang", F.array(*parts).alias("parts")).orderBy("rank", "doc_id", "lang", "parts").limit(sample_texts)
+    ranked = ["rank", "doc_id", "lang", "parts"]
+    picked = usable.select(order.alias("rank"), "doc_id", "lang", F.array(*parts).alias("parts"), "share")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(*ranked))
+    picked = picked.withColumn("nth", nth).where(F.col("nth") <= F.col("share")).select(*ranked).orderBy(*ranked)
     windows, languages = [], []
     for row in picked.collect():
         for part in row["parts"]:
@@ -191,6 +201,20 @@ def training_windows(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> tuple
     return windows, languages
 
 
+def shares(held: dict[str, int], most: int) -> dict[str, int]:
+    """Texts to take of each language: equal shares of ``most``, those of what small languages leave."""
+    out, left = {}, most
+    for k, name in enumerate(sorted(held, key=lambda s: (held[s], s))):
+        out[name] = min(held[name], left // (len(held) - k))
+        left -= out[name]
+    return out
+
+
+def _cut(wanted: int, n: int) -> int:
+    """Bound on 30 bits of a hash that leaves at least ``wanted`` of ``n`` rows but for a chance of about 1e-9."""
+    return int((1 << 30) * min(1.0, (wanted + 8 * wanted**0.5 + 64) / n))
+
+
 def fit(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> ByteCnn | None:
     """A network trained on the labelled documents of ``docs`` (doc_id, text, lang) that are not held out."""
     return train(*training_windows(docs, sample_texts))

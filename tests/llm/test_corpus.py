@@ -193,6 +193,13 @@ def test_language_of_odd_rows(docs, none):
     assert kept.columns == docs.columns and kept.where("doc_id in (4, 5, 7)").count() == 0
 
 
+def test_every_language_is_in_the_sample(spark):
+    rows = [(i, f"text number {i} of a language", "xx" if i in (3, 70) else "en") for i in range(3000)]
+    windows, languages = langid.training_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 40)
+    assert set(languages) == {"en", "xx"} and len(languages) == 40 * langid.WINDOWS_PER_TEXT == len(windows)
+    assert langid.shares({"a": 1, "b": 100, "c": 5}, 30) == {"a": 1, "b": 24, "c": 5}
+
+
 # --- 5 near-duplicates
 
 def plain_shingles(text):
