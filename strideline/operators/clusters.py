@@ -119,18 +119,25 @@ def spd_reason(m: np.ndarray, tolerance: float = 1e-10) -> str:
 def two_means_threshold(x: np.ndarray, lower: bool = True, least_gap: float = 5.0, rounds: int = 12) -> tuple[float, float] | None:
     """Threshold and reset at 65 % and 80 % of the way from one mean of a signal to the other; None without a gap.
 
-    The way starts at the low mean if the gate opens below the threshold, else at the high one.
+    The way starts at the low mean if the gate opens below the threshold, else at the high
+    one.  On sorted values the groups of two means are what lies up to their middle and
+    what lies beyond, so each of the ``rounds`` is a search and two differences of prefix sums.
     """
-    low, high = float(np.min(x)), float(np.max(x))
+    x = np.sort(np.asarray(x, float))
+    upto = np.concatenate([[0.0], np.cumsum(x)])
+    n, split = len(x), -1
+    means = np.array([x[0], x[-1]])
     for _ in range(rounds):
-        near_low = np.abs(x - low) <= np.abs(x - high)
-        if near_low.all() or not near_low.any():
+        before, split = split, int(np.searchsorted(x, means.mean(), side="right"))
+        if split == n:
             return None
-        low, high = float(x[near_low].mean()), float(x[~near_low].mean())
-    if high - low < least_gap:
+        if split == before:
+            break
+        means = np.array([upto[split] / split, (upto[n] - upto[split]) / (n - split)])
+    if means[1] - means[0] < least_gap:
         return None
-    start, way = (low, high - low) if lower else (high, low - high)
-    return start + 0.65 * way, start + 0.8 * way
+    ways = (0.65, 0.8) if lower else (0.35, 0.2)
+    return tuple(float(means[0] + share * (means[1] - means[0])) for share in ways)
 
 
 def match_events(reference: list[float], detected: list[float], tolerance: float = 0.25) -> tuple[int, float, float, float]:
@@ -152,29 +159,36 @@ def trailing_mean(x: np.ndarray, width: int) -> np.ndarray:
     return (total[i] - total[np.maximum(i - width, 0)]) / np.minimum(i, width)
 
 
+def normalised_autocorrelation(y: np.ndarray) -> np.ndarray:
+    """For each lag below the length, the cosine between the signal without its end and without its start.
+
+    All products come from one Fourier transform, all lengths from one running sum of squares.
+    """
+    n = len(y)
+    products = np.fft.irfft(np.abs(np.fft.rfft(y, 2 * n)) ** 2, 2 * n)[:n]
+    energy = np.concatenate([[0.0], np.cumsum(y * y)])
+    lengths = np.sqrt(energy[n - np.arange(n)] * np.maximum(energy[n] - energy[np.arange(n)], 0.0))
+    return np.divide(products, lengths, out=np.zeros(n), where=lengths > 1e-12)
+
+
 def cycle_by_autocorrelation(x: np.ndarray, dt: float, shortest: float = 0.9, longest: float = 2.5) -> float | None:
-    """Period of a signal: first local peak of its autocorrelation of at least half the highest one, refined by a parabola.
+    """Period of a signal: first local peak of its autocorrelation of at least half the highest one, at the tip of the parabola through it.
 
     None for fewer than 100 values, for signals shorter than the lags, and without a peak of 0.1.
     """
-    if len(x) < 100:
+    lags = range(max(1, round(shortest / dt)), min(len(x) - 2, round(longest / dt)) + 1)
+    if len(x) < 100 or len(lags) < 2:
         return None
     y = trailing_mean(x, round(0.05 / dt))
-    y = y - y.mean()
-    first, last = max(1, round(shortest / dt)), min(len(y) - 2, round(longest / dt))
-    if last <= first:
-        return None
-    lags = np.arange(first - 1, last + 2)
-    size = np.array([np.linalg.norm(y[: len(y) - k]) * np.linalg.norm(y[k:]) for k in lags])
-    dots = np.array([np.dot(y[: len(y) - k], y[k:]) for k in lags])
-    r = np.where(size > 1e-12, dots / np.maximum(size, 1e-300), 0.0)
-    peaks = 1 + np.flatnonzero((r[1:-1] > r[:-2]) & (r[1:-1] >= r[2:]))
-    if len(peaks) == 0 or r[peaks].max() < 0.1:
+    r = normalised_autocorrelation(y - y.mean())
+    peaks = [k for k in lags if r[k - 1] < r[k] >= r[k + 1]]
+    highest = max((r[k] for k in peaks), default=0.0)
+    if highest < 0.1:
         return None
-    i = peaks[np.argmax(r[peaks] >= max(0.1, 0.5 * r[peaks].max()))]
-    bend = r[i - 1] - 2 * r[i] + r[i + 1]
-    shift = 0.5 * (r[i - 1] - r[i + 1]) / bend if abs(bend) > 1e-12 else 0.0
-    return float((lags[i] + min(max(shift, -0.5), 0.5)) * dt)
+    k = next(k for k in peaks if r[k] >= max(0.1, highest / 2))
+    square, slope = (r[k - 1] + r[k + 1]) / 2 - r[k], (r[k + 1] - r[k - 1]) / 2
+    tip = -slope / (2 * square) if abs(square) > 5e-13 else 0.0
+    return float((k + min(max(tip, -0.5), 0.5)) * dt)
 
 
 def matched_sessions(events: DataFrame, tolerance: float) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A machine's ``step`` maps (state, sample) to a new state and an output row.  In batch
 a session's rows are sorted and stepped through in one Arrow group; streams keep
-the same state between micro-batches, so both give the same rows.  Linear
-recurrences need no Python and are folds over a sorted array instead.
+the same state between micro-batches, so both give the same rows.  (A fold over a
+sorted array column would stay in the JVM, but copies its output at every sample.)
 """
 
 from __future__ import annotations
@@ -13,35 +13,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from strideline.functions.columns import let
-
-
-def scan_fold(samples: DataFrame, init: Column, step: Callable[[Column, Column], Column], name: str, fields: list[str]) -> DataFrame:
-    """(session, seq, name): a recurrence's value after each sample; ``init`` from the first, ``step`` (value, sample) after it."""
-    rows = F.array_sort(F.collect_list(F.struct("t", "seq", *fields)))
-    grouped = samples.groupBy("session").agg(rows.alias("rows"))
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.array().cast("array<struct<seq: bigint, y: double>>").alias("out"))
-
-    def merge(acc: Column, x: Column) -> Column:
-        value = F.when(acc["y"].isNull(), init(x)).otherwise(step(acc["y"], x))
-        return let(value, lambda v: F.struct(v.alias("y"), F.concat(acc["out"], F.array(F.struct(x["seq"].alias("seq"), v.alias("y")))).alias("out")))
-
-    # the rows are a column of their own, so that they are gathered and sorted once
-    out = grouped.select("session", F.aggregate("rows", start, merge, lambda acc: acc["out"]).alias("out"))
-    return out.select("session", F.inline("out")).withColumnRenamed("y", name)
-
-
-def ema(samples: DataFrame, alpha: float) -> DataFrame:
-    """Exponential mean that its first value seeds."""
-    return scan_fold(samples, lambda x: x["x"], lambda y, x: x["x"] * alpha + y * (1 - alpha), "ema", ["x"])
-
-
-def rate_limited(samples: DataFrame, most: float) -> DataFrame:
-    """Value that follows x by ``most`` a step."""
-    return scan_fold(samples, lambda x: x["x"], lambda y, x: y + F.greatest(F.least(x["x"] - y, F.lit(most)), F.lit(-most)), "limited", ["x"])
+from pyspark.sql import DataFrame
 
 
 class Machine:
@@ -58,9 +30,48 @@ class Machine:
         """Changes the state and returns the output columns of one sample; ``values`` are its inputs."""
         raise NotImplementedError
 
+    def process(self, state: dict, t: list, *inputs: list) -> list[list]:
+        """``step`` over a block of samples; the output columns as lists."""
+        rows = [self.step(state, *values) for values in zip(t, *inputs, strict=True)]
+        return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in _outputs(self)]
+
     def fields(self) -> list[str]:
         """Columns that a table of samples must have."""
-        return ["session", "seq", "t", "x", *[c for c in self.inputs if c != "x"]]
+        return ["session", "seq", "t", "x", *[c for c in self.inputs if c not in ("x", "t")]]
+
+
+class Recurrence(Machine):
+    """A number that each sample moves: ``first`` of a sample's inputs gives it, ``then`` (value, inputs) moves it on.
+
+    A value that is not finite is given anew by the next sample.  Time and state are linear in a session.
+    """
+
+    def __init__(self, name: str, first: Callable[..., float], then: Callable[..., float], inputs: tuple[str, ...] = ("x",)):
+        self.first, self.then, self.inputs, self.schema = first, then, inputs, f"{name} double"
+
+    def start(self) -> dict:
+        return {"y": None}
+
+    def step(self, s: dict, t: float, *values) -> tuple:
+        y = s["y"]
+        s["y"] = self.first(*values) if y is None or not math.isfinite(y) else self.then(y, *values)
+        return (s["y"],)
+
+
+def smoothing(cutoff: float, dt: float) -> float:
+    """Weight of a new value in an exponential mean with a cut-off frequency, at samples ``dt`` apart."""
+    tau = 1 / (2 * math.pi * cutoff)
+    return dt / (tau + dt)
+
+
+def ema(samples: DataFrame, alpha: float) -> DataFrame:
+    """Exponential mean that its first value seeds, and the first after one that is not finite."""
+    return run_machine(samples, Recurrence("ema", lambda x: x, lambda y, x: x * alpha + y * (1 - alpha)))
+
+
+def rate_limited(samples: DataFrame, most: float) -> DataFrame:
+    """Value that follows x by ``most`` a step."""
+    return run_machine(samples, Recurrence("limited", lambda x: x, lambda y, x: y + max(min(x - y, most), -most)))
 
 
 class BeltTrigger(Machine):
@@ -164,6 +175,23 @@ class GateRearm(Machine):
         return int(passed), int(s["armed"])
 
 
+class Transitions(Machine):
+    """A session's state under its samples' ``kind``: (state, kind) leads to a state, anything else leaves it as it is."""
+
+    inputs = ("kind",)
+    schema = "state string"
+
+    def __init__(self, first: str, edges: dict[tuple[str, str], str]):
+        self.first, self.edges = first, edges
+
+    def start(self) -> dict:
+        return {"state": self.first}
+
+    def step(self, s: dict, t: float, kind: str) -> tuple:
+        s["state"] = self.edges.get((s["state"], kind), s["state"])
+        return (s["state"],)
+
+
 #: Detectors by name; ``register_detector`` adds to them.
 DETECTORS: dict[str, Callable[..., Machine]] = {"belt_length": BeltTrigger, "level": LevelTrigger}
 
@@ -196,11 +224,10 @@ def run_machine(samples: DataFrame, machine: Machine) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("t", "ascending"), ("seq", "ascending")])
         state = machine.start()
-        columns = [group[c].to_pylist() for c in ("t", *machine.inputs)]
-        rows = [machine.step(state, *values) for values in zip(*columns, strict=True)]
+        found = machine.process(state, *[group[c].to_pylist() for c in ("t", *machine.inputs)])
         group = group.select(["session", "seq", "t", "x"])
-        for i, (name, kind) in enumerate(_outputs(machine).items()):
-            group = group.append_column(name, pa.array([r[i] for r in rows], kinds[kind]))
+        for (name, kind), column in zip(_outputs(machine).items(), found, strict=True):
+            group = group.append_column(name, pa.array(column, kinds[kind]))
         return group
 
     rows = samples.select(*machine.fields())
@@ -216,11 +243,11 @@ def stream_step(machine: Machine):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         own = json.loads(state.get[0]) if state.exists else machine.start()
         rows = pd.concat(list(batches)).sort_values(["t", "seq"])
-        out = [machine.step(own, *values) for values in zip(*[rows[c].tolist() for c in ("t", *machine.inputs)], strict=True)]
+        found = machine.process(own, *[rows[c].tolist() for c in ("t", *machine.inputs)])
         state.update((json.dumps(own),))
         result = rows[["session", "seq", "t", "x"]].copy()
-        for i, name in enumerate(names):
-            result[name] = [r[i] for r in out]
+        for name, column in zip(names, found, strict=True):
+            result[name] = column
         yield result
 
     return run

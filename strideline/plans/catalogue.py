@@ -672,15 +672,7 @@ _NEXT = " ".join(f"WHEN f.state = '{a}' AND n.kind = '{k}' THEN '{b}'" for (a, k
 
 @query(f", n AS (SELECT session, seq, kind, row_number() OVER {W} AS i FROM s), f AS (SELECT session, seq, i, CASE WHEN kind = 'signup' THEN 'CALIBRATION' ELSE 'INIT' END AS state FROM n WHERE i = 1 UNION ALL SELECT n.session, n.seq, n.i, CASE {_NEXT} ELSE f.state END FROM f JOIN n ON n.session = f.session AND n.i = f.i + 1) SELECT session, seq, state FROM f")
 def session_states(spark, d):
-    rows = samples(spark, d).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("t", "seq", "kind"))).alias("rows"))
-    edges = F.create_map(*[F.lit(x) for (a, k), b in _EDGES.items() for x in (f"{a}/{k}", b)])
-    start = F.struct(F.lit("INIT").alias("y"), F.array().cast("array<struct<seq: bigint, state: string>>").alias("out"))
-
-    def merge(acc, x):
-        new = F.coalesce(F.element_at(edges, F.concat(acc["y"], F.lit("/"), x["kind"])), acc["y"])
-        return C.let(new, lambda v: F.struct(v.alias("y"), F.concat(acc["out"], F.array(F.struct(x["seq"].alias("seq"), v.alias("state")))).alias("out")))
-
-    return rows.select("session", F.inline(F.aggregate("rows", start, merge, lambda acc: acc["out"])))
+    return folds.run_machine(samples(spark, d), folds.Transitions("INIT", _EDGES)).select("session", "seq", "state")
 
 
 @query(f"SELECT session, seq, CASE WHEN n > 1 AND t > first_t THEN round((n - 1) / (t - first_t), 6) END AS rate FROM (SELECT session, seq, t, count(*) OVER r AS n, min(t) OVER r AS first_t FROM s WINDOW r AS (PARTITION BY session ORDER BY t, seq ROWS 9 PRECEDING))")
@@ -699,16 +691,15 @@ def rising_crossings(spark, d):
 @query(_NUMBERED + ", f AS (SELECT session, seq, i, t, x >= 100 AS fired, CASE WHEN x >= 100 THEN t END AS last FROM n WHERE i = 1 UNION ALL SELECT n.session, n.seq, n.i, n.t, n.x >= 100 AND (f.last IS NULL OR n.t - f.last >= 31.2::DOUBLE), CASE WHEN n.x >= 100 AND (f.last IS NULL OR n.t - f.last >= 31.2::DOUBLE) THEN n.t ELSE f.last END FROM f JOIN n ON n.session = f.session AND n.i = f.i + 1) SELECT session, seq, fired FROM f")
 def torque_trigger(spark, d):
     """Strikes that may start a pulse: at least 0.65 of a cycle of 48 hours after the last that did."""
-    rows = folds.scan_fold(samples(spark, d), lambda x: F.when(x["x"] >= 100, x["t"]).otherwise(F.lit(-1e18)), lambda y, x: F.when((x["x"] >= 100) & (x["t"] - y >= 31.2), x["t"]).otherwise(y), "last", ["x"])
-    rows = samples(spark, d).join(rows, ["session", "seq"])
-    return rows.select("session", "seq", (F.col("last") == F.col("t")).alias("fired"))
+    trigger = folds.Recurrence("last", lambda x, t: t if x >= 100 else -1e18, lambda y, x, t: t if x >= 100 and t - y >= 31.2 else y, ("x", "t"))
+    return folds.run_machine(samples(spark, d), trigger).select("session", "seq", (F.col("last") == F.col("t")).alias("fired"))
 
 
 @query(_NUMBERED + ", f AS (SELECT session, seq, i, 0.2::DOUBLE * CASE WHEN abs(k - 50) <= 5 THEN 0 ELSE k - 50 END AS y FROM (SELECT n.*, s.k FROM n JOIN s USING (session, seq)) WHERE i = 1 UNION ALL SELECT n.session, n.seq, n.i, 0.2::DOUBLE * CASE WHEN abs(s.k - 50) <= 5 THEN 0 ELSE s.k - 50 END + 0.8::DOUBLE * f.y FROM f JOIN n ON n.session = f.session AND n.i = f.i + 1 JOIN s ON s.session = n.session AND s.seq = n.seq) SELECT session, seq, round(0.5::DOUBLE * y, 6) AS torque FROM f")
 def proportional_assist(spark, d):
     """Dead band, exponential mean from 0, and gain."""
-    dead = lambda x: F.when(F.abs(x["k"] - 50) <= 5, F.lit(0.0)).otherwise((x["k"] - 50).cast("double"))
-    rows = folds.scan_fold(samples(spark, d), lambda x: dead(x) * 0.2, lambda y, x: dead(x) * 0.2 + y * 0.8, "y", ["k"])
+    dead = F.when(F.abs(F.col("k") - 50) <= 5, 0.0).otherwise((F.col("k") - 50).cast("double"))
+    rows = folds.run_machine(samples(spark, d).withColumn("drive", dead), folds.Recurrence("y", lambda v: 0.2 * v, lambda y, v: 0.2 * v + 0.8 * y, ("drive",)))
     return rows.select("session", "seq", r6(F.col("y") * 0.5, "torque"))
 
 
@@ -749,7 +740,7 @@ QUERIES |= {"offline_replay": offline_replay, "mock_session": mock_session}
 def ema_elapsed(spark, d):
     """Exponential mean whose weight follows the time since the last sample."""
     rows = samples(spark, d).withColumn("a", 1 - F.exp(-F.greatest(F.coalesce(F.col("t") - F.lag("t").over(win()), F.lit(0.0)), F.lit(0.0)) / 24.0))
-    return folds.scan_fold(rows, lambda x: x["x"], lambda y, x: y + x["a"] * (x["x"] - y), "ema", ["x", "a"]).select("session", "seq", r6("ema", "ema"))
+    return folds.run_machine(rows, folds.Recurrence("ema", lambda x, a: x, lambda y, x, a: y + a * (x - y), ("x", "a"))).select("session", "seq", r6("ema", "ema"))
 
 
 @query(_NUMBERED + ", e AS (SELECT n.*, 40.0::DOUBLE * greatest(least(s.k / 10.0::DOUBLE, 5), -5) AS drive, 1 - exp(-greatest(n.t - lag(n.t) OVER (PARTITION BY n.session ORDER BY i), 0) / 12.0::DOUBLE) AS a FROM n JOIN s USING (session, seq)), f AS (SELECT session, seq, i, 0.0::DOUBLE AS y FROM e WHERE i = 1 UNION ALL SELECT e.session, e.seq, e.i, f.y + e.a * (e.drive - f.y) FROM f JOIN e ON e.session = f.session AND e.i = f.i + 1) SELECT session, seq, round(y, 6) AS position FROM f")
@@ -757,7 +748,7 @@ def motor_lag(spark, d):
     """First-order plant: 40 mm an ampere, the current held to 5."""
     rows = samples(spark, d).withColumn("drive", 40.0 * C.clip(F.col("k") / 10.0, -5.0, 5.0))
     rows = rows.withColumn("a", 1 - F.exp(-F.greatest(F.coalesce(F.col("t") - F.lag("t").over(win()), F.lit(0.0)), F.lit(0.0)) / 12.0))
-    return folds.scan_fold(rows, lambda x: F.lit(0.0), lambda y, x: y + x["a"] * (x["drive"] - y), "y", ["drive", "a"]).select("session", "seq", r6("y", "position"))
+    return folds.run_machine(rows, folds.Recurrence("y", lambda v, a: 0.0, lambda y, v, a: y + a * (v - y), ("drive", "a"))).select("session", "seq", r6("y", "position"))
 
 
 @query(_level_sql(70, 30, 12, True).replace("SELECT session, seq, t, x, row_number()", "SELECT session, seq, t, k AS x, row_number()"))
@@ -770,8 +761,8 @@ def gyro_events(spark, d):
 def refractory_crossings(spark, d):
     """Rises through a threshold, each at least 24 hours after the one before."""
     rows = samples(spark, d).withColumn("up", F.coalesce((F.lag("x").over(win()) < 100) & (F.col("x") >= 100), F.lit(False)))
-    last = folds.scan_fold(rows, lambda x: F.lit(-1e18), lambda y, x: F.when(x["up"] & (x["t"] - y >= 24), x["t"]).otherwise(y), "last", ["up"])
-    return last.join(rows, ["session", "seq"]).select("session", "seq", (F.col("last") == F.col("t")).alias("crossing"))
+    crossing = folds.Recurrence("last", lambda up, t: -1e18, lambda y, up, t: t if up and t - y >= 24 else y, ("up", "t"))
+    return folds.run_machine(rows, crossing).select("session", "seq", (F.col("last") == F.col("t")).alias("crossing"))
 
 
 @query(f", n AS (SELECT *, row_number() OVER {W} AS i FROM s), f AS (SELECT DISTINCT session, -1::BIGINT AS seq, 0::BIGINT AS i, false AS passed, true AS armed FROM n UNION ALL SELECT session, seq, i, ready AND strike AND x <= 80, ready AND NOT (strike AND x <= 80) FROM (SELECT n.session, n.seq, n.i, n.strike, n.x, f.armed OR n.x > 120 AS ready FROM f JOIN n ON n.session = f.session AND n.i = f.i + 1)) SELECT session, seq, passed::INT AS passed, armed::INT AS armed FROM f WHERE i > 0")

@@ -323,3 +323,32 @@ def test_replay_scores_both_deficits_against_the_baseline(spark):
     e_exc, e_swing = np.clip((low - exc[8:]) / low, 0, 1), np.clip((low_ratio - ratio[8:]) / 0.1, 0, 1)
     assert e_exc[0] > 0.3 and e_swing[-1] == 1
     assert np.allclose(got.e_exc, e_exc) and np.allclose(got.e_swing, e_swing) and np.allclose(got.e_b, 0.5 * e_exc + 0.5 * e_swing)
+
+
+def test_steps_do_not_depend_on_how_a_session_is_cut_into_blocks():
+    from strideline.operators.imu_steps import AdaptiveSteps, StepSettings
+
+    rng = np.random.default_rng(4)
+    t = np.arange(1500) / 100
+    at = np.arange(0.7, 15.0, 0.6)
+    left = np.arange(len(at)) % 2 == 0
+    bump = lambda width, size: np.exp(-(((t[:, None] - at) / width) ** 2)) @ size
+    columns = [t, bump(0.07, np.where(left, 5.0, -5.0)), 0.2 * np.sin(2 * t), 0 * t, 0 * t, 0 * t, 1 + bump(0.025, 0.55 * np.ones(len(at))), -110 + bump(0.09, np.where(left, -70.0, 10.0))]
+    columns = [c.tolist() for c in columns]
+    for settings in (StepSettings(), StepSettings(at_peak=False)):
+        m = AdaptiveSteps(settings)
+        whole = m.process(m.start(), *columns)
+        state, parts, i = m.start(), [[] for _ in whole], 0
+        while i < len(t):
+            k = int(rng.integers(1, 97))
+            for out, part in zip(parts, m.process(state, *[c[i : i + k] for c in columns]), strict=True):
+                out += part
+            i += k
+        assert sum(e is not None for e in whole[0]) >= 12
+        assert parts[:3] == whole[:3] and all(np.allclose(a[700:], b[700:]) for a, b in zip(parts[3:], whole[3:], strict=True))
+
+
+def test_a_mean_starts_anew_after_a_value_that_is_not_finite():
+    m = folds.Recurrence("y", lambda x: x, lambda y, x: (y + x) / 2)
+    assert m.process(m.start(), [0, 1, 2, 3, 4], [2.0, 4.0, math.inf, 8.0, 10.0])[0] == [2.0, 3.0, math.inf, 8.0, 9.0]
+    assert folds.smoothing(5.0, 0.01) == pytest.approx(0.01 / (1 / (10 * math.pi) + 0.01))
