@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideline.llm.scratch import stored
+from strideline.llm.scratch import discard, map_batches, stored
 from strideline.llm.vectors import VectorTable, binaries, matrix, sampled, vector_table
 
 TABLES = 8
@@ -172,7 +172,7 @@ def _best_nodes(vt: VectorTable, asked: DataFrame, top: int) -> DataFrame:
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array([x.min()]), pa.array([x.max()])], names=["low", "high"])
 
-    low, high = vt.nodes.select("vec").mapInArrow(norms, "low double, high double").agg(F.min("low"), F.max("high")).first()
+    low, high = map_batches(vt.nodes.select("vec"), norms, "low double, high double").agg(F.min("low"), F.max("high")).first()
     longest = None if not n or high - low <= 1e-3 * high else float(high)
     parts = 1
     width = CrossPolytope(d, 1, 1, longest).width
@@ -261,15 +261,15 @@ def _best_nodes(vt: VectorTable, asked: DataFrame, top: int) -> DataFrame:
 
     askers = asked.select(F.col("asker").alias("node")).distinct().join(vt.nodes, "node").select(F.col("node").alias("asker"), "vec", "least_id")
     askers = stored(askers, "asking")
-    index_rows = vt.nodes.select("node", "vec", "least_id").mapInArrow(entries, "cell long, node binary, vec binary, least_id long")
+    index_rows = map_batches(vt.nodes.select("node", "vec", "least_id"), entries, "cell long, node binary, vec binary, least_id long")
     no_floor = F.lit(float("-inf")).alias("floor")
     rows = "cell long, asker binary, vec binary, floor double"
-    found = stored(looked_up(index_rows.where(F.col("cell") < first_cells), askers.select("asker", "vec", no_floor).mapInArrow(asks(True), rows)), "first-round")
+    found = stored(looked_up(index_rows.where(F.col("cell") < first_cells), map_batches(askers.select("asker", "vec", no_floor), asks(True), rows)), "first-round")
     # each query's top-th best so far, from a few rows for each query
     so_far = found.select("asker", "node", "score").distinct().groupBy("asker").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
     so_far = so_far.select("asker", F.coalesce(F.get("scores", F.lit(top - 1)), F.lit(float("-inf"))).alias("floor"))
     second = askers.join(so_far, "asker", "left").select("asker", "vec", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-    again = against_all(second) if count is None and n else looked_up(index_rows, second.mapInArrow(asks(False), rows))
+    again = against_all(second) if count is None and n else looked_up(index_rows, map_batches(second, asks(False), rows))
     found = found.unionByName(again)
 
     def itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +278,7 @@ def _best_nodes(vt: VectorTable, asked: DataFrame, top: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0), batch.column(2), pa.array((x * x).sum(axis=1))], names=["asker", "node", "least_id", "score"])
 
     # a vector is always among its own candidates: rows equal to the query's
-    found = found.unionByName(askers.select("asker", "vec", "least_id").mapInArrow(itself, "asker binary, node binary, least_id long, score double"))
+    found = found.unionByName(map_batches(askers.select("asker", "vec", "least_id"), itself, "asker binary, node binary, least_id long, score double"))
     found = found.groupBy("asker", "node").agg(F.max("score").alias("score"), F.min("least_id").alias("least_id"))
     order = Window.partitionBy("asker").orderBy(F.desc("score"), F.col("least_id").asc_nulls_last())
     return stored(found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= top + 1).select("asker", "node", "score"), "best-nodes")

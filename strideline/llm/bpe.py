@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strideline.llm.scratch import map_batches
+
 SHORT = 128
 #: Pieces that a worker remembers, and the characters of the longest of them. It lives on in the workers
 #: that a later stage shares, and a piece forgotten is only encoded anew.
@@ -215,7 +217,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -227,7 +229,8 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             ids = [np.frombuffer(enc.encode(t.as_py() or ""), "<u4").astype(np.int32) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    return map_batches(rows, run, "doc_id long, ids array<int>")
 
 
 def decoded(ids: DataFrame, path: str) -> DataFrame:
@@ -239,4 +242,4 @@ def decoded(ids: DataFrame, path: str) -> DataFrame:
             texts = [decode(np.asarray(x.as_py() or [], dtype="<u4").tobytes(), v) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return map_batches(ids.select("doc_id", "ids"), run, "doc_id long, text string")

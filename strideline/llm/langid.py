@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideline.llm.scratch import map_batches
 from strideline.llm.textcore import text_buffer
 
 UNKNOWN = "und"
@@ -224,9 +225,11 @@ def identify(docs: DataFrame, model: ByteCnn | None, keep: list[str] | None = No
     """doc_id, held_out, lang_pred and score of every document, with the columns ``keep`` of docs before them."""
     keep = ["doc_id"] if keep is None else keep
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(keep)], held_out(F.col("doc_id")).alias("held_out"), has_letter.alias("letter"), F.col("text").alias("body"))
-    tables = None
+    body = keep.index("text") if "text" in keep else len(keep)  # a text goes to the workers once
+    given = [F.col(c).alias(f"in_{i}") for i, c in enumerate(keep)] + [F.col("text").alias(f"in_{len(keep)}")] * (body == len(keep))
+    rows = docs.select(*given, held_out(F.col("doc_id")).alias("held_out"), has_letter.alias("letter"))
     names = [*(f"in_{i}" for i in range(len(keep))), "held_out", "lang_pred", "score"]
+    tables = None
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal tables
@@ -235,19 +238,17 @@ def identify(docs: DataFrame, model: ByteCnn | None, keep: list[str] | None = No
         for batch in batches:
             n = batch.num_rows
             label, score = np.full(n, UNKNOWN, dtype=object), np.zeros(n)
-            letter = batch.column(n_cols - 2).to_numpy(zero_copy_only=False)
+            letter = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             if model is not None and n and letter.any():
-                buf, at = text_buffer(batch.column(n_cols - 1))
-                p = probabilities(buf, at, model, tables)
+                p = probabilities(*text_buffer(batch.column(body)), model, tables)
                 best = p.argmax(axis=1)
                 label = np.where(letter, np.array(model.languages, dtype=object)[best], UNKNOWN)
                 score = np.where(letter, np.clip(p[np.arange(n), best], 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: n_cols - 2], pa.array(label, pa.string()), pa.array(score, pa.float64())], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], batch.column(batch.num_columns - 2), pa.array(label, pa.string()), pa.array(score, pa.float64())], names=names)
 
-    n_cols = len(rows.columns)
     types = dict(docs.dtypes)
     schema = ", ".join([*(f"in_{i} {types[c]}" for i, c in enumerate(keep)), "held_out boolean, lang_pred string, score double"])
-    out = rows.mapInArrow(predict, schema)
+    out = map_batches(rows, predict, schema)
     return out.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(keep)], "held_out", "lang_pred", "score")
 
 

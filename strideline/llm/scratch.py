@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
@@ -53,6 +56,47 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows and bytes of the batches that pass between Spark and its Python workers; each task holds a few of them on both sides.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches for the rest of the session, unless it has smaller ones: texts are long, and 10,000 of them are no small batch."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    import ctypes
+
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return None
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` in small batches; a worker gives memory that it no longer uses back to the system when a task ends.
+
+    Workers live on in later stages, and so would what their allocators keep.
+    """
+    small_batches(df.sparkSession)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = _trim()
+            if trim is not None:
+                trim(0)
+
+    return df.mapInArrow(lean, schema)
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Column names for temporaries that clash with none of ``df``, whatever case it uses."""
     taken = {c.lower() for c in df.columns}

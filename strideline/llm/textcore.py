@@ -3,6 +3,10 @@
 Everything here works on the raw UTF-8 bytes of a whole record batch at once, so
 the cost is a few numpy passes per byte and no Python object is made per word.
 Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]``; A-Z count as a-z.
+
+Temporary arrays are about 100 bytes for each byte of text, so bytes are hashed in
+pieces of ``SLICE_BYTES`` that end between words, however long a text is; what is kept
+of a text after that is a few dozen bytes a word.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text handled at a time; bounds the temporary arrays to a few dozen MB.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -40,20 +44,23 @@ def _byte_table(seed: int) -> np.ndarray:
     return mix64(np.arange(1, 257, dtype=np.uint64) * GOLDEN + np.uint64(seed))[_FOLD]
 
 
-_POWER = np.ones((2, 1), np.uint64)
+@lru_cache(maxsize=1)
+def _kept_powers() -> np.ndarray:
+    return _make_powers(SLICE_BYTES + 1)
+
+
+def _make_powers(n: int) -> np.ndarray:
+    base = 0x5851F42D4C957F2D
+    out = np.ones((2, n), np.uint64)
+    for row, b in zip(out, (base, pow(base, -1, 2**64)), strict=True):
+        row[1:] = b
+        np.multiply.accumulate(row, out=row)
+    return out
 
 
 def _powers(n: int) -> np.ndarray:
-    """Rows: powers of the hash base and of its inverse modulo 2**64; grown when a longer slice comes."""
-    global _POWER
-    if _POWER.shape[1] < n:
-        size = max(n, SLICE_BYTES)
-        base = 0x5851F42D4C957F2D
-        _POWER = np.ones((2, size + 1), np.uint64)
-        for row, b in zip(_POWER, (base, pow(base, -1, 2**64)), strict=True):
-            row[1:] = b
-            np.multiply.accumulate(row, out=row)
-    return _POWER
+    """Rows: powers of the hash base and of its inverse modulo 2**64. Only those of one slice are kept; a word longer than that has its own."""
+    return _kept_powers() if n <= SLICE_BYTES else _make_powers(n + 1)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,22 +84,48 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+def _cuts(buf: np.ndarray, limit: int) -> list[int]:
+    """Ends of pieces of about ``limit`` bytes, each before a blank or at the end."""
+    out, at = [], 0
+    while len(buf) - at > limit:
+        at += limit
+        while at < len(buf):
+            blank = np.flatnonzero(_SPACE[buf[at : at + limit]])
+            if len(blank):
+                at += int(blank[0])
+                break
+            at = min(at + limit, len(buf))
+        out.append(at)
+    return [c for c in out if c < len(buf)] + [len(buf)]
+
+
 def word_hashes(buf: np.ndarray, offsets: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word in text order and the words' n + 1 offsets by document.
+    """64-bit hash of each word in text order and the words' n + 1 offsets by document."""
+    if len(buf) == 0:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    heads = offsets[1:-1]
+    heads = heads[(heads > 0) & (heads < len(buf))]
+    words, starts, at = [], [], 0
+    for end in _cuts(buf, SLICE_BYTES):
+        inside = heads[(heads > at) & (heads < end)] - at
+        found, begin = _piece_hashes(buf[at:end], inside, seed)
+        words.append(found)
+        starts.append(begin + at)
+        at = end
+    return np.concatenate(words), np.searchsorted(np.concatenate(starts), offsets)
+
+
+def _piece_hashes(buf: np.ndarray, heads: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of some bytes; a word also ends before each of ``heads``.
 
     A word's hash is a difference of two prefix sums of ``table[byte] * base**index``
     shifted back by the inverse power, so no per-word work is needed.
     """
-    n = len(offsets) - 1
-    if len(buf) == 0:
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     inside = np.zeros(len(buf) + 1, dtype=bool)
     inside[:-1] = ~_SPACE[buf]
     start = inside[:-1].copy()
     start[1:] &= ~inside[:-2]
     stop = ~inside[1:]
-    heads = offsets[1:-1]
-    heads = heads[(heads > 0) & (heads < len(buf))]
     start[heads] = inside[heads]
     stop[heads - 1] = True
     stop &= inside[:-1]
@@ -100,8 +133,7 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray, seed: int = 1) -> tuple[np
     power, inverse = _powers(len(buf))
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_byte_table(seed)[buf] * power[: len(buf)], out=total[1:])
-    words = (total[stops] - total[starts]) * inverse[starts] + (stops - starts).astype(np.uint64) * GOLDEN
-    return mix64(words), np.searchsorted(starts, offsets)
+    return mix64((total[stops] - total[starts]) * inverse[starts] + (stops - starts).astype(np.uint64) * GOLDEN), starts
 
 
 def content_keys(words: np.ndarray, word_at: np.ndarray) -> np.ndarray:

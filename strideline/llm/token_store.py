@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideline.llm.bpe import Encoder, byte_symbols
-from strideline.llm.scratch import stored
+from strideline.llm.scratch import discard, map_batches, stored
 
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 18
@@ -120,7 +120,7 @@ def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataF
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("tie"))
     placed = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    return placed.mapInArrow(run, "shard int, doc_id long, local_start long, ids binary")
+    return map_batches(placed, run, "shard int, doc_id long, local_start long, ids binary")
 
 
 def _ranking(ids: DataFrame, size: int, kind: str) -> np.ndarray:
@@ -136,7 +136,7 @@ def _ranking(ids: DataFrame, size: int, kind: str) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["token", "n"])
 
-    rows = ids.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = map_batches(ids.select("ids"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     count = np.zeros(size, np.int64)
     for r in rows:
         count[r["token"]] = r["n"]
@@ -179,7 +179,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
         if held:
             yield out()
 
-    packed = ids.mapInArrow(blocks, "start long, doc_ids array<long>, counts array<long>, control binary, data binary, shard int")
+    packed = map_batches(ids, blocks, "start long, doc_ids array<long>, counts array<long>, control binary, data binary, shard int")
     packed.write.option("compression", "none").partitionBy("shard").parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(order.astype("<u4").tobytes()),)], "ids binary").coalesce(1).write.parquet(f"{path}/meta")
 
@@ -199,7 +199,7 @@ def _documents(spark: SparkSession, path: str, schema: str, row: callable, names
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), *(pa.array(c, kinds[n]) for c, n in zip(columns, names, strict=True))], names=["doc_id", *names])
 
     stored_blocks = spark.read.schema("start long, doc_ids array<long>, counts array<long>, control binary, data binary").parquet(f"{path}/blocks")
-    return stored_blocks.select("start", "doc_ids", "counts", "control", "data").mapInArrow(run, schema)
+    return map_batches(stored_blocks.select("start", "doc_ids", "counts", "control", "data"), run, schema)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

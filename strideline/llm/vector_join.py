@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideline.llm.components import connected_components
-from strideline.llm.scratch import stored
+from strideline.llm.scratch import discard, map_batches, stored
 from strideline.llm.vectors import VectorTable, binaries, matrix, sampled, vector_table
 
 #: Vectors of a cell that are aimed at, pivots at most, and the sides of a block.
@@ -101,7 +101,7 @@ def _join_cells(vt: VectorTable, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some]), pa.array(far[some])], names=["cell", "n", "far"])
 
     # one row for each of at most MOST_PIVOTS cells
-    sizes = vt.nodes.select("vec").mapInArrow(extents, "cell int, n long, far double").groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far")).collect()
+    sizes = map_batches(vt.nodes.select("vec"), extents, "cell int, n long, far double").groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far")).collect()
     count, reach = np.zeros(max(len(pivots), 1), np.int64), np.full(max(len(pivots), 1), -1.0)
     for r in sizes:
         count[r["cell"]], reach[r["cell"]] = r["n"], r["far"]
@@ -171,7 +171,7 @@ def _join_cells(vt: VectorTable, threshold: float) -> DataFrame:
 
     if len(pivots) == 0:
         return vt.nodes.select("node", F.lit(None).cast("binary").alias("other"), F.lit(0).cast("long").alias("n")).limit(0)
-    grid = vt.nodes.select("node", "vec", "copies").mapInArrow(placed, "cell int, chunk int, other int, role int, node binary, vec binary, copies long")
+    grid = map_batches(vt.nodes.select("node", "vec", "copies"), placed, "cell int, chunk int, other int, role int, node binary, vec binary, copies long")
     return grid.groupBy("cell", "chunk", "other").applyInArrow(compare, "node binary, other binary, n long")
 
 

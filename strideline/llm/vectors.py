@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideline.llm.scratch import stored
+from strideline.llm.scratch import map_batches, stored
 
 
 class VectorTable(NamedTuple):
@@ -46,7 +46,7 @@ def vector_table(table: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dimension * np.dtype(dtype).itemsize), batch.num_rows, [None, pa.py_buffer(flat.tobytes())])
             yield pa.RecordBatch.from_arrays([batch.column(0), raw.cast(pa.binary()), batch.column(2), batch.column(3)], names=["node", "vec", "least_id", "copies"])
 
-    nodes = stored(grouped.mapInArrow(packed, "node binary, vec binary, least_id long, copies long"), "vector-nodes")
+    nodes = stored(map_batches(grouped, packed, "node binary, vec binary, least_id long, copies long"), "vector-nodes")
     return VectorTable(slim, nodes, dimension, dtype)
 
 
