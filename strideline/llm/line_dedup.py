@@ -16,7 +16,8 @@ Every key that is probed was numbered, so no false positive is possible; two
 keys are taken for one only if all 128 bits agree.
 
 Defined results: a null or empty text is one empty line; a null doc_id counts as
-the largest; rows that repeat a doc_id are one document to this operator.
+the largest; rows that repeat a doc_id are one document to this operator; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strideline.llm.scratch import free_names, stored
+from strideline.llm.scratch import discard, free_names, map_batches, stored
 from strideline.llm.textcore import mix64
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -51,7 +52,7 @@ def line_key(line: bytes) -> bytes | None:
 
 
 def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(high, low, doc_id) for each distinct key of each document."""
+    """(high, low, doc_id, tie) for each distinct key of each document."""
     for batch in batches:
         ids = batch.column(0).fill_null(LAST_ID).to_numpy()
         found, counts = [], []
@@ -61,7 +62,7 @@ def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.extend(keys)
             counts.append(len(keys))
         both = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.repeat(ids, counts))], names=["high", "low", "doc_id"])
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.repeat(ids, counts)), pa.array(np.repeat(batch.column(2).to_numpy(), counts))], names=["high", "low", "doc_id", "tie"])
 
 
 class PerfectHash:
@@ -128,9 +129,9 @@ def _build_shard(table: pa.Table) -> pa.Table:
 
 
 def _probe(arrays: pa.Table, probes: pa.Table) -> pa.Table:
-    """(doc_id, key) of the lines to drop."""
+    """(doc_id, tie, key) of the lines to drop."""
     if arrays.num_rows == 0 or probes.num_rows == 0:
-        return pa.table({"doc_id": pa.array([], pa.int64()), "key": pa.array([], pa.binary())})
+        return pa.table({"doc_id": pa.array([], pa.int64()), "tie": pa.array([], pa.int64()), "key": pa.array([], pa.binary())})
     read = lambda c, t: np.frombuffer(arrays[c][0].as_py(), dtype=t)
     order = PerfectHash(read("levels", np.int64), read("bits", np.uint64), read("rest", np.uint64).reshape(-1, 2))
     prints, counts, least = read("fingerprints", np.uint32), read("counts", np.uint8), read("least", np.int64)
@@ -143,22 +144,28 @@ def _probe(arrays: pa.Table, probes: pa.Table) -> pa.Table:
     drop = np.flatnonzero(known & (counts[at] >= 2) & (least[at] < ids))
     keys = np.stack([high[drop], low[drop]], axis=1).astype("<u8").tobytes()
     keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(drop), [None, pa.py_buffer(keys)]).cast(pa.binary())
-    return pa.table({"doc_id": pa.array(ids[drop]), "key": keys})
+    return pa.table({"doc_id": pa.array(ids[drop]), "tie": probes["tie"].take(pa.array(drop)), "key": keys})
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, keys): the key hashes of the lines that each document of docs (doc_id, text) loses."""
-    lines = stored(docs.mapInArrow(_line_keys, "high long, low long, doc_id long"), "line-keys")
+    """(doc_id, tie, keys): the key hashes of the lines that each document of docs (doc_id, text, tie) loses.
+
+    ``tie``, a hash of the text, parts the rows of a doc_id that very many share, null above all.
+    """
+    lines = stored(map_batches(docs, _line_keys, "high long, low long, doc_id long, tie long"), "line-keys")
     shards = max(1, -(-lines.count() // SHARD_KEYS))
     shard = F.pmod(F.shiftrightunsigned("high", 20), F.lit(shards)).cast("int").alias("shard")
     distinct = lines.groupBy("high", "low").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).select(shard, "high", "low", "n", "least")
     arrays = stored(distinct.groupBy("shard").applyInArrow(_build_shard, _SHARD), "line-arrays")
-    probed = lines.select(shard, "high", "low", "doc_id")
+    probed = lines.select(shard, "high", "low", "doc_id", "tie")
     chunks = stored(probed.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK_PROBES).cast("int").alias("chunks")), "line-chunks")
     left = arrays.join(chunks, "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    right = probed.join(chunks, "shard").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")).drop("chunks")
-    dropped = left.groupBy("shard", "chunk").cogroup(right.groupBy("shard", "chunk")).applyInArrow(_probe, "doc_id long, key binary")
-    return dropped.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    right = probed.join(chunks, "shard").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "tie"), F.col("chunks")).cast("int")).drop("chunks")
+    dropped = left.groupBy("shard", "chunk").cogroup(right.groupBy("shard", "chunk")).applyInArrow(_probe, "doc_id long, tie long, key binary")
+    found = stored(dropped.groupBy("doc_id", "tie").agg(F.collect_set("key").alias("keys")), "lines-dropped")
+    for table in (lines, arrays, chunks):
+        discard(table)
+    return found
 
 
 def _without(raw: bytes | None, keys: list[bytes] | None) -> tuple[bytes, int, int]:
@@ -172,12 +179,12 @@ def _without(raw: bytes | None, keys: list[bytes] | None) -> tuple[bytes, int, i
     return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def _with_keys(docs: DataFrame, doc_id: str, text: str, key_name: str, id_name: str) -> DataFrame:
+def _with_keys(docs: DataFrame, doc_id: str, text: str, key_name: str, id_name: str, tie_name: str) -> DataFrame:
     """docs, each with the keys of the lines that it loses."""
-    own = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID))
-    found = repeated_lines(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    found = found.select(F.col("doc_id").alias(id_name), F.col("keys").alias(key_name))
-    return docs.join(found, own == F.col(id_name), "left").drop(id_name)
+    own, tie = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)), F.xxhash64(text)
+    found = repeated_lines(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), tie.alias("tie")))
+    found = found.select(F.col("doc_id").alias(id_name), F.col("tie").alias(tie_name), F.col("keys").alias(key_name))
+    return docs.join(found, (own == F.col(id_name)) & (tie == F.col(tie_name)), "left").drop(id_name, tie_name)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -190,12 +197,12 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64()), pa.array(sums, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return _with_keys(rows, "doc_id", "text", "keys", "own_id").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return map_batches(_with_keys(rows, "doc_id", "text", "keys", "own_id", "own_tie"), run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def drop_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """``docs`` with the text that stays; ``n_chars``, where there is such a column, counts its code points. No row goes."""
-    keys, own = free_names(docs, "keys", "own_id")
+    keys, own, tie = free_names(docs, "keys", "own_id", "own_tie")
     names = docs.columns
     at = names.index(text)
     count_at = names.index(n_chars) if n_chars in names else None
@@ -210,4 +217,4 @@ def drop_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n
             yield pa.RecordBatch.from_arrays(columns[:-1], names=names)
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
-    return _with_keys(docs, doc_id, text, keys, own).mapInArrow(run, schema)
+    return map_batches(_with_keys(docs, doc_id, text, keys, own, tie), run, schema)
