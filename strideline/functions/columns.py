@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,6 +52,44 @@ def imu_reason(accel: list[Column], gyro: list[Column]) -> Column:
     )
 
 
+def sensor_reason(imu: Column, encoder: Column) -> Column:
+    """The inertial unit's reason, the encoder's if it has none; values that are not finite come first."""
+    return first_reason(((imu == "non_finite") | (encoder == "non_finite"), "non_finite"), (imu != "", imu), (encoder != "", encoder))
+
+
+def safety_faults(channels: dict, gap: Column, emergency: Column, invalid_spd: Column, belt: tuple[float, float] = (-400.0, 400.0), velocity: float = 2000.0, position: float = 1e6, current: float = 10.0, accel: float = 16.0, gyro: float = 2000.0, stale: float = 0.25) -> Column:
+    """The codes of a sample's faults, in this order: stop, data, ranges, age, matrix.
+
+    ``channels``: belt, velocity, position and current, and the lists accel and gyro.
+    A value that is not finite is the one fault of the sample's data.
+    """
+    one = {c: channels[c] for c in ("belt", "velocity", "position", "current")}
+    fine = _all([finite(c) for c in [*one.values(), *channels["accel"], *channels["gyro"]]])
+    checks = [
+        (emergency, "EMERGENCY_STOP"), (~fine, "NAN_DATA"),
+        (fine & ((one["belt"] < belt[0]) | (one["belt"] > belt[1]) | (F.abs(one["velocity"]) > velocity)), "ENCODER_ERROR"),
+        (fine & (F.abs(one["position"]) > position), "MOTOR_POSITION_LIMIT"), (fine & (F.abs(one["current"]) > current), "MOTOR_CURRENT_LIMIT"),
+        (fine & ((_most(channels["accel"]) > accel) | (_most(channels["gyro"]) > gyro)), "IMU_ERROR"),
+        (gap > stale, "STALE_DATA"), (invalid_spd, "INVALID_SPD"),
+    ]
+    return F.filter(F.array(*[F.when(condition, code) for condition, code in checks]), lambda c: c.isNotNull())
+
+
+def limited_current(current: Column, limit: float) -> Column:
+    """Current held to a limit of both signs; 0 where it is not finite."""
+    return F.when(finite(current), clip(current, -abs(limit), abs(limit))).otherwise(0.0)
+
+
+def max_force(limit: Column, most: float = 13.0) -> Column:
+    """Force whose current is just a limit; 0 for no limit. The inverse of ``force_to_current``."""
+    return F.when(limit > 0, 0.87 * F.least(limit, F.lit(most)) - 0.04).otherwise(0.0)
+
+
+def assist_force_limit(force: Column, gain: Column, reserve: float = 0.8) -> Column:
+    """Largest assist force whose peak at a gain leaves a reserve of the force that can pass."""
+    return F.when(gain > 0, F.greatest(force - reserve, F.lit(0.0)) / F.nullif(gain, F.lit(0.0))).otherwise(0.0)
+
+
 def _most(columns: list[Column]) -> Column:
     sizes = [F.abs(c) for c in columns]
     return F.greatest(*sizes) if len(sizes) > 1 else sizes[0]
@@ -99,16 +138,26 @@ def legacy_score(manifold: Column, swing: Column, excursion: Column) -> Column:
     return clip(sum((F.lit(w) * clip(c, 0.0, 1.0) for w, c in parts[1:]), F.lit(0.5) * clip(manifold, 0.0, 1.0)), 0.0, 1.0)
 
 
+#: Shapes of the assist by name, each of a share of the swing from 0 to 1; ``register_profile`` adds to them.
+PROFILES: dict[str, Callable[[Column], Column]] = {
+    "sine": lambda x: F.sin(F.lit(math.pi) * x),
+    "raised_cosine": lambda x: (1 - F.cos(F.lit(2 * math.pi) * x)) / 2,
+    "trapezoid": lambda x: F.least(x / 0.25, F.lit(1.0), (1 - x) / 0.25),
+}
+
+
+def register_profile(name: str, shape: Callable[[Column], Column]) -> None:
+    """Make a shape known by name; a name is given once."""
+    if name in PROFILES:
+        raise ValueError(f"profile {name!r} is registered already")
+    PROFILES[name] = shape
+
+
 def swing_profile(kind: str, u: Column) -> Column:
     """Shape of the assist over swing progress."""
-    x = clip(u, 0.0, 1.0)
-    if kind == "sine":
-        return F.sin(F.lit(math.pi) * x)
-    if kind == "raised_cosine":
-        return (1 - F.cos(F.lit(2 * math.pi) * x)) / 2
-    if kind == "trapezoid":
-        return F.least(x / 0.25, F.lit(1.0), (1 - x) / 0.25)
-    raise ValueError(f"unknown profile {kind!r}")
+    if kind not in PROFILES:
+        raise ValueError(f"unknown profile {kind!r}; known: {', '.join(sorted(PROFILES))}")
+    return PROFILES[kind](clip(u, 0.0, 1.0))
 
 
 def impedance_force(dx: Column, dv: Column, fraction: Column, stiffness: float = 0.005, damping: float = 0.005, assist: float = 0.0) -> Column:

@@ -192,6 +192,35 @@ class Transitions(Machine):
         return (s["state"],)
 
 
+#: The states of a session and where each may lead; a safe stop can be reached from everywhere.
+SESSION_STATES = {
+    "INIT": {"CALIBRATION", "SAFE_STOP"}, "CALIBRATION": {"BASELINE_COLLECTION", "SAFE_STOP"}, "BASELINE_COLLECTION": {"MODEL_BUILDING", "SAFE_STOP"}, "MODEL_BUILDING": {"READY", "SAFE_STOP"},
+    "READY": {"WALKING", "OOD", "SAFE_STOP"}, "WALKING": {"READY", "OOD", "SAFE_STOP"}, "OOD": {"WALKING", "READY", "SAFE_STOP"}, "SAFE_STOP": {"INIT"},
+}
+
+
+class SessionStates(Machine):
+    """A session's state under wishes: an allowed one moves it, another is refused, one with a ``!`` before it is forced.
+
+    The history is the rows whose note is ``moved`` or ``forced``.
+    """
+
+    inputs = ("wish",)
+    schema = "state string, note string"
+
+    def start(self) -> dict:
+        return {"state": "INIT"}
+
+    def step(self, s: dict, t: float, wish: str) -> tuple:
+        forced, wish = wish.startswith("!"), wish.lstrip("!")
+        if wish not in SESSION_STATES:
+            raise ValueError(f"unknown state {wish!r}")
+        note = "forced" if forced else "same" if wish == s["state"] else "moved" if wish in SESSION_STATES[s["state"]] else "refused"
+        if note != "refused":
+            s["state"] = wish
+        return s["state"], note
+
+
 #: Detectors by name; ``register_detector`` adds to them.
 DETECTORS: dict[str, Callable[..., Machine]] = {"belt_length": BeltTrigger, "level": LevelTrigger}
 

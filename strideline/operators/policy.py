@@ -14,7 +14,8 @@ class AssistPolicy(Machine):
     of the last raw gains is the aim.  Once the gain has stood still for ``settle``
     strides it is recomputed every ``hold`` strides only, while raw gains are still
     remembered.  A rise needs a streak of strides with a deficit, a fall one of strides
-    without.  Every path goes through the rate limit.
+    without.  With a ``fixed_gain`` above 0 that is the aim of every stride but a vetoed
+    one.  Every path goes through the rate limit.
     """
 
     inputs = ("x", "ood", "veto")
@@ -35,16 +36,20 @@ class AssistPolicy(Machine):
             engaged = s["streak"] >= self.c.ood_streak
             if veto or engaged:
                 s.update(window=[], since=0)
-                self._toward(s, 0.0 if veto else min(s["gain"], self.c.ood_gain))
+                held = s["gain"] if self.c.ood_policy == "hold" else self.c.ood_safe_gain
+                self._toward(s, 0.0 if veto else self._fixed(min(held, self.c.ood_gain)))
             else:
                 s["window"] = [*s["window"], x][-self.c.window :]
                 updated = int(self._due(s))
                 if updated:
-                    self._toward(s, self._aim(s))
+                    self._toward(s, self._fixed(self._aim(s)))
         s["same"] = s["same"] + 1 if s["last"] is not None and abs(s["gain"] - s["last"]) <= 1e-12 else 0
         s["last"] = s["gain"]
         return s["gain"], int(engaged), updated, s["deficits"], s["recoveries"]
 
+    def _fixed(self, aim: float) -> float:
+        return min(self.c.fixed_gain, self.c.most_gain) if self.c.fixed_gain > 0 else aim
+
     def _due(self, s: dict) -> bool:
         """Whether the gain may move: always while it is moving, then every ``hold`` strides."""
         s["since"] = (s["since"] + 1) % self.c.hold if s["same"] >= self.c.settle else 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideline.functions.columns import finite, magnitude, resample
+
 ORDER = ["t", "seq"]
 
 
@@ -40,7 +42,7 @@ def metrics(cut_samples: DataFrame, min_samples: int = 3, shortest: float = 0.5,
         F.count("*").alias("n_samples"), F.min("t").alias("t_start"), F.max("t").alias("t_end"),
         F.sum(F.when(F.col("swing"), F.col("step")).otherwise(0.0)).alias("swing_time"), F.sum(F.when(~F.col("swing"), F.col("step")).otherwise(0.0)).alias("stance_time"),
         (F.max("x") - F.min("x")).alias("excursion"), F.avg("x").alias("mean_x"), F.max(F.abs("k")).alias("peak_k"), F.stddev_pop("x").alias("rms_x"),
-        F.count_if("swing").alias("n_swing"), F.count_if(~F.col("swing")).alias("n_stance"),
+        F.count_if("swing").alias("n_swing"), F.count_if(~F.col("swing")).alias("n_stance"), F.count_if(~finite(F.col("x"))).alias("n_not_finite"),
     )
     both = F.col("swing_time") + F.col("stance_time")
     out = out.withColumn("stride_time", F.col("t_end") - F.col("t_start"))
@@ -52,7 +54,7 @@ def metrics(cut_samples: DataFrame, min_samples: int = 3, shortest: float = 0.5,
 def reject_reason(min_samples: int, shortest: float, longest: float) -> Column:
     """First reason why a stride's metrics cannot be used; empty if they can."""
     out = F.lit("")
-    checks = [("n_stance = 0", "no_stance"), ("n_swing = 0", "no_swing"), (f"stride_time > {longest}D", "too_long"), (f"stride_time < {shortest}D", "too_short"), (f"n_samples < {min_samples}", "too_few_samples")]
+    checks = [("n_stance = 0", "no_stance"), ("n_swing = 0", "no_swing"), ("n_not_finite > 0", "non_finite"), (f"stride_time > {longest}D", "too_long"), (f"stride_time < {shortest}D", "too_short"), (f"n_samples < {min_samples}", "too_few_samples")]
     for condition, reason in checks:
         out = F.when(F.expr(condition), reason).otherwise(out)
     return out
@@ -65,8 +67,45 @@ def session_summary(strides: DataFrame) -> DataFrame:
 
 
 def symmetry(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Ratios of the strides of one side to those of the other; null unless both sides have both times."""
+    """Ratios of the strides of one side to those of the other, and each side's swing to stance; all null unless both sides have both times."""
     other = right.select("session", "pair", F.col("swing_time").alias("other_swing"), F.col("stance_time").alias("other_stance"))
     usable = (F.col("swing_time") > 0) & (F.col("stance_time") > 0) & (F.col("other_swing") > 0) & (F.col("other_stance") > 0)
     ratio = lambda a, b: F.when(usable, F.col(a) / F.nullif(F.col(b), F.lit(0.0)))
-    return left.join(other, ["session", "pair"], "left").select("session", "pair", ratio("swing_time", "other_swing").alias("swing_symmetry"), ratio("stance_time", "other_stance").alias("stance_symmetry"))
+    out = left.join(other, ["session", "pair"], "left").select(
+        "session", "pair", ratio("swing_time", "other_swing").alias("swing_symmetry"), ratio("stance_time", "other_stance").alias("stance_symmetry"),
+        ratio("swing_time", "stance_time").alias("own_ratio"), ratio("other_swing", "other_stance").alias("other_ratio"),
+    )
+    return out.withColumn("ratio_symmetry", F.col("own_ratio") / F.nullif(F.col("other_ratio"), F.lit(0.0)))
+
+
+def trunk_rms(cut_samples: DataFrame, axes: list[Column]) -> DataFrame:
+    """(session, stride_id, rms): spread of the vector's length within each stride; null where a component is not finite."""
+    fine = finite(axes[0])
+    for a in axes[1:]:
+        fine = fine & finite(a)
+    rows = cut_samples.withColumn("fine", fine).withColumn("size", magnitude(*axes))
+    return rows.groupBy("session", "stride_id").agg(F.when(F.bool_and("fine"), F.stddev_pop("size")).alias("rms"))
+
+
+def check_channels(df: DataFrame, channels: list[str]) -> None:
+    """A KeyError that names the channels that a table lacks."""
+    unknown = [c for c in channels if c not in df.columns]
+    if unknown:
+        raise KeyError(f"unknown channels: {', '.join(unknown)}; known: {', '.join(df.columns)}")
+
+
+def to_vector(df: DataFrame, channels: list[str], name: str = "vector") -> DataFrame:
+    """Adds the channels as one array of doubles."""
+    check_channels(df, channels)
+    return df.withColumn(name, F.array(*[F.col(c).cast("double") for c in channels]))
+
+
+def feature_matrix(cut_samples: DataFrame, channels: list[str], points: int = 100) -> DataFrame:
+    """(session, stride_id, a column for each channel): the channel over the cycle in ``points`` values.
+
+    A stride's samples are gathered and put in order once for all channels; strides of one sample are left out.
+    """
+    check_channels(cut_samples, channels)
+    rows = cut_samples.groupBy("session", "stride_id").agg(F.array_sort(F.collect_list(F.struct(*ORDER, *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(channels)]))).alias("rows"))
+    values = lambda i: F.transform("rows", lambda r: r[f"c{i}"])
+    return rows.where(F.size("rows") >= 2).select("session", "stride_id", *[resample(values(i), points).alias(c) for i, c in enumerate(channels)])

@@ -188,9 +188,9 @@ c AS (SELECT session, seq, t, x, k, swing, (n - 1)::BIGINT AS stride_id, total,
 cut AS (SELECT * FROM c WHERE stride_id >= 0 AND stride_id < total - 1)"""
 _METRICS = _CUT + """, st AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY session, stride_id ORDER BY t, seq) - t, 0) AS step FROM cut),
 m0 AS (SELECT session, stride_id, count(*) AS n_samples, min(t) AS t_start, max(t) AS t_end, sum(CASE WHEN swing THEN step ELSE 0 END) AS swing_time, sum(CASE WHEN swing THEN 0 ELSE step END) AS stance_time,
-  max(x) - min(x) AS excursion, avg(x) AS mean_x, max(abs(k)) AS peak_k, stddev_pop(x) AS rms_x, count(*) FILTER (WHERE swing) AS n_swing, count(*) FILTER (WHERE NOT swing) AS n_stance FROM st GROUP BY session, stride_id),
+  max(x) - min(x) AS excursion, avg(x) AS mean_x, max(abs(k)) AS peak_k, stddev_pop(x) AS rms_x, count(*) FILTER (WHERE swing) AS n_swing, count(*) FILTER (WHERE NOT swing) AS n_stance, count(*) FILTER (WHERE x IS NULL OR NOT isfinite(x)) AS n_bad FROM st GROUP BY session, stride_id),
 m AS (SELECT *, t_end - t_start AS stride_time, CASE WHEN swing_time + stance_time > 0 THEN swing_time / (swing_time + stance_time) ELSE 0 END AS swing_ratio, CASE WHEN stance_time > 0 THEN swing_time / stance_time ELSE 0 END AS swing_stance_ratio,
-  CASE WHEN n_samples < 3 THEN 'too_few_samples' WHEN t_end - t_start < 0.5 THEN 'too_short' WHEN t_end - t_start > 150 THEN 'too_long' WHEN n_swing = 0 THEN 'no_swing' WHEN n_stance = 0 THEN 'no_stance' ELSE '' END AS reject_reason FROM m0)"""
+  CASE WHEN n_samples < 3 THEN 'too_few_samples' WHEN t_end - t_start < 0.5 THEN 'too_short' WHEN t_end - t_start > 150 THEN 'too_long' WHEN n_bad > 0 THEN 'non_finite' WHEN n_swing = 0 THEN 'no_swing' WHEN n_stance = 0 THEN 'no_stance' ELSE '' END AS reject_reason FROM m0)"""
 
 
 def strides(spark: SparkSession, d: str) -> DataFrame:
@@ -221,11 +221,15 @@ def stride_summary(spark, d):
     return S.session_summary(strides(spark, d)).select("session", "strides", "valid_strides", *[r6(c, c) for c in ("mean_stride_time", "mean_swing_ratio", "max_excursion")])
 
 
-@query(_METRICS + ", v AS (SELECT *, stride_id // 2 AS pair FROM m) SELECT a.session, a.pair, CASE WHEN least(a.swing_time, a.stance_time, b.swing_time, b.stance_time) > 0 AND b.session IS NOT NULL THEN round(a.swing_time / b.swing_time, 6) END AS swing_symmetry, CASE WHEN least(a.swing_time, a.stance_time, b.swing_time, b.stance_time) > 0 AND b.session IS NOT NULL THEN round(a.stance_time / b.stance_time, 6) END AS stance_symmetry FROM v a LEFT JOIN v b ON a.session = b.session AND a.pair = b.pair AND b.stride_id % 2 = 1 WHERE a.stride_id % 2 = 0")
+_USABLE = "least(a.swing_time, a.stance_time, b.swing_time, b.stance_time) > 0 AND b.session IS NOT NULL"
+_RATIOS = {"swing_symmetry": "a.swing_time / b.swing_time", "stance_symmetry": "a.stance_time / b.stance_time", "own_ratio": "a.swing_time / a.stance_time", "other_ratio": "b.swing_time / b.stance_time", "ratio_symmetry": "(a.swing_time / a.stance_time) / (b.swing_time / b.stance_time)"}
+
+
+@query(_METRICS + f", v AS (SELECT *, stride_id // 2 AS pair FROM m) SELECT a.session, a.pair, {', '.join(f'CASE WHEN {_USABLE} THEN round({v}, 6) END AS {k}' for k, v in _RATIOS.items())} FROM v a LEFT JOIN v b ON a.session = b.session AND a.pair = b.pair AND b.stride_id % 2 = 1 WHERE a.stride_id % 2 = 0")
 def symmetry(spark, d):
     rows = strides(spark, d).withColumn("pair", F.floor(F.col("stride_id") / 2))
     out = S.symmetry(rows.where("stride_id % 2 = 0"), rows.where("stride_id % 2 = 1"))
-    return out.select("session", "pair", r6("swing_symmetry", "swing_symmetry"), r6("stance_symmetry", "stance_symmetry"))
+    return out.select("session", "pair", *[r6(c, c) for c in _RATIOS])
 
 
 def unpivoted(spark: SparkSession, d: str) -> DataFrame:
@@ -675,9 +679,9 @@ def session_states(spark, d):
     return folds.run_machine(samples(spark, d), folds.Transitions("INIT", _EDGES)).select("session", "seq", "state")
 
 
-@query(f"SELECT session, seq, CASE WHEN n > 1 AND t > first_t THEN round((n - 1) / (t - first_t), 6) END AS rate FROM (SELECT session, seq, t, count(*) OVER r AS n, min(t) OVER r AS first_t FROM s WINDOW r AS (PARTITION BY session ORDER BY t, seq ROWS 9 PRECEDING))")
+@query(f"SELECT session, seq, CASE WHEN n > 1 AND t > first_t THEN round((n - 1) / (t - first_t), 6) END AS rate FROM (SELECT session, seq, t, count(*) OVER r AS n, min(t) OVER r AS first_t FROM s WINDOW r AS (PARTITION BY session ORDER BY t, seq ROWS 99 PRECEDING))")
 def tick_rate(spark, d):
-    w = win(-9, 0)
+    w = win(-99, 0)
     rows = samples(spark, d).withColumn("n", F.count("*").over(w)).withColumn("first_t", F.min("t").over(w))
     return rows.select("session", "seq", r6(F.when((F.col("n") > 1) & (F.col("t") > F.col("first_t")), (F.col("n") - 1) / F.nullif(F.col("t") - F.col("first_t"), F.lit(0.0))), "rate"))
 

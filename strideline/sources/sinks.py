@@ -67,6 +67,13 @@ class Config:
     persist: int = 3
     settle: int = 10
     hold: int = 3
+    fixed_gain: float = 0.0
+    ood_policy: str = "hold"
+    ood_safe_gain: float = 0.0
+
+    def __post_init__(self) -> None:
+        if self.ood_policy not in ("hold", "safe_minimum"):
+            raise ValueError(f"unknown outlier policy {self.ood_policy!r}")
 
     @classmethod
     def load(cls, text: str) -> Config:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Layout of a frame, its type and version, and the longest frame and line.
 LAYOUT, FRAME_TYPE, FRAME_VERSION = "<BBHI24h", 1, 1
-MOST_FRAME, MOST_LINE = 192, 256
+MOST_FRAME, MOST_LINE = 256, 192
 
 
 def cobs_encode(data: bytes) -> bytes:
@@ -49,23 +49,97 @@ def parse_frame(payload: bytes) -> tuple | None:
     return fields if fields[:2] == (FRAME_TYPE, FRAME_VERSION) else None
 
 
-def split_stream(data: bytes) -> Iterator[tuple[str, bytes]]:
-    """('line', text), ('frame', payload) and ('bad', bytes) in the order of a capture.
+class StreamParser:
+    """Parts bytes that come in pieces into text lines and frames, and counts what it had to drop.
 
-    Frames stand between zero bytes; what stands outside is lines of printable text.
+    A zero byte opens a frame and the next one ends it; outside frames a newline ends a
+    line.  What stands before a zero byte outside a frame is tried as a frame whose opening
+    was lost.  A frame that does not decode is dropped; one that grows beyond ``MOST_FRAME``
+    is dropped too, and the rest read as text until the next zero byte; a line that
+    grows beyond ``MOST_LINE`` is dropped as far as it went.
     """
-    for i, part in enumerate(data.split(b"\0")):
-        if not part:
-            continue
-        payload = cobs_decode(part) if i and len(part) <= MOST_FRAME else None
-        if payload is not None and parse_frame(payload) is not None:
-            yield "frame", payload
-            continue
-        for line in part.split(b"\n"):
-            line = line.strip(b"\r")
-            if line:
-                printable = len(line) <= MOST_LINE and all(32 <= c < 127 or c == 9 for c in line)
-                yield ("line" if printable else "bad"), line
+
+    def __init__(self) -> None:
+        self.held, self.in_frame, self.dropped, self.reason = b"", False, 0, None
+
+    def _drop(self, reason: str) -> None:
+        self.dropped, self.reason = self.dropped + 1, reason
+
+    def feed(self, data: bytes) -> list[tuple[str, bytes]]:
+        """('line', text) and ('frame', payload) that these bytes complete."""
+        out, at = [], 0
+        while at < len(data):
+            most = MOST_FRAME if self.in_frame else MOST_LINE
+            ends = [p for p in (data.find(b"\0", at), -1 if self.in_frame else data.find(b"\n", at)) if p >= 0]
+            end = min(ends, default=len(data))
+            part = data[at:end] if self.in_frame else data[at:end].replace(b"\r", b"")
+            room = most - len(self.held)
+            if len(part) > room:  # too long
+                self._drop("frame too long" if self.in_frame else "line too long")
+                # a frame's byte beyond the limit goes with it; a line begins anew with that byte
+                at, self.held = (at + room + 1, b"") if self.in_frame else (end, part[room:][-MOST_LINE:])
+                self.in_frame = False
+                if at < end or end == len(data):
+                    continue
+            else:
+                self.held, at = self.held + part, end
+            if at == len(data):
+                break
+            out += self._ended(data[at])
+            at += 1
+        return out
+
+    def _ended(self, stop: int) -> list[tuple[str, bytes]]:
+        """What a delimiter completes."""
+        held, self.held = self.held, b""
+        if self.in_frame:
+            self.in_frame = False
+            payload = cobs_decode(held) if held else None
+            if held and (payload is None or parse_frame(payload) is None):
+                self._drop("frame does not decode")
+                return []
+            return [("frame", payload)] if held else []
+        if stop == 0:
+            payload = cobs_decode(held) if held else None
+            if held:
+                return [("frame", payload)] if payload is not None and parse_frame(payload) is not None else []
+            self.in_frame = True
+            return []
+        return [("line", held)] if held else []
+
+
+def split_stream(data: bytes) -> Iterator[tuple[str, bytes]]:
+    """('line', text) and ('frame', payload) in the order of a whole capture."""
+    yield from StreamParser().feed(data)
+
+
+#: The 24 scaled fields of a frame in order, and what each is divided by.
+FIELDS = {
+    "motor_position": 100, "motor_velocity": 100, "motor_current": 100, "motor_current_set": 100, "belt_length": 10, "belt_velocity": 10, "belt_acceleration": 1, "roll": 10, "pitch": 10, "yaw": 10,
+    "gyro_x": 100, "gyro_y": 100, "gyro_z": 100, "accel_x": 100, "accel_y": 100, "accel_z": 100, "input_force": 100, "output_force": 100, "spring_torque": 100, "bus_voltage": 100, "bus_current": 100,
+    "driver_error": 1, "detect_state": 1, "control_state": 1,
+}
+
+
+def scaled_channels(events: DataFrame) -> DataFrame:
+    """(path, at, seq, timestamp, a double for each field): the frames of decoded captures in physical units; time in seconds."""
+    frames = events.where("kind = 'frame'")
+    return frames.select("path", "at", "seq", (F.col("time10ms") / 100.0).alias("timestamp"), *[(F.col("values")[i] / float(n)).alias(c) for i, (c, n) in enumerate(FIELDS.items())])
+
+
+def capture_counts(captures: DataFrame) -> DataFrame:
+    """(path, frames, lines, dropped, reason) of each capture (path, content)."""
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parser = StreamParser()
+                kinds = [k for k, _ in parser.feed(content or b"")]
+                rows.append((path, kinds.count("frame"), kinds.count("line"), parser.dropped, parser.reason))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "frames", "lines", "dropped", "reason"])
+    return captures.select("path", "content").mapInArrow(run, "path string, frames long, lines long, dropped long, reason string")
 
 
 def decode_captures(captures: DataFrame) -> DataFrame:
