@@ -110,17 +110,21 @@ class LevelTrigger(Machine):
     """Two thresholds: armed at or above ``high``, fires at or below ``low``.
 
     With ``defer`` a strike inside the refractory time comes later; without it it is lost.
+    With ``belt_gate`` the input ``belt`` must be at that length or beyond as well: above it,
+    or below it if it is negative.
     """
 
     schema = "event string"
 
-    def __init__(self, high: float, low: float, refractory: float, defer: bool = True):
-        self.high, self.low, self.refractory, self.defer = high, low, refractory, defer
+    def __init__(self, high: float, low: float, refractory: float, defer: bool = True, belt_gate: float | None = None):
+        self.high, self.low, self.refractory, self.defer, self.belt_gate = high, low, refractory, defer, belt_gate
+        if belt_gate is not None:
+            self.inputs = ("x", "belt")
 
     def start(self) -> dict:
         return {"armed": False, "last": None}
 
-    def step(self, s: dict, t: float, x: float) -> tuple:
+    def step(self, s: dict, t: float, x: float, belt: float | None = None) -> tuple:
         if not s["armed"]:
             if x >= self.high:
                 s["armed"] = True
@@ -129,6 +133,8 @@ class LevelTrigger(Machine):
         if x > self.low:
             return (None,)
         ready = s["last"] is None or t - s["last"] >= self.refractory
+        if self.belt_gate is not None:
+            ready = ready and (belt <= self.belt_gate if self.belt_gate < 0 else belt >= self.belt_gate)
         if ready or not self.defer:
             s["armed"] = False
         if not ready:

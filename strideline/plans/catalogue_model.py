@@ -19,6 +19,49 @@ def _cut(spark: SparkSession, d: str) -> DataFrame:
     return S.cut(samples(spark, d))
 
 
+# --- detectors -----------------------------------------------------------------------------
+
+_CYCLE = K._BELT + ", g AS (SELECT *, max(CASE WHEN event = 'heel_strike' THEN t END) OVER w AS hs FROM f WINDOW w AS (PARTITION BY session ORDER BY i ROWS UNBOUNDED PRECEDING)), h AS (SELECT session, t, t - lag(t) OVER (PARTITION BY session ORDER BY t) AS period FROM f WHERE event = 'heel_strike'), u AS (SELECT g.session, g.seq, g.i, g.event = 'heel_strike' AS hit, CASE WHEN h.period IS NOT NULL THEN greatest(least((g.t - g.hs) / greatest(h.period, 1e-6), 1), 0) END AS u FROM g LEFT JOIN h ON g.session = h.session AND g.hs = h.t), v AS (SELECT *, CASE WHEN u >= 0.15 AND u < 0.55 AND NOT coalesce(hit, false) THEN 'SWING' ELSE 'STANCE' END AS phase FROM u)"
+
+
+@query(_CYCLE + " SELECT session, seq, phase, CASE WHEN hit THEN 'heel_strike' WHEN phase = 'SWING' AND coalesce(lag(phase) OVER (PARTITION BY session ORDER BY i), 'STANCE') = 'STANCE' THEN 'toe_off' END AS event, round(CASE WHEN u >= 0.15 AND u < 0.55 THEN (u - 0.15::DOUBLE) / 0.4::DOUBLE WHEN u < 0.15 THEN u / 0.6::DOUBLE ELSE (u - 0.4::DOUBLE) / 0.6::DOUBLE END, 6) AS progress FROM v")
+def belt_cycle_detector(spark, d):
+    """The default detector: strikes of the belt, the phase and its progress by the place in the cycle, a toe-off where swing begins."""
+    rows = folds.run_machine(samples(spark, d), folds.BeltTrigger())
+    hit, upto = F.coalesce(F.col("event") == "heel_strike", F.lit(False)), win(None, 0)
+    rows = rows.withColumn("hit", hit).withColumn("hs", F.last(F.when(hit, F.col("t")), ignorenulls=True).over(upto))
+    before = F.last(F.when(F.col("hit"), F.col("t")), ignorenulls=True).over(win(None, -1))
+    rows = rows.withColumn("before", before).withColumn("period", F.last(F.when(F.col("hit"), F.col("t") - F.col("before")), ignorenulls=True).over(upto))
+    share = F.when(F.col("period").isNotNull(), C.clip((F.col("t") - F.col("hs")) / F.greatest(F.col("period"), F.lit(1e-6)), 0.0, 1.0))
+    rows = rows.withColumn("u", share).withColumn("inside", F.coalesce((F.col("u") >= 0.15) & (F.col("u") < 0.55), F.lit(False)))
+    rows = rows.withColumn("phase", F.when(F.col("inside") & ~F.col("hit"), "SWING").otherwise("STANCE"))
+    begins = (F.col("phase") == "SWING") & (F.coalesce(F.lag("phase").over(win()), F.lit("STANCE")) == "STANCE")
+    progress = F.when(F.col("inside"), (F.col("u") - 0.15) / 0.4).when(F.col("u") < 0.15, F.col("u") / 0.6).otherwise((F.col("u") - 0.4) / 0.6)
+    return rows.select("session", "seq", "phase", F.when(F.col("hit"), "heel_strike").when(begins, "toe_off").alias("event"), r6(progress, "progress"))
+
+
+def _gated_sql(defer: bool) -> str:
+    sql = K._level_sql(120, 40, 12, defer).replace("SELECT session, seq, t, x, row_number()", "SELECT session, seq, t, x, k, row_number()")
+    return sql.replace("n.x <= 40 AND (f.last IS NULL", "n.x <= 40 AND n.k >= 30 AND (f.last IS NULL")
+
+
+def _gated(spark: SparkSession, d: str, defer: bool) -> DataFrame:
+    rows = samples(spark, d).withColumn("belt", F.col("k").cast("double"))
+    return folds.run_machine(rows, folds.LevelTrigger(120, 40, 12, defer, belt_gate=30.0)).select("session", "seq", "event")
+
+
+@query(_gated_sql(True))
+def gated_velocity_events(spark, d):
+    """Belt velocity strikes that also need a belt length; one that lacks it comes later."""
+    return _gated(spark, d, True)
+
+
+@query(_gated_sql(False))
+def gated_script_strikes(spark, d):
+    """The same where a strike that lacks the length is lost."""
+    return _gated(spark, d, False)
+
+
 # --- features -----------------------------------------------------------------------------
 
 @query(K._CUT + ", a AS (SELECT *, CASE WHEN k <> 13 THEN x / 10 END AS ax FROM cut) SELECT session, stride_id, CASE WHEN bool_and(ax IS NOT NULL AND isfinite(ax)) THEN round(stddev_pop(sqrt(ax * ax + k * k / 100.0::DOUBLE + 1)), 6) END AS rms FROM a GROUP BY session, stride_id")

@@ -1,14 +1,41 @@
-"""Sample recordings in CSV: column aliases, coercion, defaults and derived channels."""
+"""Recordings in CSV and text: column aliases, coercion, defaults and derived channels.
+
+A file is a session.  Rows are numbered by the file's blocks and their order in a block, so a
+file that is read in several splits keeps its order, and each file is put in order by itself.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strideline.functions.columns import magnitude
+from strideline.operators.folds import Recurrence, run_machine
 from strideline.schema import CHANNELS
 
-#: Other names of the channels, tried in order, exact ones first.
-ALIASES = {"timestamp": ("host_time_s", "time", "t"), "belt_length": ("belt", "length"), "belt_velocity": ("velocity", "vel")}
+#: Names of the channels in recordings, tried in order, exact ones first.
+ALIASES = {
+    "timestamp": ("host_time_s", "time_s", "device_time_s", "timestamp", "time", "t"),
+    "belt_length": ("belt_length", "belt_mm", "belt", "length"),
+    "belt_velocity": ("belt_velocity", "belt_vel", "velocity", "vel"),
+    "motor_position": ("motor_pos", "motor_position"),
+    "motor_velocity": ("motor_vel", "motor_velocity"),
+    "motor_current": ("motor_iq_meas", "motor_current", "iq_meas", "motor_iq_set"),
+    "accel_x": ("accel_x", "acc_x", "ax"),
+    "accel_y": ("accel_y", "acc_y", "ay"),
+    "accel_z": ("accel_z", "acc_z", "az"),
+    "gyro_x": ("gyro_x", "gx"),
+    "gyro_y": ("gyro_y", "gy"),
+    "gyro_z": ("gyro_z", "gz"),
+}
+#: What a log of a detector has where it lacks a column.
+DEFAULTS = {
+    "acc_impact_peak": 0.0, "acc_peak_rise_s": 0.0, "acc_peak_confirm_delay_s": 0.0, "acc_impact_time_s": -1.0, "acc_peak_candidate": 0.0, "threshold": 0.28, "gyro_threshold": 0.0, "gyro_side_score": 0.0,
+    "dynamic_refractory_s": 0.45, "step_period_s": 0.6, "gait_speed_ratio": 1.0, "assist_pulse_s": 0.18, "belt_threshold": 0.0, "belt_ready": 1.0, "torque_cmd_nm": 0.0,
+}
+TEXT_COLUMNS = ("heel_strike", "imu_heel_strike", "imu_side")
+#: Fixed value: a line of text telemetry with belt length, velocity and, in some, spring torque.
+TELEMETRY_LINE = r"\[TEL\].*?belt=\s*([+-]?\d+\.?\d*)mm.*?vel=\s*([+-]?\d+\.?\d*)mm/s(?:.*?spring_torque=\s*([+-]?\d+\.?\d*))?"
 
 
 def resolve_columns(columns: list[str], overrides: dict[str, str] | None = None) -> dict[str, str]:
@@ -22,25 +49,85 @@ def resolve_columns(columns: list[str], overrides: dict[str, str] | None = None)
     return out
 
 
-def read_samples(spark: SparkSession, path: str, rate: float = 100.0, overrides: dict[str, str] | None = None) -> DataFrame:
-    """The channels of a recording as doubles with ``seq``; cells that are no number are null, missing channels 0.0.
+def _numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The files' columns as text, with session (the file's name), and seq from 0 in the file's order."""
+    raw = spark.read.csv(path, header=True)
+    if raw.isEmpty():
+        raise ValueError(f"no data in {path}")
+    place = raw.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    seq = F.row_number().over(Window.partitionBy("_path").orderBy("_block", "_row")) - 1
+    return place.withColumn("seq", seq.cast("long")).withColumn("session", F.regexp_extract("_path", r"([^/]+?)(?:\.csv)?$", 1)).drop("_path", "_block", "_row")
+
+
+def _number(name: str) -> Column:
+    return F.expr(f"try_cast(`{name}` AS double)")
 
-    A missing time is the row's number over ``rate``, a missing velocity the backward difference of the length.
+
+def read_samples(spark: SparkSession, path: str | list[str], rate: float = 100.0, overrides: dict[str, str] | None = None, max_samples: int | None = None) -> DataFrame:
+    """The channels of recordings as doubles with ``session`` and ``seq``; cells that are no number are null, missing channels 0.0.
+
+    A missing time is the row's number over ``rate``, a missing velocity the backward
+    difference of the length.  ``max_samples`` keeps the first rows of each recording.
     """
-    raw = spark.read.csv(path, header=True)
-    found = resolve_columns(raw.columns, overrides)
-    rows = raw.withColumn("_id", F.monotonically_increasing_id())
-    rows = rows.withColumn("seq", F.row_number().over(Window.orderBy("_id")) - 1)
-    out = rows.select("seq", *[F.expr(f"try_cast(`{found[c]}` AS double)").alias(c) if c in found else F.lit(0.0).alias(c) for c in CHANNELS])
+    rows = _numbered(spark, path)
+    found = resolve_columns([c for c in rows.columns if c not in ("session", "seq")], overrides)
+    out = rows.select("session", "seq", *[_number(found[c]).alias(c) if c in found else F.lit(0.0).alias(c) for c in CHANNELS])
+    if max_samples is not None:
+        out = out.where(F.col("seq") < max_samples)
     if "timestamp" not in found:
         out = out.withColumn("timestamp", F.col("seq") / rate)
     if "belt_velocity" not in found:
-        w = Window.orderBy("seq")
+        w = Window.partitionBy("session").orderBy("seq")
         out = out.withColumn("belt_velocity", derivative(F.col("belt_length"), F.col("timestamp"), w))
     return out
 
 
-def derivative(x, t, w):
+def read_columns(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, without: tuple[str, ...] = ()) -> DataFrame:
+    """``columns`` of recordings, all by default, as doubles, but for those ``without``; a KeyError for one that a file lacks."""
+    rows = _numbered(spark, path)
+    names = columns or [c for c in rows.columns if c not in ("session", "seq")]
+    missing = [c for c in names if c not in rows.columns]
+    if missing:
+        raise KeyError(f"no columns {', '.join(missing)} in {path}")
+    own = [c for c in names if c not in without and c not in ("session", "seq")]
+    return rows.select("session", "seq", *[_number(c).alias(c) for c in own])
+
+
+def read_detector_logs(spark: SparkSession, path: str | list[str], alpha: float = 0.02) -> DataFrame:
+    """Logs of a detector with all columns of the newest: constants, lengths of vectors, the impact and what follows from the step."""
+    rows = _numbered(spark, path)
+    rows = rows.withColumns({c: _number(c) for c in rows.columns if c not in ("session", "seq", *TEXT_COLUMNS)})
+
+    def lacking(name: str, value: Column) -> None:
+        nonlocal rows
+        if name not in rows.columns:
+            rows = rows.withColumn(name, value)
+
+    for name, axes in (("acc_mag", "accel"), ("gyro_mag", "gyro")):
+        lacking(name, magnitude(*[F.col(f"{axes}_{a}") for a in "xyz"]))
+    for name, value in DEFAULTS.items():
+        lacking(name, F.lit(value))
+    lacking("gyro_corrected", F.col("gyro_x"))
+    lacking("gait_cycle_s", 2.0 * F.col("step_period_s"))
+    lacking("cadence_spm", F.when(F.col("step_period_s") > 0, 60.0 / F.nullif(F.col("step_period_s"), F.lit(0.0))).otherwise(0.0))
+    if "acc_residual" not in rows.columns:
+        base = Recurrence("base", lambda x: x, lambda y, x: y + alpha * (x - y), ("x",))
+        keys = rows.select(F.xxhash64("session").alias("session"), "seq", F.col("seq").cast("double").alias("t"), F.col("acc_mag").alias("x"))
+        found = run_machine(keys, base).select(F.col("session").alias("_id"), F.col("seq").alias("_seq"), F.abs(F.col("x") - F.col("base")).alias("acc_residual"))
+        rows = rows.join(found, (F.xxhash64("session") == F.col("_id")) & (F.col("seq") == F.col("_seq"))).drop("_id", "_seq")
+    return rows
+
+
+def telemetry_lines(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Lines of text telemetry as (belt, velocity, spring_torque), 0.0 where there is none, and the other lines as they are."""
+    fits = F.coalesce(F.col(line).rlike(TELEMETRY_LINE), F.lit(False))
+    part = lambda i: F.regexp_extract(line, TELEMETRY_LINE, i)
+    kept = [F.col(c) for c in lines.columns if c != line]
+    out = lines.where(fits).select(*kept, part(1).cast("double").alias("belt"), part(2).cast("double").alias("velocity"), F.coalesce(F.nullif(part(3), F.lit("")).cast("double"), F.lit(0.0)).alias("spring_torque"))
+    return out, lines.where(~fits)
+
+
+def derivative(x: Column, t: Column, w) -> Column:
     """Backward difference; 0 for the first row and where time stands still."""
     dt = t - F.lag(t).over(w)
     return F.coalesce(F.when(dt > 0, (x - F.lag(x).over(w)) / F.nullif(dt, F.lit(0.0))), F.lit(0.0))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from strideline.operators.folds import Machine, run_machine_stream
 from strideline.schema import hours
+from strideline.sources.sinks import blank_non_finite
+from strideline.sources.telemetry import decode_captures
 
 
 def sample_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
@@ -24,3 +29,52 @@ def detect(stream: DataFrame, machine: Machine) -> DataFrame:
 def windowed(stream: DataFrame, late: str = "10 minutes", length: str = "1 day") -> DataFrame:
     """Count and mean of each session's samples by window; rows behind the watermark are dropped and counted by Spark."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", length), "session").agg(F.count("*").alias("n"), F.avg("x").alias("mean_x"))
+
+
+def capture_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+    """Events of captured bytes that arrive as files; a file is a capture of its own."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    raw = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(folder)
+    return decode_captures(raw.select("path", "content"))
+
+
+def paced(stream: DataFrame, seconds: float):
+    """A writer that takes a micro-batch of the stream every so many seconds, to replay recorded files at their pace."""
+    return stream.writeStream.trigger(processingTime=f"{seconds} seconds")
+
+
+def each_batch(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Call ``act`` (rows, number) on each micro-batch of what has arrived, then stop."""
+    return stream.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def log_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append what arrives to a log in CSV, empty cells for what is no number; a batch that is run again replaces its own files."""
+    def write(rows: DataFrame, number: int) -> None:
+        blank_non_finite(rows).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(f"{path}/batch={number}")
+
+    return each_batch(stream, write, checkpoint)
+
+
+def run_until(stream: DataFrame, goal: Callable[[DataFrame], bool], checkpoint: str, timeout: float = 60.0) -> bool:
+    """Run a stream until a micro-batch meets a goal; whether one did before the time was up or the stream ended."""
+    met: list[bool] = []
+
+    def look(rows: DataFrame, number: int) -> None:
+        if not met and goal(rows):
+            met.append(True)
+            raise _GoalMet
+
+    query = each_batch(stream, look, checkpoint)
+    try:
+        query.awaitTermination(timeout)
+    except Exception:  # noqa: BLE001 - the goal ends the query with an error of its own
+        if not met:
+            raise
+    finally:
+        query.stop()
+    return bool(met)
+
+
+class _GoalMet(Exception):
+    """Ends a stream whose goal is met."""

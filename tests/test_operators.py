@@ -352,3 +352,109 @@ def test_a_mean_starts_anew_after_a_value_that_is_not_finite():
     m = folds.Recurrence("y", lambda x: x, lambda y, x: (y + x) / 2)
     assert m.process(m.start(), [0, 1, 2, 3, 4], [2.0, 4.0, math.inf, 8.0, 10.0])[0] == [2.0, 3.0, math.inf, 8.0, 9.0]
     assert folds.smoothing(5.0, 0.01) == pytest.approx(0.01 / (1 / (10 * math.pi) + 0.01))
+
+
+def test_recordings_of_many_files_keep_their_order(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text("belt_mm,acc_x\n" + "".join(f"{i}.5,{i}\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = csv_samples.read_samples(spark, str(tmp_path), max_samples=2500).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 5000 and {r.session for r in rows} == {"a", "b"}
+    assert all(r.belt_length == r.seq + 0.5 and r.accel_x == r.seq and r.timestamp == r.seq / 100 for r in rows)
+    assert {round(r.belt_velocity, 6) for r in rows} == {0.0, 100.0}
+    assert csv_samples.read_columns(spark, f"{tmp_path}/a.csv", without=("acc_x",)).columns == ["session", "seq", "belt_mm"]
+    with pytest.raises(KeyError):
+        csv_samples.read_columns(spark, f"{tmp_path}/a.csv", ["nothing"])
+    (tmp_path / "empty.csv").write_text("belt_mm\n")
+    with pytest.raises(ValueError):
+        csv_samples.read_samples(spark, f"{tmp_path}/empty.csv")
+
+
+def test_detector_logs_get_what_they_lack(spark, tmp_path):
+    (tmp_path / "l.csv").write_text("accel_x,accel_y,accel_z,gyro_x,gyro_y,gyro_z,step_period_s,imu_side\n3,4,0,1,2,2,0.5,left\n0,0,1,0,0,0,0,right\n")
+    a, b = csv_samples.read_detector_logs(spark, f"{tmp_path}/l.csv").orderBy("seq").collect()
+    assert (a.acc_mag, a.gyro_mag, a.acc_residual, a.gait_cycle_s, a.cadence_spm, a.threshold, a.imu_side) == (5.0, 3.0, 0.0, 1.0, 120.0, 0.28, "left")
+    assert b.acc_residual == pytest.approx(4 * 0.98) and b.cadence_spm == 0.0 and b.gyro_corrected == 0.0
+
+
+def test_text_telemetry_parts_from_other_lines(spark):
+    lines = ["[TEL] t=1 belt= -12.5mm vel=3mm/s spring_torque=0.25", "[TEL] belt=4mm x vel= -1.5mm/s", "[RX] other", None]
+    found, other = csv_samples.telemetry_lines(spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "i int, value string"))
+    assert [tuple(r) for r in found.orderBy("i").collect()] == [(0, -12.5, 3.0, 0.25), (1, 4.0, -1.5, 0.0)] and other.count() == 2
+
+
+def test_stream_parser_counts_and_takes_bytes_in_pieces():
+    frame = b"\0" + telemetry.cobs_encode(struct.pack(telemetry.LAYOUT, 1, 1, 7, 77, *range(24))) + b"\0"
+    stream = b"OK\r\n" + frame + b"x=1\n" + b"\0\x05\x01\0" + frame[1:] + b"y" * 200 + b"\n" + b"\0" + b"\x01" * 300 + b"\0" + frame + b"\0bye"
+    whole = telemetry.StreamParser()
+    events = whole.feed(stream)
+    assert [k for k, _ in events].count("frame") >= 2 and events[0] == ("line", b"OK") and whole.dropped >= 3
+    for size in (1, 2, 7, 64):
+        parser, got = telemetry.StreamParser(), []
+        for i in range(0, len(stream), size):
+            got += parser.feed(stream[i : i + size])
+        assert (got, parser.dropped, parser.held) == (events, whole.dropped, whole.held)
+
+
+def test_captures_stream_and_logs(spark, tmp_path):
+    from strideline.sources.registry import SOURCES, open_source, register_source
+    from strideline.streaming import strides as stream
+
+    frame = lambda n: b"\0" + telemetry.cobs_encode(struct.pack(telemetry.LAYOUT, 1, 1, n, 100 * n, 250, *range(23))) + b"\0"
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"c{i}.bin").write_bytes(b"hello\n" + frame(i) + frame(i + 1))
+    rows = open_source(spark, "captures", f"{tmp_path}/in").collect()
+    assert len(rows) == 6 and {r.motor_position for r in rows} == {2.5} and {r.timestamp for r in rows} == {0.0, 1.0, 2.0, 3.0}
+    stream.log_stream(stream.capture_stream(spark, f"{tmp_path}/in").drop("values"), f"{tmp_path}/log", f"{tmp_path}/cp").awaitTermination(60)
+    assert spark.read.option("header", True).csv(f"{tmp_path}/log").where("kind = 'frame'").count() == 6
+    assert stream.run_until(stream.capture_stream(spark, f"{tmp_path}/in"), lambda b: b.where("seq = 2").count() > 0, f"{tmp_path}/cp2")
+    assert not stream.run_until(stream.capture_stream(spark, f"{tmp_path}/in"), lambda b: b.where("seq = 9").count() > 0, f"{tmp_path}/cp3")
+    with pytest.raises(ValueError):
+        open_source(spark, "nothing")
+    with pytest.raises(ValueError):
+        register_source("csv", SOURCES["csv"])
+
+
+def test_low_pass_keeps_slow_waves_in_place():
+    from strideline.functions.filters import low_pass
+
+    t = np.arange(1000) / 100
+    slow, fast = np.sin(2 * np.pi * t), np.sin(2 * np.pi * 30 * t)
+    got = low_pass(slow + fast, 5.0, 100.0)
+    assert np.abs(got - slow)[100:-100].max() < 0.01 and np.allclose(low_pass(np.full(50, 3.0), 5.0, 100.0), 3.0)
+    assert np.array_equal(low_pass(fast[:5], 5.0, 100.0), fast[:5]) and np.array_equal(low_pass(fast, 60.0, 100.0), fast)
+
+
+def test_banks_round_trip_and_refuse(spark, tmp_path):
+    from strideline.operators import models, segments
+
+    refs = spark.createDataFrame([("slow", 1.5, 2.0, [1.0]), ("fast", 0.9, float("nan"), [2.0])], "label string, lower double, upper double, centre array<double>")
+    models.write_bank(refs, f"{tmp_path}/bank")
+    kind, rows = models.read_bank(spark, f"{tmp_path}/bank")
+    assert kind == "bank" and rows.where("upper is null").count() == 1
+    models.write_bank(refs.limit(1), f"{tmp_path}/one")
+    assert models.read_bank(spark, f"{tmp_path}/one")[0] == "reference"
+    with pytest.raises(KeyError):
+        segments.to_vector(refs, ["lower", "nothing"])
+    assert segments.to_vector(refs, ["lower"]).first().vector == [1.5]
+    with pytest.raises(ValueError):
+        models.target_of(F.lit(1), F.lit(1), "elsewhere", 0.5)
+    with pytest.raises(ValueError):
+        C.register_profile("sine", lambda x: x)
+    got = spark.range(1).select(models.warnings_of(F.lit(10), F.lit(1), F.lit(False)).alias("w")).first().w
+    assert len(got) == 3
+
+
+def test_inspect_reports_strides(spark, tmp_path, capsys):
+    from strideline.__main__ import inspected, main
+
+    t = np.arange(2000) / 100
+    (tmp_path / "walk.csv").write_text("t,belt\n" + "".join(f"{a},{-130 - 60 * math.cos(2 * math.pi * a / 1.2):.3f}\n" for a in t))
+    found = inspected(spark, f"{tmp_path}/walk.csv").where("reject_reason = ''").collect()
+    assert 11 <= len(found) <= 16 and all(abs(r.stride_time - 1.2) < 0.06 for r in found)
+    main(["inspect", f"{tmp_path}/walk.csv"])
+    assert "walk" in capsys.readouterr().out
