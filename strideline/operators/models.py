@@ -152,3 +152,37 @@ def warnings_of(n: Column, k: Column, has_reference: Column) -> Column:
         F.when(n < 30, F.concat(F.lit("baseline of "), n.cast("string"), F.lit(" strides; 30 are advised"))),
         F.when(k < 2, F.lit("one state only")), F.when(~has_reference, F.lit("no healthy reference: deviations are from the session's own baseline")),
     ), lambda w: w.isNotNull())
+
+
+def distances(strides: DataFrame, references: DataFrame, mode: str, alpha: float) -> DataFrame:
+    """``strides`` (session, v, ...) with d_patient, d_healthy and d_target; references: (session, centre, healthy), healthy null where there is none."""
+    chosen = references.withColumn("target", target_of(F.col("centre"), F.col("healthy"), mode, alpha)[1])
+    rows = strides.join(chosen.select("session", "centre", "healthy", "target"), "session")
+    rows = rows.withColumns({f"d_{n}": C.distance(F.col("v"), F.col(c)) for n, c in (("patient", "centre"), ("healthy", "healthy"), ("target", "target"))})
+    return rows.drop("centre", "healthy", "target")
+
+
+def distance_scales(measured: DataFrame, first: int) -> DataFrame:
+    """(session, scale_patient, scale_healthy, scale_target): mean and two spreads of the first strides' distances."""
+    nth = F.row_number().over(Window.partitionBy("session").orderBy("stride_id"))
+    early = measured.where("v is not null").withColumn("nth", nth).where(F.col("nth") <= first)
+    return early.groupBy("session").agg(*[(F.avg(f"d_{n}") + 2 * F.stddev_pop(f"d_{n}")).alias(f"scale_{n}") for n in ("patient", "healthy", "target")])
+
+
+def model_json(models_: DataFrame) -> DataFrame:
+    """(session, json) of any model rows; what is not finite is left out."""
+    rows = blank_non_finite(models_)
+    return rows.select("session", F.to_json(F.struct(*[c for c in rows.columns if c != "session"])).alias("json"))
+
+
+def model_of_json(rows: DataFrame, kind: str) -> DataFrame:
+    """Model rows of (session, json); ``kind`` is their schema without the session."""
+    return rows.select("session", F.from_json("json", kind).alias("m")).select("session", "m.*")
+
+
+def centre_distances(centres: DataFrame) -> DataFrame:
+    """(a, b, d) for each two labels of (label, centre), the smaller first; a table of labels is small, and its size is checked."""
+    row = centres.agg(F.array_sort(F.collect_list(F.struct("label", "centre"))).alias("all"))
+    row = row.select(F.when(F.size("all") <= MOST_LABELS, F.col("all")).otherwise(F.raise_error(F.lit(f"{MOST_LABELS} labels at most"))).alias("all"))
+    pairs = row.select(F.posexplode("all").alias("i", "x"), "all").select("x", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("y"))
+    return pairs.select(F.col("x.label").alias("a"), F.col("y.label").alias("b"), C.distance(F.col("x.centre"), F.col("y.centre")).alias("d"))

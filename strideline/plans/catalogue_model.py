@@ -176,12 +176,12 @@ def range_source(spark, d):
 
 # --- policy ------------------------------------------------------------------------------------
 
-def _policy(spark: SparkSession, d: str, **options) -> DataFrame:
+def _policy(scored: DataFrame, **options) -> DataFrame:
     from strideline.operators.policy import AssistPolicy
     from strideline.sources.sinks import Config
 
     raw = C.assist_score(F.col("e_b"), F.col("e_r")) * 0.8
-    rows = K.scored(spark, d).select("session", F.col("stride_id").alias("seq"), F.col("stride_id").cast("double").alias("t"), raw.alias("x"), (F.col("e_r") > 0).alias("ood"), (F.col("e_exc") >= 1).alias("veto"))
+    rows = scored.select("session", F.col("stride_id").alias("seq"), F.col("stride_id").cast("double").alias("t"), raw.alias("x"), (F.col("e_r") > 0).alias("ood"), (F.col("e_exc") >= 1).alias("veto"))
     out = folds.run_machine(rows, AssistPolicy(Config(ood_streak=2, persist=2, settle=4, **options)))
     return out.select("session", F.col("seq").alias("stride_id"), r6("gain", "gain"), "engaged", "updated", "deficits", "recoveries")
 
@@ -197,13 +197,13 @@ def _policy_sql(*swaps: tuple[str, str]) -> str:
 @query(_policy_sql(("WHEN engaged THEN least(gain, 0.2::DOUBLE)", "WHEN engaged THEN 0.05::DOUBLE")))
 def policy_safe_minimum(spark, d):
     """The gain policy that falls to a safe minimum while outliers are engaged."""
-    return _policy(spark, d, ood_policy="safe_minimum", ood_safe_gain=0.05)
+    return _policy(K.scored(spark, d), ood_policy="safe_minimum", ood_safe_gain=0.05)
 
 
 @query(_policy_sql(("WHEN engaged THEN least(gain, 0.2::DOUBLE)", "WHEN engaged THEN 0.25::DOUBLE"), (">= 2 THEN best ELSE gain END - gain", ">= 2 THEN 0.25::DOUBLE ELSE 0.25::DOUBLE END - gain")))
 def policy_fixed_gain(spark, d):
     """The gain policy that leads to a fixed gain whatever the score; a veto still leads to 0."""
-    return _policy(spark, d, fixed_gain=0.25)
+    return _policy(K.scored(spark, d), fixed_gain=0.25)
 
 
 @query(f", p AS ({K.ORACLE['assist_policy']}), n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY stride_id) AS nth FROM p) SELECT session, stride_id, CASE WHEN nth <= {FIRST} THEN 'BASELINE_COLLECTION' WHEN engaged = 1 THEN 'OOD' ELSE 'WALKING' END AS state, nth = {FIRST} AS builds_model FROM n")
@@ -381,3 +381,94 @@ def telemetry_channels(spark, d):
     from strideline.sources.telemetry import decode_captures, encode_captures, scaled_channels
     rows = scaled_channels(decode_captures(encode_captures(samples(spark, d))))
     return rows.select(F.col("path").cast("long").alias("session"), "seq", *[r6(c, c) for c in ("motor_position", "motor_velocity", "belt_length", "accel_z")])
+
+
+# --- distances, errors and the stride table ---------------------------------------------------
+
+_DISTANCES = _BASE + f""", h AS (SELECT avg(cp) AS hp, avg(cq) AS hq, avg(cr) AS hr FROM base WHERE n >= 2 AND session % 3 = 0),
+rf AS (SELECT session, cp, cq, cr, CASE WHEN session % 3 <> 1 THEN hp END AS hp, CASE WHEN session % 3 <> 1 THEN hq END AS hq, CASE WHEN session % 3 <> 1 THEN hr END AS hr FROM base, h WHERE n >= 2),
+tg AS (SELECT *, CASE WHEN hp IS NULL THEN cp ELSE 0.7::DOUBLE * cp + 0.3::DOUBLE * hp END AS tp, CASE WHEN hp IS NULL THEN cq ELSE 0.7::DOUBLE * cq + 0.3::DOUBLE * hq END AS tq, CASE WHEN hp IS NULL THEN cr ELSE 0.7::DOUBLE * cr + 0.3::DOUBLE * hr END AS tr FROM rf),
+ds AS (SELECT v.session, v.stride_id, sqrt((p - cp) ** 2 + (q - cq) ** 2 + (r - cr) ** 2) AS d_patient, sqrt((p - hp) ** 2 + (q - hq) ** 2 + (r - hr) ** 2) AS d_healthy, sqrt((p - tp) ** 2 + (q - tq) ** 2 + (r - tr) ** 2) AS d_target FROM lv v JOIN tg ON tg.session = v.session WHERE p IS NOT NULL),
+sl AS (SELECT ds.session, avg(d_patient) + 2 * stddev_pop(d_patient) AS s_patient, avg(d_healthy) + 2 * stddev_pop(d_healthy) AS s_healthy, avg(d_target) + 2 * stddev_pop(d_target) AS s_target FROM ds JOIN early e ON e.session = ds.session AND e.stride_id = ds.stride_id GROUP BY ds.session)"""
+
+
+@query(_DISTANCES + " SELECT ds.session, ds.stride_id, round(d_patient, 6) AS d_patient, round(d_healthy, 6) AS d_healthy, round(d_target, 6) AS d_target, round(CASE WHEN s_target > 0 THEN least(d_target / s_target, 1) ELSE 0 END, 6)::DOUBLE AS e_manifold, round(CASE WHEN s_patient > 0 THEN least(d_patient / s_patient, 1) END, 6)::DOUBLE AS e_baseline, round(CASE WHEN s_healthy > 0 AND d_healthy IS NOT NULL THEN least(d_healthy / s_healthy, 1) END, 6)::DOUBLE AS e_healthy FROM ds JOIN sl ON sl.session = ds.session")
+def stride_distances(spark, d):
+    """Distances to the session's centre, to a healthy reference and to the target between them, each in its own scale; null is not 0."""
+    vectors = _vectors(spark, d).where("v is not null")
+    base = models.baselines(vectors, FIRST).where("reason = ''").select("session", "centre")
+    healthy = base.where("session % 3 = 0").agg(models.mean_vector("centre", 3).alias("healthy"))  # one row
+    refs = base.join(F.broadcast(healthy)).withColumn("healthy", F.when(F.col("session") % 3 != 1, F.col("healthy")))
+    measured = models.distances(vectors, refs, "interpolated_target", 0.3)
+    rows = measured.join(models.distance_scales(measured, FIRST), "session")
+    share = lambda n: C.clip(F.col(f"d_{n}") / F.nullif(F.col(f"scale_{n}"), F.lit(0.0)), 0.0, 1.0)
+    known = lambda n: F.when((F.col(f"scale_{n}") > 0) & F.col(f"d_{n}").isNotNull(), share(n))
+    return rows.select("session", "stride_id", *[r6(c, c) for c in ("d_patient", "d_healthy", "d_target")], r6(F.coalesce(known("target"), F.lit(0.0)), "e_manifold"), r6(known("patient"), "e_baseline"), r6(known("healthy"), "e_healthy"))
+
+
+#: Terms of the deficit: metric, direction, scale (0: half the interval's width; None: its lower bound) and weight.
+TERMS = [("swing_ratio", "deficit", 0.1, 0.3), ("excursion", "deficit", None, 0.4), ("swing_stance_ratio", "two_sided", 0.25, 0.2), ("rms_x", "excess", 0.0, 0.1)]
+
+
+def _term_sql(metric: str, direction: str, scale: float | None) -> str:
+    low, high = f"greatest({metric}_l - {metric}, 0)", f"greatest({metric} - {metric}_u, 0)"
+    miss = {"deficit": low, "excess": high, "two_sided": f"greatest({low}, {high})"}[direction]
+    span = f"{scale}::DOUBLE" if scale else f"{metric}_l" if scale is None else f"({metric}_u - {metric}_l) / 2"
+    span = f"CASE WHEN {span} > 0 THEN {span} ELSE ({metric}_u - {metric}_l) / 2 END"
+    return f"CASE WHEN {miss} <= 0 THEN 0 WHEN {span} > 0 THEN least({miss} / ({span}), 1) ELSE 1 END"
+
+
+_TERMS = K._RANGES + ", w AS (SELECT m.*, " + ", ".join(f"max(CASE WHEN rg.metric = '{t[0]}' THEN rg.lower END) AS {t[0]}_l, max(CASE WHEN rg.metric = '{t[0]}' THEN rg.upper END) AS {t[0]}_u" for t in TERMS) + " FROM m, rg WHERE reject_reason = '' GROUP BY ALL), te AS (SELECT session, stride_id, " + ", ".join(f"({_term_sql(*t[:3])})::DOUBLE AS e_{t[0]}" for t in TERMS) + " FROM w)"
+
+
+@query(_TERMS + " SELECT session, stride_id, " + ", ".join(f"round(e_{t[0]}, 6) AS e_{t[0]}" for t in TERMS) + ", round(least(" + " + ".join(f"{t[3]}::DOUBLE * e_{t[0]}" for t in TERMS) + ", 1), 6) AS deficit FROM te")
+def deficit_terms(spark, d):
+    """The four terms of the deficit and their weighted sum."""
+    every = K.ranges(spark, d).agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("lower", "upper")))).alias("r"))  # one row
+    rows = K.strides(spark, d).where("valid").join(F.broadcast(every))
+    for metric, direction, scale, _ in TERMS:
+        low, high = F.col("r")[metric]["lower"], F.col("r")[metric]["upper"]
+        rows = rows.withColumn(f"e_{metric}", C.interval_error(F.col(metric), low, high, low if scale is None else F.lit(scale), direction))
+    deficit = C.weighted_deficit([(t[3], F.col(f"e_{t[0]}")) for t in TERMS])
+    return rows.select("session", "stride_id", *[r6(f"e_{t[0]}", f"e_{t[0]}") for t in TERMS], r6(deficit, "deficit"))
+
+
+_TABLE = f"""WITH me AS ({K.ORACLE['stride_metrics']}), di AS ({K.ORACLE['stride_distances']}), an AS ({K.ORACLE['stride_analysis']}), tr AS ({K.ORACLE['trunk_rms']}), te AS ({K.ORACLE['deficit_terms']}),
+po AS ({K.ORACLE['assist_policy']}), so AS ({K.ORACLE['range_source']}), sc AS ({K.ORACLE['assist_score']}), st AS ({K.ORACLE['decision_state']}), sy AS ({K.ORACLE['symmetry']})
+SELECT session, stride_id, 0 AS is_baseline, an.state AS gait_state, CASE an.state WHEN 'OOD' THEN -2 WHEN 'UNKNOWN' THEN -1 ELSE 0 END AS gait_state_id, d_patient, d_healthy, d_target, an.inside::INT AS inside_region, an.deviation AS manifold_deviation, an.delta AS delta_healthy,
+stride_time, swing_time, stance_time, swing_ratio, round(1 - swing_ratio, 6) AS stance_ratio, swing_stance_ratio, 'recorded' AS phase_source, swing_symmetry, stance_symmetry, ratio_symmetry, excursion AS belt_excursion, peak_k AS peak_belt_velocity, tr.rms AS trunk_rms,
+e_swing_ratio AS swing_ratio_error, e_excursion AS belt_excursion_error, e_swing_stance_ratio AS temporal_symmetry_error, e_rms_x AS trunk_error, deficit AS biomechanical_deviation, so.source AS reference_source, st.state AS decision_state, score AS assist_score, raw_gain AS raw_assist_gain,
+e_manifold, e_baseline, e_healthy, round(least(0.5::DOUBLE * e_manifold + 0.3::DOUBLE * e_swing_ratio + 0.2::DOUBLE * e_excursion, 1), 8) AS deviation_score, gain AS assist_gain, round(gain - coalesce(lag(gain) OVER (PARTITION BY session ORDER BY stride_id), 0), 6) AS gain_delta, round(mean_x - 30 * gain, 6) AS target_belt_length,
+(an.state = 'OOD')::INT AS ood_flag, engaged AS ood_engaged, updated AS gain_updated, an.valid::INT AS valid
+FROM po JOIN me USING (session, stride_id) JOIN an USING (session, stride_id) JOIN tr USING (session, stride_id) JOIN te USING (session, stride_id) JOIN so USING (session, stride_id) JOIN sc USING (session, stride_id) JOIN st USING (session, stride_id) LEFT JOIN di USING (session, stride_id) LEFT JOIN sy ON sy.session = po.session AND sy.pair * 2 = po.stride_id"""
+
+
+def stride_table(spark, d):
+    """The result table: a row a valid stride with its state, distances, metrics, errors, decision and gain."""
+    key = ["session", "stride_id"]
+    analysis = stride_analysis(spark, d).select(*key, F.col("valid").alias("analysed"), F.col("state").alias("gait_state"), "inside", "deviation", "delta")
+    sides = K.symmetry(spark, d).select("session", (F.col("pair") * 2).alias("stride_id"), "swing_symmetry", "stance_symmetry", "ratio_symmetry")
+    scored, score = K.scored(spark, d), C.assist_score(F.col("e_b"), F.col("e_r"))
+    scores = scored.select(*key, r6(score, "score"), r6(score * 0.8, "raw_gain"), C.decision_state(F.col("ood"), F.col("e_b"), F.col("e_r")).alias("state"))
+    rows = _policy(scored).drop("deficits", "recoveries").join(K.stride_metrics(spark, d).drop("valid"), key).join(analysis, key).join(trunk_rms(spark, d), key).join(deficit_terms(spark, d), key)
+    rows = rows.join(range_source(spark, d), key).join(scores, key).join(stride_distances(spark, d), key, "left").join(sides, key, "left")
+    before = F.coalesce(F.lag("gain").over(Window.partitionBy("session").orderBy("stride_id")), F.lit(0.0))
+    legacy = F.least(0.5 * F.col("e_manifold") + 0.3 * F.col("e_swing_ratio") + 0.2 * F.col("e_excursion"), F.lit(1.0))
+    number = F.when(F.col("gait_state") == "OOD", -2).when(F.col("gait_state") == "UNKNOWN", -1).otherwise(0)
+    return rows.select(
+        *key, F.lit(0).alias("is_baseline"), "gait_state", number.alias("gait_state_id"), "d_patient", "d_healthy", "d_target", F.col("inside").cast("int").alias("inside_region"), F.col("deviation").alias("manifold_deviation"), F.col("delta").alias("delta_healthy"),
+        "stride_time", "swing_time", "stance_time", "swing_ratio", r6(1 - F.col("swing_ratio"), "stance_ratio"), "swing_stance_ratio", F.lit("recorded").alias("phase_source"), "swing_symmetry", "stance_symmetry", "ratio_symmetry", F.col("excursion").alias("belt_excursion"), F.col("peak_k").alias("peak_belt_velocity"), F.col("rms").alias("trunk_rms"),
+        F.col("e_swing_ratio").alias("swing_ratio_error"), F.col("e_excursion").alias("belt_excursion_error"), F.col("e_swing_stance_ratio").alias("temporal_symmetry_error"), F.col("e_rms_x").alias("trunk_error"), F.col("deficit").alias("biomechanical_deviation"), F.col("source").alias("reference_source"), F.col("state").alias("decision_state"), F.col("score").alias("assist_score"), F.col("raw_gain").alias("raw_assist_gain"),
+        "e_manifold", "e_baseline", "e_healthy", F.round(legacy, 8).alias("deviation_score"), F.col("gain").alias("assist_gain"), r6(F.col("gain") - before, "gain_delta"), r6(F.col("mean_x") - 30 * F.col("gain"), "target_belt_length"),
+        (F.col("gait_state") == "OOD").cast("int").alias("ood_flag"), F.col("engaged").alias("ood_engaged"), F.col("updated").alias("gain_updated"), F.col("analysed").cast("int").alias("valid"),
+    )
+
+
+K.QUERIES["stride_table"], K.ORACLE["stride_table"] = stride_table, _TABLE
+
+
+@query(", " + K._EMB.replace("u AS (SELECT vec_id", "ue AS (SELECT vec_id", 1).replace("FROM u GROUP BY label, i)", "FROM ue GROUP BY label, i)").split(", di AS")[0] + " SELECT a.label AS a, b.label AS b, round(sqrt(sum((a.m - b.m) ** 2)), 6) AS d FROM ce a JOIN ce b ON a.i = b.i AND a.label < b.label GROUP BY a.label, b.label")
+def centre_distances(spark, d):
+    """Distance of each two labels' centres."""
+    out = models.centre_distances(K.centroids(spark, d))
+    return out.select("a", "b", r6("d", "d"))

@@ -458,3 +458,17 @@ def test_inspect_reports_strides(spark, tmp_path, capsys):
     assert 11 <= len(found) <= 16 and all(abs(r.stride_time - 1.2) < 0.06 for r in found)
     main(["inspect", f"{tmp_path}/walk.csv"])
     assert "walk" in capsys.readouterr().out
+
+
+def test_models_go_through_json(spark):
+    from strideline.operators import models
+
+    rows = spark.createDataFrame([(1, 2, [1.0, 2.0], [[0.5], [1.5]], 0.25), (2, 1, [3.0, 4.0], None, float("nan"))], "session long, k int, centre array<double>, centres array<array<double>>, scale double")
+    back = models.model_of_json(models.model_json(rows), "k int, centre array<double>, centres array<array<double>>, scale double")
+    assert [tuple(r) for r in back.orderBy("session").collect()] == [(1, 2, [1.0, 2.0], [[0.5], [1.5]], 0.25), (2, 1, [3.0, 4.0], None, None)]
+    scaling = spark.createDataFrame([(1, ["x"], [1.0], [2.0], ""), (2, ["x"], None, None, "non_finite")], "session long, channels array<string>, mean array<double>, spread array<double>, reason string")
+    values = spark.createDataFrame([(1, 5.0, 1.0), (2, 5.0, 1.0)], "session long, x double, y double")
+    assert [r.x for r in models.scale(values, scaling, ["x"]).orderBy("session").collect()] == [2.0, None]
+    assert [r.x for r in models.scale(values, scaling, ["x", "y"]).orderBy("session").collect()] == [None, None]
+    with pytest.raises(KeyError):
+        models.scale(values, scaling, ["z"])
