@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def covariance(rows: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
@@ -31,13 +32,54 @@ def vectorise(m: np.ndarray) -> np.ndarray:
     return np.where(i == j, 1.0, np.sqrt(2.0)) * m[i, j]
 
 
-def covariance_logs(table: DataFrame) -> DataFrame:
+def merged(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, mean and squared deviations of several groups of rows together."""
+    n, mean, squares = parts[0]
+    for m, other, more in parts[1:]:
+        way = other - mean
+        squares = squares + more + np.outer(way, way) * (n * m / (n + m))
+        mean, n = mean + way * (m / (n + m)), n + m
+    return n, mean, squares
+
+
+def covariances(table: DataFrame, ridge: float, result, schema: str) -> DataFrame:
+    """``result`` (key, n, covariance or None) as a row of ``schema`` for each key of (key, v).
+
+    Each task hands on one row a key: count, mean and squared deviations; so no task ever
+    holds a key's rows, however many.
+    """
+    def partial(batches):
+        held: dict = {}
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            v = np.array(batch.column(1).to_pylist(), float)
+            for key in np.unique(keys):
+                x = v[keys == key]
+                mean = x.mean(axis=0)
+                part = (len(x), mean, (x - mean).T @ (x - mean))
+                held[int(key)] = merged([held[int(key)], part]) if int(key) in held else part
+        rows = [(k, n, mean.tolist(), squares.ravel().tolist()) for k, (n, mean, squares) in held.items()]
+        if rows:
+            k, n, mean, squares = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(n, pa.int64()), pa.array(mean, pa.list_(pa.float64())), pa.array(squares, pa.list_(pa.float64()))], names=["key", "n", "mean", "squares"])
+
+    def whole(group: pa.Table) -> pa.Table:
+        parts = [(n, np.array(m), np.array(q).reshape(len(m), -1)) for n, m, q in zip(*(group[c].to_pylist() for c in ("n", "mean", "squares")), strict=True)]
+        n, _, squares = merged(parts)
+        c = squares / (n - 1) if n > 1 else None
+        return result(group["key"][0].as_py(), n, None if c is None else (c + c.T) / 2 + ridge * np.eye(len(c)))
+
+    parts = table.select(F.col("key").cast("int").alias("key"), "v").mapInArrow(partial, "key int, n long, mean array<double>, squares array<double>")
+    return parts.groupBy("key").applyInArrow(whole, schema)
+
+
+def covariance_logs(table: DataFrame, ridge: float = 1e-6) -> DataFrame:
     """(key, n, log_vector) of rows (key, v); fewer than two rows give a null vector."""
-    def run(group: pa.Table) -> pa.Table:
-        v = np.stack(group["v"].to_pylist()).astype(float)
-        out = vectorise(log_spd(covariance(v))).tolist() if len(v) > 1 else None
-        return pa.table({"key": pa.array([group["key"][0].as_py()], pa.int32()), "n": pa.array([len(v)]), "log_vector": pa.array([out], pa.list_(pa.float64()))})
-    return table.groupBy("key").applyInArrow(run, "key int, n long, log_vector array<double>")
+    def row(key, n, c) -> pa.Table:
+        out = None if c is None else vectorise(log_spd(c)).tolist()
+        return pa.table({"key": pa.array([key], pa.int32()), "n": pa.array([n], pa.int64()), "log_vector": pa.array([out], pa.list_(pa.float64()))})
+
+    return covariances(table, ridge, row, "key int, n long, log_vector array<double>")
 
 
 def unvectorise(v: np.ndarray) -> np.ndarray:
@@ -63,15 +105,14 @@ def nearest_spd(m: np.ndarray, floor: float = 1e-10) -> np.ndarray:
     return (v * np.maximum(w, floor)) @ v.T
 
 
-def matrix_checks(table: DataFrame) -> DataFrame:
+def matrix_checks(table: DataFrame, ridge: float = 1e-6) -> DataFrame:
     """(key, n, reason, least, condition) of rows (key, v): why a key's covariance is not positive definite, its least eigenvalue and condition number."""
     from strideline.operators.clusters import spd_reason
 
-    def run(group: pa.Table) -> pa.Table:
-        v = np.stack(group["v"].to_pylist()).astype(float)
-        m = covariance(v) if len(v) > 1 else np.full((1, 1), np.nan)
+    def row(key, n, c) -> pa.Table:
+        m = np.full((1, 1), np.nan) if c is None else c
         reason = spd_reason(m)
-        finite = reason != "non_finite"
-        least, cond = (float(np.linalg.eigvalsh(m)[0]), condition_number(m)) if finite else (None, None)
-        return pa.table({"key": pa.array([group["key"][0].as_py()], pa.int32()), "n": pa.array([len(v)]), "reason": pa.array([reason]), "least": pa.array([least], pa.float64()), "condition": pa.array([cond], pa.float64())})
-    return table.groupBy("key").applyInArrow(run, "key int, n long, reason string, least double, condition double")
+        least, cond = (float(np.linalg.eigvalsh(m)[0]), condition_number(m)) if reason != "non_finite" else (None, None)
+        return pa.table({"key": pa.array([key], pa.int32()), "n": pa.array([n], pa.int64()), "reason": pa.array([reason]), "least": pa.array([least], pa.float64()), "condition": pa.array([cond], pa.float64())})
+
+    return covariances(table, ridge, row, "key int, n long, reason string, least double, condition double")

@@ -209,14 +209,22 @@ def thresholds(samples: DataFrame) -> DataFrame:
     return samples.select("session", "x").groupBy("session").applyInArrow(run, "session long, threshold double, reset double")
 
 
+#: Rows of a table whose silhouettes are taken.
+MOST_ROWS = 1_000_000
+
+
 def silhouettes(table: DataFrame, block: int = 512) -> DataFrame:
     """(key, label, silhouette) of rows (key, label, v): Euclidean silhouette of every row against all rows.
 
     Rows are packed into blocks of about ``block``, and each block meets each other one in
     a task of its own, which adds its distances up by row and label; so what a task holds does
-    not grow with the table.  A row alone in its label has 0.
+    not grow with the table.  A row alone in its label has 0.  All pairs are measured, which is
+    what a silhouette is: a table of over ``MOST_ROWS`` is an error.
     """
-    n = -(-table.count() // block)  # blocks
+    rows = table.count()
+    if rows > MOST_ROWS:
+        raise ValueError(f"{rows} rows have too many pairs for a silhouette; {MOST_ROWS} at most")
+    n = -(-rows // block)  # blocks
     packed = table.select("key", "label", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("key"), F.lit(max(n, 1))).alias("own"))
     packed = packed.groupBy("own").agg(F.collect_list(F.struct("key", "label", "v")).alias("rows"))
     left = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)).cast("array<long>")))

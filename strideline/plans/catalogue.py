@@ -368,6 +368,10 @@ def interpolate_log(spark, d):
 _EMB = "u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), ce AS (SELECT label, i, avg(v) AS m FROM u GROUP BY label, i), di AS (SELECT u.vec_id, u.label AS own, ce.label, sqrt(sum((u.v - ce.m) ** 2)) AS d FROM u JOIN ce ON u.i = ce.i GROUP BY u.vec_id, u.label, ce.label), rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, label) AS r FROM di), near AS (SELECT a.vec_id, a.own, a.label, a.d AS d1, b.d AS d2 FROM rk a JOIN rk b ON a.vec_id = b.vec_id AND a.r = 1 AND b.r = 2)"
 
 
+#: Labels whose centres are broadcast as one row, at most.
+MOST_LABELS = 1000
+
+
 def centroids(spark: SparkSession, d: str) -> DataFrame:
     """(label, centre): mean vector of each label."""
     parts = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
@@ -377,9 +381,10 @@ def centroids(spark: SparkSession, d: str) -> DataFrame:
 def assigned(spark: SparkSession, d: str) -> DataFrame:
     """(vec_id, own, label, d1, d2): nearest and second nearest centre of each vector.
 
-    The centres, one per label, become one array that each vector is measured against.
+    The centres, one per label, become one array that each vector is measured against; how many there are is checked.
     """
     all_centres = centroids(spark, d).agg(F.collect_list(F.struct("label", "centre")).alias("centres"))
+    all_centres = all_centres.select(F.when(F.size("centres") <= MOST_LABELS, F.col("centres")).otherwise(F.raise_error(F.lit(f"{MOST_LABELS} labels at most"))).alias("centres"))
     rows = table(spark, d, "embeddings").join(F.broadcast(all_centres))
     ranked = F.array_sort(F.transform("centres", lambda c: F.struct(C.distance(F.col("embedding"), c["centre"]).alias("d"), c["label"].alias("label"))))
     rows = rows.select("vec_id", F.col("label").alias("own"), ranked.alias("ranked"))
@@ -621,9 +626,9 @@ QUERIES["matrix_log_nd"] = matrix_log_nd
 
 
 def k_selection(spark, d):
-    """Evidence for the number of clusters among the log vectors of each session's strides."""
+    """Evidence for the number of clusters among the log vectors of each session's baseline, its first 30 strides."""
     from strideline.operators.clusters import choose_clusters
-    return choose_clusters(stride_logs(spark, d).select(F.col("session").alias("key"), "v"))
+    return choose_clusters(stride_logs(spark, d).where("stride_id < 30").select(F.col("session").alias("key"), "v"))
 
 
 def stride_logs(spark: SparkSession, d: str) -> DataFrame:

@@ -472,3 +472,12 @@ def centre_distances(spark, d):
     """Distance of each two labels' centres."""
     out = models.centre_distances(K.centroids(spark, d))
     return out.select("a", "b", r6("d", "d"))
+
+
+K.ORACLE["event_match_f1"] = "WITH RECURSIVE " + K.SAMPLES_SQL + K._BELT + """, de AS (SELECT session, list(t ORDER BY t) AS ts FROM f WHERE event = 'heel_strike' GROUP BY session),
+re AS (SELECT session, t, row_number() OVER (PARTITION BY session ORDER BY t) AS i FROM s WHERE strike), al AS (SELECT session, max(i) AS n FROM re GROUP BY session),
+ma AS (SELECT DISTINCT session, 0::BIGINT AS i, 0 AS hits, coalesce(ts, []) AS remaining FROM (SELECT session FROM re UNION SELECT session FROM de) LEFT JOIN de USING (session)
+  UNION ALL SELECT session, i, hits + (pick IS NOT NULL)::INT, CASE WHEN pick IS NULL THEN remaining ELSE list_filter(remaining, lambda x: x <> pick) END FROM (
+    SELECT ma.session, re.i, ma.hits, ma.remaining, list_sort(list_transform(list_filter(ma.remaining, lambda x: abs(x - re.t) <= 12), lambda x: {'d': abs(x - re.t), 't': x}))[1].t AS pick FROM ma JOIN re ON re.session = ma.session AND re.i = ma.i + 1)),
+ou AS (SELECT ma.session, coalesce(al.n, 0) AS n_reference, coalesce(len(de.ts), 0) AS n_detected, ma.hits FROM ma LEFT JOIN al ON al.session = ma.session LEFT JOIN de ON de.session = ma.session WHERE ma.i = coalesce(al.n, 0))
+SELECT session, n_reference, n_detected, hits::BIGINT AS hits, CASE WHEN n_detected > 0 THEN hits / n_detected ELSE 0 END::DOUBLE AS precision, CASE WHEN n_reference > 0 THEN hits / n_reference ELSE 0 END::DOUBLE AS recall, CASE WHEN hits > 0 THEN 2 * (hits / n_detected) * (hits / n_reference) / (hits / n_detected + hits / n_reference) ELSE 0 END::DOUBLE AS f1 FROM ou"""

@@ -472,3 +472,16 @@ def test_models_go_through_json(spark):
     assert [r.x for r in models.scale(values, scaling, ["x", "y"]).orderBy("session").collect()] == [None, None]
     with pytest.raises(KeyError):
         models.scale(values, scaling, ["z"])
+
+
+def test_covariance_in_parts_equals_the_whole(spark):
+    rng = np.random.default_rng(9)
+    x, key = rng.normal(100, 5, (3000, 4)), rng.integers(0, 3, 3000)
+    rows = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(key, x)] + [(7, [1.0] * 4)], "key int, v array<double>").repartition(5)
+    got = {r.key: r for r in M.covariance_logs(rows).collect()}
+    assert got[7].n == 1 and got[7].log_vector is None
+    for k in range(3):
+        assert np.allclose(got[k].log_vector, M.vectorise(M.log_spd(M.covariance(x[key == k]))), atol=1e-9)
+    checks = {r.key: r for r in M.matrix_checks(rows).collect()}
+    assert checks[0].reason == "" and checks[7].reason == "non_finite" and checks[7].least is None
+    assert np.isclose(checks[1].least, np.linalg.eigvalsh(M.covariance(x[key == 1]))[0])
