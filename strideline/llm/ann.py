@@ -26,7 +26,9 @@ any size is spread over tasks.  Equal vectors are one node: only the ``top + 1``
 smallest ids of a node can be in any answer.
 
 Defined results: rows with a null id take no part; neither do null, zero and
-non-finite vectors, as queries or candidates; ties go to the smaller id.
+non-finite vectors, as queries or candidates; ties go to the smaller id; a row that is
+repeated counts once, as a query and as a candidate; rows of one id with other vectors
+are queries of their own; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -146,13 +148,13 @@ def fitted_probes(index: CrossPolytope, sample: np.ndarray, top: int, recall: fl
 def nearest(table: DataFrame, is_query: Column, top: int = 20, tables: int = TABLES, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the ``top`` nearest of every row for which ``is_query`` (of the column vec_id) holds."""
     vt = vector_table(table, vec_id, embedding)
-    rows = vt.rows.where("vec_id is not null and node is not null")
+    rows = vt.rows.where("vec_id is not null and node is not null").distinct()  # a row that is repeated is one
     by_id = Window.partitionBy("node").orderBy("vec_id")
     ids = stored(rows.withColumn("nth", F.row_number().over(by_id)).where(F.col("nth") <= top + 1).select("node", "vec_id"), "node-ids")
-    asked = stored(rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("node").alias("asker")), "askers")
+    asked = stored(rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("node").alias("asker")).distinct(), "askers")
     best = _best_nodes(vt, asked, top)
     # the first top + 1 ids of each asking vector, then each query without itself
-    named = best.join(ids, "node").select("asker", "score", "vec_id")
+    named = best.join(ids, "node").select("asker", "score", "vec_id").distinct()
     order = [F.desc("score"), F.col("vec_id")]
     named = named.withColumn("nth", F.row_number().over(Window.partitionBy("asker").orderBy(*order))).where(F.col("nth") <= top + 1)
     answers = asked.join(named.drop("nth"), "asker").where("query_id != vec_id")
@@ -208,14 +210,14 @@ def _best_nodes(vt: VectorTable, asked: DataFrame, top: int) -> DataFrame:
         x, q = matrix(left["vec"], d, dtype), matrix(right["vec"], d, dtype)
         floor = right["floor"].to_numpy()
         rough = q @ x.T
-        keep = min(top + 8, len(x))
-        if keep < len(x):
-            best = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
-        else:
-            best = np.arange(len(x))[None, :].repeat(len(q), 0)
-        i, j = np.nonzero(np.take_along_axis(rough, best, 1) >= (floor - 1e-9 * (1 + np.abs(floor)))[:, None])
-        j = best[i, j]
+        # all that may tie with the last one wanted are scored exactly, so that ids can decide
+        least = np.partition(rough, len(x) - top - 1, axis=1)[:, len(x) - top - 1] if len(x) > top + 1 else np.full(len(q), -np.inf)
+        bound = np.maximum(least, floor)
+        i, j = np.nonzero(rough >= (bound - np.where(np.isfinite(bound), 1e-9 * (1 + np.abs(bound)), 0))[:, None])
         score = (q[i] * x[j]).sum(axis=1)
+        order = np.lexsort((left["least_id"].fill_null(2**63 - 1).to_numpy()[j], -score, i))
+        order = order[np.arange(len(order)) - np.searchsorted(i[order], i[order]) <= top]
+        i, j, score = i[order], j[order], score[order]
         mine, theirs = left.take(pa.array(j)), right.take(pa.array(i))
         return pa.table({"asker": theirs["asker"], "node": mine["node"], "least_id": mine["least_id"], "score": pa.array(score)})
 

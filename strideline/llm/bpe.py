@@ -9,7 +9,8 @@ the same merges in the same order.  Pieces met before are looked up.
 
 Defined results: a null text encodes as an empty one; an added token's string in
 a text is that token, as the tokenizers library has it; repeated rows give the
-same result each.
+same result each; an empty table gives an empty one; a text of any length is encoded
+whole.  Files with settings that are not followed are an error (``supported``).
 """
 
 from __future__ import annotations
@@ -82,12 +83,34 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def supported(path: str) -> dict:
+    """A tokenizer file's contents; a ValueError if it has settings that this module does not follow.
+
+    Followed are byte-level BPE files without a normalizer, with the byte-level cutting
+    pattern and no blank put before a text, whose added tokens stand for themselves only.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain_added = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec["added_tokens"])
+    checks = {
+        "model": model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "normalizer": spec.get("normalizer") is None,
+        "pre_tokenizer": cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True),
+        "decoder": (spec.get("decoder") or {}).get("type") == "ByteLevel",
+        "added_tokens": plain_added,
+    }
+    wrong = [k for k, fine in checks.items() if not fine]
+    if wrong:
+        raise ValueError(f"{path}: settings of {', '.join(wrong)} are not supported")
+    return spec
+
+
 class Vocabulary:
     """Merge ranks, token bytes and added tokens of a byte-level BPE file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = supported(path)
         vocab: dict[str, int] = spec["model"]["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         back = {c: b for b, c in byte_symbols().items()}
@@ -158,12 +181,16 @@ class PieceMemory(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = struct.pack("<%dI" % len(found := self.encode_piece(piece)), *found)
         if len(piece) <= CACHE_CHARS:
-            if len(self) >= self.most:
-                for old in list(islice(self, self.most // 2)):
-                    del self[old]
-            self[piece] = ids
+            self.keep(piece, ids)
         return ids
 
+    def keep(self, piece: str, ids: bytes) -> None:
+        """Remember a piece."""
+        if len(self) >= self.most:
+            for old in list(islice(self, self.most // 2)):
+                del self[old]
+        self[piece] = ids
+
 
 class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit integers; ``encode_piece`` gives the ids of one piece."""
@@ -173,15 +200,15 @@ class Encoder:
         self.added = added
         self.splitter = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
 
+    def parts(self, text: str) -> list[tuple[bytes | None, list[str]]]:
+        """The text cut into added tokens, given by their id, and runs of pieces between them."""
+        if self.splitter is None or not any(t in text for t in self.added):
+            return [(None, pieces(text))]
+        return [(self.added[p].to_bytes(4, "little"), []) if i % 2 else (None, pieces(p)) for i, p in enumerate(self.splitter.split(text))]
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text."""
-        if self.splitter is not None and any(t in text for t in self.added):
-            parts = self.splitter.split(text)
-            return b"".join(self.added[p].to_bytes(4, "little") if i % 2 else self._plain(p) for i, p in enumerate(parts))
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.memory.__getitem__, pieces(text)))
+        return b"".join([known if known is not None else b"".join(map(self.memory.__getitem__, p)) for known, p in self.parts(text)])
 
 
 @lru_cache(maxsize=2)

@@ -3,12 +3,16 @@
 1. One pass over the texts gives each document a content key (128 bits of its
    word sequence) and an Order MinHash sketch of its five-word shingles.
    Documents of equal key are copies and go on as one node.
-2. Nodes that agree in any sketch entry are candidates.  A bucket of up to
-   ``SMALL`` nodes yields its pairs; nodes of larger buckets are linked to the
-   bucket's least node only, the components of those links are *clusters*, and a
-   cluster is compared in square blocks of ``BLOCK`` nodes, so a group of any
-   size is spread over tasks and no task or row set holds all its pairs.
-3. Candidates are verified on all their shingles by banded alignment
+2. Nodes that agree in any sketch entry, a bucket, are candidates.  First each bucket's
+   nodes are compared with its leader only, whatever its size: the node that meets most
+   others in all its buckets, so of edited copies the text that they were made of.  What that
+   links is joined to components; a bucket whose nodes all lie in one component is done.
+3. Of the other buckets, pairs across components are compared: those of up to ``SMALL``
+   nodes as pairs.  Components that larger buckets hold together are a *cluster*; its nodes
+   outside its largest component meet all of its nodes in blocks, which stop comparing what
+   they have linked.  So a group of copies of any size costs about one comparison a node, and
+   no task or row set holds all its pairs.
+4. Candidates are verified on all their shingles by banded alignment
    (``omh.aligned_similarity``); links of 0.8 or more are joined to components.
 
 A pair of similarity 0.8 agrees in one entry of four k-mers with probability
@@ -16,11 +20,14 @@ about 0.8**4 = 0.41 where its order is kept, so 32 such entries miss it once in
 pairs.  Where blocks have moved the order seldom agrees, so each hash function also
 gives an entry of its three smallest k-mers without order: 0.8**3 = 0.51 wherever
 they stand, a miss in 1e10 pairs.  The least such rate is that of documents of 4 and
-5 shingles, 0.4 and a miss in about 1e7 pairs.
+5 shingles, 0.4 and a miss in about 1e7 pairs.  In blocks, where very many documents
+share a passage, pairs of longer documents must agree in ``AGREEMENTS`` entries: of 32 with
+0.51 each, a miss in 1e6 pairs.
 
 Defined results: a null or empty text, or one without words, is like no other
 document; documents of fewer than five words are alike only if their words are;
-repeated rows are copies of each other; a null doc_id comes after all others.
+repeated rows are copies of each other; a null doc_id comes after all others; an empty
+table gives an empty one; a text of any length is compared whole.
 """
 
 from __future__ import annotations
@@ -36,7 +43,7 @@ from pyspark.sql import types as T
 
 from strideline.llm.components import connected_components
 from strideline.llm.omh import aligned_similarity, sketch
-from strideline.llm.scratch import free_names, stored
+from strideline.llm.scratch import discard, free_names, map_batches, small_batches, stored
 from strideline.llm.textcore import content_keys, occurrence_labels, shingles, slices, text_buffer, word_hashes
 
 SHINGLE_WORDS = 5
@@ -47,8 +54,10 @@ KMERS = 4
 FREE_KMERS = 3
 #: Nodes of a bucket whose pairs are listed one by one; larger ones go through blocks.
 SMALL = 32
-#: Nodes on a side of a block of a cluster, and pairs of one node checked together.
-BLOCK = 256
+#: Nodes, and shingles of all of them, on a side of a block.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Entries in which two nodes of a block must agree to be compared, if both have at least so many shingles; 1 otherwise.
+AGREEMENTS, AGREEING_SHINGLES = 4, 64
 
 
 class NearDuplicates(NamedTuple):
@@ -76,7 +85,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             entries = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * width, width, dtype=np.int32)), pa.array(values.ravel()))
             mask = pa.array(some)
             nodes, none = _nodes(keys), pa.nulls(j - i, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.compute.if_else(mask, nodes, none), entries], names=["doc_id", "node", "entries"])
+            columns = [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.compute.if_else(mask, nodes, none), pa.array(np.diff(gram_at)), entries]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "node", "shingles", "entries"])
 
 
 def content_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,80 +125,83 @@ def _links(found: list[tuple[bytes, bytes]]) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
 
 
-def _check_leader(leaders: pa.Table, members: pa.Table) -> pa.Table:
-    """Links of one leader among a chunk of its candidates."""
-    found = []
-    for node, raw in dict(zip(leaders["leader"].to_pylist(), leaders["labels"].to_pylist(), strict=True)).items():
-        a = np.frombuffer(raw, np.uint32)
-        order = np.argsort(a)
-        for other, theirs in zip(members["node"].to_pylist(), members["labels"].to_pylist(), strict=True):
-            if aligned_similarity(a, np.frombuffer(theirs, np.uint32), THRESHOLD, order) > 0:
-                found.append((node, other))
-    return _links(found)
+def _check_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (a, b) of (a, b, labels of a, labels of b) that are links."""
+    last, x, order = None, None, None
+    for batch in batches:
+        keep = []
+        for k in range(batch.num_rows):
+            node = batch.column(0)[k].as_py()
+            if node != last:
+                last, x = node, np.frombuffer(batch.column(2)[k].as_py(), np.uint32)
+                order = np.argsort(x)
+            keep.append(aligned_similarity(x, np.frombuffer(batch.column(3)[k].as_py(), np.uint32), THRESHOLD, order) > 0)
+        yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _check_block(table: pa.Table) -> pa.Table:
-    """Spanning links of a block of a cluster: rows of side 0 against those of side 1 (against themselves if there is one side).
+    """Links of a block that join what was apart: rows of side 0 against those of side 1.
 
-    Pairs that links already connect, that share no sketch entry or whose sizes
-    differ too much are skipped; each cannot add a connection.
+    Skipped are pairs that known or found links connect already, that agree in too few
+    sketch entries or whose sizes differ too much.
     """
-    nodes = table["node"].to_pylist()
+    nodes, roots = table["node"].to_pylist(), table["root"].to_pylist()
     side = table["side"].to_numpy()
     labels = [np.frombuffer(x, np.uint32) for x in table["labels"].to_pylist()]
     entries = np.stack([np.asarray(x, dtype=np.int64) for x in table["entries"].to_pylist()])
     size = np.array([len(x) for x in labels])
-    parent = np.arange(len(nodes))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    found = []
+    group = np.unique(np.array(roots, dtype=object), return_inverse=True)[1]  # nodes that are connected have one number
+    major = table["major"].to_numpy(zero_copy_only=False)
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    alone = len(right) == 0
-    group = np.arange(len(nodes))
+    found = []
     for i in left.tolist():
-        others = left[left > i] if alone else right
-        others = others[(group[others] != group[i]) & (np.minimum(size[others], size[i]) >= THRESHOLD * np.maximum(size[others], size[i]))]
-        others = others[(entries[others] == entries[i]).any(axis=1)] if len(others) else others
-        if len(others) == 0:
-            continue
-        order, before = np.argsort(labels[i]), len(found)
+        others = right[(group[right] != group[i]) & (np.minimum(size[right], size[i]) >= THRESHOLD * np.maximum(size[right], size[i]))]
+        agreed = (entries[others] == entries[i]).sum(axis=1)
+        others = others[agreed >= np.where(np.minimum(size[others], size[i]) >= AGREEING_SHINGLES, AGREEMENTS, 1)]
+        order = np.argsort(labels[i]) if len(others) else None
         for k in others.tolist():
-            x, y = root(i), root(k)
-            if x != y and aligned_similarity(labels[i], labels[k], THRESHOLD, order) > 0:
-                parent[max(x, y)] = min(x, y)
+            # two nodes outside the largest component meet twice
+            if group[i] != group[k] and (major[k] or nodes[i] < nodes[k]) and aligned_similarity(labels[i], labels[k], THRESHOLD, order) > 0:
+                group[group == group[k]] = group[i]
                 found.append((nodes[i], nodes[k]))
-        if len(found) > before:
-            group = np.array([root(k) for k in range(len(nodes))])
     return _links(found)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> NearDuplicates:
     """Classes of near-duplicate documents; see the module's text."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, node binary, entries array<long>"
-    sketched = stored(rows.mapInArrow(_sketched, schema), "sketches")
-    nodes = stored(sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("entries").alias("entries")), "nodes")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
+    schema = "doc_id long, tie long, node binary, shingles long, entries array<long>"
+    sketched = stored(map_batches(rows, _sketched, schema), "sketches")
+    # one row stands for a node; ``tie`` tells rows of equal or null id apart
+    nodes = sketched.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("first"), F.first("shingles").alias("shingles"), F.first("entries").alias("entries"))
+    nodes = stored(nodes.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.tie").alias("first_tie"), "shingles", "entries"), "nodes")
 
     entry = nodes.select("node", F.posexplode("entries").alias("place", "value")).select("node", F.xxhash64("place", "value").alias("key"))
     by_key = Window.partitionBy("key")
-    members = entry.select("key", "node", F.count("*").over(by_key).alias("n"), F.min("node").over(by_key).alias("least"))
-    members = stored(members.where("n > 1"), "buckets")
-
-    large = members.where(F.col("n") > SMALL)
-    clusters = stored(connected_components(large.select(F.col("node").alias("a"), F.col("least").alias("b"))), "clusters")
-    links = stored(_verified(rows, nodes, members, clusters), "links")
-
-    roots = connected_components(links)
-    of_node = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    members = stored(entry.select("key", "node", F.count("*").over(by_key).alias("n")).where("n > 1"), "members")
+    reach = members.groupBy("node").agg(F.sum("n").alias("reach"))
+    leader = F.max(F.struct("reach", "node")).over(by_key)["node"]
+    sized, members = members, stored(members.join(reach, "node").select("key", "node", "n", leader.alias("leader")), "buckets")
+    discard(sized)
+    payload = _payload(rows, nodes, members)
+
+    star = stored(members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    first = stored(_verified(star, payload), "links")
+    roots = stored(connected_components(first), "roots")
+    rest = stored(_across(members, roots, star, nodes, payload), "links")
+    links = stored(first.unionByName(rest).distinct(), "links")
+    # the rest links components of the first
+    of_a, of_b = roots.toDF("a", "root_a"), roots.toDF("b", "root_b")
+    between = rest.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = connected_components(between).toDF("first_root", "last_root")
+    of_node = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("first_root"))
+    of_node = of_node.join(joined, "first_root", "left").select("node", F.coalesce("last_root", "first_root").alias("root"))
     # ids: null ones last; a node's least id stands for all its copies
     last = F.coalesce("doc_id", F.lit(2**63 - 1))
     by_node = sketched.where("node is not null").groupBy("node").agg(F.min(last).alias("least_id"), F.count("*").alias("copies"))
     of_node = stored(of_node.join(by_node, "node"), "classes")
+    for table in (nodes, members, payload, star, first, roots, rest):
+        discard(table)
     by_root = of_node.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct("least_id", "node")).alias("keeper"))
     classes = of_node.join(by_root, "root").select("node", "class_id", "class_size", (F.col("keeper.node") == F.col("node")).alias("keeps"))
     found = sketched.select("doc_id", "node").join(classes, "node", "left")
@@ -198,41 +211,53 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return NearDuplicates(documents, links)
 
 
-def _verified(rows: DataFrame, nodes: DataFrame, members: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(a, b): verified links between nodes, enough to connect all that belong together."""
-    small = members.where(F.col("n") <= SMALL).select("key", "node")
-    pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")))
-    pairs = pairs.select(F.col("x.node").alias("leader"), F.col("y.node").alias("node")).distinct()
-    # a pair inside one cluster is compared there
-    one = clusters.select(F.col("node").alias("leader"), F.col("root").alias("left_root"))
-    two = clusters.select("node", F.col("root").alias("right_root"))
-    pairs = pairs.join(one, "leader", "left").join(two, "node", "left").where("left_root is null or right_root is null or left_root != right_root").select("leader", "node")
-    pairs = stored(pairs, "pairs")
-
-    needed = pairs.select("node").union(pairs.select(F.col("leader"))).union(clusters.select("node")).distinct()
-    needed = needed.join(nodes, "node").select("node", "first_id")
-    texts = needed.join(rows, F.col("first_id").eqNullSafe(F.col("doc_id"))).select("node", "text")
-    payload = stored(texts.mapInArrow(_labelled, "node binary, labels binary"), "labels")
-    payload = payload.groupBy("node").agg(F.first("labels").alias("labels"))  # one row where a document is repeated
-    payload = stored(payload, "labels")
-
-    # pairs: a leader's candidates in chunks, its labels once for each chunk
-    degree = pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-    salted = pairs.join(degree, "leader").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    right = salted.join(payload, "node").select("leader", "chunk", "node", "labels")
-    left = degree.join(payload.withColumnRenamed("node", "leader"), "leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "labels")
-    # fresh column identities: both sides come from the same tables
-    left, right = left.toDF("leader", "chunk", "labels"), right.toDF("leader", "chunk", "node", "labels")
-    by_pair = left.groupBy("leader", "chunk").cogroup(right.groupBy("leader", "chunk")).applyInArrow(_check_leader, _LINKS)
-
-    # clusters: each node of chunk i meets the chunks from i on in blocks
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-    placed = clusters.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    placed = placed.join(payload, "node").join(nodes.select("node", "entries"), "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    grid = placed.select("root", "node", "labels", "entries", "own", other)
-    grid = grid.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "labels", "entries")
-    by_block = grid.groupBy("root", "i", "j").applyInArrow(_check_block, _LINKS)
+def _payload(rows: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, labels): the shingles of every node that has a candidate, from one of its rows."""
+    needed = members.select("node").distinct().join(nodes.select("node", "first_id", "first_tie"), "node")
+    texts = needed.join(rows, F.col("first_id").eqNullSafe(F.col("doc_id")) & (F.col("first_tie") == F.col("tie"))).select("node", "text")
+    found = map_batches(texts, _labelled, "node binary, labels binary").groupBy("node").agg(F.first("labels").alias("labels"))  # one row where a document is repeated
+    return stored(found, "labels")
+
+
+def _verified(pairs: DataFrame, payload: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are links."""
+    # fresh column identities: both sides come from the same table
+    left, right = payload.toDF("a", "labels_a"), payload.toDF("b", "labels_b")
+    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "labels_a", "labels_b")
+    return map_batches(rows, _check_pairs, _LINKS)
+
+
+def _across(members: DataFrame, roots: DataFrame, star: DataFrame, nodes: DataFrame, payload: DataFrame) -> DataFrame:
+    """(a, b): links between nodes that share a bucket but no component; enough to connect all that belong together."""
+    small_batches(members.sparkSession)
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+    opened = stored(placed.join(mixed, "key"), "open-buckets")
+
+    small = opened.where(F.col("n") <= SMALL).select("key", "node", "root")
+    pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    by_pair = _verified(stored(pairs, "pairs"), payload)
+
+    large = opened.where(F.col("n") > SMALL)
+    chief = F.max(F.when(F.col("node") == F.col("leader"), F.col("root"))).over(Window.partitionBy("key"))
+    held = connected_components(large.select(F.col("root").alias("a"), chief.alias("b"))).toDF("root", "cluster")
+    met = large.select("node", "root").distinct().join(held, "root").join(nodes.select("node", "shingles"), "node")
+    by_root = met.groupBy("cluster", "root").agg(F.count("*").alias("n"), F.sum("shingles").alias("shingles"))
+    most = F.max(F.struct("n", "root", "shingles"))
+    clusters = by_root.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), most.alias("most"))
+    # nodes and shingles of a cluster, and of what is not in its largest component, decide on its blocks
+    chunks = lambda n, shingles: F.ceil(F.greatest(n / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+    clusters = clusters.select("cluster", F.col("most.root").alias("major_root"), chunks(F.col("n"), F.col("shingles")).alias("rights"), chunks(F.col("n") - F.col("most.n"), F.col("shingles") - F.col("most.shingles")).alias("lefts"))
+    met = met.join(clusters, "cluster").join(payload, "node").join(nodes.select("node", "entries"), "node")
+    met = met.select("cluster", "node", "root", (F.col("root") == F.col("major_root")).alias("major"), "labels", "entries", "lefts", "rights", F.xxhash64("node").alias("salt"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c: F.pmod("salt", F.col(c)).cast("int")
+    left = met.where("not major").withColumn("i", own("lefts")).withColumn("j", every("rights")).withColumn("side", F.lit(0))
+    right = met.withColumn("j", own("rights")).withColumn("i", every("lefts")).withColumn("side", F.lit(1))
+    grid = left.unionByName(right).select("cluster", "i", "j", "side", "node", "root", "major", "labels", "entries")
+    by_block = grid.groupBy("cluster", "i", "j").applyInArrow(_check_block, _LINKS)
     return by_pair.unionByName(by_block).distinct()
 
 
@@ -250,7 +275,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         for batch in content_nodes(batches):
             yield pa.RecordBatch.from_arrays(batch.columns, names=schema.names)
 
-    given = docs.withColumn(node, F.col(text)).mapInArrow(with_node, schema)
+    given = map_batches(docs.withColumn(node, F.col(text)), with_node, schema)
     keys = found.select(F.col("doc_id").alias(kept_id), F.col("node").alias(kept_node)).distinct()
     # both columns are keys of the join: copies of one text, however many, spread by their ids
     held = given.where(F.col(node).isNotNull()).join(keys, (F.col(node) == F.col(kept_node)) & F.col(doc_id).cast("long").eqNullSafe(F.col(kept_id)))

@@ -77,32 +77,46 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, threshold: float, order_a:
     a and b hold distinct labels in text order.  An alignment good enough leaves
     at most ``spare`` k-mers unmatched, so no matched pair of it lies more than
     ``spare`` off the diagonal: matches outside that band are dropped, and the
-    longest increasing chain of the rest is the alignment.  If it falls short
-    although enough k-mers are shared, whole blocks have moved; the band is then
-    laid along each block, and every shared k-mer counts as aligned.
+    longest increasing chain of the rest is the alignment.  If that falls short,
+    whole blocks may have moved: matches are then cut, in the order of b, wherever
+    they leave the band of ``BLOCK_BAND`` about the diagonal they were on, and each
+    such block of at least ``BLOCK_KMERS`` aligned k-mers counts with its own chain.
+    K-mers that are shared but neither on the chain nor in a block do not count.
     """
     na, nb = len(a), len(b)
-    if na == 0 or nb == 0:
+    need = least_aligned(na, nb, threshold)
+    if min(na, nb) < max(need, 1):
         return 0.0
-    need = int(np.ceil(threshold * (na + nb) / (1 + threshold) - 1e-9))
-    if min(na, nb) < need:
-        return 0.0
-    spare = na + nb - 2 * need
     if order_a is None:
         order_a = np.argsort(a)
     at = np.searchsorted(a, b, sorter=order_a)
     at[at == na] = na - 1
     at = order_a[at]
     pos_b = np.flatnonzero(a[at] == b)
-    shared = len(pos_b)
-    if shared < need:
+    if len(pos_b) < need:
         return 0.0
     pos_a = at[pos_b]
-    chain = pos_a[np.abs(pos_a - pos_b) <= spare]
+    chain = pos_a[np.abs(pos_a - pos_b) <= na + nb - 2 * need]
     best = _longest_chain(chain) if len(chain) >= need else 0
     if best < need:
-        best = shared
-    return best / (na + nb - best)
+        best = _in_blocks(pos_a, pos_b)
+    return best / (na + nb - best) if best >= need else 0.0
+
+
+#: Off-diagonal steps that stay inside a moved block, and aligned k-mers that make a block.
+BLOCK_BAND, BLOCK_KMERS = 16, 8
+
+
+def least_aligned(na: int, nb: int, threshold: float) -> int:
+    """Aligned k-mers that two documents of na and nb need."""
+    return int(np.ceil(threshold * (na + nb) / (1 + threshold) - 1e-9))
+
+
+def _in_blocks(pos_a: np.ndarray, pos_b: np.ndarray) -> int:
+    """Aligned k-mers of all blocks; each match is in one of them."""
+    cut = 1 + np.flatnonzero(np.abs(np.diff(pos_a - pos_b)) > BLOCK_BAND)
+    chains = [_longest_chain(x) for x in np.split(pos_a, cut) if len(x) >= BLOCK_KMERS]
+    return sum(c for c in chains if c >= BLOCK_KMERS)
 
 
 def _longest_chain(x: np.ndarray) -> int:

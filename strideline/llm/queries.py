@@ -18,8 +18,10 @@ URL_RULES = [
     url_filter.Rule("block", "example.org", "/en/1"),
     url_filter.Rule("block", "com", "/de/"),
 ]
-#: The list that the cascade encodes: hosts whose pages, and whose subdomains' pages, are not wanted.
-BLOCKED_HOSTS = ["ads-track.example.com", "spam-farm.example.org", "casino-win.example.net", "adult-x.example.com", "cheap-pills.example.net", "free-bets.example.net"]
+#: What the list of unwanted hosts names under each of its domains; their subdomains' pages are unwanted too.
+BLOCKED_NAMES, BLOCKED_DOMAINS = ["ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets"], ["example.com", "example.net", "example.org"]
+#: First hex digits of the md5 of the hosts, and of the pages (host and path), that stand for the rest of a list of production size.
+LISTED_HOSTS, LISTED_PAGES = "01", "0"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -45,9 +47,25 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def blocked_hosts() -> list[str]:
+    """The named hosts of the list."""
+    return [f"{n}.{d}" for n in BLOCKED_NAMES for d in BLOCKED_DOMAINS]
+
+
+def url_list(pages: DataFrame) -> DataFrame:
+    """The list (key) that the production cascade encodes: the named hosts, and hosts and pages of the corpus by their md5."""
+    rows = url_filter.split_urls(pages).where("host != ''").select("host", "path", F.concat("host", "path").alias("page"))
+    first = lambda c: F.substring(F.md5(c), 1, 1)
+    hosts = rows.select(F.col("host").alias("key")).where(first("key").isin(*LISTED_HOSTS))
+    single = rows.where("path != ''").select(F.col("page").alias("key")).where(first("key").isin(*LISTED_PAGES))
+    named = pages.sparkSession.createDataFrame([(h,) for h in blocked_hosts()], "key string")
+    return named.union(hosts).union(single).distinct()
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
-    return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_HOSTS)
+    pages = read_table(spark, sf_dir, "pages")
+    return url_filter.judge_urls(pages, URL_RULES, url_list(pages))
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,10 +165,14 @@ WITH cut AS (
     WHEN ('.' || host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
     WHEN ('.' || host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
   FROM named
+), listed AS (
+  SELECT DISTINCT host AS key FROM named WHERE host <> '' AND md5(host)[1] IN ({", ".join(f"'{c}'" for c in LISTED_HOSTS)})
+  UNION SELECT unnest([{", ".join(f"'{h}'" for h in blocked_hosts())}])
 )
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN {" OR ".join(f"('.' || host) LIKE '%.{h}'" for h in BLOCKED_HOSTS)} THEN 'block' ELSE 'allow' END AS verdict
+  WHEN host <> '' AND path <> '' AND md5(host || path)[1] IN ({", ".join(f"'{c}'" for c in LISTED_PAGES)}) THEN 'block'
+  WHEN EXISTS (SELECT 1 FROM listed WHERE host = key OR ends_with(host, '.' || key)) THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
 """
 
@@ -171,6 +193,22 @@ FROM judged GROUP BY row_id, doc_id
 """
 
 
+VECTORS_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings
+  WHERE len(embedding) = (SELECT len(embedding) FROM embeddings WHERE len(embedding) > 0 GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id WHERE list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.9
+), reached AS (
+  SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT l.b, r.root FROM reached r JOIN links l ON l.a = r.vec_id
+), least AS (
+  SELECT vec_id, min(root) AS component_id FROM reached GROUP BY vec_id
+)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e JOIN least USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op1_mixing": MIXING_SQL, "op2_url_filter": URL_SQL, "op10_line_dedup": LINES_SQL}
+    return {"op1_mixing": MIXING_SQL, "op2_url_filter": URL_SQL, "op9_vector_join": VECTORS_SQL, "op10_line_dedup": LINES_SQL}

@@ -2,29 +2,39 @@
 
 Base spans come from three patterns.  The method adds spans of kind ``random``:
 runs of at least ``MIN_LENGTH`` characters whose make-up implies an encoding (hex,
-base 32, digits with letters of one or both cases, base 64).  Each is tested
-against the hypothesis that its characters are drawn evenly and independently
-from that encoding's alphabet:
+base 32, digits with letters of one or both cases, letters of both cases, base 64).
+Each is tested against the hypothesis that its characters are drawn evenly and
+independently from that encoding's alphabet:
 
 * chi-squared of the character counts (Wilson-Hilferty to a normal score),
 * the number of runs above and below the alphabet's middle,
 * the serial correlation of neighbouring characters,
 
-and the least of the three p-values, times three, is the string's.  Strings are
-dismissed as ordinary by the Benjamini-Hochberg rule, one family for each band of
-lengths over the whole corpus, as short strings give the tests little to go on:
-so at most a share ``RATE`` of the dismissed is expected to be random.  What
-cannot be dismissed is reported, unless a base span overlaps it.
+and the least of the three p-values, combined as that of three independent tests, is
+the string's: about even between 0 and 1 if the string is random, near 0 if it is not.
+
+What is reported is controlled: of the strings with p >= t in a family, as many are
+expected to be random as the family holds random ones, times 1 - t.  How many it holds
+is estimated from those with p >= ``EVEN``, where ordinary strings seldom get.  The
+least t is taken at which the rest, the ordinary strings, are at most a share ``RATE``
+of the reported.  Each band of lengths is a family of its own over the whole corpus, as
+short strings give the tests little to go on.  A base span is not reported again.
+
+Not tested are strings of lower-case letters, or of capitals, alone: at these lengths
+the tests cannot tell a long word from random letters.
 
 Everything is a column expression.  One pass writes the few spans and scores of
 each document; the families' counts come from that slim table.
 
 Defined results: a null text is an empty one and has no spans; repeated rows are
-judged each for itself and counted each in its family.
+judged each for itself and counted each in its family; strings of equal p are all
+reported or none is; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +48,7 @@ ASSIGN_VALUE, ACCESS_LENGTH = 12, 18
 MIN_LENGTH = 20
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 BANDS = (32, 64, 128)
-RATE = 0.05
+RATE, EVEN = 0.05, 0.5
 #: p-values are counted in steps of a hundredth of a power of ten, up to this many.
 STEPS = 4000
 
@@ -51,6 +61,7 @@ ENCODINGS = (
     (r"^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$", _DIGITS + _LOWER),
     (r"^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$", _DIGITS + _UPPER),
     (r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[0-9A-Za-z]+$", _UPPER + _LOWER + _DIGITS),
+    (r"^(?=.*[A-Z])(?=.*[a-z])[A-Za-z]+$", _UPPER + _LOWER),
     (r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[0-9A-Za-z+/]+$", _UPPER + _LOWER + _DIGITS + "+/"),
     (r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[0-9A-Za-z_-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
 )
@@ -83,7 +94,7 @@ def _candidates(text: Column) -> Column:
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + x["gap"]
         e = s + F.coalesce(F.length(x["word"]), F.lit(0))
-        mixed = F.coalesce(x["word"].rlike("[0-9]") & x["word"].rlike("[A-Za-z]"), F.lit(False))
+        mixed = F.coalesce(x["word"].rlike("[0-9A-Z]") & x["word"].rlike("[0-9a-z]") & x["word"].rlike("[A-Za-z]"), F.lit(False))
         item = F.array(F.struct(s.alias("s"), e.alias("e"), x["word"].alias("word")))
         return F.struct(e.alias("at"), F.when(mixed, F.concat(acc["out"], item)).otherwise(acc["out"]).alias("out"))
 
@@ -134,7 +145,8 @@ def p_value(word: Column, alphabet: Column) -> Column:
         total = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
         lagged = F.aggregate(pairs, F.lit(0.0), lambda acc, q: acc + (q["a"] - mean) * (q["b"] - mean))
         p_serial = F.when(total <= 0, F.lit(1e-40)).otherwise(2 * _tail(F.abs(lagged / F.greatest(total, F.lit(1e-12)) + 1 / n) * F.sqrt(n)))
-        return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
+        least = F.least(F.lit(1.0), p_chi, p_runs, p_serial)
+        return F.when(least < 1e-6, 3 * least).otherwise(1 - F.pow(1 - least, F.lit(3.0)))
 
     return _let(codes, battery)
 
@@ -165,8 +177,8 @@ def spans(docs: DataFrame) -> DataFrame:
     return raw.select("doc_id", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hexes").cast("long").alias("n_hex"), F.array_sort(F.concat("assign", "access", "hexes")).alias("base"), tested.alias("tested"))
 
 
-def dismissal_steps(found: DataFrame, rate: float = RATE) -> dict[int, int]:
-    """For each band the least step at which strings are dismissed: Benjamini-Hochberg on the counted p-values.
+def reported_steps(found: DataFrame, rate: float = RATE) -> dict[int, int]:
+    """For each band the largest step, that is the least p-value, at which strings are reported; see the module's text.
 
     At most ``STEPS`` counts of each band come to the driver.
     """
@@ -174,10 +186,13 @@ def dismissal_steps(found: DataFrame, rate: float = RATE) -> dict[int, int]:
     out = {}
     for band in {r["band"] for r in rows}:
         counts = {r["step"]: r["n"] for r in rows if r["band"] == band}
-        total, upto = sum(counts.values()), 0
-        for s in sorted(counts, reverse=True):
+        even = int(-100 * math.log10(EVEN))
+        random = sum(n for s, n in counts.items() if s <= even) / (1 - 10 ** (-(even + 1) / 100))
+        upto = 0
+        for s in sorted(counts):
             upto += counts[s]
-            if 10 ** (-s / 100) <= rate * upto / total:
+            # the step holds p-values above 10 ** (-(s + 1) / 100)
+            if upto - random * (1 - 10 ** (-(s + 1) / 100)) <= rate * upto:
                 out[band] = s
     return out
 
@@ -185,16 +200,16 @@ def dismissal_steps(found: DataFrame, rate: float = RATE) -> dict[int, int]:
 def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, the three counts, and ``base`` and ``all`` spans (s, k, e) sorted by start and kind, of every document."""
     found = stored(spans(docs), "secret-spans")
-    least = dismissal_steps(found, rate)
+    least = reported_steps(found, rate)
 
     def limit_of(c: Column) -> Column:
-        out = F.lit(STEPS + 1)
+        out = F.lit(-1)
         for band, s in least.items():
             out = F.when(c["band"] == band, s).otherwise(out)
         return out
 
     clear = lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (b["e"] > c["s"]))
-    more = F.transform(F.filter("tested", lambda c: (c["step"] < limit_of(c)) & clear(c)), lambda c: F.struct(c["s"].alias("s"), F.lit(3).alias("k"), c["e"].alias("e")))
+    more = F.transform(F.filter("tested", lambda c: (c["step"] <= limit_of(c)) & clear(c)), lambda c: F.struct(c["s"].alias("s"), F.lit(3).alias("k"), c["e"].alias("e")))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base", F.array_sort(F.concat("base", more)).alias("all"))
 
 

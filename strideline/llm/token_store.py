@@ -15,12 +15,15 @@ Decoding looks the control bytes up in a table of four lengths each, sums them t
 offsets and gathers unaligned 32-bit words, without a loop over ids.
 
 Defined results: a null text is an empty one (one id, the end id); null doc_ids
-come first; rows that repeat a doc_id follow each other.
+come first; rows that repeat a doc_id follow each other; an empty table gives an empty
+store; a text of any length is encoded whole.  A tokenizer file with settings that the
+cutting into pieces does not follow is an error (see ``bpe.supported``).
 """
 
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm.bpe import Encoder, byte_symbols
+from strideline.llm.bpe import CACHE_CHARS, Encoder, supported
 from strideline.llm.scratch import discard, map_batches, stored
 
 #: Ids after which a block is closed.
@@ -69,17 +72,37 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 STORE_PIECES = 700_000
 
 
-@lru_cache(maxsize=2)
-def library_encoder(path: str) -> Encoder:
-    """Encoder whose unknown pieces go through the tokenizers library's model, kept for the life of a worker."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class LibraryEncoder(Encoder):
+    """Texts to ids; the pieces of a batch of texts that are not remembered go through the tokenizers library together."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    # the library's own model on a piece in the symbols of its byte-level step
-    model, symbols = tokenizer.model, byte_symbols()
-    return Encoder(lambda piece: [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(symbols))], added, STORE_PIECES)
+        supported(path)
+        library = Tokenizer.from_file(path)
+        library.no_padding()
+        library.no_truncation()
+        self.library = library
+        super().__init__(lambda piece: library.encode(piece, add_special_tokens=False).ids, {t.content: i for i, t in library.get_added_tokens_decoder().items()}, STORE_PIECES)
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts."""
+        cut = [self.parts(t) for t in texts]
+        memory = self.memory
+        new = {x for parts in cut for known, run in parts if known is None for x in run}.difference(memory)
+        fresh = [p for p in new if len(p) <= CACHE_CHARS]
+        for i in range(0, len(fresh), 10_000):
+            group = fresh[i : i + 10_000]
+            for piece, found in zip(group, self.library.encode_batch_fast(group, add_special_tokens=False), strict=True):
+                memory.keep(piece, struct.pack("<%dI" % len(ids := found.ids), *ids))
+        return [b"".join([known if known is not None else b"".join(map(memory.__getitem__, p)) for known, p in parts]) for parts in cut]
+
+
+@lru_cache(maxsize=2)
+def library_encoder(path: str) -> LibraryEncoder:
+    """Encoder of a tokenizer file, kept with its memory for the life of a worker."""
+    return LibraryEncoder(path)
 
 
 @lru_cache(maxsize=2)
@@ -94,8 +117,12 @@ def _id_type(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFrame:
-    """(shard, doc_id, local_start, ids) in ascending order; local_start counts the ids before in the shard."""
+def _counted(rows: list, kind: str, size: int) -> np.ndarray:
+    return np.bincount(np.frombuffer(b"".join(raw for _, _, raw in rows), kind), minlength=size)
+
+
+def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, kind: str, size: int) -> DataFrame:
+    """(shard, doc_id, local_start, ids) in ascending order; local_start counts the ids before in the shard, -1 marks a shard's token counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, total = library_encoder(tokenizer), TaskContext.get().partitionId(), 0
@@ -105,38 +132,41 @@ def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataF
             ids, starts, raw = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.int32()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(raw, pa.binary())], names=["shard", "doc_id", "local_start", "ids"])
 
+        count = np.zeros(size, np.int64)
         for batch in batches:
             rows, held = [], 0
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                raw = np.frombuffer(enc.encode(text.as_py() or ""), "<u4").astype(kind).tobytes() + end
-                rows.append((doc_id.as_py(), total, raw))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_batch([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                raw = np.frombuffer(ids, "<u4").astype(kind).tobytes() + end
+                rows.append((doc_id, total, raw))
                 total += len(raw) // len(end)
                 held += len(raw)
                 if held >= FLUSH_BYTES:
+                    count += _counted(rows, kind, size)
                     yield out(rows)
                     rows, held = [], 0
             if rows:
+                count += _counted(rows, kind, size)
                 yield out(rows)
+        # one more row: how often the shard holds each token, deflated
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.array([zlib.compress(count.tobytes(), 1)], pa.binary())], names=["shard", "doc_id", "local_start", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("tie"))
     placed = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     return map_batches(placed, run, "shard int, doc_id long, local_start long, ids binary")
 
 
-def _ranking(ids: DataFrame, size: int, kind: str) -> np.ndarray:
+def _ranking(ids: DataFrame, size: int) -> np.ndarray:
     """All ids, the most frequent first. At most one row per token of the vocabulary comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for raw in batch.column(0):
-                total += np.bincount(np.frombuffer(raw.as_py(), kind), minlength=size) if len(raw.as_py()) > 4 * size else 0
-            short = b"".join(r for x in batch.column(0) if len(r := x.as_py()) <= 4 * size)
-            total += np.bincount(np.frombuffer(short, kind), minlength=size)
+            for raw in batch.column(0).to_pylist():
+                total += np.frombuffer(zlib.decompress(raw), np.int64)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["token", "n"])
 
-    rows = map_batches(ids.select("ids"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = map_batches(ids.where("local_start < 0").select("ids"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     count = np.zeros(size, np.int64)
     for r in rows:
         count[r["token"]] = r["n"]
@@ -148,8 +178,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
     spark = docs.sparkSession
     size = max(vocabulary_size(tokenizer), end_id + 1)
     kind = _id_type(size)
-    ids = stored(_tokenised(docs, tokenizer, end_id, kind), "token-ids", "zstd")
-    order = _ranking(ids, size, kind)
+    counted = stored(_tokenised(docs, tokenizer, end_id, kind, size), "token-ids", "zstd")
+    order = _ranking(counted, size)
+    ids = counted.where("local_start >= 0")
     rank = np.empty(size, np.uint32)
     rank[order] = np.arange(size, dtype=np.uint32)
     # one number for each shard, as many as the tasks that wrote them
@@ -182,6 +213,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
     packed = map_batches(ids, blocks, "start long, doc_ids array<long>, counts array<long>, control binary, data binary, shard int")
     packed.write.option("compression", "none").partitionBy("shard").parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(order.astype("<u4").tobytes()),)], "ids binary").coalesce(1).write.parquet(f"{path}/meta")
+    discard(counted)
 
 
 def _documents(spark: SparkSession, path: str, schema: str, row: callable, names: list[str]) -> DataFrame:

@@ -10,10 +10,14 @@ does not hold it.
 
 Filters are literals in the plan.  Their size follows the *list*, not the corpus;
 a list whose filters would pass ``MAX_BITS`` is dealt by hash to several
-cascades of that size each.
+cascades of that size each, ``MOST_SHARDS`` at most (about 56 million keys), since a
+plan must be shipped to every task; a longer list is an error.
+
+Keys are domains, which stand for their subdomains too, and single pages (host and path).
 
 Defined results: a null url and one without ``://`` have an empty host and path,
-fit no rule and are on no list, so they are allowed.
+fit no rule and are on no list, so they are allowed; repeated rows are judged each
+for itself; an empty table gives an empty one; urls of any length are read whole.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from strideline.llm.scratch import discard, stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits of one literal filter at most (1 MB).
 MAX_BITS = 1 << 23
+MOST_SHARDS = 64
 
 
 class Rule(NamedTuple):
@@ -157,6 +162,8 @@ def build_cascade(listed: DataFrame, universe: DataFrame, first_rate: float = 0.
     others = stored(universe.where("key is not null").distinct().join(listed, "key", "left_anti"), "unlisted")
     bits = -listed.count() * math.log(first_rate) / math.log(2) ** 2
     n_shards = max(1, math.ceil(bits / MAX_BITS))
+    if n_shards > MOST_SHARDS:
+        raise ValueError(f"a list of {n_shards} filters of {MAX_BITS} bits is too long for a plan; {MOST_SHARDS} are possible")
     shards = []
     for s in range(n_shards):
         mine = _hash(F.col("key"), 97, n_shards) == s
@@ -171,24 +178,34 @@ def build_cascade(listed: DataFrame, universe: DataFrame, first_rate: float = 0.
         for t in old:
             discard(t)
         shards.append(levels)
+    discard(listed)
+    discard(others)
     return Cascade(shards)
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], listed_hosts: list[str], page_id: str = "page_id", url: str = "url") -> DataFrame:
+def split_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
+    """page_id, host and path of every page."""
+    whole = F.coalesce(url, F.lit(""))
+    return pages.select(F.col(page_id).alias("page_id"), host_of(whole).alias("host"), path_of(whole).alias("path"))
+
+
+def judge_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame | list[str], page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule and verdict of every page.
 
-    A rule decides where one fits; elsewhere a url is blocked if its host or one of
-    the host's parent domains is listed.
+    A rule decides where one fits; elsewhere a url is blocked if its host, one of the
+    host's parent domains, or its host and path together is ``listed``, a list or the
+    column ``key`` of a table.
     """
-    rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.coalesce(url, F.lit(""))).alias("host"), path_of(F.coalesce(url, F.lit(""))).alias("path"))
-    hosts = sorted({h.translate(str.maketrans(UPPER, LOWER)) for h in listed_hosts if h})
-    depth = max([h.count(".") + 1 for h in hosts], default=1)
-    spark = pages.sparkSession
-    listed = spark.createDataFrame([(h,) for h in hosts], "key string")
-    universe = rows.select("host").distinct().select(F.explode(host_keys(F.col("host"), depth)).alias("key"))
+    rows = split_urls(pages, page_id, url)
+    if isinstance(listed, list):
+        listed = pages.sparkSession.createDataFrame([(k,) for k in sorted({k for k in listed if k})], "key string")
+    # the host of a key is lower-cased, a path is as it is
+    listed = listed.select(F.concat(F.translate(F.substring_index("key", "/", 1), UPPER, LOWER), F.substring(F.col("key"), F.length(F.substring_index("key", "/", 1)) + 1, F.length("key"))).alias("key"))
+    depth = listed.agg(F.max(F.size(F.split(F.substring_index("key", "/", 1), r"\."))).alias("n")).first()["n"] or 1
+    keys = lambda: F.array_append(host_keys(F.col("host"), depth), F.concat("host", "path"))
+    universe = rows.select("host", "path").distinct().select(F.explode(keys()).alias("key")).distinct()
     cascade = build_cascade(listed, universe)
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     keyed = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"))
-    keys = host_keys(F.col("host"), depth)
-    on_list = F.exists(keys, cascade.lists)
+    on_list = F.exists(keys(), cascade.lists)
     return keyed.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(on_list, "block").otherwise("allow")).alias("verdict"))

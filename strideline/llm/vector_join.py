@@ -20,7 +20,7 @@ threshold or above it is decided in double precision on the original vectors.
 
 Defined results: a vector that takes no part (see ``vectors``) has no links and is
 its own component; equal vectors always link; a null id is no component's name
-unless nothing else is.
+unless nothing else is; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ from strideline.llm.scratch import discard, map_batches, stored
 from strideline.llm.vectors import VectorTable, binaries, matrix, sampled, vector_table
 
 #: Vectors of a cell that are aimed at, pivots at most, and the sides of a block.
-PER_CELL, MOST_PIVOTS = 4096, 1024
-OWN, OTHERS = 2048, 4096
+PER_CELL, MOST_PIVOTS = 16384, 1024
+OWN, OTHERS = 8192, 16384
 #: Slack of the bounds and margin of the single-precision filter.
 SLACK, MARGIN = 1e-6, 1e-4
 
@@ -105,23 +105,38 @@ def _join_cells(vt: VectorTable, threshold: float) -> DataFrame:
     count, reach = np.zeros(max(len(pivots), 1), np.int64), np.full(max(len(pivots), 1), -1.0)
     for r in sizes:
         count[r["cell"]], reach[r["cell"]] = r["n"], r["far"]
-    later = count.sum() - np.cumsum(count)
+    def visited(dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(own cell, rows by cells whether a vector visits the cell)."""
+        own = dist.argmin(axis=1)
+        near = dist[np.arange(len(own)), own]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = (dist**2 - near[:, None] ** 2) / (2 * between[own])
+        plane[~np.isfinite(plane)] = 0
+        return own, (np.arange(len(pivots))[None, :] < own[:, None]) & (dist <= reach[None, :] + radius) & (plane <= radius)
+
+    def visitors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(pivots), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                total += visited(distances(matrix(batch.column(0), d, dtype)))[1].sum(axis=0)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["cell", "n"])
+
+    # blocks are sized by the vectors that really come
+    guests = np.zeros(max(len(pivots), 1), np.int64)
+    if len(pivots):
+        for r in map_batches(vt.nodes.select("vec"), visitors, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+            guests[r["cell"]] = r["n"]
     own_chunks = np.maximum(1, -(-count // OWN)).astype(np.int64)
-    all_chunks = np.maximum(1, -(-(count + later) // OTHERS)).astype(np.int64)
+    all_chunks = np.maximum(1, -(-(count + guests) // OTHERS)).astype(np.int64)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(cell, chunk, other_chunk, own, node, vec, copies): each vector in the blocks of its own cell and of those it visits."""
         for whole in batches:
             for s in range(0, whole.num_rows, 2048):
                 batch = whole.slice(s, 2048)
-                dist = distances(matrix(batch.column(1), d, dtype))
-                own = dist.argmin(axis=1)
+                own, visits = visited(distances(matrix(batch.column(1), d, dtype)))
                 row = np.arange(len(own))
-                near = dist[row, own]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = (dist**2 - near[:, None] ** 2) / (2 * between[own])
-                plane[~np.isfinite(plane)] = 0
-                visits = (np.arange(len(pivots))[None, :] < own[:, None]) & (dist <= reach[None, :] + radius) & (plane <= radius)
                 salt = np.frombuffer(b"".join(x[-4:] for x in batch.column(0).to_pylist()), ">u4").astype(np.int64)
                 parts = []
                 # as own: one chunk of its cell's own vectors, every chunk of the others
@@ -183,6 +198,8 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id
     links = found.where("other is null").groupBy("node").agg(F.sum("n").alias("links"))
     nodes = vt.nodes.select("node", "least_id", "copies").join(links, "node", "left").join(roots, "node", "left")
     nodes = stored(nodes.select("node", "least_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), "linked")
+    for table in (found, vt.nodes):
+        discard(table)
     least = nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = nodes.join(least, "root").select("node", "n_links", "component_id")
     out = vt.rows.join(named, "node", "left")

@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import math
 import re
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -111,13 +113,13 @@ def test_cascade_is_exact_on_its_universe(spark):
 
 def test_urls(spark):
     rows = [(1, "http://A.Example.ORG/es/x?q"), (2, "https://example.org/en/12#t"), (3, None), (4, "no scheme"), (5, "ftp://x.com/fr/"), (6, "http://m.free-bets.example.net"), (7, "http://notfree-bets.example.net/a"), (8, "http://org"), (9, "http://x.org?/"), (9, "http://x.org?/")]
-    got = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES, queries.BLOCKED_HOSTS).collect()}
+    got = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES, queries.blocked_hosts()).collect()}
     assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("a.example.org", "/es/x", "example.org/es/", "block")
     assert (got[2].rule, got[2].verdict) == ("example.org/en/1", "block")
     assert (got[3].host, got[3].path, got[3].rule, got[3].verdict) == ("", "", None, "allow")
     assert got[4].host == "" and got[5].rule == "com/fr/" and got[6].verdict == "block" and got[7].verdict == "allow"
     assert got[8].rule is None and got[9].path == ""
-    assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES, queries.BLOCKED_HOSTS).count() == 0
+    assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES, queries.blocked_hosts()).count() == 0
 
 
 # --- 3, 8 tokens
@@ -182,6 +184,40 @@ def test_language_of_held_out_documents(spark):
     assert got.score.between(0, 1).all()
 
 
+def plain_forward(text, model):
+    """(label, score) of one text: every filter at every place of every window, one after another."""
+    raw, total = text.encode(), np.zeros(len(model.languages))
+    for begin in range(0, len(raw), langid.WINDOW):
+        part = raw[begin : begin + langid.WINDOW]
+        window = list(part) + [0] * (langid.WINDOW - len(part))
+        hidden = []
+        for w, b in zip(model.weights, model.bias):
+            for f in range(w.shape[2]):
+                hidden.append(max(0.0, max(sum(w[j][window[i + j]][f] for j in range(len(w))) for i in range(langid.WINDOW - len(w) + 1)) + b[f]))
+        z = [sum(h * d for h, d in zip(hidden, model.dense[:, k])) + model.dense_bias[k] for k in range(len(total))]
+        e = [np.exp(v - max(z)) for v in z]
+        total += np.array(e) / sum(e) * len(part)
+    return model.languages[int(total.argmax())], total.max() / len(raw)
+
+
+def test_language_equals_a_plain_forward_pass(spark):
+    docs = queries.read_table(spark, "/root/testdata/sf0.001", "documents")
+    model = langid.fit(docs)
+    some = docs.where("length(text) < 2000").orderBy("doc_id").limit(25).unionByName(spark.createDataFrame([(900, "é" * 100, None, None, None), (901, "a", None, None, None), (901, "a", None, None, None)], docs.schema))
+    some = spark.createDataFrame(some.collect(), docs.schema)
+    got = langid.identify(some, model, keep=["doc_id", "text"]).collect()
+    assert len(got) == 28
+    for r in got:
+        label, score = plain_forward(r.text, model)
+        assert r.score == pytest.approx(score, abs=1e-4) and (r.lang_pred == label or score < 0.3)
+
+
+def test_language_of_a_tie_and_of_a_very_long_text(spark):
+    model = langid.ByteCnn(["aa", "bb"], [np.zeros((w, 256, langid.FILTERS)) for w in langid.WIDTHS], [np.zeros(langid.FILTERS) for _ in langid.WIDTHS], np.zeros((langid.FILTERS * len(langid.WIDTHS), 2)), np.zeros(2))
+    rows = spark.createDataFrame([(1, "some text"), (2, "word " * 400_000)], "doc_id long, text string")
+    assert {(r.lang_pred, r.score) for r in langid.identify(rows, model).collect()} == {("aa", 0.5)}
+
+
 def test_language_of_odd_rows(docs, none):
     got = langid.identify(docs, langid.fit(docs)).toPandas()
     assert len(got) == len(ROWS)
@@ -203,12 +239,47 @@ def test_every_language_is_in_the_sample(spark):
 # --- 5 near-duplicates
 
 def plain_shingles(text):
+    """Five-word runs in text order, each with how often it came before."""
     words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(mixing.WORD, text or "")]
-    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+    runs, seen, out = [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else [], collections.Counter(), []
+    for run in runs:
+        out.append((run, seen[run]))
+        seen[run] += 1
+    return out
+
+
+def plain_chain(x):
+    """Longest increasing subsequence by the quadratic recurrence, or at once if all of it increases."""
+    if all(p < q for p, q in zip(x, x[1:])):
+        return len(x)
+    best = []
+    for i, v in enumerate(x):
+        best.append(1 + max((best[j] for j in range(i) if x[j] < v), default=0))
+    return max(best)
+
+
+def plain_aligned(a, b):
+    """Whether two lists of labelled runs are aligned to 0.8 about the main diagonal or block by block."""
+    place = {g: i for i, g in enumerate(a)}
+    match = [(place[g], j) for j, g in enumerate(b) if g in place]
+    enough = lambda n: n > 0 and n >= 0.8 * (len(a) + len(b) - n) - 1e-9
+    if not enough(len(match)):
+        return False
+    spare = len(a) + len(b) - 2 * min(n for n in range(len(a) + len(b) + 1) if enough(n))
+    inside = [i for i, j in match if abs(i - j) <= spare]
+    if inside and enough(plain_chain(inside)):
+        return True
+    blocks = [[match[0]]]
+    for before, now in zip(match, match[1:]):
+        if abs((now[0] - now[1]) - (before[0] - before[1])) > 16:
+            blocks.append([])
+        blocks[-1].append(now)
+    chains = [plain_chain([i for i, _ in block]) for block in blocks]
+    return enough(sum(c for c in chains if c >= 8))
 
 
 def plain_classes(texts):
-    sets = [plain_shingles(t) for t in texts]
+    lists = [plain_shingles(t) for t in texts]
     parent = list(range(len(texts)))
 
     def root(i):
@@ -217,13 +288,11 @@ def plain_classes(texts):
         return i
 
     holders = collections.defaultdict(list)
-    for i, s in enumerate(sets):
+    for i, s in enumerate(lists):
         for g in s:
             holders[g].append(i)
-    for pair in {(a, b) for v in holders.values() for a in v for b in v if a < b}:
-        a, b = pair
-        both = len(sets[a] & sets[b])
-        if both / (len(sets[a]) + len(sets[b]) - both) >= 0.8:
+    for a, b in {(a, b) for v in holders.values() for a in v for b in v if a < b}:
+        if root(a) != root(b) and plain_aligned(lists[a], lists[b]):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
     return [root(i) for i in range(len(texts))]
@@ -257,6 +326,59 @@ def test_near_copies_with_moved_parts(spark):
     assert [got[i] for i, _ in rows] == want
 
 
+def test_runs_in_another_order_are_no_copies(spark):
+    rng, rows = np.random.default_rng(8), []
+    runs = [" ".join(f"r{i}x{j}" for j in range(5)) for i in range(120)]
+    for k, order in enumerate((range(120), reversed(range(120)), rng.permutation(120))):
+        rows.append((k, " ".join(runs[i] for i in order)))
+    a = np.arange(1, 301, dtype=np.uint32)
+    assert omh.aligned_similarity(a, a[::-1].copy(), 0.8) == 0.0 and omh.aligned_similarity(a, rng.permutation(a), 0.8) == 0.0
+    assert {r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).documents.collect()} == {0, 1, 2}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=60, unique=True), st.integers(0, 2**32 - 1))
+def test_alignment_equals_the_plain_one(a, seed):
+    rng = np.random.default_rng(seed)
+    b = list(a)
+    for _ in range(int(rng.integers(0, 4))):
+        i, j = sorted(rng.integers(0, len(b) + 1, 2).tolist())
+        b = [b[j:] + b[i:j] + b[:i], b[:i] + [int(rng.integers(100, 200))] + b[i + 1 :], b[:i] + b[i:j][::-1] + b[j:], b[:i] + b[i + 1 :]][int(rng.integers(4))]
+    b = list(dict.fromkeys(b)) or [7]
+    assert (omh.aligned_similarity(np.array(a, np.uint32), np.array(b, np.uint32), 0.8) > 0) == plain_aligned(a, b)
+
+
+def test_links_across_buckets_that_the_least_node_does_not_reach(spark, monkeypatch):
+    # a chain of texts, each near the next only, with a passage that all share, so that buckets hold several components
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(k, shared + " " + " ".join(f"w{k // 40}x{i}" for i in range(2 * (k % 40), 2 * (k % 40) + 60))) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_classes([t for _, t in rows])
+    assert len(set(want)) == 3
+    for small in (near_dup.SMALL, 1):
+        monkeypatch.setattr(near_dup, "SMALL", small)
+        monkeypatch.setattr(near_dup, "BLOCK", 16)
+        got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).documents.collect()}
+        assert [got[k] for k in range(120)] == want
+
+
+def test_null_ids_and_very_long_texts(spark, monkeypatch):
+    long = " ".join(f"l{i}" for i in range(4000))
+    rows = [(None, f"text {k // 2} " * 3 + f"of a null id with words of its own {k // 2} {k // 2}a {k // 2}b") for k in range(300)] + [(1, long), (2, long + " more"), (3, "x" * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = near_dup.near_duplicates(docs).documents.collect()
+    assert sorted(r.class_size for r in whole if r.doc_id is None) == [2] * 300
+    assert {r.class_id for r in whole if r.doc_id in (1, 2)} == {1}
+    buf, at = textcore.text_buffer(pa.array([t for _, t in rows]))
+    want = textcore.word_hashes(buf, at)
+    monkeypatch.setattr(textcore, "SLICE_BYTES", 97)
+    textcore._kept_powers.cache_clear()
+    got = textcore.word_hashes(buf, at)
+    textcore._kept_powers.cache_clear()
+    assert all(np.array_equal(x, y) for x, y in zip(got, want, strict=True))
+    assert near_dup.near_duplicates(docs.limit(0)).documents.count() == 0
+
+
 def test_near_copies_of_few_words_share_an_entry():
     labels = textcore.mix64(np.arange(1, 50001, dtype=np.uint64)).reshape(-1, 5)
     short = omh.sketch(labels[:, :4].ravel(), np.arange(0, 40001, 4), near_dup.ENTRIES, near_dup.KMERS, near_dup.FREE_KMERS)
@@ -315,13 +437,69 @@ def test_base_spans(spark, docs, none):
     assert secret_scan.find_secrets(docs).count() == len(ROWS) and secret_scan.find_secrets(none).count() == 0
 
 
+def plain_p(word):
+    """p-value of the battery for one string; None where its make-up implies no encoding."""
+    letters = next((a for p, a in secret_scan.ENCODINGS if re.fullmatch(p.strip("^$"), word)), None)
+    if letters is None:
+        return None
+    x, k, n = [letters.index(c) for c in word], len(letters), len(word)
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    chi = sum(c * c for c in collections.Counter(x).values()) * k / n - n
+    spread = 2 / (9 * (k - 1))
+    p = [tail(((chi / (k - 1)) ** (1 / 3) - (1 - spread)) / math.sqrt(spread))]
+    high = [v * 2 >= k for v in x]
+    ones = sum(high)
+    runs, both = 1 + sum(a != b for a, b in zip(high, high[1:])), 2 * ones * (n - ones)
+    if ones in (0, n):
+        p.append(0.5 ** (n - 1))
+    else:
+        var = both * (both - n) / (n * n * (n - 1))
+        p.append(1.0 if var <= 0 else 2 * tail(abs(runs - 1 - both / n) / math.sqrt(var)))
+    mean = sum(x) / n
+    total = sum((v - mean) ** 2 for v in x)
+    p.append(0.0 if total == 0 else 2 * tail(abs(sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / total + 1 / n) * math.sqrt(n)))
+    return 1 - (1 - min(1.0, *p)) ** 3
+
+
+def plain_random(texts):
+    """Spans (document, start, end) of kind random."""
+    found = []
+    for d, text in texts.items():
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", text):
+            p = plain_p(m[0]) if re.search("[0-9A-Z]", m[0]) and re.search("[0-9a-z]", m[0]) and re.search("[A-Za-z]", m[0]) else None
+            if p is not None:
+                found.append((sum(len(m[0]) >= b for b in secret_scan.BANDS), p, d, m.start(), m.end()))
+    out = set()
+    for band in range(4):
+        mine = [f for f in found if f[0] == band]
+        step = lambda p: min(secret_scan.STEPS, int(-100 * math.log10(max(p, 1e-39)) // 1))
+        random = sum(step(f[1]) <= 30 for f in mine) / (1 - 10**-0.31)
+        good = [s for s in {step(f[1]) for f in mine} if (n := sum(step(f[1]) <= s for f in mine)) - random * (1 - 10 ** (-(s + 1) / 100)) <= 0.05 * n]
+        out |= {f[2:] for f in mine if good and step(f[1]) <= max(good)}
+    return {(d, s, e) for d, s, e in out if not any(b[0] < e and b[2] > s for b in plain_spans(texts[d]))}
+
+
 def test_random_strings_are_found_and_words_are_not(spark):
     rng = np.random.default_rng(1)
-    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
-    rows = [(i, "see " + "".join(rng.choice(letters, 48))) for i in range(40)] + [(100 + i, "see Section12SectionSectionSectionSection" + "ti" * i) for i in range(40)]
-    got = {r.doc_id: r.all for r in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(len(got[i]) for i in range(40)) >= 34
-    assert sum(len(got[100 + i]) for i in range(40)) <= 2
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    texts = {i: "see " + draw(lower + upper + digits, 48) for i in range(40)}
+    texts |= {100 + i: "see Section12SectionSectionSectionSection" + "ti" * i for i in range(40)}
+    texts |= {200 + i: "a " + draw(lower + upper, int(rng.integers(20, 32))) + " b" for i in range(40)}  # no digit, short
+    texts |= {300 + i: draw(upper + digits, 24) + " x " + draw("0123456789abcdef", 40) for i in range(40)}
+    texts |= {400 + i: "getInternationalConfigurationOf" + draw(lower[:4], i) + " key-value-pairs-with-words-2024" for i in range(60)}
+    got = {d: [] for d in texts}
+    for r in secret_scan.find_secrets(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        got[r.doc_id] = [(r.doc_id, x.s, x.e) for x in r.all if x.k == 3]
+    assert {x for v in got.values() for x in v} == plain_random(texts)
+    assert sum(len(got[i]) for i in range(40)) >= 30 and sum(len(got[200 + i]) for i in range(40)) >= 28
+    assert sum(len(got[i]) for i in texts if i // 100 in (1, 4)) <= 6
+
+
+def test_nothing_random_in_ordinary_text(spark):
+    texts = [(i, f"Section{i}SectionSectionSectionSection word-by-word-by-word-{i} CamelCaseNamesOfManyWordsTogether{i}") for i in range(200)]
+    got = secret_scan.find_secrets(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sum(len(r.all) for r in got) <= 10
 
 
 # --- 7, 9 vectors
@@ -388,6 +566,28 @@ def test_nearest_where_no_number_of_probes_is_enough(spark):
         assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == np.argsort(-score)[:20].tolist()
 
 
+def test_nearest_with_ties_and_repeated_rows(spark):
+    # many vectors tie exactly with the last that is wanted, and rows are repeated
+    rows = [(0, [1.0, 0.0, 0.0, 0.0], 0)] * 3 + [(i, [0.5, float(i), 1.0, 0.0], 0) for i in range(200, 0, -1)] + [(300, [0.9, 0.0, 0.0, 1.0], 0)] * 2
+    got = ann.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0).toPandas()
+    assert got[got.query_id == 0].sort_values("rank").vec_id.tolist() == [300, *range(1, 20)]
+    assert not got.duplicated(["query_id", "rank"]).any() and not got.duplicated(["query_id", "vec_id"]).any()
+    assert set(got.groupby("query_id").size()) == {20}
+
+
+def test_recall_on_the_largest_table(spark):
+    table = queries.read_table(spark, "/root/testdata/sf0.1", "embeddings")
+    got = ann.nearest(table, F.col("vec_id") % 20 == 0).toPandas()
+    rows = table.select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    x, hit = np.stack(rows.embedding).astype(np.float32).astype(float), 0
+    at = {i: k for k, i in enumerate(rows.vec_id.tolist())}
+    for q, mine in got.groupby("query_id"):
+        score = x @ x[at[q]]
+        score[at[q]] = -np.inf
+        hit += len(set(rows.vec_id.to_numpy()[np.argsort(-score, kind="stable")[:20]]) & set(mine.vec_id))
+    assert hit / len(got) >= 0.9
+
+
 def plain_components(ids, x):
     u = x / np.linalg.norm(x, axis=1)[:, None]
     link = u @ u.T >= 0.9
@@ -441,6 +641,11 @@ def plain_lines(rows):
     return out
 
 
+def test_lines_of_many_null_ids(spark):
+    rows = [(None, f"a line that all of them share\nown line number {k % 150} of text", None, None, None) for k in range(600)] + [(5, "a line that all of them share", None, None, None)]
+    assert collections.Counter(map(tuple, line_dedup.digests(spark.createDataFrame(rows, DOC)).collect())) == plain_lines(rows)
+
+
 def test_lines_of_odd_rows(docs, none):
     assert collections.Counter(map(tuple, line_dedup.digests(docs).collect())) == plain_lines(ROWS)
     assert line_dedup.digests(none).count() == 0

@@ -2,7 +2,7 @@
 
 import pytest
 
-from strideline.plans import catalogue
+from strideline.plans import catalogue, catalogue_model  # noqa: F401 - adds its queries
 
 SMALL = "/root/testdata/sf0.001"
 
