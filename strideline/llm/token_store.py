@@ -27,6 +27,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideline.llm.bpe import CACHE_CHARS, Encoder, supported
+from strideline.llm.cutting import parts, piece_starts
 from strideline.llm.scratch import discard, map_batches, stored
+from strideline.llm.textcore import slices, text_buffer
 
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 18
@@ -72,8 +75,18 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 STORE_PIECES = 700_000
 
 
+#: New pieces that go through the library as one text, and bytes of text that are cut at a time.
+JOINED, CUT_BYTES = 4096, 1 << 21
+
+
 class LibraryEncoder(Encoder):
-    """Texts to ids; the pieces of a batch of texts that are not remembered go through the tokenizers library together."""
+    """Texts to ids; each piece that is not remembered goes through the tokenizers library.
+
+    The pieces of many texts are cut at once, and only the distinct ones among them are looked
+    up.  New pieces that start with a blank and go on with another sign are cut again where they
+    were cut before if they stand one after the other, so many of them are one text to the
+    library; the lengths of its tokens in bytes part their ids again.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -84,19 +97,91 @@ class LibraryEncoder(Encoder):
         library.no_padding()
         library.no_truncation()
         self.library = library
-        super().__init__(lambda piece: library.encode(piece, add_special_tokens=False).ids, {t.content: i for i, t in library.get_added_tokens_decoder().items()}, STORE_PIECES)
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts."""
-        cut = [self.parts(t) for t in texts]
+        added = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+        # a byte-level token has one character for each byte
+        tokens = library.get_vocab(with_added_tokens=True)
+        self.token_length = np.zeros(max(tokens.values()) + 1, np.int64)
+        for token, i in tokens.items():
+            self.token_length[i] = len(token)
+        self.may_join = not any(" " in t for t in added)
+        super().__init__(lambda piece: library.encode(piece, add_special_tokens=False).ids, added, STORE_PIECES)
+
+    def encode_texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column, and the n + 1 offsets of each text's in them."""
+        buf, at = text_buffer(column)
+        ids, counts = [], [np.zeros(1, np.int64)]
+        for i, j in slices(at, CUT_BYTES):
+            raw = buf[at[i] : at[j]].tobytes()
+            for found, n in self._encoded(raw, at[i : j + 1] - at[i]):
+                ids.append(found)
+                counts.append(n)
+        return np.concatenate([*ids, np.zeros(0, "<u4")]), np.cumsum(np.concatenate(counts))
+
+    def _encoded(self, raw: bytes, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, number of each text's) for runs of the texts that ``at`` cuts raw into."""
+        if any(t.encode() in raw for t in self.added):
+            for i, j in pairwise(at.tolist()):
+                text = raw[i:j].decode()
+                if any(t in text for t in self.added):
+                    ids = np.frombuffer(self.encode(text), "<u4")
+                    yield ids, np.array([len(ids)])
+                else:
+                    yield self._cut_and_encoded(raw[i:j], np.array([0, j - i]))
+        else:
+            yield self._cut_and_encoded(raw, at)
+
+    def _cut_and_encoded(self, raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without added tokens; a long one is cut in parts."""
+        if len(at) > 2 or len(raw) <= CUT_BYTES:
+            return self._pieces_encoded(raw, at)
+        ids = np.concatenate([self._pieces_encoded(x, np.array([0, len(x)]))[0] for x in parts(raw, CUT_BYTES)])
+        return ids, np.array([len(ids)])
+
+    def _pieces_encoded(self, raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start = piece_starts(raw, at)
+        if len(start) == 0:
+            return np.zeros(0, "<u4"), np.zeros(len(at) - 1, np.int64)
+        offsets = np.append(start, len(raw))
+        pieces = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(raw)).dictionary_encode()
+        known = self._looked_up(pieces.dictionary.to_pylist())
+        size = np.array([len(x) for x in known]) // 4
+        begin, which = np.cumsum(size) - size, pieces.indices.to_numpy()
+        size, begin = size[which], begin[which]
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)
+        ids = np.frombuffer(b"".join(known), "<u4")[place]
+        return ids, np.diff(np.append(0, ends)[np.searchsorted(start, at)])
+
+    def _looked_up(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of some distinct pieces; what was not remembered is now."""
         memory = self.memory
-        new = {x for parts in cut for known, run in parts if known is None for x in run}.difference(memory)
-        fresh = [p for p in new if len(p) <= CACHE_CHARS]
-        for i in range(0, len(fresh), 10_000):
-            group = fresh[i : i + 10_000]
-            for piece, found in zip(group, self.library.encode_batch_fast(group, add_special_tokens=False), strict=True):
-                memory.keep(piece, struct.pack("<%dI" % len(ids := found.ids), *ids))
-        return [b"".join([known if known is not None else b"".join(map(memory.__getitem__, p)) for known, p in parts]) for parts in cut]
+        single, joined = [], []
+        for p in filterfalse(memory.__contains__, pieces):
+            if len(p) <= CACHE_CHARS:
+                (joined if self.may_join and len(p) > 1 and p[0] == " " and not p[1].isspace() else single).append(p)
+        fresh = {}
+        for i in range(0, len(single), JOINED):
+            group = single[i : i + JOINED]
+            found = self.library.encode_batch_fast(group, add_special_tokens=False)
+            fresh.update((p, struct.pack("<%dI" % len(ids := x.ids), *ids)) for p, x in zip(group, found, strict=True))
+        for i in range(0, len(joined), JOINED):
+            group = joined[i : i + JOINED]
+            fresh.update(zip(group, self._encode_joined(group), strict=True))
+        out = [fresh[p] if p in fresh else memory[p] for p in pieces] if fresh else [memory[p] for p in pieces]
+        for p, ids in fresh.items():
+            memory.keep(p, ids)
+        return out
+
+    def _encode_joined(self, group: list[str]) -> list[bytes]:
+        """Ids of each of some pieces that are cut again when joined."""
+        ids = np.array(self.library.encode_batch_fast(["".join(group)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(self.token_length[ids])
+        wanted = np.cumsum([len(p.encode()) for p in group])
+        last = np.searchsorted(ends, wanted)
+        if last[-1] != len(ids) - 1 or not np.array_equal(ends[last], wanted):
+            raise ValueError("the tokenizers library cut joined pieces elsewhere")
+        raw, at = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
+        return [raw[x:y] for x, y in pairwise(at)]
 
 
 @lru_cache(maxsize=2)
@@ -135,8 +220,10 @@ def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, kind: str, size: in
         count = np.zeros(size, np.int64)
         for batch in batches:
             rows, held = [], 0
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_batch([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                raw = np.frombuffer(ids, "<u4").astype(kind).tobytes() + end
+            ids, at = enc.encode_texts(batch.column(1))
+            whole, at = ids.astype(kind).tobytes(), (at * len(end)).tolist()
+            for doc_id, i, j in zip(batch.column(0).to_pylist(), at, at[1:], strict=False):
+                raw = whole[i:j] + end
                 rows.append((doc_id, total, raw))
                 total += len(raw) // len(end)
                 held += len(raw)

@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import itertools
 import math
+import random
 import re
 import struct
 import zlib
@@ -15,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strideline.llm import ann, bpe, langid, line_dedup, mixing, near_dup, omh, queries, secret_scan, textcore, token_store, url_filter, vector_join
+from strideline.llm import ann, bpe, cutting, langid, line_dedup, mixing, near_dup, omh, queries, secret_scan, textcore, token_store, url_filter, vector_join
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "erhe thing anon ".join(f"w{i} " for i in range(3000))
@@ -147,6 +149,37 @@ def test_encoding_equals_the_library(library, text):
     assert bpe.decode(struct.pack(f"<{len(ids)}I", *ids), bpe.vocabulary(queries.tokenizer_path())) == library.decode(ids, skip_special_tokens=False)
 
 
+_SIGNS = " \t\n\r\x0b\x1c\x85\xa0 ​'''sdtmrevlabzSé1²Ⅷ.!-中́🙂"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*_SIGNS, "<|endoftext|>", " don't", "'ll"]), max_size=30).map("".join), max_size=6))
+def test_texts_encoded_together_equal_the_library(library, texts):
+    ids, at = token_store.library_encoder(queries.tokenizer_path()).encode_texts(pa.array([*texts, None], pa.string()))
+    want = [library.encode(t, add_special_tokens=False).ids for t in [*texts, ""]]
+    assert [ids[i:j].tolist() for i, j in itertools.pairwise(at)] == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(_SIGNS, max_size=30), max_size=6))
+def test_pieces_cut_together_equal_the_pattern(texts):
+    at = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    want, offset = [], 0
+    for piece in (p for t in texts for p in bpe.pieces(t)):
+        want.append(offset)
+        offset += len(piece.encode())
+    assert cutting.piece_starts("".join(texts).encode(), at).tolist() == want
+
+
+def test_long_texts_are_cut_in_parts_without_a_trace(library, monkeypatch):
+    monkeypatch.setattr(token_store, "CUT_BYTES", 64)
+    text = "".join(random.Random(5).choices([*_SIGNS, " word", " two", ".  "], k=3000))
+    parts = list(cutting.parts(text.encode(), 64))
+    assert len(parts) > 20 and b"".join(parts).decode() == text and [p for x in parts for p in bpe.pieces(x.decode())] == bpe.pieces(text)
+    ids, at = token_store.library_encoder(queries.tokenizer_path()).encode_texts(pa.array(["a", text, ""]))
+    assert ids[at[1] : at[2]].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_long_pieces_merge_like_short_ones(library):
     for text in ("a" * 1000, "ab" * 700 + "é" * 90):
         assert np.frombuffer(bpe.encoder(queries.tokenizer_path()).encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
