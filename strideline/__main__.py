@@ -1,4 +1,7 @@
-"""``python -m strideline inspect RECORDING``: how a recording in CSV falls into strides."""
+"""``python -m strideline inspect RECORDING``: how a recording in CSV falls into strides.
+
+``python -m strideline simulate RECORDING OUT`` replays it and writes the stride log.
+"""
 
 from __future__ import annotations
 
@@ -8,31 +11,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideline.operators import folds, segments
+from strideline.plans.batch import replay
 from strideline.sources.csv_samples import read_samples
+from strideline.sources.settings import Detection, Settings, from_json, override
+from strideline.sources.sinks import write_log
 
 
-def inspected(spark: SparkSession, path: str, rate: float = 100.0) -> DataFrame:
-    """Strides of recordings by the belt trigger, with the reason of those that are rejected."""
-    rows = read_samples(spark, path, rate)
-    name = F.xxhash64("session")
-    found = folds.run_machine(rows.select(name.alias("session"), "seq", F.col("timestamp").alias("t"), F.col("belt_length").alias("x")), folds.BeltTrigger(tau=2.0, refractory=0.35))
+def detected(spark: SparkSession, path: str, detection: Detection) -> DataFrame:
+    """Samples of recordings with the belt trigger's strikes and phases; ``session`` is a hash of the name ``recording``."""
+    rows = read_samples(spark, path, detection.rate).withColumnRenamed("session", "recording")
+    rows = rows.select(F.xxhash64("recording").alias("session"), "recording", "seq", F.col("timestamp").alias("t"), F.col("belt_length").alias("x"), F.col("belt_velocity").alias("k"))
+    found = folds.run_machine(rows.select("session", "seq", "t", "x"), folds.BeltTrigger(tau=detection.tau, refractory=detection.refractory))
+    found = found.select("session", "seq", "event").join(rows, ["session", "seq"])
     hit, off = F.col("event") == "heel_strike", F.col("event") == "toe_off"
     last = F.last(F.when(hit | off, F.col("event")), ignorenulls=True).over(segments.by_session())
-    found = found.withColumns({"strike": F.coalesce(hit, F.lit(False)), "swing": F.coalesce(last == "toe_off", F.lit(False)), "k": F.lit(0)})
-    strides = segments.metrics(segments.cut(found), min_samples=15, shortest=0.5, longest=2.5)
-    names = rows.select("session").distinct().select(name.alias("id"), F.col("session").alias("recording"))
-    return strides.join(names, F.col("session") == F.col("id")).select("recording", "stride_id", "n_samples", "stride_time", "reject_reason")
+    return found.withColumns({"strike": F.coalesce(hit, F.lit(False)), "swing": F.coalesce(last == "toe_off", F.lit(False))})
+
+
+def inspected(spark: SparkSession, path: str, detection: Detection | None = None) -> DataFrame:
+    """Strides of recordings by the belt trigger, with the reason of those that are rejected."""
+    detection = detection or Detection()
+    found = detected(spark, path, detection)
+    strides = segments.metrics(segments.cut(found), detection.min_samples, *detection.stride_time)
+    names = found.select("session", "recording").distinct()
+    return strides.join(names, "session").select("recording", "stride_id", "n_samples", "stride_time", "reject_reason")
+
+
+def simulated(spark: SparkSession, path: str, settings: Settings) -> DataFrame:
+    """The replay of recordings: a row for each stride after a recording's baseline."""
+    found = detected(spark, path, settings.detection)
+    names = found.select("session", "recording").distinct()
+    return replay(found, settings.policy).join(names, "session").drop("session")
 
 
 def main(arguments: list[str] | None = None) -> None:
-    """Print the counts and the first strides."""
+    """Print the counts and the first strides; ``simulate`` writes all of them."""
     parser = argparse.ArgumentParser(prog="strideline")
-    parser.add_argument("command", choices=["inspect"])
+    parser.add_argument("command", choices=["inspect", "simulate"])
     parser.add_argument("path")
-    parser.add_argument("--rate", type=float, default=100.0)
+    parser.add_argument("out", nargs="?")
+    parser.add_argument("--config", help="JSON of the settings")
+    parser.add_argument("--set", action="append", default=[], metavar="PATH=VALUE", help="a setting, as policy.window=5")
     given = parser.parse_args(arguments)
+    if given.command == "simulate" and not given.out:
+        parser.error("simulate needs a place for its log")
+    settings = Settings()
+    if given.config:
+        with open(given.config) as file:
+            settings = from_json(Settings, file.read())
+    for text in given.set:
+        path, _, value = text.partition("=")
+        settings = override(settings, path, value)
     spark = SparkSession.builder.appName("strideline").getOrCreate()
-    found = inspected(spark, given.path, given.rate)
+    if given.command == "simulate":
+        write_log(simulated(spark, given.path, settings), given.out)
+        log = spark.read.option("header", True).option("inferSchema", True).csv(given.out)
+        log.groupBy("recording").agg(F.count("*").alias("strides"), F.avg("gain").alias("mean_gain"), F.max("gain").alias("max_gain"), F.sum(F.col("ood")).alias("outliers")).show()
+        return
+    found = inspected(spark, given.path, settings.detection)
     found.groupBy("recording").agg(F.count_if(F.col("reject_reason") == "").alias("accepted"), F.count_if(F.col("reject_reason") != "").alias("rejected")).show()
     found.orderBy("recording", "stride_id").show(10)
 

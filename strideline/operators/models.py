@@ -79,14 +79,19 @@ def mean_vector(column: str, width: int) -> Column:
     return F.array(*[F.avg(F.get(column, F.lit(i))) for i in range(width)])
 
 
+def baseline_strides(strides: DataFrame, first: int) -> DataFrame:
+    """Each session's first strides that have a vector (session, stride_id, v)."""
+    nth = F.row_number().over(Window.partitionBy("session").orderBy("stride_id"))
+    return strides.where("v is not null").withColumn("nth", nth).where(F.col("nth") <= first).drop("nth")
+
+
 def baselines(strides: DataFrame, first: int, width: int = 3) -> DataFrame:
     """(session, n, centre, d_mean, d_std, threshold, scale, reason): each session's first strides that have a vector (session, stride_id, v).
 
     ``threshold`` is the 95th percentile of the distances to the centre, ``scale`` the
     greatest of its way to the median, their spread and 1e-9.  Fewer than two strides are no baseline.
     """
-    nth = F.row_number().over(Window.partitionBy("session").orderBy("stride_id"))
-    early = strides.where("v is not null").withColumn("nth", nth).where(F.col("nth") <= first)
+    early = baseline_strides(strides, first)
     centre = early.groupBy("session").agg(mean_vector("v", width).alias("centre"))
     near = early.join(centre, "session").withColumn("d", C.distance(F.col("v"), F.col("centre")))
     out = near.groupBy("session").agg(F.count("*").alias("n"), F.first("centre").alias("centre"), F.avg("d").alias("d_mean"), F.stddev_pop("d").alias("d_std"), F.percentile("d", F.array(F.lit(0.5), F.lit(0.95))).alias("q"))

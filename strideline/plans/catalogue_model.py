@@ -433,14 +433,14 @@ def deficit_terms(spark, d):
     return rows.select("session", "stride_id", *[r6(f"e_{t[0]}", f"e_{t[0]}") for t in TERMS], r6(deficit, "deficit"))
 
 
-_TABLE = f"""WITH me AS ({K.ORACLE['stride_metrics']}), di AS ({K.ORACLE['stride_distances']}), an AS ({K.ORACLE['stride_analysis']}), tr AS ({K.ORACLE['trunk_rms']}), te AS ({K.ORACLE['deficit_terms']}),
+_TABLE = f"""WITH bl AS (WITH RECURSIVE {K.SAMPLES_SQL}{_BASE} SELECT session, stride_id FROM early), me AS ({K.ORACLE['stride_metrics']}), di AS ({K.ORACLE['stride_distances']}), an AS ({K.ORACLE['stride_analysis']}), tr AS ({K.ORACLE['trunk_rms']}), te AS ({K.ORACLE['deficit_terms']}),
 po AS ({K.ORACLE['assist_policy']}), so AS ({K.ORACLE['range_source']}), sc AS ({K.ORACLE['assist_score']}), st AS ({K.ORACLE['decision_state']}), sy AS ({K.ORACLE['symmetry']})
-SELECT session, stride_id, 0 AS is_baseline, an.state AS gait_state, CASE an.state WHEN 'OOD' THEN -2 WHEN 'UNKNOWN' THEN -1 ELSE 0 END AS gait_state_id, d_patient, d_healthy, d_target, an.inside::INT AS inside_region, an.deviation AS manifold_deviation, an.delta AS delta_healthy,
+SELECT session, stride_id, (bl.stride_id IS NOT NULL)::INT AS is_baseline, an.state AS gait_state, CASE an.state WHEN 'OOD' THEN -2 WHEN 'UNKNOWN' THEN -1 ELSE 0 END AS gait_state_id, d_patient, d_healthy, d_target, an.inside::INT AS inside_region, an.deviation AS manifold_deviation, an.delta AS delta_healthy,
 stride_time, swing_time, stance_time, swing_ratio, round(1 - swing_ratio, 6) AS stance_ratio, swing_stance_ratio, 'recorded' AS phase_source, swing_symmetry, stance_symmetry, ratio_symmetry, excursion AS belt_excursion, peak_k AS peak_belt_velocity, tr.rms AS trunk_rms,
 e_swing_ratio AS swing_ratio_error, e_excursion AS belt_excursion_error, e_swing_stance_ratio AS temporal_symmetry_error, e_rms_x AS trunk_error, deficit AS biomechanical_deviation, so.source AS reference_source, st.state AS decision_state, score AS assist_score, raw_gain AS raw_assist_gain,
 e_manifold, e_baseline, e_healthy, round(least(0.5::DOUBLE * e_manifold + 0.3::DOUBLE * e_swing_ratio + 0.2::DOUBLE * e_excursion, 1), 8) AS deviation_score, gain AS assist_gain, round(gain - coalesce(lag(gain) OVER (PARTITION BY session ORDER BY stride_id), 0), 6) AS gain_delta, round(mean_x - 30 * gain, 6) AS target_belt_length,
 (an.state = 'OOD')::INT AS ood_flag, engaged AS ood_engaged, updated AS gain_updated, an.valid::INT AS valid
-FROM po JOIN me USING (session, stride_id) JOIN an USING (session, stride_id) JOIN tr USING (session, stride_id) JOIN te USING (session, stride_id) JOIN so USING (session, stride_id) JOIN sc USING (session, stride_id) JOIN st USING (session, stride_id) LEFT JOIN di USING (session, stride_id) LEFT JOIN sy ON sy.session = po.session AND sy.pair * 2 = po.stride_id"""
+FROM po JOIN me USING (session, stride_id) JOIN an USING (session, stride_id) JOIN tr USING (session, stride_id) JOIN te USING (session, stride_id) JOIN so USING (session, stride_id) JOIN sc USING (session, stride_id) JOIN st USING (session, stride_id) LEFT JOIN di USING (session, stride_id) LEFT JOIN bl USING (session, stride_id) LEFT JOIN sy ON sy.session = po.session AND sy.pair * 2 = po.stride_id"""
 
 
 def stride_table(spark, d):
@@ -452,11 +452,12 @@ def stride_table(spark, d):
     scores = scored.select(*key, r6(score, "score"), r6(score * 0.8, "raw_gain"), C.decision_state(F.col("ood"), F.col("e_b"), F.col("e_r")).alias("state"))
     rows = _policy(scored).drop("deficits", "recoveries").join(K.stride_metrics(spark, d).drop("valid"), key).join(analysis, key).join(trunk_rms(spark, d), key).join(deficit_terms(spark, d), key)
     rows = rows.join(range_source(spark, d), key).join(scores, key).join(stride_distances(spark, d), key, "left").join(sides, key, "left")
+    rows = rows.join(models.baseline_strides(_vectors(spark, d), FIRST).select(*key, F.lit(1).alias("is_baseline")), key, "left")
     before = F.coalesce(F.lag("gain").over(Window.partitionBy("session").orderBy("stride_id")), F.lit(0.0))
     legacy = F.least(0.5 * F.col("e_manifold") + 0.3 * F.col("e_swing_ratio") + 0.2 * F.col("e_excursion"), F.lit(1.0))
     number = F.when(F.col("gait_state") == "OOD", -2).when(F.col("gait_state") == "UNKNOWN", -1).otherwise(0)
     return rows.select(
-        *key, F.lit(0).alias("is_baseline"), "gait_state", number.alias("gait_state_id"), "d_patient", "d_healthy", "d_target", F.col("inside").cast("int").alias("inside_region"), F.col("deviation").alias("manifold_deviation"), F.col("delta").alias("delta_healthy"),
+        *key, F.coalesce("is_baseline", F.lit(0)).alias("is_baseline"), "gait_state", number.alias("gait_state_id"), "d_patient", "d_healthy", "d_target", F.col("inside").cast("int").alias("inside_region"), F.col("deviation").alias("manifold_deviation"), F.col("delta").alias("delta_healthy"),
         "stride_time", "swing_time", "stance_time", "swing_ratio", r6(1 - F.col("swing_ratio"), "stance_ratio"), "swing_stance_ratio", F.lit("recorded").alias("phase_source"), "swing_symmetry", "stance_symmetry", "ratio_symmetry", F.col("excursion").alias("belt_excursion"), F.col("peak_k").alias("peak_belt_velocity"), F.col("rms").alias("trunk_rms"),
         F.col("e_swing_ratio").alias("swing_ratio_error"), F.col("e_excursion").alias("belt_excursion_error"), F.col("e_swing_stance_ratio").alias("temporal_symmetry_error"), F.col("e_rms_x").alias("trunk_error"), F.col("deficit").alias("biomechanical_deviation"), F.col("source").alias("reference_source"), F.col("state").alias("decision_state"), F.col("score").alias("assist_score"), F.col("raw_gain").alias("raw_assist_gain"),
         "e_manifold", "e_baseline", "e_healthy", F.round(legacy, 8).alias("deviation_score"), F.col("gain").alias("assist_gain"), r6(F.col("gain") - before, "gain_delta"), r6(F.col("mean_x") - 30 * F.col("gain"), "target_belt_length"),

@@ -460,6 +460,40 @@ def test_inspect_reports_strides(spark, tmp_path, capsys):
     assert "walk" in capsys.readouterr().out
 
 
+def test_simulate_writes_a_stride_log(spark, tmp_path, capsys):
+    from strideline.__main__ import main
+
+    t = np.arange(6000) / 100
+    belt = -130 - (60 - 25 * (t > 40)) * np.cos(2 * np.pi * t / 1.2) + np.random.default_rng(2).normal(0, 0.5, len(t))
+    (tmp_path / "walk.csv").write_text("t,belt\n" + "".join(f"{a},{b:.3f}\n" for a, b in zip(t, belt)))
+    (tmp_path / "run.json").write_text('{"policy": {"baseline_strides": 12}, "target": "patient_baseline"}')
+    main(["simulate", f"{tmp_path}/walk.csv", f"{tmp_path}/log", "--config", f"{tmp_path}/run.json", "--set", "policy.most_step=0.05", "--set", "detection.stride_time=[0.6, 2.0]"])
+    assert "walk" in capsys.readouterr().out
+    log = spark.read.option("header", True).option("inferSchema", True).csv(f"{tmp_path}/log").orderBy("stride_id").toPandas()
+    assert log.stride_id.min() >= 11 and 28 <= len(log) <= 40 and log.gain.between(0, 0.8).all()
+    assert log.gain.diff().abs().max() <= 0.05 + 1e-9
+    assert log.e_exc[log.t_end < 39].mean() < 0.1 < log.e_exc[log.t_end > 43].mean()
+    with pytest.raises(SystemExit):
+        main(["simulate", f"{tmp_path}/walk.csv"])
+
+
+def test_settings_go_through_json_and_paths():
+    from strideline.sources.settings import Settings, Target, from_json, override, to_json
+
+    changed = override(override(override(Settings(), "policy.window", "5"), "target", "healthy_region"), "detection.stride_time", "[1, 2]")
+    assert (changed.policy.window, changed.target, changed.detection.stride_time) == (5, Target.HEALTHY, (1.0, 2.0))
+    assert from_json(Settings, to_json(changed)) == changed and from_json(Settings, "{}") == Settings()
+    assert override(Settings(), "policy.ood_policy", "safe_minimum").policy.ood_policy == "safe_minimum"
+    for path in ("policy.windows", "nothing", "policy.window.deep"):
+        with pytest.raises(KeyError):
+            override(Settings(), path, "1")
+    with pytest.raises(KeyError, match="policy.windows"):
+        from_json(Settings, '{"policy": {"windows": 5}}')
+    for path, text in (("target", "elsewhere"), ("policy.window", "many"), ("policy.window", "true"), ("detection.stride_time", "[1]"), ("policy.ood_policy", "cap"), ("policy", "5")):
+        with pytest.raises(ValueError):
+            override(Settings(), path, text)
+
+
 def test_models_go_through_json(spark):
     from strideline.operators import models
 
