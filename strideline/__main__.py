@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideline.operators import folds, segments
-from strideline.plans.batch import replay
+from strideline.plans.batch import reference, replay
 from strideline.sources.csv_samples import read_samples
 from strideline.sources.settings import Detection, Settings, from_json, override
 from strideline.sources.sinks import write_log
@@ -37,11 +37,13 @@ def inspected(spark: SparkSession, path: str, detection: Detection | None = None
     return strides.join(names, "session").select("recording", "stride_id", "n_samples", "stride_time", "reject_reason")
 
 
-def simulated(spark: SparkSession, path: str, settings: Settings) -> DataFrame:
-    """The replay of recordings: a row for each stride after a recording's baseline."""
+def simulated(spark: SparkSession, path: str, settings: Settings, healthy: str | None = None) -> DataFrame:
+    """The replay of recordings: a row for each stride after a recording's baseline; distances as ``target`` says if there are ``healthy`` recordings."""
     found = detected(spark, path, settings.detection)
+    validity = (settings.detection.min_samples, *settings.detection.stride_time)
+    against = reference(detected(spark, healthy, settings.detection), settings.policy, validity) if healthy else None
     names = found.select("session", "recording").distinct()
-    return replay(found, settings.policy).join(names, "session").drop("session")
+    return replay(found, settings.policy, against, settings.target.value, validity=validity).join(names, "session").drop("session")
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -50,6 +52,7 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("command", choices=["inspect", "simulate"])
     parser.add_argument("path")
     parser.add_argument("out", nargs="?")
+    parser.add_argument("--reference", help="healthy recordings")
     parser.add_argument("--config", help="JSON of the settings")
     parser.add_argument("--set", action="append", default=[], metavar="PATH=VALUE", help="a setting, as policy.window=5")
     given = parser.parse_args(arguments)
@@ -64,7 +67,7 @@ def main(arguments: list[str] | None = None) -> None:
         settings = override(settings, path, value)
     spark = SparkSession.builder.appName("strideline").getOrCreate()
     if given.command == "simulate":
-        write_log(simulated(spark, given.path, settings), given.out)
+        write_log(simulated(spark, given.path, settings, given.reference), given.out)
         log = spark.read.option("header", True).option("inferSchema", True).csv(given.out)
         log.groupBy("recording").agg(F.count("*").alias("strides"), F.avg("gain").alias("mean_gain"), F.max("gain").alias("max_gain"), F.sum(F.col("ood")).alias("outliers")).show()
         return

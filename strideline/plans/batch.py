@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideline.functions import columns as C
-from strideline.operators import folds, segments
+from strideline.operators import folds, models, segments
 from strideline.operators.clusters import kmeans, select_k
 from strideline.operators.policy import AssistPolicy
 from strideline.sources.sinks import Config
@@ -34,17 +34,13 @@ def _model(group: pa.Table) -> pa.Table:
     })
 
 
-def replay(samples: DataFrame, config: Config | None = None) -> DataFrame:
-    """One row per stride after the baseline: nearest state, log distances, outlier flag, errors, score and gain.
+def _vectors(samples: DataFrame, config: Config, validity: tuple = ()) -> DataFrame:
+    """Valid strides with their metrics, number ``nth`` and log vector ``v``, scaled by the session's first strides.
 
-    The baseline, a session's first strides, gives the frozen scaling of both channels,
-    the number of states and their centres, the outlier bound, the spread that distances
-    are measured in, and the intervals of the metrics.  That model is one row that is
-    joined back to the session's strides; nothing leaves the executors.
+    ``validity`` holds the least samples and the shortest and longest time of a valid stride.
     """
-    config = config or Config()
     cut = segments.cut(samples)
-    strides = segments.metrics(cut).where("valid")
+    strides = segments.metrics(cut, *validity).where("valid")
     k = F.col("k").cast("double")
     cov = cut.groupBy("session", "stride_id").agg(F.var_samp("x").alias("xx"), F.covar_samp("x", k).alias("xk"), F.var_samp(k).alias("kk"))
     rows = strides.join(cov, ["session", "stride_id"])
@@ -54,12 +50,40 @@ def replay(samples: DataFrame, config: Config | None = None) -> DataFrame:
     scaling = cut.join(early.select("session", "stride_id"), ["session", "stride_id"]).groupBy("session").agg(spread("x").alias("sx"), spread(k).alias("sk"))
     scaled = rows.join(scaling, "session")
     log = C.matrix_log_2x2(F.col("xx") / (F.col("sx") * F.col("sx")) + RIDGE, F.col("xk") / (F.col("sx") * F.col("sk")), F.col("kk") / (F.col("sk") * F.col("sk")) + RIDGE)
-    rows = scaled.withColumn("v", C.vectorise_2x2(*log))
+    return scaled.withColumn("v", C.vectorise_2x2(*log))
+
+
+def reference(samples: DataFrame, config: Config | None = None, validity: tuple = ()) -> DataFrame:
+    """One row, ``healthy``: the mean of the centres of healthy sessions' first strides, each scaled by its own."""
+    config = config or Config()
+    first = _vectors(samples, config, validity).where(F.col("nth") <= config.baseline_strides)
+    centres = first.groupBy("session").agg(models.mean_vector("v", 3).alias("centre"))
+    return centres.agg(models.mean_vector("centre", 3).alias("healthy"))
+
+
+def replay(samples: DataFrame, config: Config | None = None, healthy: DataFrame | None = None, target: str = "interpolated_target", alpha: float = 0.3, validity: tuple = ()) -> DataFrame:
+    """One row per stride after the baseline: nearest state, log distances, outlier flag, errors, score and gain.
+
+    The baseline, a session's first strides, gives the frozen scaling of both channels,
+    the number of states and their centres, the outlier bound, the spread that distances
+    are measured in, and the intervals of the metrics.  That model is one row that is
+    joined back to the session's strides; nothing leaves the executors.
+
+    Distances are measured from the session's own centre, or with a ``reference`` from
+    what ``target`` names; their scale is that of the baseline's distances to the same.
+    """
+    config = config or Config()
+    rows = _vectors(samples, config, validity)
     first = rows.where(F.col("nth") <= config.baseline_strides)
     session = dict(rows.dtypes)["session"]
     model = first.select("session", "stride_id", "v").groupBy("session").applyInArrow(
         lambda group: _model(group.sort_by("stride_id")), f"session {session}, centre array<double>, centres array<array<double>>, near_mean double, near_sd double, scale double"
     )
+    if healthy is not None:
+        aim = models.target_of(F.col("centre"), F.col("healthy"), target, alpha)[1]
+        model = model.drop("scale").join(F.broadcast(healthy)).withColumn("centre", aim).drop("healthy")  # one row
+        own = first.join(model.select("session", "centre"), "session").withColumn("d", C.distance(F.col("v"), F.col("centre")))
+        model = model.join(own.groupBy("session").agg((F.avg("d") + 2 * F.stddev_pop("d")).alias("scale")), "session")
     ends = F.array(F.lit(0.05), F.lit(0.95))
     intervals = first.groupBy("session").agg(F.percentile("swing_ratio", ends).alias("swing_range"), F.percentile("excursion", ends).alias("excursion_range"))
     late = rows.where(F.col("nth") > config.baseline_strides).join(model, "session").join(intervals, "session")

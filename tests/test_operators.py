@@ -292,7 +292,7 @@ def test_mock_sessions_walk_at_their_period(spark):
 def test_replay_scores_both_deficits_against_the_baseline(spark):
     import pandas as pd
 
-    from strideline.plans.batch import replay
+    from strideline.plans.batch import reference, replay
     from strideline.sources.sinks import Config
 
     rng = np.random.default_rng(0)
@@ -317,6 +317,14 @@ def test_replay_scores_both_deficits_against_the_baseline(spark):
     d = np.array([np.linalg.norm(m - np.mean(logs[:8], axis=0)) for m in logs])
     scale = d[:8].mean() + 2 * d[:8].std()
     assert np.allclose(got.e_r, np.clip(d[8:] / scale, 0, 1), atol=1e-6) and np.allclose(got.scale, scale, atol=1e-6)
+    healthy = spark.createDataFrame([([0.5, 0.0, 0.25],)], "healthy array<double>")
+    for target, share in (("patient_baseline", 0.0), ("interpolated_target", 0.3), ("healthy_region", 1.0)):
+        aim = (1 - share) * np.mean(logs[:8], axis=0) + share * np.diag([0.5, 0.25])
+        far = np.array([np.linalg.norm(m - aim) for m in logs])
+        measured = replay(samples, Config(baseline_strides=8), healthy, target).select("stride_id", "d", "scale").orderBy("stride_id").toPandas()
+        assert np.allclose(measured.d, far[8:], atol=1e-6) and np.allclose(measured.scale, far[:8].mean() + 2 * far[:8].std(), atol=1e-6)
+    own = np.array(reference(samples, Config(baseline_strides=8)).first().healthy)
+    assert np.allclose(own, np.mean(logs[:8], axis=0)[[0, 0, 1], [0, 1, 1]] * [1, np.sqrt(2), 1], atol=1e-6)
     exc = np.array([p.x.max() - p.x.min() for p in parts])
     ratio = np.array([p.swing[:-1].sum() / 10 for p in parts])
     low, low_ratio = np.quantile(exc[:8], 0.05), np.quantile(ratio[:8], 0.05)
@@ -473,6 +481,9 @@ def test_simulate_writes_a_stride_log(spark, tmp_path, capsys):
     assert log.stride_id.min() >= 11 and 28 <= len(log) <= 40 and log.gain.between(0, 0.8).all()
     assert log.gain.diff().abs().max() <= 0.05 + 1e-9
     assert log.e_exc[log.t_end < 39].mean() < 0.1 < log.e_exc[log.t_end > 43].mean()
+    main(["simulate", f"{tmp_path}/walk.csv", f"{tmp_path}/log2", "--reference", f"{tmp_path}/walk.csv", "--set", "policy.baseline_strides=12", "--set", "target=healthy_region"])
+    same = spark.read.option("header", True).option("inferSchema", True).csv(f"{tmp_path}/log2").where("t_end < 39").orderBy("stride_id").toPandas()
+    assert np.allclose(same.d, log.d[log.t_end < 39]) and np.allclose(same.scale, log.scale.iloc[0])  # its own reference
     with pytest.raises(SystemExit):
         main(["simulate", f"{tmp_path}/walk.csv"])
 
