@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import ann, bpe, langid, line_dedup, mixing, near_dup, secret_scan, token_store, url_filter, vector_join
+from strideline.llm import ann, bpe, langid, line_dedup, lm_score, mixing, near_dup, runs, secret_scan, token_store, url_filter, vector_join
 from strideline.llm.scratch import fresh_path
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
@@ -113,6 +114,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document."""
+    return lm_score.score_documents(read_table(spark, sf_dir, "documents"))
+
+
+def rewritten(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a document, a tenth of the documents made periodic from some word on; a null doc_id leaves them."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or n == 0:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words."""
+    return runs.digests(runs.text_runs(read_table(spark, sf_dir, "documents"), rewritten))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -122,7 +144,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of the subpackage by name."""
-    own = [op1_mixing, op2_url_filter, op3_token_store, op4_language_id, op5_near_dedup, op6_secret_scan, op7_nearest, op8_bpe, op9_vector_join, op10_line_dedup, pipeline]
+    own = [op1_mixing, op2_url_filter, op3_token_store, op4_language_id, op5_near_dedup, op6_secret_scan, op7_nearest, op8_bpe, op9_vector_join, op10_line_dedup, op11_lm_score, op12_periodic_runs, pipeline]
     return {f.__name__: f for f in own}
 
 
