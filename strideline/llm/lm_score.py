@@ -7,14 +7,15 @@ The n-grams counted are single tokens and pairs; an end also stands before the f
    its end; the rest is dealt by hash to shards of about ``SHARD_BYTES`` of text each.
 2. A shard adds the counts up and writes its part of the filter: a count c has level
    ``1 + floor(log2 c)`` and the n-gram is entered once for each level up to its own,
-   with ``HASHES`` bits an entry.  It also writes the exact counts of its words.
+   with ``HASHES`` bits, all in one 64-bit word of the filter, so that a probe reads
+   memory once.  It also writes the exact counts of its words.
 3. The filter goes to the workers as a broadcast while all of it has at most
    ``BROADCAST_BYTES``; a larger one stays in its shards, and the distinct n-grams of the
    corpus are dealt to the shards, probed there and joined with the documents' pairs.
    Both ways give the same scores.
 4. A probe asks for level 1, 2, ... until one is missing and takes the middle of the last
    level's counts.  An n-gram never reads lower than it was entered; it reads higher with
-   a chance of about 2**-HASHES a level.
+   a chance of one or two in a hundred.
 
     P(w | v) = (c(vw) + MU * P(w)) / (max(c(v), c(vw)) + MU),  P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
 
@@ -44,8 +45,8 @@ from pyspark.sql import functions as F
 from strideline.llm.scratch import discard, map_batches, stored
 from strideline.llm.textcore import GOLDEN, mix64, text_buffer, word_hashes
 
-SHARD_BYTES, BROADCAST_BYTES = 16 << 20, 128 << 20
-HASHES, BITS = 7, 10.1
+SHARD_BYTES, BROADCAST_BYTES = 8 << 20, 128 << 20
+HASHES, BITS = 5, 12
 HEAD = 1 << 20
 MU = 2.0
 #: N-grams of a counting buffer; counts from which a task keeps one to its end, and how many it keeps at most before it sends them on.
@@ -124,37 +125,27 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(*kept)
 
 
-def _places(keys: np.ndarray, levels: np.ndarray | int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
-    """Bits of each entry within its shard of ``bits`` bits."""
-    a = mix64(keys ^ mix64(np.atleast_1d(np.asarray(levels, np.uint64)) * GOLDEN))
-    b = mix64(a + GOLDEN) | _ONE
-    for _ in range(HASHES):
-        yield (a % np.asarray(bits, np.uint64)).astype(np.int64)
-        a = a + b
+def _entries(keys: np.ndarray, levels: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Where in its shard each entry's word is, as a fraction of 2**32, and the bits it sets there."""
+    h = mix64(keys ^ mix64(np.atleast_1d(np.asarray(levels, np.uint64)) * GOLDEN))
+    marks = np.zeros(len(h), np.uint64)
+    for i in range(HASHES):
+        marks |= _ONE << ((h >> np.uint64(6 * i)) & np.uint64(63))
+    return h >> np.uint64(32), marks
 
 
-def _build_shard(table: pa.Table) -> pa.Table:
-    """One row with the shard's bits, and one for each of its words."""
-    keys, n = _summed(table["key"].to_numpy().view(np.uint64), table["n"].to_numpy())
+def _build(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The words of a shard's filter, from distinct keys and their counts."""
     level = levels_of(n)
-    entries = np.repeat(keys, level)
-    nth = np.arange(len(entries)) - np.repeat(np.cumsum(level) - level, level) + 1
-    size = 8 * max(8, math.ceil(len(entries) * BITS / 8))
-    marks = np.zeros(size, bool)
-    for place in _places(entries, nth, size):
-        marks[place] = True
-    words = (keys & _ONE) == 1
-    k = int(words.sum())
-    return pa.table({
-        "shard": pa.array([table["shard"][0].as_py()] * (k + 1), pa.int32()),
-        "bits": pa.array([np.packbits(marks, bitorder="little").tobytes()] + [None] * k, pa.binary()),
-        "key": pa.concat_arrays([pa.array([None], pa.int64()), pa.array(keys[words].view(np.int64))]),
-        "n": pa.concat_arrays([pa.array([None], pa.int64()), pa.array(n[words])]),
-    })
+    words = np.zeros(max(1, math.ceil(int(level.sum()) * BITS / 64)), np.uint64)
+    for nth in range(1, int(level.max(initial=0)) + 1):
+        place, marks = _entries(keys[level >= nth], nth)
+        np.bitwise_or.at(words, ((place * np.uint64(len(words))) >> np.uint64(32)).astype(np.int64), marks)
+    return words
 
 
 class LogFrequencyFilter:
-    """The shards' bits end to end; ``starts`` has the first byte of each shard and the end."""
+    """The shards' words end to end; ``starts`` has the first word of each shard and the end."""
 
     def __init__(self, starts: np.ndarray, data: np.ndarray):
         self.starts, self.data = starts, data
@@ -162,26 +153,23 @@ class LogFrequencyFilter:
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of each key, 0 for one that was not entered: probes level after level until one is missing."""
         out = np.zeros(len(keys), np.int64)
-        if len(self.starts) < 2:
+        if len(self.data) == 0:
             return out
         shard = ((keys >> _ONE) % np.uint64(len(self.starts) - 1)).astype(np.int64)
-        first, size = self.starts[shard] * 8, (self.starts[shard + 1] - self.starts[shard]) * 8
+        first = self.starts[shard]
+        size = (self.starts[shard + 1] - first).astype(np.uint64)
         alive, level = np.flatnonzero(size), 0
         while len(alive):
             level += 1
-            at = np.arange(len(alive))
-            for place in _places(keys[alive], level, size[alive]):
-                bit = first[alive[at]] + place[at]
-                at = at[(self.data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
-                if len(at) == 0:
-                    break
-            alive = alive[at]
+            place, marks = _entries(keys[alive], level)
+            at = first[alive] + ((place * size[alive]) >> np.uint64(32)).astype(np.int64)
+            alive = alive[(self.data[at] & marks) == marks]
             out[alive] = level
         return out
 
 
 class Model(NamedTuple):
-    """shards: (shard, bits, key, n), see ``_build_shard``; tokens and words: N and V; size: bytes of the filter; number: of shards."""
+    """shards: rows of a shard's filter (shard, bits) and of its words' exact counts (shard, key, n); number: of shards; tokens and words: N and V; size: bytes of the filter."""
 
     shards: DataFrame
     number: int
@@ -190,21 +178,41 @@ class Model(NamedTuple):
     size: int
 
 
+def _build_shards(number: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition holds one shard: a row with its bits, and one for each of its words."""
+        parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if not parts:
+            return
+        keys, n = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        parts.clear()
+        shard, bits = int((keys[0] >> _ONE) % np.uint64(number)), _build(keys, n)
+        row = lambda k, b, i, m: pa.RecordBatch.from_arrays([pa.array([shard] * k, pa.int32()), pa.array(b, pa.binary()), pa.array(i, pa.int64()), pa.array(m, pa.int64())], names=["shard", "bits", "key", "n"])
+        yield row(1, [bits.tobytes()], [None], [None])
+        words = (keys & _ONE) == 1
+        keys, n = keys[words].view(np.int64), n[words]
+        for i in range(0, len(keys), 1 << 16):
+            part = keys[i : i + (1 << 16)]
+            yield row(len(part), [None] * len(part), part, n[i : i + (1 << 16)])
+
+    return run
+
+
 def fit(texts: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
     """Count the n-grams of ``texts`` (text) and build the filter in shards that hold about ``shard_bytes`` of text each."""
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     number = max(1, math.ceil(total / shard_bytes))
     counted = map_batches(texts.select("text"), _count, "key long, n long")
-    dealt = counted.withColumn("shard", F.pmod(F.shiftrightunsigned("key", 1), F.lit(number)).cast("int"))
-    shards = stored(dealt.groupBy("shard").applyInArrow(_build_shard, "shard int, bits binary, key long, n long"), "ngram-shards")
+    dealt = counted.repartitionById(number, F.pmod(F.shiftrightunsigned("key", 1), F.lit(number)).cast("int"))
+    shards = stored(map_batches(dealt, _build_shards(number), "shard int, bits binary, key long, n long"), "ngram-shards")
     row = shards.agg(F.sum("n"), F.count("n"), F.sum(F.length("bits"))).first()
     return Model(shards, number, row[0] or 0, row[1], row[2] or 0)
 
 
 def _gathered(model: Model) -> LogFrequencyFilter:
     """The whole filter, of ``model.size`` bytes, read shard by shard."""
-    parts = {r["shard"]: np.frombuffer(r["bits"], np.uint8) for r in model.shards.where("bits is not null").select("shard", "bits").toLocalIterator()}
-    ordered = [parts.get(i, np.zeros(0, np.uint8)) for i in range(model.number)]
+    parts = {r["shard"]: np.frombuffer(r["bits"], np.uint64) for r in model.shards.where("bits is not null").select("shard", "bits").toLocalIterator()}
+    ordered = [parts.get(i, np.zeros(0, np.uint64)) for i in range(model.number)]
     return LogFrequencyFilter(np.concatenate([[0], np.cumsum([len(x) for x in ordered])]).astype(np.int64), np.concatenate(ordered))
 
 
@@ -250,7 +258,7 @@ def _probe_shard(shard: pa.Table, keys: pa.Table) -> pa.Table:
     asked = keys["key"].to_numpy().view(np.uint64)
     level = np.zeros(len(asked), np.int64)
     if shard.num_rows and len(asked):
-        bits = np.frombuffer(shard["bits"][0].as_py(), np.uint8)
+        bits = np.frombuffer(shard["bits"][0].as_py(), np.uint64)
         level = LogFrequencyFilter(np.array([0, len(bits)]), bits).levels(asked)
     return pa.table({"key": pa.array(asked.view(np.int64)), "level": pa.array(level)})
 
@@ -285,20 +293,20 @@ def score_texts(docs: DataFrame, model: Model, broadcast_bytes: int = BROADCAST_
         middle, logs = level_counts(), np.log10(counts + 0.5)
         for batch in batches:
             tokens, at = tokens_of(batch.column(3))
-            own, total = word_keys(tokens), lambda x: np.add.reduceat(x, at[:-1]) if batch.num_rows else np.zeros(0)
+            total = lambda x: np.add.reduceat(x, at[:-1]) if batch.num_rows else np.zeros(0)
+            own, number = np.unique(word_keys(tokens), return_inverse=True)  # each distinct word is looked up once
             place = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-            known = keys[place] == own if len(keys) else np.zeros(len(own), bool)
-            base = np.zeros(len(own))
-            base[known] = logs[place[known]]
+            hit = keys[place] == own if len(keys) else np.zeros(len(own), bool)
+            known, base = hit[number], (np.where(hit, logs[place], 0.0) if len(keys) else np.zeros(len(own)))[number]
             score = np.zeros(batch.num_rows)
             if lfbf is not None:
-                c = middle[lfbf.levels(own)]
+                c = middle[lfbf.levels(own)][number]
                 starts = at[:-1]
                 ahead = before(c)
                 ahead[starts] = c[at[1:] - 1]  # an end stands before the first word
                 score = total(pair_scores(ahead, c, middle[lfbf.levels(pair_keys(before(tokens), tokens))], n, v))
             doc = np.repeat(np.arange(batch.num_rows), np.diff(at))[~known]
-            rare = own[~known]
+            rare = own[number[~known]]
             order = np.lexsort((rare, doc))
             doc, rare = doc[order], rare[order]
             new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (rare[1:] != rare[:-1])])) if len(rare) else np.zeros(0, np.int64)

@@ -84,7 +84,8 @@ def test_scores_equal_plain_ones(spark, limits):
     wanted = {k: model_score(t, one, two, n, v) for k, t in texts.items()}
     # a false probe raises a count now and then, and with it a probability
     assert np.mean([abs(scores[k] - wanted[k]) <= 0.01 * abs(wanted[k]) + 1e-9 for k in texts]) > 0.9
-    assert all(abs(scores[k] - wanted[k]) <= 0.1 * abs(wanted[k]) + 1 for k in texts)
+    # one false probe moves a score by log10(N) at most; some three in a hundred n-grams have one
+    assert all(abs(scores[k] - wanted[k]) <= math.log10(n) * (2 + 0.06 * len(tokens(t))) for k, t in texts.items())
     assert sum(scores.values()) > sum(r[5] for r in got)  # the model knows more than single words
 
 
@@ -120,13 +121,12 @@ def test_filter_never_reads_low_and_seldom_high():
     rng = np.random.default_rng(1)
     keys, counts = np.unique(rng.integers(1, 2**62, 50000, dtype=np.uint64)), None
     counts = np.minimum(rng.zipf(1.6, len(keys)), 10**6).astype(np.int64)
-    table = pa.table({"shard": pa.array([0] * len(keys), pa.int32()), "key": keys.view(np.int64), "n": counts})
-    bits = np.frombuffer(lm_score._build_shard(table)["bits"][0].as_py(), np.uint8)
+    bits = lm_score._build(keys, counts)
     found = lm_score.LogFrequencyFilter(np.array([0, len(bits)]), bits)
     got, true = found.levels(keys), lm_score.levels_of(counts)
-    assert (got >= true).all() and (got > true).mean() < 0.02
+    assert (got >= true).all() and (got > true).mean() < 0.03
     strangers = rng.integers(1, 2**62, 50000, dtype=np.uint64)
-    assert (found.levels(strangers) > 0).mean() < 0.02
+    assert (found.levels(strangers) > 0).mean() < 0.03
     assert lm_score.levels_of(np.array([1, 2, 3, 4, 7, 8])).tolist() == [1, 2, 2, 3, 3, 4]
 
 
