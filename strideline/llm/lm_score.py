@@ -43,14 +43,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideline.llm.scratch import discard, map_batches, stored
-from strideline.llm.textcore import GOLDEN, mix64, text_buffer, word_hashes
+from strideline.llm.textcore import GOLDEN, mix64, slices, text_buffer, word_hashes
 
 SHARD_BYTES, BROADCAST_BYTES = 8 << 20, 128 << 20
 HASHES, BITS = 5, 12
-HEAD = 1 << 20
+HEAD = 1 << 19
 MU = 2.0
 #: N-grams of a counting buffer; counts from which a task keeps one to its end, and how many it keeps at most before it sends them on.
 BUFFER, FREQUENT, KEPT = 1 << 21, 8, 1 << 19
+PIECE = 1 << 20
 END = np.uint64(0x6A09E667F3BCC909)
 _ONE = np.uint64(1)
 
@@ -76,6 +77,14 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, at[1:], END), at + np.arange(len(at))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of whole texts of about ``PIECE`` bytes, as arrays take some 100 bytes a word."""
+    for batch in batches:
+        _, at = text_buffer(batch.column(text))
+        for i, j in slices(at, PIECE):
+            yield batch.slice(i, j - i)
+
+
 def before(tokens: np.ndarray) -> np.ndarray:
     """The token before each one."""
     return np.concatenate([[END], tokens[:-1]]) if len(tokens) else tokens
@@ -114,7 +123,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = keys[often], n[often]
         yield rows(keys[~often], n[~often])
 
-    for batch in batches:
+    for batch in _pieces(batches, 0):
         tokens, _ = tokens_of(batch.column(0))
         waiting += [word_keys(tokens), pair_keys(before(tokens), tokens)]
         size += 2 * len(tokens)
@@ -291,7 +300,7 @@ def score_texts(docs: DataFrame, model: Model, broadcast_bytes: int = BROADCAST_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lfbf, keys, counts = sent.value
         middle, logs = level_counts(), np.log10(counts + 0.5)
-        for batch in batches:
+        for batch in _pieces(batches, 3):
             tokens, at = tokens_of(batch.column(3))
             total = lambda x: np.add.reduceat(x, at[:-1]) if batch.num_rows else np.zeros(0)
             own, number = np.unique(word_keys(tokens), return_inverse=True)  # each distinct word is looked up once
