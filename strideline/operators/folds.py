@@ -37,7 +37,7 @@ class Machine:
 
     def fields(self) -> list[str]:
         """Columns that a table of samples must have."""
-        return ["session", "seq", "t", "x", *[c for c in self.inputs if c not in ("x", "t")]]
+        return ["session", "seq", "t", "x", *[c for c in self.inputs if c not in ("x", "t", "seq")]]
 
 
 class Recurrence(Machine):

@@ -21,14 +21,19 @@ def hours(ts: str) -> F.Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts}) / 3600000000D")
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as samples: session, seq, t (hours), x, k, kind, strike, swing."""
+def of_events(events: DataFrame) -> DataFrame:
+    """Events, a table or a stream, as samples: session, seq, t (hours), x, k, kind, strike, swing."""
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("session"), F.col("event_id").alias("seq"), hours("ts").alias("t"), F.col("value").alias("x"),
         F.get_json_object("props", "$.k").cast("int").alias("k"), kind.alias("kind"), (kind == STRIKE_TYPE).alias("strike"), kind.isin(*SWING_TYPES).alias("swing"),
     )
 
 
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table events as samples."""
+    return of_events(table(spark, sf_dir, "events"))
+
+
 SAMPLES_SQL = """s AS (SELECT user_id AS session, event_id AS seq, epoch_us(ts) / 3600000000.0::DOUBLE AS t, value AS x, regexp_extract(props, '"k": *(-?[0-9]+)', 1)::INT AS k,
   event_type AS kind, event_type = 'signup' AS strike, event_type IN ('click', 'view') AS swing FROM events)"""
