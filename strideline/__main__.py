@@ -1,6 +1,10 @@
 """``python -m strideline inspect RECORDING``: how a recording in CSV falls into strides.
 
 ``python -m strideline simulate RECORDING OUT`` replays it and writes the stride log.
+
+``python -m strideline live FOLDER OUT --checkpoint PLACE`` follows pieces of recordings as they
+come (FOLDER/recording/piece.csv, canonical channels) and appends what the loop says of each
+stride to OUT in Parquet; with ``--once`` it takes what is there and ends.
 """
 
 from __future__ import annotations
@@ -9,12 +13,15 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from strideline.operators import folds, segments
+from strideline.operators.live import LiveLoop
 from strideline.plans.batch import reference, replay
 from strideline.sources.csv_samples import read_samples
 from strideline.sources.settings import Detection, Settings, from_json, override
 from strideline.sources.sinks import write_log
+from strideline.streaming.strides import live, recording_stream
 
 
 def detected(spark: SparkSession, path: str, detection: Detection) -> DataFrame:
@@ -46,18 +53,32 @@ def simulated(spark: SparkSession, path: str, settings: Settings, healthy: str |
     return replay(found, settings.policy, against, settings.target.value, validity=validity).join(names, "session").drop("session")
 
 
+def followed(spark: SparkSession, folder: str, out: str, checkpoint: str, settings: Settings, stale: float | None, every: float | None) -> StreamingQuery:
+    """A running query over the pieces of recordings in a folder: each ``every`` seconds, or once over what is there."""
+    detection = settings.detection
+    loop = LiveLoop(settings.policy, folds.BeltTrigger(tau=detection.tau, refractory=detection.refractory), (detection.min_samples, *detection.stride_time))
+    writer = live(recording_stream(spark, folder, 1000), loop, stale if every else None).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=f"{every} seconds") if every else writer.trigger(availableNow=True)).start()
+
+
 def main(arguments: list[str] | None = None) -> None:
     """Print the counts and the first strides; ``simulate`` writes all of them."""
     parser = argparse.ArgumentParser(prog="strideline")
-    parser.add_argument("command", choices=["inspect", "simulate"])
+    parser.add_argument("command", choices=["inspect", "simulate", "live"])
     parser.add_argument("path")
     parser.add_argument("out", nargs="?")
     parser.add_argument("--reference", help="healthy recordings")
     parser.add_argument("--config", help="JSON of the settings")
     parser.add_argument("--set", action="append", default=[], metavar="PATH=VALUE", help="a setting, as policy.window=5")
+    parser.add_argument("--checkpoint", help="where live keeps its state")
+    parser.add_argument("--once", action="store_true", help="take what is there and end")
+    parser.add_argument("--every", type=float, default=1.0, help="seconds between batches")
+    parser.add_argument("--stale", type=float, default=5.0, help="seconds of silence that stop a session")
     given = parser.parse_args(arguments)
-    if given.command == "simulate" and not given.out:
-        parser.error("simulate needs a place for its log")
+    if given.command != "inspect" and not given.out:
+        parser.error(f"{given.command} needs a place for its log")
+    if given.command == "live" and not given.checkpoint:
+        parser.error("live needs a place for its state")
     settings = Settings()
     if given.config:
         with open(given.config) as file:
@@ -71,6 +92,9 @@ def main(arguments: list[str] | None = None) -> None:
         log = spark.read.option("header", True).option("inferSchema", True).csv(given.out)
         log.groupBy("recording").agg(F.count("*").alias("strides"), F.avg("gain").alias("mean_gain"), F.max("gain").alias("max_gain"), F.sum(F.col("ood")).alias("outliers")).show()
         return
+    if given.command == "live":
+        followed(spark, given.path, given.out, given.checkpoint, settings, given.stale, None if given.once else given.every).awaitTermination()
+        return
     found = inspected(spark, given.path, settings.detection)
     found.groupBy("recording").agg(F.count_if(F.col("reject_reason") == "").alias("accepted"), F.count_if(F.col("reject_reason") != "").alias("rejected")).show()
     found.orderBy("recording", "stride_id").show(10)

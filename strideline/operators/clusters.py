@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -141,12 +142,13 @@ def two_means_threshold(x: np.ndarray, lower: bool = True, least_gap: float = 5.
 
 
 def match_events(reference: list[float], detected: list[float], tolerance: float = 0.25) -> tuple[int, float, float, float]:
-    """Hits, precision, recall and F1: each reference in turn takes the nearest detection left within the tolerance."""
-    left, hits = sorted(detected), 0
+    """Hits, precision, recall and F1: each reference in turn takes the nearest detection still free within the tolerance, the earlier one of two."""
+    free, hits = sorted(detected), 0
     for r in reference:
-        near = [v for v in left if abs(v - r) <= tolerance]
-        if near:
-            left.remove(min(near, key=lambda v: abs(v - r)))
+        at = bisect_left(free, r)
+        ways = [(abs(free[i] - r), i) for i in (at - 1, at) if 0 <= i < len(free)]
+        if ways and min(ways)[0] <= tolerance:
+            free.pop(min(ways)[1])
             hits += 1
     p, q = hits / len(detected) if detected else 0.0, hits / len(reference) if reference else 0.0
     return hits, p, q, 2 * p * q / (p + q) if p + q else 0.0

@@ -269,17 +269,27 @@ def run_machine(samples: DataFrame, machine: Machine) -> DataFrame:
     return rows.groupBy("session").applyInArrow(run, f"session long, seq long, t double, x double, {machine.schema}")
 
 
-def stream_step(machine: Machine):
-    """The function that ``applyInPandasWithState`` calls; the state is the machine's, as JSON."""
+def stream_step(machine: Machine, stale: float | None = None):
+    """The function that ``applyInPandasWithState`` calls; the state is the machine's, as JSON.
+
+    A session that sends nothing for ``stale`` seconds gets one row of the machine's ``timed_out``.
+    """
     import json
 
     names = list(_outputs(machine))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         own = json.loads(state.get[0]) if state.exists else machine.start()
+        if stale is not None and state.hasTimedOut:
+            row = machine.timed_out(own)
+            state.update((json.dumps(own),))
+            yield pd.DataFrame([[key[0], None, None, None, *row]], columns=["session", "seq", "t", "x", *names]).astype({"seq": "Int64"})
+            return
         rows = pd.concat(list(batches)).sort_values(["t", "seq"])
         found = machine.process(own, *[rows[c].tolist() for c in ("t", *machine.inputs)])
         state.update((json.dumps(own),))
+        if stale is not None:
+            state.setTimeoutDuration(int(stale * 1000))
         result = rows[["session", "seq", "t", "x"]].copy()
         for name, column in zip(names, found, strict=True):
             result[name] = column
@@ -288,7 +298,7 @@ def stream_step(machine: Machine):
     return run
 
 
-def run_machine_stream(samples: DataFrame, machine: Machine) -> DataFrame:
-    """``run_machine`` on a stream of samples that come in time order within a session."""
+def run_machine_stream(samples: DataFrame, machine: Machine, stale: float | None = None) -> DataFrame:
+    """``run_machine`` on a stream of samples that come in time order within a session; ``stale`` seconds without one give a row of their own."""
     return samples.select(*machine.fields()).groupBy("session").applyInPandasWithState(
-        stream_step(machine), f"session long, seq long, t double, x double, {machine.schema}", "state string", "append", "NoTimeout")
+        stream_step(machine, stale), f"session long, seq long, t double, x double, {machine.schema}", "state string", "append", "NoTimeout" if stale is None else "ProcessingTimeTimeout")

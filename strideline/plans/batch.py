@@ -9,29 +9,15 @@ from pyspark.sql import functions as F
 
 from strideline.functions import columns as C
 from strideline.operators import folds, models, segments
-from strideline.operators.clusters import kmeans, select_k
+from strideline.operators.live import EXCURSION_WEIGHT, SWING_SCALE, SWING_WEIGHT, baseline_model
+from strideline.operators.models import RIDGE
 from strideline.operators.policy import AssistPolicy
 from strideline.sources.sinks import Config
 
-#: Added to each variance.
-RIDGE = 1e-6
-#: Weights of the terms of the deficit, and the swing deficit that counts as 1.
-SWING_WEIGHT, EXCURSION_WEIGHT, SWING_SCALE = 0.5, 0.5, 0.1
-
-
 def _model(group: pa.Table) -> pa.Table:
     """One row: centre, state centres and spreads of a session's baseline."""
-    x = np.stack(group["v"].to_pylist()).astype(float)
-    k, _ = select_k(x)
-    centres = x.mean(axis=0)[None, :]
-    if k > 1:
-        _, centres = kmeans(x, k)
-    near = np.linalg.norm(x[:, None] - centres[None], axis=2).min(axis=1)
-    own = np.linalg.norm(x - x.mean(axis=0), axis=1)
-    return pa.table({
-        "session": group["session"].slice(0, 1), "centre": [x.mean(axis=0).tolist()], "centres": [centres.tolist()],
-        "near_mean": [near.mean()], "near_sd": [near.std()], "scale": [own.mean() + 2 * own.std()],
-    })
+    found = baseline_model(np.stack(group["v"].to_pylist()).astype(float))
+    return pa.table({"session": group["session"].slice(0, 1)} | {k: [v] for k, v in found.items()})
 
 
 def _vectors(samples: DataFrame, config: Config, validity: tuple = ()) -> DataFrame:

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from strideline.functions import columns as C
 from strideline.operators import folds
 from strideline.operators import segments as S
+from strideline.operators.live import LiveLoop
 from strideline.schema import SAMPLES_SQL, samples, table
-from strideline.sources.csv_samples import derivative
+from strideline.sources.csv_samples import derivative, telemetry_lines
+from strideline.sources.sinks import Config
 from strideline.sources.telemetry import key_value
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -666,12 +668,15 @@ def speed_metrics(spark, d):
     return rows.groupBy("session").agg(F.count("*").alias("strikes"), r6(F.min("gap"), "least_gap"), r6(F.avg(F.when(F.col("same"), 0.0).when(~F.col("same"), 1.0)), "alternation"))
 
 
-@query("SELECT doc_id, regexp_extract(line, 'belt= *(-?[0-9.]+)mm', 1) AS belt, regexp_extract(line, 'torque=(-?[0-9.]+)', 1) AS torque FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '[TEL] belt= ' || doc_id || '.5mm vel=1mm/s spring_torque=' || doc_id ELSE '[TEL] belt= -' || doc_id || 'mm' END AS line FROM documents)", "none AS (SELECT 1)")
+@query("SELECT seq, round(x, 2) AS belt, k::DOUBLE AS velocity, CASE WHEN k % 2 = 0 THEN k * 0.25::DOUBLE ELSE 0.0::DOUBLE END AS spring_torque FROM s WHERE kind <> 'error' AND x IS NOT NULL AND k IS NOT NULL")
 def telemetry_text(spark, d):
-    i = F.col("doc_id").cast("string")
-    line = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("[TEL] belt= "), i, F.lit(".5mm vel=1mm/s spring_torque="), i)).otherwise(F.concat(F.lit("[TEL] belt= -"), i, F.lit("mm")))
-    rows = table(spark, d, "documents").withColumn("line", line)
-    return rows.select("doc_id", F.regexp_extract("line", "belt= *(-?[0-9.]+)mm", 1).alias("belt"), F.regexp_extract("line", "torque=(-?[0-9.]+)", 1).alias("torque"))
+    """Samples written as lines of text telemetry, some without a torque and with other lines between them, and read back."""
+    number = lambda c: c.cast("decimal(18, 2)").cast("string")
+    tel = F.concat(F.lit("[TEL] n="), F.col("seq").cast("string"), F.lit(" belt= "), number(F.col("x")), F.lit("mm vel="), F.col("k").cast("string"), F.lit("mm/s"))
+    torque = F.when(F.col("k") % 2 == 0, F.concat(F.lit(" spring_torque="), number(F.col("k") * 0.25))).otherwise(F.lit(""))
+    line = F.when(F.col("kind") == "error", F.concat(F.lit("[RX] belt="), number(F.col("x")))).otherwise(F.concat(tel, torque))
+    found, _ = telemetry_lines(samples(spark, d).select("seq", line.alias("value")))
+    return found.select("seq", r6("belt", "belt"), "velocity", "spring_torque")
 
 
 #: States of a session and the events that lead from one to the next; anything else leaves the state as it is.
@@ -858,7 +863,13 @@ def telemetry_decode(spark, d):
     return decode_captures(encode_captures(samples(spark, d))).select("path", "at", "kind", "seq", "values", "line")
 
 
-QUERIES |= {"spd_check": spd_check, "pca_display": pca_display, "adaptive_detector": adaptive_detector, "telemetry_decode": telemetry_decode}
+def live_loop(spark, d):
+    """The live loop over each session: a row for each closed stride, scored once the session's first five have made its model."""
+    steps = folds.run_machine(samples(spark, d), LiveLoop(Config(baseline_strides=5, ood_streak=2, persist=2)))
+    return steps.where("stride_id is not null").select("session", "stride_id", "reject_reason", "nth", "state", *[r6(c, c) for c in ("d", "e_b", "e_r", "gain")], "ood", "session_state")
+
+
+QUERIES |= {"live_loop": live_loop, "spd_check": spd_check, "pca_display": pca_display, "adaptive_detector": adaptive_detector, "telemetry_decode": telemetry_decode}
 
 
 # --- records and goals -------------------------------------------------------------------

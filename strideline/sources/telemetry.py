@@ -5,9 +5,11 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 #: Layout of a frame, its type and version, and the longest frame and line.
 LAYOUT, FRAME_TYPE, FRAME_VERSION = "<BBHI24h", 1, 1
@@ -108,6 +110,18 @@ class StreamParser:
         return [("line", held)] if held else []
 
 
+    def kept(self) -> tuple[bytes, bool, int, str | None]:
+        """What a later parser needs to go on where this one stops."""
+        return self.held, self.in_frame, self.dropped, self.reason
+
+    @classmethod
+    def resumed(cls, kept: tuple[bytes, bool, int, str | None]) -> StreamParser:
+        """A parser that goes on from ``kept``."""
+        parser = cls()
+        parser.held, parser.in_frame, parser.dropped, parser.reason = kept
+        return parser
+
+
 def split_stream(data: bytes) -> Iterator[tuple[str, bytes]]:
     """('line', text) and ('frame', payload) in the order of a whole capture."""
     yield from StreamParser().feed(data)
@@ -160,6 +174,38 @@ def decode_captures(captures: DataFrame) -> DataFrame:
     return captures.select("path", "content").mapInArrow(run, "path string, at int, kind string, seq int, time10ms long, values array<int>, line string")
 
 
+_EVENT = "path string, at long, kind string, seq int, time10ms long, values array<int>, line string"
+
+
+def decode_pieces(pieces: DataFrame) -> DataFrame:
+    """A stream of (path, piece, content), pieces of captures, as ``decode_captures`` gives the whole captures' events.
+
+    Pieces of a capture are put in order by ``piece`` within what has arrived, and what a
+    piece leaves unfinished is kept until the next, so captures may be cut anywhere.  A piece
+    that comes after a later one gives one event of kind ``late`` with its name and is else
+    left out.
+    """
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, in_frame, dropped, reason, at, last = state.get if state.exists else (b"", False, 0, None, 0, None)
+        parser = StreamParser.resumed((bytes(held), in_frame, dropped, reason))
+        rows = []
+        for piece, content in sorted((p, bytes(c or b"")) for b in batches for p, c in zip(b["piece"], b["content"], strict=True)):
+            if last is not None and piece <= last:
+                rows.append((key[0], None, "late", None, None, None, piece))
+                continue
+            last = piece
+            for kind, raw in parser.feed(content):
+                f = parse_frame(raw) if kind == "frame" else None
+                rows.append((key[0], at, kind, f[2] if f else None, f[3] if f else None, list(f[4:]) if f else None, raw.decode("latin-1") if not f else None))
+                at += 1
+        state.update((*parser.kept(), at, last))
+        found = pd.DataFrame(rows, columns=[c.split()[0] for c in _EVENT.split(", ")])
+        yield found.astype({"at": "Int64", "seq": "Int32", "time10ms": "Int64"})
+
+    kept = "held binary, in_frame boolean, dropped long, reason string, at long, last string"
+    return pieces.select("path", "piece", "content").groupBy("path").applyInPandasWithState(run, _EVENT, kept, "append", "NoTimeout")
+
+
 def encode_captures(samples: DataFrame) -> DataFrame:
     """(path, content): a capture of each session's samples (session, seq, t, x, k), one frame a sample after a line of text.
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strideline.operators.folds import Machine, run_machine_stream
-from strideline.schema import hours
+from strideline.operators.live import LiveLoop
+from strideline.schema import CHANNELS, hours
 from strideline.sources.sinks import blank_non_finite
-from strideline.sources.telemetry import decode_captures
+from strideline.sources.telemetry import decode_captures, decode_pieces
 
 
 def sample_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
@@ -26,6 +27,23 @@ def detect(stream: DataFrame, machine: Machine) -> DataFrame:
     return run_machine_stream(stream, machine)
 
 
+def live(stream: DataFrame, loop: LiveLoop, stale: float | None = None) -> DataFrame:
+    """What a session's loop says of each closed stride, of samples that came late, and of sessions that have been silent for ``stale`` seconds.
+
+    With ``stale`` the query must run on (a processing-time trigger): a timer makes a batch even where nothing is new.
+    """
+    steps = run_machine_stream(stream, loop, stale)
+    return steps.where("stride_id is not null or late = 1 or session_state = 'SAFE_STOP'")
+
+
+def recording_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+    """Pieces of recordings that arrive as CSV of the canonical channels, ``folder/recording/piece.csv``, as samples; a time counts once in a recording."""
+    raw = spark.readStream.schema(", ".join(f"{c} double" for c in CHANNELS)).option("header", True).option("enforceSchema", False).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", True).csv(folder)
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    rows = raw.select(F.xxhash64(name).alias("session"), F.floor(F.col("timestamp") * 1e6).cast("long").alias("seq"), F.col("timestamp").alias("t"), F.col("belt_length").alias("x"), F.col("belt_velocity").alias("k"))
+    return rows.where("t is not null")
+
+
 def windowed(stream: DataFrame, late: str = "10 minutes", length: str = "1 day") -> DataFrame:
     """Count and mean of each session's samples by window; rows behind the watermark are dropped and counted by Spark."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", length), "session").agg(F.count("*").alias("n"), F.avg("x").alias("mean_x"))
@@ -38,6 +56,14 @@ def capture_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1)
     return decode_captures(raw.select("path", "content"))
 
 
+def piece_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+    """Events of captures whose bytes arrive in pieces, ``folder/capture/piece`` in the order of the pieces' names; the parser's state is kept between them."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    raw = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", True).load(folder)
+    part = lambda i: F.element_at(F.split("path", "/"), i)
+    return decode_pieces(raw.select(part(-2).alias("path"), part(-1).alias("piece"), "content"))
+
+
 def paced(stream: DataFrame, seconds: float):
     """A writer that takes a micro-batch of the stream every so many seconds, to replay recorded files at their pace."""
     return stream.writeStream.trigger(processingTime=f"{seconds} seconds")

@@ -50,6 +50,7 @@ def test_noise_is_one_cluster():
 def test_event_matching_and_period():
     assert clusters.match_events([1.0, 2.0, 3.0], [1.1, 2.9, 5.0])[0] == 2
     assert clusters.match_events([], []) == (0, 0.0, 0.0, 0.0)
+    assert clusters.match_events([1.0, 1.1], [1.05, 1.3, 0.7], 0.2)[0] == 2 and clusters.match_events([1.0], [0.75, 1.25])[0] == 1 and clusters.match_events([2.0, 1.0], [1.5], 0.5)[0] == 1
     t = np.arange(900) / 100
     assert clusters.cycle_by_autocorrelation(-130 - 60 * np.cos(2 * np.pi * t / 1.2), 0.01) == pytest.approx(1.2, abs=0.01)
     assert clusters.cycle_by_autocorrelation(t[:50], 0.01) is None
@@ -102,7 +103,7 @@ def test_cobs_and_mixed_stream(spark):
 
 
 def test_csv_aliases_defaults_and_coercion(spark, tmp_path):
-    (tmp_path / "r.csv").write_text("Time,belt,GYRO_X\n0.0,1.0,bad\n0.5,2.0,3\n0.5,9.0,4\n")
+    (tmp_path / "r.csv").write_text("T,belt,GYRO_X\n0.0,1.0,bad\n0.5,2.0,3\n0.5,9.0,4\n")
     rows = csv_samples.read_samples(spark, f"{tmp_path}/r.csv").orderBy("seq").collect()
     assert [r.timestamp for r in rows] == [0.0, 0.5, 0.5] and [r.belt_velocity for r in rows] == [0.0, 2.0, 0.0]
     assert rows[0].gyro_x is None and rows[1].gyro_x == 3.0 and rows[0].accel_x == 0.0
@@ -381,6 +382,59 @@ def test_recordings_of_many_files_keep_their_order(spark, tmp_path):
         csv_samples.read_samples(spark, f"{tmp_path}/empty.csv")
 
 
+def test_recordings_of_several_layouts(spark, tmp_path):
+    for name, text in {
+        "one/walk": "t,belt,belt_vel\n0,100,1\n0.5,101,2\n", "two/walk": "belt_vel,t,belt\n1,0,100\n2,0.5,101\n", "two/a [b] *c": " t , belt\n0,7\n2,9\n",
+        "three/walk": "belt_mm\n5\n6\n", "three/blank": "", "three/names": "belt_mm\n", "four/d%20e+f": "t,belt,belt_vel\n1,2,3\n",
+    }.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / f"{name}.csv").write_text(text)
+    rows = csv_samples.read_samples(spark, [f"{tmp_path}/{d}" for d in ("one", "two", "three", "four")])
+    got = {(r.session, r.seq): (r.timestamp, r.belt_length, r.belt_velocity) for r in rows.collect()}
+    assert got == {
+        (f"{tmp_path}/one/walk", 0): (0.0, 100.0, 1.0), (f"{tmp_path}/one/walk", 1): (0.5, 101.0, 2.0), (f"{tmp_path}/two/walk", 0): (0.0, 100.0, 1.0), (f"{tmp_path}/two/walk", 1): (0.5, 101.0, 2.0),
+        ("a [b] *c", 0): (0.0, 7.0, 0.0), ("a [b] *c", 1): (2.0, 9.0, 1.0), (f"{tmp_path}/three/walk", 0): (0.0, 5.0, 0.0), (f"{tmp_path}/three/walk", 1): (0.01, 6.0, 100.0), ("d%20e+f", 0): (1.0, 2.0, 3.0),
+    }
+    assert [len(files) for _, files in csv_samples.layouts(spark, [f"{tmp_path}/{d}" for d in ("one", "two", "three", "four")])] == [2, 1, 1, 2]
+    wide = csv_samples.read_columns(spark, [f"{tmp_path}/one", f"{tmp_path}/three"]).collect()
+    assert {(r.belt, r.belt_mm) for r in wide} == {(100.0, None), (101.0, None), (None, 5.0), (None, 6.0)}
+    with pytest.raises(KeyError):
+        csv_samples.read_columns(spark, [f"{tmp_path}/one", f"{tmp_path}/three"], ["belt"])
+
+
+def test_detector_logs_of_several_versions(spark, tmp_path):
+    (tmp_path / "old.csv").write_text("accel_x,accel_y,accel_z,gyro_x,gyro_y,gyro_z,step_period_s,imu_side\n3,4,0,1,2,2,0.5,left\n")
+    (tmp_path / "new.csv").write_text("threshold,imu_side,gyro_z,gyro_y,gyro_x,accel_z,accel_y,accel_x,step_period_s,acc_residual,gait_cycle_s\n0.5,right,0,0,7,0,0,2,0.25,9,8\n")
+    new, old = csv_samples.read_detector_logs(spark, str(tmp_path)).orderBy("session").collect()
+    assert (new.threshold, new.imu_side, new.gyro_corrected, new.acc_mag, new.acc_residual, new.gait_cycle_s, new.cadence_spm) == (0.5, "right", 7.0, 2.0, 9.0, 8.0, 240.0)
+    assert (old.threshold, old.imu_side, old.gyro_corrected, old.acc_mag, old.acc_residual, old.gait_cycle_s, old.cadence_spm) == (0.28, "left", 1.0, 5.0, 0.0, 1.0, 120.0)
+
+
+@pytest.mark.parametrize("size", [5, 64])
+def test_captures_cut_anywhere_give_the_same_events(spark, tmp_path, size):
+    from strideline.streaming import strides as stream
+
+    frame = lambda n: b"\0" + telemetry.cobs_encode(struct.pack(telemetry.LAYOUT, 1, 1, n, 100 * n, 250, *range(23))) + b"\0"
+    whole = {name: b"hello\n" + b"".join(frame(i) + f"OK n={i}\n".encode() for i in range(k)) + b"\0\x05\x01\0" + b"y" * 300 + b"\nend\nopen" for name, k in (("a", 4), ("b", 2))}
+    want = telemetry.decode_captures(spark.createDataFrame(list(whole.items()), "path string, content binary"))
+    folder = tmp_path / "in"
+    pieces = {name: [data[i : i + size] for i in range(0, len(data), size)] for name, data in whole.items()}
+    for batch in range(3):  # the pieces come in three goes
+        for name, parts in pieces.items():
+            (folder / name).mkdir(parents=True, exist_ok=True)
+            for i, part in enumerate(parts):
+                if i * 3 // len(parts) == batch:
+                    (folder / name / f"{i:06}.bin").write_bytes(part)
+        stream.piece_stream(spark, str(folder), 1000).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
+    rows = lambda df: sorted(map(str, df.withColumn("at", F.col("at").cast("int")).collect()))
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert rows(got) == rows(want) and got.count() > 10
+    (folder / "a" / "000000x.bin").write_bytes(b"too late")
+    stream.piece_stream(spark, str(folder), 1000).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
+    late = spark.read.parquet(f"{tmp_path}/out").where("kind = 'late'").collect()
+    assert [(r.path, r.line) for r in late] == [("a", "000000x.bin")]
+
+
 def test_detector_logs_get_what_they_lack(spark, tmp_path):
     (tmp_path / "l.csv").write_text("accel_x,accel_y,accel_z,gyro_x,gyro_y,gyro_z,step_period_s,imu_side\n3,4,0,1,2,2,0.5,left\n0,0,1,0,0,0,0,right\n")
     a, b = csv_samples.read_detector_logs(spark, f"{tmp_path}/l.csv").orderBy("seq").collect()
