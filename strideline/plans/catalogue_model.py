@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strideline.functions import columns as C
-from strideline.operators import folds, models
+from strideline.operators import folds, models, references
 from strideline.operators import segments as S
 from strideline.plans import catalogue as K
 from strideline.plans.catalogue import query, r6, win
@@ -482,3 +482,65 @@ ma AS (SELECT DISTINCT session, 0::BIGINT AS i, 0 AS hits, coalesce(ts, []) AS r
     SELECT ma.session, re.i, ma.hits, ma.remaining, list_sort(list_transform(list_filter(ma.remaining, lambda x: abs(x - re.t) <= 12), lambda x: {'d': abs(x - re.t), 't': x}))[1].t AS pick FROM ma JOIN re ON re.session = ma.session AND re.i = ma.i + 1)),
 ou AS (SELECT ma.session, coalesce(al.n, 0) AS n_reference, coalesce(len(de.ts), 0) AS n_detected, ma.hits FROM ma LEFT JOIN al ON al.session = ma.session LEFT JOIN de ON de.session = ma.session WHERE ma.i = coalesce(al.n, 0))
 SELECT session, n_reference, n_detected, hits::BIGINT AS hits, CASE WHEN n_detected > 0 THEN hits / n_detected ELSE 0 END::DOUBLE AS precision, CASE WHEN n_reference > 0 THEN hits / n_reference ELSE 0 END::DOUBLE AS recall, CASE WHEN hits > 0 THEN 2 * (hits / n_detected) * (hits / n_reference) / (hits / n_detected + hits / n_reference) ELSE 0 END::DOUBLE AS f1 FROM ou"""
+
+
+# --- a reference for each stride ------------------------------------------------------------------
+
+_REF_TERMS = [("swing_ratio", "deficit", 0.1, 0.3), ("excursion", "two_sided", None, 0.7)]
+_REF_METRICS = [t[0] for t in _REF_TERMS]
+_REF_LABEL = "CASE WHEN stride_time < 40 THEN 'fast' WHEN stride_time < 90 THEN 'mid' ELSE 'slow' END"
+
+
+def _q(c: str, name: str) -> str:
+    return f"quantile_cont({c}, 0.05) AS {name}l, quantile_cont({c}, 0.95) AS {name}u"
+
+
+_REFERENCES = K._METRICS + _BASE.removeprefix(K._CUT) + f""", vm AS (SELECT m.session, m.stride_id, stride_time, swing_ratio, excursion, n_samples, p, q, r FROM m JOIN lv ON lv.session = m.session AND lv.stride_id = m.stride_id WHERE reject_reason = '' AND p IS NOT NULL),
+hs AS (SELECT *, {_REF_LABEL} AS label FROM vm WHERE session % 3 = 0),
+rc AS (SELECT label, quantile_cont(stride_time, 0.05) AS lower, quantile_cont(stride_time, 0.95) AS upper, avg(p) AS hp, avg(q) AS hq, avg(r) AS hr, {_q('swing_ratio', 's')}, {_q('excursion', 'e')}, count(*) AS n FROM hs GROUP BY label),
+rd AS (SELECT label, quantile_cont(d, 0.95) AS thr, greatest(quantile_cont(d, 0.95) - quantile_cont(d, 0.5), stddev_pop(d), 1e-9) AS scale FROM (SELECT hs.label, sqrt((p - hp) ** 2 + (q - hq) ** 2 + (r - hr) ** 2) AS d FROM hs JOIN rc ON rc.label = hs.label) GROUP BY label),
+rf AS (SELECT rc.*, thr, scale FROM rc JOIN rd ON rd.label = rc.label)"""
+_BY_REFERENCE = _REFERENCES + f""", own AS (SELECT v.session, {_q('swing_ratio', 'os')}, {_q('excursion', 'oe')} FROM vm v JOIN early e ON e.session = v.session AND e.stride_id = v.stride_id GROUP BY v.session),
+ps AS (SELECT *, CASE WHEN n_samples % 3 <> 0 THEN stride_time END AS cadence FROM vm WHERE session % 3 <> 0),
+g AS (SELECT session, stride_id, arg_min(label, {{'gap': greatest(lower - cadence, cadence - upper, 0), 'label': label}}) AS label FROM ps, rf WHERE cadence IS NOT NULL AND session % 3 = 1 GROUP BY session, stride_id),
+co AS (SELECT ps.*, CASE WHEN ps.session % 3 = 1 THEN coalesce(g.label, (SELECT label FROM rf ORDER BY lower DESC, label DESC LIMIT 1)) END AS label FROM ps LEFT JOIN g ON g.session = ps.session AND g.stride_id = ps.stride_id),
+wi AS (SELECT co.*, hp, hq, hr, thr, rf.scale AS scale, coalesce(sl, osl) AS s_low, coalesce(su, osu) AS s_up, coalesce(el, oel) AS e_low, coalesce(eu, oeu) AS e_up, cp, cq, cr FROM co JOIN base b ON b.session = co.session AND b.n >= 2 JOIN own ON own.session = co.session LEFT JOIN rf ON rf.label = co.label),
+di AS (SELECT *, sqrt((p - cp) ** 2 + (q - cq) ** 2 + (r - cr) ** 2) AS d_patient, sqrt((p - hp) ** 2 + (q - hq) ** 2 + (r - hr) ** 2) AS d_healthy,
+  sqrt((p - CASE WHEN label IS NULL THEN cp ELSE 0.7::DOUBLE * cp + 0.3::DOUBLE * hp END) ** 2 + (q - CASE WHEN label IS NULL THEN cq ELSE 0.7::DOUBLE * cq + 0.3::DOUBLE * hq END) ** 2 + (r - CASE WHEN label IS NULL THEN cr ELSE 0.7::DOUBLE * cr + 0.3::DOUBLE * hr END) ** 2) AS d_target,
+  CASE WHEN swing_ratio >= s_low THEN 0 ELSE least((s_low - swing_ratio) / 0.1::DOUBLE, 1) END AS e_swing_ratio, greatest(e_low - excursion, excursion - e_up, 0) AS miss, CASE WHEN e_low > 0 THEN e_low ELSE (e_up - e_low) / 2 END AS span FROM wi),
+er AS (SELECT *, CASE WHEN label IS NULL THEN 0 ELSE greatest(least(greatest(d_healthy - thr, 0) / scale, 1), 0) END AS deviation, CASE WHEN miss <= 0 THEN 0 WHEN span > 0 THEN least(miss / span, 1) ELSE 1 END AS e_excursion FROM di),
+fi AS (SELECT *, least(greatest(0.3::DOUBLE * e_swing_ratio + 0.7::DOUBLE * e_excursion, 0), 1) AS deficit FROM er)
+SELECT session, stride_id, CASE WHEN label IS NULL THEN 'patient_baseline' ELSE 'healthy_reference:' || label END AS source, round(d_patient, 6) AS d_patient, round(d_healthy, 6) AS d_healthy, round(d_target, 6) AS d_target, CASE WHEN label IS NOT NULL THEN d_healthy <= thr END AS inside, round(deviation, 6)::DOUBLE AS deviation,
+  round(e_swing_ratio, 6)::DOUBLE AS e_swing_ratio, round(e_excursion, 6)::DOUBLE AS e_excursion, round(deficit, 6)::DOUBLE AS deficit, round(0.8::DOUBLE * deficit * (0.5 + 0.5 * deviation), 6)::DOUBLE AS raw_gain FROM fi"""
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    """Valid strides with their vector and metrics."""
+    cut = _cut(spark, d)
+    return K.S.metrics(cut).where("valid").join(models.log_vectors(cut).where("v is not null").drop("reason"), ["session", "stride_id"])
+
+
+def _healthy_bank(rows: DataFrame) -> DataFrame:
+    """References of the healthy sessions' strides by cadence."""
+    t = F.col("stride_time")
+    return references.build_bank(rows.where("session % 3 = 0").withColumn("label", F.when(t < 40, "fast").when(t < 90, "mid").otherwise("slow")), _REF_METRICS)
+
+
+@query(_REFERENCES + " SELECT label, round(lower, 6) AS lower, round(upper, 6) AS upper, round(hp, 6) AS p, round(hq, 6) AS q, round(hr, 6) AS r, round(thr, 6) AS threshold, round(scale, 6) AS scale, round(sl, 6) AS swing_lower, round(eu, 6) AS excursion_upper, n FROM rf")
+def reference_bank(spark, d):
+    """A reference for each cadence: interval, centre, region and metric intervals."""
+    out = _healthy_bank(_labelled(spark, d))
+    return out.select("label", r6("lower", "lower"), r6("upper", "upper"), *[r6(F.col("centre")[i], c) for i, c in enumerate("pqr")], r6("threshold", "threshold"), r6("scale", "scale"), r6(F.col("ranges")[0]["lower"], "swing_lower"), r6(F.col("ranges")[1]["upper"], "excursion_upper"), "n")
+
+
+@query(_BY_REFERENCE)
+def reference_scores(spark, d):
+    """Patients' strides, each scored against the reference of its cadence; a third of the sessions has no bank and is scored against its own baseline."""
+    rows = _labelled(spark, d)
+    vectors = _vectors(spark, d)
+    base = models.baselines(vectors, FIRST).where("reason = ''").select("session", "centre")
+    own = models.baseline_strides(vectors, FIRST).select("session", "stride_id").join(rows, ["session", "stride_id"]).groupBy("session").agg(references.intervals(_REF_METRICS).alias("ranges"))
+    given = rows.where("session % 3 != 0").withColumn("cadence", F.when(F.col("n_samples") % 3 != 0, F.col("stride_time")))
+    chosen = references.choose_reference(given, _healthy_bank(rows), "cadence").withColumn("reference", F.when(F.col("session") % 3 == 1, F.col("reference")))
+    out = references.score_by_reference(chosen, base.join(own, "session"), _REF_TERMS, _REF_METRICS)
+    return out.select("session", "stride_id", "source", *[r6(c, c) for c in ("d_patient", "d_healthy", "d_target")], "inside", *[r6(c, c) for c in ("deviation", "e_swing_ratio", "e_excursion", "deficit", "raw_gain")])

@@ -584,3 +584,22 @@ def test_covariance_in_parts_equals_the_whole(spark):
     checks = {r.key: r for r in M.matrix_checks(rows).collect()}
     assert checks[0].reason == "" and checks[7].reason == "non_finite" and checks[7].least is None
     assert np.isclose(checks[1].least, np.linalg.eigvalsh(M.covariance(x[key == 1]))[0])
+
+
+def test_reference_of_each_stride(spark):
+    from strideline.operators import references
+
+    bank = spark.createDataFrame(
+        [("slow", 4.0, 6.0, [0.0, 0.0, 9.0], 1.0, 2.0, [(0.1, 0.2)]), ("fast", 1.0, 2.0, [3.0, 0.0, 0.0], 0.5, 1.0, [(0.5, 0.6)])],
+        "label string, lower double, upper double, centre array<double>, threshold double, scale double, ranges array<struct<lower: double, upper: double>>")
+    strides = spark.createDataFrame([(1, 0, 1.5, 0.3, [3.0, 0.0, 1.0]), (1, 1, 3.5, 0.3, [0.0, 0.0, 9.0]), (1, 2, None, 0.15, [3.0, 0.0, 0.0]), (2, 0, 1.5, 0.3, [3.0, 0.0, 1.0]), (1, 3, 1.5, None, [3.0, 0.0, 0.0])], "session long, stride_id int, stride_time double, m double, v array<double>")
+    patients = spark.createDataFrame([(1, [1.0, 0.0, 0.0], [(0.0, 1.0)]), (2, [1.0, 0.0, 0.0], [(0.4, 1.0)])], "session long, centre array<double>, ranges array<struct<lower: double, upper: double>>")
+    chosen = references.choose_reference(strides, bank).withColumn("reference", F.when(F.col("session") == 1, F.col("reference")))
+    rows = {(r.session, r.stride_id): r for r in references.score_by_reference(chosen, patients, [("m", "deficit", 0.4, 1.0)], ["m"], "healthy_region").collect()}
+    assert [rows[1, i].source for i in range(3)] == ["healthy_reference:fast", "healthy_reference:slow", "healthy_reference:slow"] and rows[2, 0].source == "patient_baseline"
+    # the centre, the region and the interval all come of the stride's own reference
+    assert (rows[1, 0].d_healthy, rows[1, 0].inside, rows[1, 0].deviation, round(rows[1, 0].e_m, 6)) == (1.0, False, 0.5, 0.5)
+    assert (rows[1, 1].d_healthy, rows[1, 1].inside, rows[1, 1].deviation, rows[1, 1].e_m) == (0.0, True, 0.0, 0.0)
+    assert rows[1, 2].deviation == 1.0 and rows[1, 2].d_target == rows[1, 2].d_healthy
+    assert (rows[2, 0].d_healthy, rows[2, 0].inside, rows[2, 0].deviation, round(rows[2, 0].e_m, 6)) == (None, None, 0.0, 0.25) and rows[2, 0].d_target == rows[2, 0].d_patient
+    assert rows[1, 3].e_m is None and rows[1, 3].deficit == 0.0
