@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideline.llm.scratch import map_batches
+from strideline.llm.scratch import free_names, map_batches
 from strideline.llm.textcore import text_buffer
 
 UNKNOWN = "und"
@@ -221,8 +221,8 @@ def fit(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> ByteCnn | None:
     return train(*training_windows(docs, sample_texts))
 
 
-def identify(docs: DataFrame, model: ByteCnn | None, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document, with the columns ``keep`` of docs before them."""
+def identify(docs: DataFrame, model: ByteCnn | None, keep: list[str] | None = None, own: tuple[str, str, str] = ("held_out", "lang_pred", "score")) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document, under the names ``own``, with the columns ``keep`` of docs before them."""
     keep = ["doc_id"] if keep is None else keep
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     body = keep.index("text") if "text" in keep else len(keep)  # a text goes to the workers once
@@ -249,7 +249,7 @@ def identify(docs: DataFrame, model: ByteCnn | None, keep: list[str] | None = No
     types = dict(docs.dtypes)
     schema = ", ".join([*(f"in_{i} {types[c]}" for i, c in enumerate(keep)), "held_out boolean, lang_pred string, score double"])
     out = map_batches(rows, predict, schema)
-    return out.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(keep)], "held_out", "lang_pred", "score")
+    return out.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).alias(o) for c, o in zip(("held_out", "lang_pred", "score"), own, strict=True)])
 
 
 #: The least score at which a document counts as text of a language.
@@ -259,8 +259,9 @@ MIN_SCORE = 0.3
 def keep_identified(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` without the documents of no language: null, no letter, or no language of at least ``min_score``."""
     model = fit(docs, sample_texts)
-    found = identify(docs, model, keep=docs.columns)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
+    own = free_names(docs, "held_out", "lang_pred", "score")
+    found = identify(docs, model, docs.columns, tuple(own))
+    return found.where((F.col(own[1]) != UNKNOWN) & (F.col(own[2]) >= min_score)).select(*docs.columns)
 
 
 def accuracy(predicted: pd.DataFrame, truth: pd.Series) -> float:

@@ -15,7 +15,10 @@ holds most rows is never one task's window.  Tables of one row per source are
 joined without hints; the planner broadcasts them while they are small.
 
 Defined results: a null source is a source, the last; a null or blank text has
-size 0 and is never taken; with no word at all every target is 0.
+size 0 and is never taken; with no word at all every target is 0; rows without a doc_id
+are put in order by their text, rows that share one by size and text, and rows alike in
+all of that share what they are taken; an empty table gives an empty mix; a text
+of any length is one row's count.
 """
 
 from __future__ import annotations
@@ -74,7 +77,8 @@ def plan_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 
 def _laid_out(sized: DataFrame, plan: DataFrame, groups: int) -> DataFrame:
     """Adds the source's plan and ``begin``, the document's first word in its source's order."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # rows without an id are told apart by their text, so that they fall into many groups
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("tie").cast("string"))))
     docs = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).drop(plan["source"]).withColumn("place", key)
     digits = 1
     while 16**digits < groups:
@@ -152,16 +156,16 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
 
 def repeat_to_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs``, each row as often as the mix takes it whole: words taken over its words, rounded half up."""
-    size, tie, copies, total, rows, nth = free_names(docs, "size", "tie", "copies", "total", "rows", "nth")
+    size, tie, copies, total, rows, nth, own_id, own_source, own_size, own_tie = free_names(docs, "size", "tie", "copies", "total", "rows", "nth", "own_id", "own_source", "own_size", "own_tie")
     mixed = mix_sources(docs, weights, most, block_words).documents
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
     # rows that are alike in id, source and text share their copies
     plan = mixed.groupBy("doc_id", "source", "size", "tie").agg(F.sum(times).cast("int").alias("total"), F.count("*").cast("int").alias("rows"))
-    plan = plan.where("total > 0").select(F.col("doc_id").alias(f"{size}_id"), F.col("source").alias(f"{size}_source"), F.col("size").alias(f"{size}_own"), F.col("tie").alias(f"{tie}_own"), F.col("total").alias(total), F.col("rows").alias(rows))
+    plan = plan.where("total > 0").select(F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("size").alias(own_size), F.col("tie").alias(own_tie), F.col("total").alias(total), F.col("rows").alias(rows))
     given = docs.withColumn(size, word_count(F.col("text"))).withColumn(tie, F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{size}_id")) & (F.col(size) == F.col(f"{size}_own")) & (F.col(tie) == F.col(f"{tie}_own")) & F.col("source").eqNullSafe(F.col(f"{size}_source"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.col(size) == F.col(own_size)) & (F.col(tie) == F.col(own_tie)) & F.col("source").eqNullSafe(F.col(own_source))
     got = given.join(plan, same)
-    own = [f"{size}_id", f"{size}_own", f"{tie}_own", f"{size}_source"]
+    own = [own_id, own_size, own_tie, own_source]
     got = got.withColumn(nth, F.when(F.col(rows) == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy(*own).orderBy(*own))))
     each = F.floor(F.col(total) / F.col(rows)).cast("int") + (F.col(nth) <= F.pmod(F.col(total), F.col(rows))).cast("int")
     got = got.withColumn(copies, F.explode(F.array_repeat(F.lit(1), each)))

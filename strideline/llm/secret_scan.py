@@ -16,9 +16,11 @@ the string's: about even between 0 and 1 if the string is random, near 0 if it i
 What is reported is controlled: of the strings with p >= t in a family, as many are
 expected to be random as the family holds random ones, times 1 - t.  How many it holds
 is estimated from those with p >= ``EVEN``, where ordinary strings seldom get.  The
-least t is taken at which the rest, the ordinary strings, are at most a share ``RATE``
-of the reported.  Each band of lengths is a family of its own over the whole corpus, as
-short strings give the tests little to go on.  A base span is not reported again.
+least t is taken at which the rest, the ordinary strings, are at most a share ``RATE`` of
+the reported; fewer than 1 / ``RATE`` strings cannot show so low a share, and are not reported.
+Each band of lengths is a family of its own over the whole corpus, as short strings give the tests
+little to go on.  A string that overlaps a base span is not tested, so the share holds among
+the spans that the method adds.
 
 Not tested are strings of lower-case letters, or of capitals, alone: at these lengths
 the tests cannot tell a long word from random letters.
@@ -28,7 +30,7 @@ each document; the families' counts come from that slim table.
 
 Defined results: a null text is an empty one and has no spans; repeated rows are
 judged each for itself and counted each in its family; strings of equal p are all
-reported or none is; an empty table gives an empty one.
+reported or none is; an empty table gives an empty one; a text of any length is one row's work.
 """
 
 from __future__ import annotations
@@ -173,7 +175,8 @@ def spans(docs: DataFrame) -> DataFrame:
 
     raw = raw.select("doc_id", assign.alias("assign"), access.alias("access"), hexes.alias("hexes"), F.transform(_candidates(body), scored).alias("scored"))
     step = lambda p: F.least(F.lit(STEPS), F.floor(-100 * F.log10(F.greatest(p, F.lit(1e-39))))).cast("int")
-    tested = F.transform(F.filter("scored", lambda c: c["p"].isNotNull()), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["band"].alias("band"), step(c["p"]).alias("step")))
+    clear = lambda c: ~F.exists(F.concat("assign", "access", "hexes"), lambda b: (b["s"] < c["e"]) & (b["e"] > c["s"]))
+    tested = F.transform(F.filter("scored", lambda c: c["p"].isNotNull() & clear(c)), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["band"].alias("band"), step(c["p"]).alias("step")))
     return raw.select("doc_id", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hexes").cast("long").alias("n_hex"), F.array_sort(F.concat("assign", "access", "hexes")).alias("base"), tested.alias("tested"))
 
 
@@ -192,7 +195,7 @@ def reported_steps(found: DataFrame, rate: float = RATE) -> dict[int, int]:
         for s in sorted(counts):
             upto += counts[s]
             # the step holds p-values above 10 ** (-(s + 1) / 100)
-            if upto - random * (1 - 10 ** (-(s + 1) / 100)) <= rate * upto:
+            if rate * upto >= 1 and upto - random * (1 - 10 ** (-(s + 1) / 100)) <= rate * upto:
                 out[band] = s
     return out
 
@@ -208,8 +211,7 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
             out = F.when(c["band"] == band, s).otherwise(out)
         return out
 
-    clear = lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (b["e"] > c["s"]))
-    more = F.transform(F.filter("tested", lambda c: (c["step"] <= limit_of(c)) & clear(c)), lambda c: F.struct(c["s"].alias("s"), F.lit(3).alias("k"), c["e"].alias("e")))
+    more = F.transform(F.filter("tested", lambda c: c["step"] <= limit_of(c)), lambda c: F.struct(c["s"].alias("s"), F.lit(3).alias("k"), c["e"].alias("e")))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base", F.array_sort(F.concat("base", more)).alias("all"))
 
 

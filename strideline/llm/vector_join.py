@@ -1,8 +1,12 @@
 """Exact cosine range join of a vector table by pivots and triangle inequality.
 
 On unit vectors cosine c is Euclidean distance sqrt(2 - 2c), a metric.  Pivots,
-a bounded sample of the vectors, cut space into cells: a vector's own cell is its
-nearest pivot's.  A link between two cells is found in the one of smaller number,
+taken from a bounded sample of the vectors, cut space into cells: a vector's own cell is its
+nearest pivot's.  There are between the fourth and the square root of the number of vectors of them
+(``MOST_PIVOTS`` at most; larger cells are joined in blocks), each the sampled vector farthest
+from those before it: for several numbers between, the sample shows how many comparisons and copies the bounds below would leave, and the
+cheapest is taken.  Vectors in clusters get many small cells, vectors that
+fill space evenly, which no bound parts, few.  A link between two cells is found in the one of smaller number,
 so a vector x of cell i is replicated to cell j < i unless one of these bounds shows
 that cell j holds nothing within the radius r of x:
 
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +42,9 @@ from strideline.llm.components import connected_components
 from strideline.llm.scratch import discard, map_batches, stored
 from strideline.llm.vectors import VectorTable, binaries, matrix, sampled, vector_table
 
-#: Vectors of a cell that are aimed at, pivots at most, and the sides of a block.
-PER_CELL, MOST_PIVOTS = 16384, 1024
+#: Fewest vectors that are cut into cells, pivots at most, vectors that the number of pivots is judged on, and comparisons that cost as much as a copy of a vector.
+LEAST_CUT, MOST_PIVOTS, JUDGED, COPY_COST = 64, 4096, 2048, 300
+#: The sides of a block.
 OWN, OTHERS = 8192, 16384
 #: Slack of the bounds and margin of the single-precision filter.
 SLACK, MARGIN = 1e-6, 1e-4
@@ -78,17 +84,90 @@ def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndar
     return other, label[other]
 
 
+class Cells(NamedTuple):
+    """pivots: unit vectors; compared and every: comparisons that the bounds leave, as the sample shows, and those of all pairs."""
+
+    pivots: np.ndarray
+    compared: float
+    every: float
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * _unit(x) @ pivots.T, 0))
+
+
+def _visits(dist: np.ndarray, between: np.ndarray, reach: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """(own cell, rows by cells whether a vector visits the cell) of vectors ``dist`` from the pivots."""
+    own = dist.argmin(axis=1)
+    near = dist[np.arange(len(own)), own]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plane = (dist**2 - near[:, None] ** 2) / (2 * between[own])
+    plane[~np.isfinite(plane)] = 0
+    return own, (np.arange(dist.shape[1])[None, :] < own[:, None]) & (dist <= reach[None, :] + radius) & (plane <= radius)
+
+
+def _between(pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
+
+
+def farthest_first(x: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of ``k`` of the unit vectors ``x``, the first and then always the one farthest from those taken."""
+    order, near = [0], _distances(x, x[:1])[:, 0]
+    while len(order) < k:
+        order.append(int(near.argmax()))
+        near = np.minimum(near, _distances(x, x[order[-1:]])[:, 0])
+    return np.array(order)
+
+
+def plan_cells(sample: np.ndarray, n: int, radius: float) -> Cells:
+    """The cells for ``n`` vectors of which ``sample`` is one, in random order."""
+    every = n * n / 2
+    sample = _unit(sample) if len(sample) else sample
+    if n < LEAST_CUT:
+        return Cells(sample[:1], every, every)
+    most = max(2, min(math.isqrt(n), MOST_PIVOTS, len(sample) // 2))
+    order = farthest_first(sample, most)
+    rest = np.delete(sample, order, axis=0)[:JUDGED]
+    numbers, m = [most], max(2, round(n**0.25))
+    while m < most:
+        numbers.append(m)
+        m *= 2
+    best = None
+    for m in sorted(numbers):
+        pivots = sample[order[:m]]
+        dist = _distances(rest, pivots)
+        own, near = dist.argmin(axis=1), dist.min(axis=1)
+        reach = np.full(m, -1.0)
+        np.maximum.at(reach, own, near)
+        _, visits = _visits(dist, _between(pivots), reach, radius)
+        scale = n / len(rest)
+        held, guests = np.bincount(own, minlength=m) * scale, visits.sum(axis=0) * scale
+        compared, copies = float((held * (held / 2 + guests)).sum()), float(guests.sum())
+        if best is None or compared + COPY_COST * copies < best[0]:
+            best = (compared + COPY_COST * copies, Cells(pivots, min(compared, every), every))
+    return best[1]
+
+
+def _radius(threshold: float) -> float:
+    return math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+
+
+def cells_of(vt: VectorTable, threshold: float) -> Cells:
+    """The cells of a table; at most ``2 * MOST_PIVOTS + JUDGED`` vectors come to the driver."""
+    n = vt.nodes.count()
+    _, sample = sampled(vt, min(n, 2 * min(math.isqrt(n), MOST_PIVOTS) + JUDGED), n)
+    return plan_cells(sample, n, _radius(threshold))
+
+
 def _join_cells(vt: VectorTable, threshold: float) -> DataFrame:
     """(node, other, n): with other null, n links of a node; else a link between two nodes."""
-    n = vt.nodes.count()
     d, dtype = vt.dimension, vt.dtype
-    radius = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
-    _, sample = sampled(vt, max(1, min(MOST_PIVOTS, n // PER_CELL)), n)
-    pivots = _unit(sample)
-    between = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
+    radius = _radius(threshold)
+    pivots = cells_of(vt, threshold).pivots
+    between = _between(pivots)
 
     def distances(x: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(2 - 2 * _unit(x) @ pivots.T, 0))
+        return _distances(x, pivots)
 
     def extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,14 +184,9 @@ def _join_cells(vt: VectorTable, threshold: float) -> DataFrame:
     count, reach = np.zeros(max(len(pivots), 1), np.int64), np.full(max(len(pivots), 1), -1.0)
     for r in sizes:
         count[r["cell"]], reach[r["cell"]] = r["n"], r["far"]
+
     def visited(dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(own cell, rows by cells whether a vector visits the cell)."""
-        own = dist.argmin(axis=1)
-        near = dist[np.arange(len(own)), own]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = (dist**2 - near[:, None] ** 2) / (2 * between[own])
-        plane[~np.isfinite(plane)] = 0
-        return own, (np.arange(len(pivots))[None, :] < own[:, None]) & (dist <= reach[None, :] + radius) & (plane <= radius)
+        return _visits(dist, between, reach, radius)
 
     def visitors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(pivots), np.int64)
