@@ -510,7 +510,7 @@ di AS (SELECT *, sqrt((p - cp) ** 2 + (q - cq) ** 2 + (r - cr) ** 2) AS d_patien
   CASE WHEN swing_ratio >= s_low THEN 0 ELSE least((s_low - swing_ratio) / 0.1::DOUBLE, 1) END AS e_swing_ratio, greatest(e_low - excursion, excursion - e_up, 0) AS miss, CASE WHEN e_low > 0 THEN e_low ELSE (e_up - e_low) / 2 END AS span FROM wi),
 er AS (SELECT *, CASE WHEN label IS NULL THEN 0 ELSE greatest(least(greatest(d_healthy - thr, 0) / scale, 1), 0) END AS deviation, CASE WHEN miss <= 0 THEN 0 WHEN span > 0 THEN least(miss / span, 1) ELSE 1 END AS e_excursion FROM di),
 fi AS (SELECT *, least(greatest(0.3::DOUBLE * e_swing_ratio + 0.7::DOUBLE * e_excursion, 0), 1) AS deficit FROM er)
-SELECT session, stride_id, CASE WHEN label IS NULL THEN 'patient_baseline' ELSE 'healthy_reference:' || label END AS source, round(d_patient, 6) AS d_patient, round(d_healthy, 6) AS d_healthy, round(d_target, 6) AS d_target, CASE WHEN label IS NOT NULL THEN d_healthy <= thr END AS inside, round(deviation, 6)::DOUBLE AS deviation,
+SELECT session, stride_id, CASE WHEN label IS NULL THEN 'patient_baseline' ELSE 'healthy_reference:' || label END AS source, round(d_patient, 6) AS d_patient, round(d_healthy, 6) AS d_healthy, round(d_target, 6) AS d_target, CASE WHEN label IS NULL THEN -1 WHEN d_healthy <= thr THEN 1 ELSE 0 END AS inside, round(deviation, 6)::DOUBLE AS deviation,
   round(e_swing_ratio, 6)::DOUBLE AS e_swing_ratio, round(e_excursion, 6)::DOUBLE AS e_excursion, round(deficit, 6)::DOUBLE AS deficit, round(0.8::DOUBLE * deficit * (0.5 + 0.5 * deviation), 6)::DOUBLE AS raw_gain FROM fi"""
 
 
@@ -543,4 +543,4 @@ def reference_scores(spark, d):
     given = rows.where("session % 3 != 0").withColumn("cadence", F.when(F.col("n_samples") % 3 != 0, F.col("stride_time")))
     chosen = references.choose_reference(given, _healthy_bank(rows), "cadence").withColumn("reference", F.when(F.col("session") % 3 == 1, F.col("reference")))
     out = references.score_by_reference(chosen, base.join(own, "session"), _REF_TERMS, _REF_METRICS)
-    return out.select("session", "stride_id", "source", *[r6(c, c) for c in ("d_patient", "d_healthy", "d_target")], "inside", *[r6(c, c) for c in ("deviation", "e_swing_ratio", "e_excursion", "deficit", "raw_gain")])
+    return out.select("session", "stride_id", "source", *[r6(c, c) for c in ("d_patient", "d_healthy", "d_target")], F.coalesce(F.col("inside").cast("int"), F.lit(-1)).alias("inside"), *[r6(c, c) for c in ("deviation", "e_swing_ratio", "e_excursion", "deficit", "raw_gain")])
