@@ -20,9 +20,9 @@ about 0.8**4 = 0.41 where its order is kept, so 32 such entries miss it once in
 pairs.  Where blocks have moved the order seldom agrees, so each hash function also
 gives an entry of its three smallest k-mers without order: 0.8**3 = 0.51 wherever
 they stand, a miss in 1e10 pairs.  The least such rate is that of documents of 4 and
-5 shingles, 0.4 and a miss in about 1e7 pairs.  In blocks, where very many documents
-share a passage, pairs of longer documents must agree in ``AGREEMENTS`` entries: of 32 with
-0.51 each, a miss in 1e6 pairs.
+5 shingles, 0.4 and a miss in about 1e7 pairs.  One agreeing entry makes a pair a
+candidate whatever the size of its bucket, so which near copies are found does not
+depend on how many others share their entries.
 
 Defined results: a null or empty text, or one without words, is like no other
 document; documents of fewer than five words are alike only if their words are;
@@ -56,8 +56,6 @@ FREE_KMERS = 3
 SMALL = 32
 #: Nodes, and shingles of all of them, on a side of a block.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
-#: Entries in which two nodes of a block must agree to be compared, if both have at least so many shingles; 1 otherwise.
-AGREEMENTS, AGREEING_SHINGLES = 4, 64
 
 
 class NearDuplicates(NamedTuple):
@@ -142,8 +140,8 @@ def _check_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _check_block(table: pa.Table) -> pa.Table:
     """Links of a block that join what was apart: rows of side 0 against those of side 1.
 
-    Skipped are pairs that known or found links connect already, that agree in too few
-    sketch entries or whose sizes differ too much.
+    Skipped are pairs that known or found links connect already, that agree in no
+    sketch entry or whose sizes differ too much.
     """
     nodes, roots = table["node"].to_pylist(), table["root"].to_pylist()
     side = table["side"].to_numpy()
@@ -156,8 +154,7 @@ def _check_block(table: pa.Table) -> pa.Table:
     found = []
     for i in left.tolist():
         others = right[(group[right] != group[i]) & (np.minimum(size[right], size[i]) >= THRESHOLD * np.maximum(size[right], size[i]))]
-        agreed = (entries[others] == entries[i]).sum(axis=1)
-        others = others[agreed >= np.where(np.minimum(size[others], size[i]) >= AGREEING_SHINGLES, AGREEMENTS, 1)]
+        others = others[(entries[others] == entries[i]).any(axis=1)]
         order = np.argsort(labels[i]) if len(others) else None
         for k in others.tolist():
             # two nodes outside the largest component meet twice
