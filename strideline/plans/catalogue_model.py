@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strideline.functions import columns as C
-from strideline.operators import folds, models, references
+from strideline.operators import folds, models, references, states
 from strideline.operators import segments as S
 from strideline.plans import catalogue as K
 from strideline.plans.catalogue import query, r6, win
@@ -544,3 +544,55 @@ def reference_scores(spark, d):
     chosen = references.choose_reference(given, _healthy_bank(rows), "cadence").withColumn("reference", F.when(F.col("session") % 3 == 1, F.col("reference")))
     out = references.score_by_reference(chosen, base.join(own, "session"), _REF_TERMS, _REF_METRICS)
     return out.select("session", "stride_id", "source", *[r6(c, c) for c in ("d_patient", "d_healthy", "d_target")], F.coalesce(F.col("inside").cast("int"), F.lit(-1)).alias("inside"), *[r6(c, c) for c in ("deviation", "e_swing_ratio", "e_excursion", "deficit", "raw_gain")])
+
+
+# --- states of strides -----------------------------------------------------------------------
+
+#: Strides of a baseline that states are made of.
+STATE_FIRST = 30
+
+_D3 = "sqrt((p - cp) ** 2 + (q - cq) ** 2 + (r - cr) ** 2)"
+_HELD = _VECTORS + f""", eb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY stride_id) AS nth FROM lv WHERE p IS NOT NULL) WHERE nth <= {STATE_FIRST}),
+mp AS (SELECT session, avg(p) AS mp FROM eb GROUP BY session HAVING count(*) >= 2),
+ct AS (SELECT eb.session, (p > mp)::INT AS i, avg(p) AS cp, avg(q) AS cq, avg(r) AS cr FROM eb JOIN mp ON mp.session = eb.session GROUP BY ALL),
+nr AS (SELECT eb.session, eb.stride_id, min({_D3}) AS d FROM eb JOIN ct ON ct.session = eb.session GROUP BY ALL),
+bo AS (SELECT session, avg(d) + 1.5 * stddev_pop(d) AS bound FROM nr GROUP BY session),
+wy AS (SELECT l.session, l.stride_id, l.reason, any_value(bound) AS bound, list_sort(list({{'d': {_D3}, 'i': i}}) FILTER (WHERE i IS NOT NULL AND p IS NOT NULL)) AS ways FROM lv l LEFT JOIN ct ON ct.session = l.session LEFT JOIN bo ON bo.session = l.session GROUP BY l.session, l.stride_id, l.reason),
+tr AS (SELECT *, ways IS NOT NULL AND len(ways) > 0 AS valid, ways[1].d AS nearest, ways[2].d AS runner_up FROM wy),
+cf AS (SELECT *, CASE WHEN NOT valid THEN 0 WHEN runner_up IS NULL THEN 1 ELSE greatest(least(1 - nearest / (runner_up + 1e-6::DOUBLE), 1), 0) END::DOUBLE AS confidence, valid AND nearest > bound AS ood FROM tr),
+su AS (SELECT *, CASE WHEN ood THEN -2 WHEN valid AND confidence >= 0.3 THEN ways[1].i END AS sure FROM cf),
+hd AS (SELECT *, last_value(sure IGNORE NULLS) OVER (PARTITION BY session ORDER BY stride_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM su)
+SELECT session, stride_id, valid, CASE WHEN reason <> '' THEN reason WHEN NOT valid THEN 'no_baseline' ELSE '' END AS message, round(nearest, 6) AS nearest, round(runner_up, 6) AS runner_up, round(confidence, 6) AS confidence, coalesce(ood, false) AS ood,
+CASE WHEN sure = -2 THEN 'OOD' WHEN sure IS NOT NULL THEN 'S' || sure WHEN valid AND before >= 0 THEN 'S' || before ELSE 'UNKNOWN' END AS gait_state FROM hd"""
+
+
+def _split_models(vectors: DataFrame) -> DataFrame:
+    """Two states a session: its first strides up to the mean of their first component, and those beyond."""
+    whole = Window.partitionBy("session")
+    early = models.baseline_strides(vectors, STATE_FIRST).withColumn("high", F.col("v")[0] > F.avg(F.col("v")[0]).over(whole))
+    early = early.withColumn("n", F.count("*").over(whole)).where("n >= 2")
+    halves = early.groupBy("session", "high").agg(models.mean_vector("v", 3).alias("c"))
+    centres = halves.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("high", "c"))), lambda e: e["c"]).alias("centres"))  # two at most
+    near = early.join(centres, "session").withColumn("d", F.array_min(F.transform("centres", lambda c: C.distance(F.col("v"), c))))
+    return near.groupBy("session").agg(F.first("centres").alias("centres"), F.avg("d").alias("near_mean"), F.stddev_pop("d").alias("near_sd"))
+
+
+@query(_HELD)
+def held_states(spark, d):
+    """State of every stride under a model of two states: nearest centre, confidence, outliers, the last sure state held where the confidence is too little."""
+    vectors = _vectors(spark, d)
+    rows = states.assign_states(vectors, _split_models(vectors), sigmas=1.5, least_confidence=0.3)
+    return rows.select("session", "stride_id", "valid", "message", r6("nearest", "nearest"), r6("runner_up", "runner_up"), r6("confidence", "confidence"), "ood", "gait_state")
+
+
+def gait_states(spark, d):
+    """Every stride against its session's states, whose number the baseline decides, and against the healthy sessions' region."""
+    vectors = _vectors(spark, d)
+    base = models.baselines(vectors, STATE_FIRST).where("reason = '' and session % 3 = 0")
+    healthy = base.agg(models.mean_vector("centre", 3).alias("healthy"), F.avg("threshold").alias("healthy_threshold"), F.avg("scale").alias("healthy_scale"))
+    found = states.analyse(vectors, states.state_models(vectors, STATE_FIRST), healthy)
+    distances = ("nearest", "runner_up", "confidence", "d_patient", "d_healthy", "d_target", "deviation")
+    return found.select("session", "stride_id", "valid", "message", "state", "gait_state", "ood", "inside", *[r6(c, c) for c in distances])
+
+
+K.QUERIES["gait_states"] = gait_states

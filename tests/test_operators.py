@@ -603,3 +603,90 @@ def test_reference_of_each_stride(spark):
     assert rows[1, 2].deviation == 1.0 and rows[1, 2].d_target == rows[1, 2].d_healthy
     assert (rows[2, 0].d_healthy, rows[2, 0].inside, rows[2, 0].deviation, round(rows[2, 0].e_m, 6)) == (None, None, 0.0, 0.25) and rows[2, 0].d_target == rows[2, 0].d_patient
     assert rows[1, 3].e_m is None and rows[1, 3].deficit == 0.0
+
+
+def _plain_states(rows, model, sigmas, least, hold):
+    """The states of one session's (stride_id, v), stepped through one by one."""
+    last, out = None, {}
+    for stride_id, v in sorted(rows):
+        if v is None or model is None:
+            out[stride_id] = -1
+            continue
+        d = [math.dist(v, c) for c in model["centres"]]
+        order = sorted(range(len(d)), key=lambda i: (d[i], i))
+        trust = 1.0 if len(d) == 1 else min(max(1 - d[order[0]] / (d[order[1]] + 1e-6), 0.0), 1.0)
+        if d[order[0]] > model["near_mean"] + sigmas * model["near_sd"]:
+            last = out[stride_id] = -2
+        elif trust >= least:
+            last = out[stride_id] = order[0]
+        else:
+            out[stride_id] = last if hold and last is not None and last >= 0 else -1
+    return out
+
+
+def _states_table(spark):
+    """Three sessions: two groups of strides with doubtful ones and outliers between, one without a baseline, one of a single state."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(60):
+        kind = i % 2
+        v = rng.normal([5.0 * kind, 0.0, 0.0], 0.3).tolist()
+        if i >= 30 and i % 7 == 0:
+            v = [2.5 + 0.02 * (i % 3), 0.3, 0.0]  # half way
+        if i in (40, 51):
+            v = [40.0, 0.0, 0.0]
+        rows.append((1, i, None if i in (3, 45) else v, "non_finite" if i in (3, 45) else ""))
+    rows += [(2, 0, [1.0, 1.0, 1.0], ""), (2, 1, None, None)]
+    rows += [(3, i, rng.normal(0, 1, 3).tolist(), "") for i in range(35)]
+    return rows, spark.createDataFrame(rows, "session long, stride_id long, v array<double>, reason string").repartition(4)
+
+
+@pytest.mark.parametrize("hold", [True, False])
+def test_states_equal_a_plain_walk(spark, hold):
+    from strideline.operators import states
+
+    rows, table = _states_table(spark)
+    model = states.state_models(table, 30)
+    by_session = {r.session: r.asDict() for r in model.collect()}
+    assert (by_session[1]["k"], by_session[1]["n"], by_session[2]["reason"], by_session[3]["k"]) == (2, 30, "too_few_strides", 1)
+    assert by_session[2]["centres"] is None and by_session[2]["centre"] is None
+    # wide bound, so that strides half way are doubtful and no outliers
+    got = states.assign_states(table, model, sigmas=12.0, least_confidence=0.3, hold=hold).collect()
+    for s in (1, 2, 3):
+        want = _plain_states([(i, v) for k, i, v, _ in rows if k == s], by_session[s] if by_session[s]["centres"] else None, 12.0, 0.3, hold)
+        assert {r.stride_id: r.state for r in got if r.session == s} == want
+    first = {r.stride_id: r for r in got if r.session == 1}
+    assert first[40].gait_state == "OOD" and first[40].ood and not first[45].valid and first[45].message == "non_finite" and first[45].gait_state == "UNKNOWN" and first[45].nearest is None
+    assert first[35].confidence < 0.3 and first[35].gait_state == (first[34].gait_state if hold else "UNKNOWN")
+    assert {r.message for r in got if r.session == 2} == {"no_baseline", "no_vector"}
+    assert all(r.confidence == 1.0 and r.runner_up is None for r in got if r.session == 3)
+
+
+def test_doubt_after_an_outlier_is_unknown(spark):
+    from strideline.operators import states
+
+    model = spark.createDataFrame([(1, [[0.0], [4.0]], 0.1, 0.1)], "session long, centres array<array<double>>, near_mean double, near_sd double")
+    values = [2.0, 0.1, 2.0, 50.0, 2.0, None, 3.9, 2.0]
+    rows = spark.createDataFrame([(1, i, None if v is None else [v], "") for i, v in enumerate(values)], "session long, stride_id long, v array<double>, reason string")
+    names = lambda **o: [r.gait_state for r in states.assign_states(rows, model, **o).orderBy("stride_id").collect()]
+    assert names(bound=10.0) == ["UNKNOWN", "S0", "S0", "OOD", "UNKNOWN", "UNKNOWN", "S1", "S1"]
+    assert names() == ["OOD", "S0", "OOD", "OOD", "OOD", "UNKNOWN", "S1", "OOD"]
+
+
+def test_analysis_against_a_reference_and_without(spark):
+    from strideline.operators import states
+
+    _, table = _states_table(spark)
+    model = states.state_models(table, 30)
+    healthy = spark.createDataFrame([([1.0, 0.0, 0.0], 2.0, 4.0)], "healthy array<double>, healthy_threshold double, healthy_scale double")
+    centre = {r.session: r for r in model.collect()}
+    for r in states.analyse(table, model, healthy, "healthy_region").collect():
+        if not r.valid:
+            assert (r.d_patient, r.d_healthy, r.d_target, r.inside, r.deviation) == (None,) * 5
+            continue
+        d = math.dist(r.v, [1.0, 0.0, 0.0])
+        assert np.allclose([r.d_healthy, r.d_target, r.d_patient], [d, d, math.dist(r.v, centre[r.session].centre)])
+        assert r.inside == (d <= 2.0) and np.isclose(r.deviation, min(max(d - 2.0, 0) / 4.0, 1))
+    for r in states.analyse(table, model).where("valid").collect():
+        m = centre[r.session]
+        assert r.inside is None and r.d_healthy is None and r.d_target == r.d_patient and np.isclose(r.deviation, min(max(r.d_patient - m.threshold, 0) / m.scale, 1))
