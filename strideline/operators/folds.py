@@ -181,6 +181,31 @@ class GateRearm(Machine):
         return int(passed), int(s["armed"])
 
 
+class SideTorque(Machine):
+    """Strikes of one foot that may start a pulse: the last that did lies ``ratio`` of the foot's own cycle back.
+
+    ``strike``, ``side`` and ``cycle`` are a step detector's; a cycle that is not known yet is ``nominal``.
+    Strikes of the other foot and of none neither start a pulse nor put one off.
+    """
+
+    inputs = ("strike", "side", "cycle")
+    schema = "fired int, last double"
+
+    def __init__(self, side: str, nominal: float, ratio: float = 0.65):
+        self.side, self.nominal, self.ratio = side, nominal, ratio
+
+    def start(self) -> dict:
+        return {"last": None}
+
+    def step(self, s: dict, t: float, strike: bool, side: str, cycle: float) -> tuple:
+        known = cycle is not None and math.isfinite(cycle) and cycle > 0
+        wait = self.ratio * (cycle if known else self.nominal)
+        fired = bool(strike) and side == self.side and (s["last"] is None or t - s["last"] >= wait)
+        if fired:
+            s["last"] = t
+        return int(fired), s["last"]
+
+
 class Transitions(Machine):
     """A session's state under its samples' ``kind``: (state, kind) leads to a state, anything else leaves it as it is."""
 

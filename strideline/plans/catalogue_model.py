@@ -62,6 +62,24 @@ def gated_script_strikes(spark, d):
     return _gated(spark, d, False)
 
 
+_SIDE = """, b AS (SELECT session, seq, t, CASE WHEN k % 2 = 0 THEN 'left' ELSE 'right' END AS side FROM s WHERE strike),
+c AS (SELECT *, t - lag(t) OVER (PARTITION BY session, side ORDER BY t, seq) AS gap FROM b),
+d AS (SELECT *, avg(gap) OVER (PARTITION BY session, side ORDER BY t, seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS cycle, row_number() OVER (PARTITION BY session ORDER BY t, seq) AS i FROM c),
+f AS (SELECT session, seq, side, cycle, i, side = 'left' AS fired, CASE WHEN side = 'left' THEN t END AS last FROM d WHERE i = 1 UNION ALL
+SELECT session, seq, side, cycle, i, fires, CASE WHEN fires THEN t ELSE last END FROM (SELECT d.*, f.last, d.side = 'left' AND (f.last IS NULL OR d.t - f.last >= 0.65::DOUBLE * CASE WHEN d.cycle > 0 THEN d.cycle ELSE 48 END) AS fires FROM f JOIN d ON d.session = f.session AND d.i = f.i + 1))
+SELECT session, seq, side, round(cycle, 6) AS cycle, fired::INT AS fired FROM f"""
+
+
+@query(_SIDE)
+def side_torque(spark, d):
+    """Strikes of the left foot that may start a pulse; each foot's cycle is the mean of its last five, 48 hours until one is known."""
+    own, foot = Window.partitionBy("session", "side").orderBy("t", "seq"), F.when(F.col("k") % 2 == 0, "left").otherwise("right")
+    rows = samples(spark, d).where("strike").withColumn("side", foot)
+    rows = rows.withColumn("gap", F.col("t") - F.lag("t").over(own)).withColumn("cycle", F.avg("gap").over(own.rowsBetween(-4, 0)))
+    fired = folds.run_machine(rows, folds.SideTorque("left", 48.0)).select("session", "seq", "fired")
+    return fired.join(rows.select("session", "seq", "side", r6("cycle", "cycle")), ["session", "seq"])
+
+
 # --- features -----------------------------------------------------------------------------
 
 @query(K._CUT + ", a AS (SELECT *, CASE WHEN k <> 13 THEN x / 10 END AS ax FROM cut) SELECT session, stride_id, CASE WHEN bool_and(ax IS NOT NULL AND isfinite(ax)) THEN round(stddev_pop(sqrt(ax * ax + k * k / 100.0::DOUBLE + 1)), 6) END AS rms FROM a GROUP BY session, stride_id")

@@ -690,3 +690,17 @@ def test_analysis_against_a_reference_and_without(spark):
     for r in states.analyse(table, model).where("valid").collect():
         m = centre[r.session]
         assert r.inside is None and r.d_healthy is None and r.d_target == r.d_patient and np.isclose(r.deviation, min(max(r.d_patient - m.threshold, 0) / m.scale, 1))
+
+
+def test_torque_of_one_side_waits_for_its_own_cycle(spark):
+    # (t, strike, side, cycle, may start a pulse)
+    walk = [(0.0, True, "right", None, 0), (0.5, True, "left", None, 1), (0.9, True, "left", None, 0), (1.2, True, "left", float("nan"), 0), (1.28, True, "left", None, 1), (1.9, True, "right", 1.0, 0), (2.0, False, "left", 1.0, 0), (2.1, True, "left", 1.0, 1), (2.5, True, "left", 0.5, 1), (2.9, True, None, 0.5, 0), (3.0, True, "left", 0.0, 0)]
+    machine = folds.SideTorque("left", 1.2)
+    state, got = machine.start(), []
+    for t, strike, side, cycle, _ in walk:
+        got.append(machine.step(state, t, strike, side, cycle)[0])
+    assert got == [w[4] for w in walk]
+    # sessions and blocks are apart: the machine's state alone goes on
+    rows = spark.createDataFrame([(s, i, t, 0.0, strike, side, cycle) for s in (1, 2) for i, (t, strike, side, cycle, _) in enumerate(walk)], "session long, seq long, t double, x double, strike boolean, side string, cycle double")
+    found = folds.run_machine(rows.repartition(3), machine).orderBy("session", "seq").collect()
+    assert [r.fired for r in found] == [w[4] for w in walk] * 2
