@@ -252,6 +252,97 @@ class SessionStates(Machine):
         return s["state"], note
 
 
+#: Starts of a device's replies, the state each leads to, and whether the session is active then.
+REPLIES = {"OK session_started": ("CONFIG_WAIT", False), "OK control_started": ("STREAMING", True), "OK control_rearmed": ("STREAMING", True), "OK session_stopped": ("IDLE", False)}
+#: The device's own names of a state in which its session is active, and the state here.
+REPORTED = {"SENSOR_STREAMING": "STREAMING", "CONTROL_ACTIVE": "STREAMING", "CONTROL_STALE": "STALE"}
+
+
+def _value(words: list[str], name: str, kind: type):
+    """The value of name=value among words as a ``kind``; None without one that can be read."""
+    for word in words:
+        key, equals, value = word.partition("=")
+        if equals and key == name:
+            try:
+                return kind(value)
+            except ValueError:
+                return None
+    return None
+
+
+class LinkStates(Machine):
+    """State of a device's link from its captured text: lines ``sent``, replies, and the numbers of telemetry frames.
+
+    A start or stop that was sent waits ``ack`` seconds for its reply; then a start has failed,
+    and a stop has worked if no frame came in the last ``stale`` seconds before.  An active
+    session without a frame for ``stale`` seconds is STALE until a reply says otherwise; frames alone change no
+    state.  Time passes at rows: what fell due before a row is settled first, as of when it fell due.
+    Lines of other kinds, null lines and values that cannot be read change nothing.
+    """
+
+    inputs = ("sent", "line", "frame")
+    schema = "state string, active int, waiting string, asked double, last_seq long, lapse string"
+
+    def __init__(self, ack: float = 1.0, stale: float = 0.25):
+        self.ack, self.stale = ack, stale
+
+    def start(self) -> dict:
+        return {"state": "IDLE", "active": False, "waiting": None, "since": None, "frame": None, "asked": 0.0, "seq": 0}
+
+    def _row(self, s: dict, lapse: str) -> tuple:
+        return s["state"], int(s["active"]), s["waiting"], s["asked"], s["seq"], lapse
+
+    def _lapse(self, s: dict, now: float) -> str:
+        """Settles what fell due up to ``now``; its name."""
+        lapse = ""
+        if s["waiting"] is not None and now >= s["since"] + self.ack:
+            lapse = f"{s['waiting']}_unanswered"
+            going = s["waiting"] == "stop" and s["frame"] is not None and s["since"] + self.ack - s["frame"] < self.stale
+            s.update(waiting=None, active=going, state="STREAMING" if going else "FAULT" if s["waiting"] == "start" else "IDLE")
+        if s["active"] and s["frame"] is not None and now - s["frame"] >= self.stale:
+            lapse, s["state"] = lapse or ("" if s["state"] == "STALE" else "stale"), "STALE"
+        return lapse
+
+    def _settled(self, s: dict, state: str, active: bool) -> None:
+        s.update(state=state, active=active, waiting=None)
+
+    def _heard(self, s: dict, line: str) -> None:
+        """A reply of the device."""
+        reply = next((r for r in REPLIES if line.startswith(r)), None)
+        if reply is not None:
+            self._settled(s, *REPLIES[reply])
+            if s["state"] == "CONFIG_WAIT":
+                s["asked"] = 0.0
+        elif line.startswith("OK sensor_streaming"):
+            s["state"] = "SENSOR_STREAMING"
+        elif line.startswith("OK state="):
+            words = line.split()
+            state = REPORTED.get(_value(words, "state", str))
+            self._settled(s, state or "IDLE", state is not None)
+            seq, asked = _value(words, "last_seq", int), _value(words, "value", float)
+            s.update(seq=s["seq"] if seq is None else seq, asked=s["asked"] if asked is None else asked)
+        elif line.startswith("ERR "):
+            self._settled(s, s["state"] if s["active"] else "FAULT", s["active"])
+
+    def step(self, s: dict, t: float, sent: bool, line: str, frame: int) -> tuple:
+        lapse = self._lapse(s, t)
+        if frame is not None and frame == frame:  # a number that is missing may come as NaN
+            s.update(frame=t, seq=int(frame))
+        elif isinstance(line, str) and sent:
+            order = line.split()[-1:]
+            if order == ["START"]:
+                s.update(state="AWAITING_START_ACK", active=False, waiting="start", since=t, asked=0.0)
+            elif order == ["STOP"]:
+                s.update(state="AWAITING_STOP_ACK", waiting="stop", since=t)
+        elif isinstance(line, str):
+            self._heard(s, line)
+        return self._row(s, lapse)
+
+    def timed_out(self, s: dict) -> tuple:
+        """The row of a session that has fallen silent: all that can fall due has."""
+        return self._row(s, self._lapse(s, math.inf))
+
+
 #: Detectors by name; ``register_detector`` adds to them.
 DETECTORS: dict[str, Callable[..., Machine]] = {"belt_length": BeltTrigger, "level": LevelTrigger}
 
@@ -279,7 +370,7 @@ def _outputs(machine: Machine) -> dict[str, str]:
 
 def run_machine(samples: DataFrame, machine: Machine) -> DataFrame:
     """(session, seq, t, x) and the machine's columns for every sample, in batch."""
-    kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+    kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "long": pa.int64()}
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("t", "ascending"), ("seq", "ascending")])

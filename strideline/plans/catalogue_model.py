@@ -80,6 +80,41 @@ def side_torque(spark, d):
     return fired.join(rows.select("session", "seq", "side", r6("cycle", "cycle")), ["session", "seq"])
 
 
+# --- the link ------------------------------------------------------------------------------
+
+#: Times of the link, in hours here.
+ACK, STALE = 30.0, 60.0
+
+_OP = "CASE WHEN kind = 'view' THEN 'frame' WHEN kind = 'signup' THEN CASE WHEN k % 3 <> 0 THEN 'start' ELSE 'stop' END WHEN kind = 'click' THEN CASE k % 4 WHEN 0 THEN 'started' WHEN 1 THEN 'sensor' WHEN 2 THEN 'control' ELSE 'stopped' END WHEN kind = 'purchase' THEN CASE k % 3 WHEN 0 THEN 's_active' WHEN 1 THEN 's_stale' ELSE 's_idle' END ELSE 'err' END"
+_LINK = f""", o AS (SELECT session, seq, t, k, {_OP} AS op, row_number() OVER (PARTITION BY session ORDER BY t, seq) AS i FROM s),
+f AS (SELECT session, 0::BIGINT AS i, 0::BIGINT AS seq, 'IDLE' AS state, false AS active, NULL::VARCHAR AS waiting, NULL::DOUBLE AS since, NULL::DOUBLE AS frame, 0::DOUBLE AS asked, 0::BIGINT AS last_seq, '' AS lapse FROM o GROUP BY session
+UNION ALL SELECT session, i, seq,
+CASE op WHEN 'start' THEN 'AWAITING_START_ACK' WHEN 'stop' THEN 'AWAITING_STOP_ACK' WHEN 'started' THEN 'CONFIG_WAIT' WHEN 'sensor' THEN 'SENSOR_STREAMING' WHEN 'control' THEN 'STREAMING' WHEN 's_active' THEN 'STREAMING' WHEN 's_stale' THEN 'STALE' WHEN 'stopped' THEN 'IDLE' WHEN 's_idle' THEN 'IDLE' WHEN 'err' THEN CASE WHEN active THEN state ELSE 'FAULT' END ELSE state END,
+CASE WHEN op IN ('start', 'started', 'stopped', 's_idle') THEN false WHEN op IN ('control', 's_active', 's_stale') THEN true ELSE active END,
+CASE WHEN op IN ('start', 'stop') THEN op WHEN op IN ('frame', 'sensor') THEN waiting END,
+CASE WHEN op IN ('start', 'stop') THEN t ELSE since END, CASE WHEN op = 'frame' THEN t ELSE frame END,
+CASE WHEN op IN ('start', 'started') THEN 0 WHEN op LIKE 's!_%' ESCAPE '!' THEN k + 0.5::DOUBLE ELSE asked END, CASE WHEN op = 'frame' OR op LIKE 's!_%' ESCAPE '!' THEN seq ELSE last_seq END, lapse
+FROM (SELECT * REPLACE (CASE WHEN dry THEN 'STALE' ELSE state END AS state, CASE WHEN due THEN lapse WHEN dry AND state <> 'STALE' THEN 'stale' ELSE '' END AS lapse) FROM
+(SELECT *, active AND frame IS NOT NULL AND t - frame >= {STALE}::DOUBLE AS dry FROM
+(SELECT * REPLACE (CASE WHEN due AND going THEN 'STREAMING' WHEN due AND waiting = 'start' THEN 'FAULT' WHEN due THEN 'IDLE' ELSE state END AS state, CASE WHEN due THEN going ELSE active END AS active, CASE WHEN due THEN waiting || '_unanswered' ELSE '' END AS lapse, CASE WHEN NOT due THEN waiting END AS waiting) FROM
+(SELECT o.session, o.i, o.seq, o.t, o.k, o.op, f.state, f.active, f.waiting, f.since, f.frame, f.asked, f.last_seq, f.lapse, f.waiting IS NOT NULL AND o.t >= f.since + {ACK}::DOUBLE AS due, coalesce(f.waiting = 'stop' AND f.since + {ACK}::DOUBLE - f.frame < {STALE}::DOUBLE, false) AS going FROM f JOIN o ON o.session = f.session AND o.i = f.i + 1)))))
+SELECT session, seq, state, active::INT AS active, coalesce(waiting, '') AS waiting, asked, last_seq, lapse FROM f WHERE i > 0"""
+
+
+@query(_LINK)
+def link_states(spark, d):
+    """State of each session's link, its samples read as a capture: orders, replies with the sample's values, frames."""
+    k, kind = F.col("k"), F.col("kind")
+    pick = lambda n, names: F.element_at(F.array(*[F.lit(x) for x in names]), (k % n + 1).cast("int"))
+    status = F.concat(F.lit("OK state="), pick(3, ("CONTROL_ACTIVE", "CONTROL_STALE", "READY")), F.lit(" last_seq="), F.col("seq"), F.lit(" value="), k, F.lit(".5"))
+    reply = F.when(kind == "click", pick(4, ("OK session_started", "OK sensor_streaming rate=100", "OK control_started", "OK session_stopped"))).when(kind == "purchase", status).otherwise("ERR busy")
+    order = F.when(k % 3 != 0, "CTL START").otherwise("CTL STOP")
+    rows = samples(spark, d).withColumn("sent", F.col("strike")).withColumn("frame", F.when(kind == "view", F.col("seq")))
+    rows = rows.withColumn("line", F.when(F.col("frame").isNull(), F.when(F.col("strike"), order).otherwise(reply)))
+    found = folds.run_machine(rows, folds.LinkStates(ACK, STALE))
+    return found.select("session", "seq", "state", "active", F.coalesce("waiting", F.lit("")).alias("waiting"), "asked", "last_seq", "lapse")
+
+
 # --- features -----------------------------------------------------------------------------
 
 @query(K._CUT + ", a AS (SELECT *, CASE WHEN k <> 13 THEN x / 10 END AS ax FROM cut) SELECT session, stride_id, CASE WHEN bool_and(ax IS NOT NULL AND isfinite(ax)) THEN round(stddev_pop(sqrt(ax * ax + k * k / 100.0::DOUBLE + 1)), 6) END AS rms FROM a GROUP BY session, stride_id")

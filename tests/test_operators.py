@@ -704,3 +704,45 @@ def test_torque_of_one_side_waits_for_its_own_cycle(spark):
     rows = spark.createDataFrame([(s, i, t, 0.0, strike, side, cycle) for s in (1, 2) for i, (t, strike, side, cycle, _) in enumerate(walk)], "session long, seq long, t double, x double, strike boolean, side string, cycle double")
     found = folds.run_machine(rows.repartition(3), machine).orderBy("session", "seq").collect()
     assert [r.fired for r in found] == [w[4] for w in walk] * 2
+
+
+def _link(rows, **options):
+    """(state, active, waiting, asked, last_seq, lapse) after each (t, sent, line, frame)."""
+    machine = folds.LinkStates(**options)
+    state = machine.start()
+    return [machine.step(state, *row) for row in rows], machine, state
+
+
+def test_link_goes_through_a_session():
+    rows, _, _ = _link([
+        (0.0, True, "CTL START", None), (0.1, False, "OK session_started", None), (0.2, True, "CTL SENSOR_START", None), (0.3, False, "OK sensor_streaming", None),
+        (0.4, False, None, 7), (0.5, False, "OK control_started", None), (0.6, False, None, 8), (0.7, True, "CTL STOP", None), (0.75, False, "OK session_stopped", None)])
+    assert [r[0] for r in rows] == ["AWAITING_START_ACK", "CONFIG_WAIT", "CONFIG_WAIT", "SENSOR_STREAMING", "SENSOR_STREAMING", "STREAMING", "STREAMING", "AWAITING_STOP_ACK", "IDLE"]
+    assert [r[1] for r in rows] == [0, 0, 0, 0, 0, 1, 1, 1, 0] and [r[2] for r in rows] == ["start"] + [None] * 6 + ["stop", None]
+    assert rows[-1][4] == 8 and {r[5] for r in rows} == {""}
+
+
+def test_link_settles_what_fell_due():
+    # an unanswered start is a fault at its time, not before it
+    rows, _, _ = _link([(0.0, True, "CTL START", None), (0.99, False, None, None), (1.0, False, None, None)])
+    assert [(r[0], r[5]) for r in rows] == [("AWAITING_START_ACK", ""), ("AWAITING_START_ACK", ""), ("FAULT", "start_unanswered")]
+    # a stop without an answer has worked unless frames still came when it fell due
+    for last, want in ((0.9, ("STREAMING", 1)), (0.7, ("IDLE", 0))):
+        rows, _, _ = _link([(-0.1, False, "OK control_started", None), (0.0, True, "CTL STOP", None), (last, False, None, 3), (1.01, False, None, None)])
+        assert rows[-1][:2] == want and rows[-1][5] == "stop_unanswered"
+    # STALE once, and frames do not end it; a reply does
+    rows, machine, state = _link([(0.0, False, "OK control_rearmed", None), (0.1, False, None, 1), (0.35, False, None, 2), (0.4, False, None, 3), (0.5, False, "OK state=CONTROL_ACTIVE last_seq=9 value=1.5", None)])
+    assert [(r[0], r[5]) for r in rows] == [("STREAMING", ""), ("STREAMING", ""), ("STALE", "stale"), ("STALE", ""), ("STREAMING", "")]
+    assert rows[-1][3:5] == (1.5, 9)
+    assert machine.timed_out(state)[0] == "STALE"
+
+
+def test_link_on_odd_lines(spark):
+    walk = [(0.0, False, "ERR no session", None), (0.1, False, "OK state=CONTROL_STALE last_seq=x value=", None), (0.2, False, "ERR busy", None), (0.3, False, "", None), (0.4, False, None, None), (0.5, True, "", None), (0.6, False, "OK", None), (0.7, None, "OK state=READY value=2", None)]
+    rows, _, _ = _link(walk)
+    assert [(r[0], r[1]) for r in rows] == [("FAULT", 0)] + [("STALE", 1)] * 6 + [("IDLE", 0)]
+    assert rows[1][3:5] == (0.0, 0) and rows[-1][3] == 2.0
+    table = spark.createDataFrame([(s, i, t, 0.0, sent, line, frame) for s in (1, 2) for i, (t, sent, line, frame) in enumerate(walk)], "session long, seq long, t double, x double, sent boolean, line string, frame long")
+    found = folds.run_machine(table.repartition(3), folds.LinkStates()).orderBy("session", "seq").collect()
+    assert [tuple(r)[4:] for r in found] == rows * 2
+    assert folds.run_machine(table.limit(0), folds.LinkStates()).count() == 0
