@@ -731,7 +731,7 @@ def test_link_settles_what_fell_due():
         rows, _, _ = _link([(-0.1, False, "OK control_started", None), (0.0, True, "CTL STOP", None), (last, False, None, 3), (1.01, False, None, None)])
         assert rows[-1][:2] == want and rows[-1][5] == "stop_unanswered"
     # STALE once, and frames do not end it; a reply does
-    rows, machine, state = _link([(0.0, False, "OK control_rearmed", None), (0.1, False, None, 1), (0.35, False, None, 2), (0.4, False, None, 3), (0.5, False, "OK state=CONTROL_ACTIVE last_seq=9 value=1.5", None)])
+    rows, machine, state = _link([(0.0, False, "OK control_rearmed", None), (0.1, False, None, 1), (0.375, False, None, 2), (0.4, False, None, 3), (0.5, False, "OK state=CONTROL_ACTIVE last_seq=9 value=1.5", None)])
     assert [(r[0], r[5]) for r in rows] == [("STREAMING", ""), ("STREAMING", ""), ("STALE", "stale"), ("STALE", ""), ("STREAMING", "")]
     assert rows[-1][3:5] == (1.5, 9)
     assert machine.timed_out(state)[0] == "STALE"
