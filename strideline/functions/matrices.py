@@ -32,6 +32,17 @@ def vectorise(m: np.ndarray) -> np.ndarray:
     return np.where(i == j, 1.0, np.sqrt(2.0)) * m[i, j]
 
 
+def scaled_logs(covariances: np.ndarray, spreads: np.ndarray, ridge: float) -> np.ndarray:
+    """Log vectors of many matrices, given as upper triangles by rows, after their channels are divided by ``spreads`` (a row each)."""
+    n = spreads.shape[1]
+    i, j = np.triu_indices(n)
+    m = np.empty((len(covariances), n, n))
+    m[:, i, j] = m[:, j, i] = covariances / (spreads[:, i] * spreads[:, j])
+    w, v = np.linalg.eigh(m + ridge * np.eye(n))
+    logs = (v * np.log(np.maximum(w, 1e-10))[:, None, :]) @ v.transpose(0, 2, 1)
+    return np.where(i == j, 1.0, np.sqrt(2.0)) * logs[:, i, j]
+
+
 def merged(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
     """Count, mean and squared deviations of several groups of rows together."""
     n, mean, squares = parts[0]

@@ -368,21 +368,23 @@ def _outputs(machine: Machine) -> dict[str, str]:
     return dict(column.split() for column in machine.schema.split(","))
 
 
-def run_machine(samples: DataFrame, machine: Machine) -> DataFrame:
-    """(session, seq, t, x) and the machine's columns for every sample, in batch."""
+def run_machine(samples: DataFrame, machine: Machine, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(session, seq, t, x), the columns to ``keep`` and the machine's columns for every sample, in batch."""
     kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "long": pa.int64()}
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("t", "ascending"), ("seq", "ascending")])
         state = machine.start()
         found = machine.process(state, *[group[c].to_pylist() for c in ("t", *machine.inputs)])
-        group = group.select(["session", "seq", "t", "x"])
+        group = group.select(["session", "seq", "t", "x", *keep])
         for (name, kind), column in zip(_outputs(machine).items(), found, strict=True):
             group = group.append_column(name, pa.array(column, kinds[kind]))
         return group
 
-    rows = samples.select(*machine.fields())
-    return rows.groupBy("session").applyInArrow(run, f"session long, seq long, t double, x double, {machine.schema}")
+    kinds_kept = dict(samples.dtypes)
+    kept = "".join(f"{c} {kinds_kept[c]}, " for c in keep)
+    rows = samples.select(*dict.fromkeys([*machine.fields(), *keep]))
+    return rows.groupBy("session").applyInArrow(run, f"session long, seq long, t double, x double, {kept}{machine.schema}")
 
 
 def stream_step(machine: Machine, stale: float | None = None):

@@ -30,10 +30,11 @@ def cut(samples: DataFrame) -> DataFrame:
     return both.where(inside).select(*samples.columns, F.col("part.id").alias("stride_id"), F.col("part.closing").alias("closing"))
 
 
-def metrics(cut_samples: DataFrame, min_samples: int = 3, shortest: float = 0.5, longest: float = 150.0) -> DataFrame:
+def metrics(cut_samples: DataFrame, min_samples: int = 3, shortest: float = 0.5, longest: float = 150.0, more: tuple[Column, ...] = ()) -> DataFrame:
     """One row for each stride with its times, ratios, excursion and the first reason to reject it.
 
     An interval belongs to the phase of its left sample; the last sample has none.
+    ``more`` are further aggregates over a stride's samples, taken in the same pass.
     """
     w = Window.partitionBy("session", "stride_id").orderBy(*ORDER)
     step = F.coalesce(F.lead("t").over(w) - F.col("t"), F.lit(0.0))
@@ -42,7 +43,7 @@ def metrics(cut_samples: DataFrame, min_samples: int = 3, shortest: float = 0.5,
         F.count("*").alias("n_samples"), F.min("t").alias("t_start"), F.max("t").alias("t_end"),
         F.sum(F.when(F.col("swing"), F.col("step")).otherwise(0.0)).alias("swing_time"), F.sum(F.when(~F.col("swing"), F.col("step")).otherwise(0.0)).alias("stance_time"),
         (F.max("x") - F.min("x")).alias("excursion"), F.avg("x").alias("mean_x"), F.max(F.abs("k")).alias("peak_k"), F.stddev_pop("x").alias("rms_x"),
-        F.count_if("swing").alias("n_swing"), F.count_if(~F.col("swing")).alias("n_stance"), F.count_if(~finite(F.col("x"))).alias("n_not_finite"),
+        F.count_if("swing").alias("n_swing"), F.count_if(~F.col("swing")).alias("n_stance"), F.count_if(~finite(F.col("x"))).alias("n_not_finite"), *more,
     )
     both = F.col("swing_time") + F.col("stance_time")
     out = out.withColumn("stride_time", F.col("t_end") - F.col("t_start"))
