@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from strideline.functions import columns as C
 from strideline.operators import folds, models, references, states
 from strideline.operators import segments as S
+from strideline.plans import batch
 from strideline.plans import catalogue as K
 from strideline.plans.catalogue import query, r6, win
 from strideline.schema import samples
+from strideline.sources.sinks import Config
 
 FIRST = 4
 
@@ -649,3 +651,16 @@ def gait_states(spark, d):
 
 
 K.QUERIES["gait_states"] = gait_states
+
+
+def channel_replay(spark, d):
+    """Replay of patients over five channels against the healthy sessions' references by cadence; samples with a high k veto their stride."""
+    step = lambda c: F.coalesce(F.col(c) - F.lag(c).over(win()), F.lit(0)).cast("double")
+    rows = samples(spark, d).withColumns({"x_step": step("x"), "k_step": step("k"), "gap": step("t"), "veto": F.col("k") >= 98})
+    channels, config, t = ("x", "k", "x_step", "k_step", "gap"), Config(baseline_strides=FIRST, persist=1), F.col("stride_time")
+    label = F.when(t < 40, "fast").when(t < 90, "mid").otherwise("slow")
+    bank = batch.reference_bank(rows.where("session % 3 = 0"), label, config, channels=channels)
+    return batch.replay(rows.where("session % 3 != 0"), config, target="healthy_region", channels=channels, bank=bank)
+
+
+K.QUERIES["channel_replay"] = channel_replay
