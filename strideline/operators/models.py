@@ -62,16 +62,24 @@ def scaling_of_json(rows: DataFrame) -> DataFrame:
 
 def log_vectors(cut_samples: DataFrame) -> DataFrame:
     """(session, stride_id, v, reason): logarithm of the covariance of x and k as a vector that keeps lengths; null with a reason where there is none."""
+    return with_log_vector(cut_samples.groupBy("session", "stride_id").agg(log_moments()))
+
+
+def log_moments() -> Column:
+    """Aggregate ``moments``: what ``with_log_vector`` needs of a stride's samples."""
     k, x = F.col("k").cast("double"), F.col("x")
-    rows = cut_samples.groupBy("session", "stride_id").agg(
+    return F.struct(
         F.count("*").alias("n"), F.bool_and(C.finite(x) & C.finite(k)).alias("fine"),
         (F.var_samp("x") + RIDGE).alias("a"), F.covar_samp("x", k).alias("b"), (F.var_samp(k) + RIDGE).alias("c"),
-    )
-    determinant = F.col("a") * F.col("c") - F.col("b") * F.col("b")
-    reason = C.first_reason((F.col("n") < 2, "too_few_samples"), (~F.col("fine"), "non_finite"), (~(determinant > 0), "not_positive_definite"))
-    rows = rows.withColumn("reason", reason)
-    v = C.vectorise_2x2(*C.matrix_log_2x2(F.col("a"), F.col("b"), F.col("c")))
-    return rows.select("session", "stride_id", F.when(F.col("reason") == "", v).alias("v"), "reason")
+    ).alias("moments")
+
+
+def with_log_vector(rows: DataFrame) -> DataFrame:
+    """``rows`` with v and reason in place of ``moments``."""
+    n, fine, a, b, c = (F.col("moments")[f] for f in ("n", "fine", "a", "b", "c"))
+    reason = C.first_reason((n < 2, "too_few_samples"), (~fine, "non_finite"), (~(a * c - b * b > 0), "not_positive_definite"))
+    v = C.vectorise_2x2(*C.matrix_log_2x2(a, b, c))
+    return rows.withColumn("reason", reason).withColumn("v", F.when(F.col("reason") == "", v)).select(*[x for x in rows.columns if x != "moments"], "v", "reason")
 
 
 def mean_vector(column: str, width: int) -> Column:
@@ -159,10 +167,13 @@ def warnings_of(n: Column, k: Column, has_reference: Column) -> Column:
     ), lambda w: w.isNotNull())
 
 
-def distances(strides: DataFrame, references: DataFrame, mode: str, alpha: float) -> DataFrame:
-    """``strides`` (session, v, ...) with d_patient, d_healthy and d_target; references: (session, centre, healthy), healthy null where there is none."""
+def distances(strides: DataFrame, references: DataFrame, mode: str, alpha: float, how: str = "inner") -> DataFrame:
+    """``strides`` (session, v, ...) with d_patient, d_healthy and d_target; references: (session, centre, healthy), healthy null where there is none.
+
+    ``how`` is the join: ``left`` keeps strides of sessions without a reference, with null distances.
+    """
     chosen = references.withColumn("target", target_of(F.col("centre"), F.col("healthy"), mode, alpha)[1])
-    rows = strides.join(chosen.select("session", "centre", "healthy", "target"), "session")
+    rows = strides.join(chosen.select("session", "centre", "healthy", "target"), "session", how)
     rows = rows.withColumns({f"d_{n}": C.distance(F.col("v"), F.col(c)) for n, c in (("patient", "centre"), ("healthy", "healthy"), ("target", "target"))})
     return rows.drop("centre", "healthy", "target")
 

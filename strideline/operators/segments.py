@@ -79,13 +79,17 @@ def symmetry(left: DataFrame, right: DataFrame) -> DataFrame:
     return out.withColumn("ratio_symmetry", F.col("own_ratio") / F.nullif(F.col("other_ratio"), F.lit(0.0)))
 
 
-def trunk_rms(cut_samples: DataFrame, axes: list[Column]) -> DataFrame:
-    """(session, stride_id, rms): spread of the vector's length within each stride; null where a component is not finite."""
+def rms(axes: list[Column]) -> Column:
+    """Aggregate: spread of the vector's length; null where a component is not finite."""
     fine = finite(axes[0])
     for a in axes[1:]:
         fine = fine & finite(a)
-    rows = cut_samples.withColumn("fine", fine).withColumn("size", magnitude(*axes))
-    return rows.groupBy("session", "stride_id").agg(F.when(F.bool_and("fine"), F.stddev_pop("size")).alias("rms"))
+    return F.when(F.bool_and(fine), F.stddev_pop(magnitude(*axes)))
+
+
+def trunk_rms(cut_samples: DataFrame, axes: list[Column]) -> DataFrame:
+    """(session, stride_id, rms): spread of the vector's length within each stride; null where a component is not finite."""
+    return cut_samples.groupBy("session", "stride_id").agg(rms(axes).alias("rms"))
 
 
 def check_channels(df: DataFrame, channels: list[str]) -> None:

@@ -229,14 +229,24 @@ _RATIOS = {"swing_symmetry": "a.swing_time / b.swing_time", "stance_symmetry": "
 
 @query(_METRICS + f", v AS (SELECT *, stride_id // 2 AS pair FROM m) SELECT a.session, a.pair, {', '.join(f'CASE WHEN {_USABLE} THEN round({v}, 6) END AS {k}' for k, v in _RATIOS.items())} FROM v a LEFT JOIN v b ON a.session = b.session AND a.pair = b.pair AND b.stride_id % 2 = 1 WHERE a.stride_id % 2 = 0")
 def symmetry(spark, d):
-    rows = strides(spark, d).withColumn("pair", F.floor(F.col("stride_id") / 2))
+    return symmetry_of(strides(spark, d))
+
+
+def symmetry_of(rows: DataFrame) -> DataFrame:
+    """Ratios of each even stride of ``rows`` and the next one."""
+    rows = rows.withColumn("pair", F.floor(F.col("stride_id") / 2))
     out = S.symmetry(rows.where("stride_id % 2 = 0"), rows.where("stride_id % 2 = 1"))
     return out.select("session", "pair", *[r6(c, c) for c in _RATIOS])
 
 
 def unpivoted(spark: SparkSession, d: str) -> DataFrame:
     """(session, stride_id, metric, value) of the valid strides."""
-    rows = strides(spark, d).where("valid").select("session", "stride_id", *_METRIC_COLUMNS)
+    return unpivoted_of(strides(spark, d))
+
+
+def unpivoted_of(rows: DataFrame) -> DataFrame:
+    """``unpivoted`` of given strides."""
+    rows = rows.where("valid").select("session", "stride_id", *_METRIC_COLUMNS)
     return rows.unpivot(["session", "stride_id"], _METRIC_COLUMNS, "metric", "value").where(C.finite(F.col("value")))
 
 
@@ -258,8 +268,13 @@ _RANGES = _UNPIVOT + ", rg AS (SELECT metric, quantile_cont(value, 0.05) AS lowe
 
 def ranges(spark: SparkSession, d: str) -> DataFrame:
     """(metric, lower, median, upper, scale): reference intervals over all valid strides; scale is null for an empty interval."""
+    return ranges_of(strides(spark, d))
+
+
+def ranges_of(rows: DataFrame) -> DataFrame:
+    """``ranges`` of given strides."""
     q = F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    out = unpivoted(spark, d).groupBy("metric").agg(q.alias("q")).select("metric", F.col("q")[0].alias("lower"), F.col("q")[1].alias("median"), F.col("q")[2].alias("upper"))
+    out = unpivoted_of(rows).groupBy("metric").agg(q.alias("q")).select("metric", F.col("q")[0].alias("lower"), F.col("q")[1].alias("median"), F.col("q")[2].alias("upper"))
     return out.withColumn("scale", F.nullif((F.col("upper") - F.col("lower")) / 2, F.lit(0.0)))
 
 
@@ -477,13 +492,23 @@ _SCORED = _RANGES + ", w AS (SELECT m.*, a.lower AS sl, a.upper AS su, b.lower A
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """(session, stride_id, t_start, e_swing, e_exc, e_r, ood, e_b) of the valid strides."""
-    every = ranges(spark, d).agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("lower", "upper")))).alias("r"))  # one row
-    rows = strides(spark, d).where("valid").join(F.broadcast(every))
+    rows = with_scores(with_ranges(strides(spark, d)))
+    return rows.select("session", "stride_id", "t_start", "e_swing", "e_exc", "e_r", "ood", "e_b")
+
+
+def with_ranges(rows: DataFrame) -> DataFrame:
+    """The valid ones of ``rows``, strides, with ``r``: lower and upper end by metric."""
+    every = ranges_of(rows).agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("lower", "upper")))).alias("r"))  # one row
+    return rows.where("valid").join(F.broadcast(every))
+
+
+def with_scores(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``with_ranges`` with e_swing, e_exc, e_r, ood and e_b."""
     low, high = lambda m: F.col("r")[m]["lower"], lambda m: F.col("r")[m]["upper"]
     swing = C.interval_error(F.col("swing_ratio"), low("swing_ratio"), high("swing_ratio"), F.lit(0.1), "deficit")
     exc = C.interval_error(F.col("excursion"), low("excursion"), high("excursion"), F.lit(0.0), "two_sided")
     e_r = C.region_deviation(F.col("stride_time"), F.lit(100.0), F.lit(40.0))
-    rows = rows.select("session", "stride_id", "t_start", swing.alias("e_swing"), exc.alias("e_exc"), e_r.alias("e_r"), (F.col("stride_time") > 140).alias("ood"))
+    rows = rows.withColumns({"e_swing": swing, "e_exc": exc, "e_r": e_r, "ood": F.col("stride_time") > 140})
     return rows.withColumn("e_b", C.weighted_deficit([(0.3, F.col("e_swing")), (0.7, F.col("e_exc"))]))
 
 

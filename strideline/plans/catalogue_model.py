@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strideline.functions import columns as C
 from strideline.operators import folds, models, references, states
 from strideline.operators import segments as S
+from strideline.operators.policy import AssistPolicy
 from strideline.plans import batch
 from strideline.plans import catalogue as K
 from strideline.plans.catalogue import query, r6, win
 from strideline.schema import samples
+from strideline.sources.shared import fresh_folder
 from strideline.sources.sinks import Config
 
 FIRST = 4
@@ -122,8 +124,11 @@ def link_states(spark, d):
 @query(K._CUT + ", a AS (SELECT *, CASE WHEN k <> 13 THEN x / 10 END AS ax FROM cut) SELECT session, stride_id, CASE WHEN bool_and(ax IS NOT NULL AND isfinite(ax)) THEN round(stddev_pop(sqrt(ax * ax + k * k / 100.0::DOUBLE + 1)), 6) END AS rms FROM a GROUP BY session, stride_id")
 def trunk_rms(spark, d):
     """Spread of a three-axis length in each stride; null where an axis lacks a value."""
-    axes = [F.when(F.col("k") != 13, F.col("x") / 10), F.col("k") / 10.0, F.lit(1.0)]
-    return S.trunk_rms(_cut(spark, d), axes).select("session", "stride_id", r6("rms", "rms"))
+    return S.trunk_rms(_cut(spark, d), _axes()).select("session", "stride_id", r6("rms", "rms"))
+
+
+def _axes() -> list[Column]:
+    return [F.when(F.col("k") != 13, F.col("x") / 10), F.col("k") / 10.0, F.lit(1.0)]
 
 
 _CHANNELS = {"x": "x", "k": "k::DOUBLE", "swings": "swing::INT::DOUBLE", "size": "sqrt(x * x + k * k)", "since": "t - t0"}
@@ -179,13 +184,20 @@ def baseline_model(spark, d):
 def stride_analysis(spark, d):
     """Every stride against its session's baseline; what cannot be represented is invalid, with the reason, and has no distance."""
     vectors = _vectors(spark, d)
-    base = models.baselines(vectors, FIRST).where("reason = ''").drop("n", "reason")
+    rows = _analysed(vectors, models.baselines(vectors, FIRST))
+    return rows.select("session", "stride_id", F.col("analysed").alias("valid"), "message", r6("dd", "d"), "inside", r6("deviation", "deviation"), "state", r6("delta", "delta"))
+
+
+def _analysed(vectors: DataFrame, base: DataFrame) -> DataFrame:
+    """``vectors`` (session, v, reason, ...) with analysed, message, dd, inside, deviation, state and delta against their session's row of ``base``."""
+    base = base.where("reason = ''").drop("n", "reason")
     rows = vectors.join(base, "session", "left").withColumn("dd", C.distance(F.col("v"), F.col("centre")))
     known, valid = F.col("dd").isNotNull(), (F.col("reason") == "") & F.col("centre").isNotNull()
     message = C.first_reason((F.col("reason") != "", F.col("reason")), (F.col("centre").isNull(), "no_baseline"))
     state = F.when(~known, "UNKNOWN").when(F.col("dd") > F.col("d_mean") + 3 * F.col("d_std"), "OOD").otherwise("S0")
     deviation = F.when(known, C.region_deviation(F.col("dd"), F.col("threshold"), F.col("scale")))
-    return rows.select("session", "stride_id", valid.alias("valid"), message.alias("message"), r6("dd", "d"), (F.col("dd") <= F.col("threshold")).alias("inside"), r6(deviation, "deviation"), state.alias("state"), r6(F.when(known, F.col("d_mean") - F.col("dd")), "delta"))
+    found = {"analysed": valid, "message": message, "inside": F.col("dd") <= F.col("threshold"), "deviation": deviation, "state": state, "delta": F.when(known, F.col("d_mean") - F.col("dd"))}
+    return rows.withColumns(found).drop(*[c for c in base.columns if c != "session"])
 
 
 @query(_BASE + ", h AS (SELECT avg(cp) AS hp, avg(cq) AS hq, avg(cr) AS hr FROM base WHERE n >= 2 AND session % 3 = 0), t AS (SELECT session, wanted, CASE WHEN session % 3 = 1 THEN 'patient_baseline' ELSE wanted END AS mode, CASE WHEN session % 3 = 1 OR wanted = 'patient_baseline' THEN 0.0 WHEN wanted = 'interpolated_target' THEN 0.3 ELSE 1.0 END::DOUBLE AS w, cp, cq, cr, hp, hq, hr FROM base, h, (SELECT unnest(['patient_baseline', 'interpolated_target', 'healthy_region']) AS wanted) WHERE n >= 2) SELECT session, wanted, mode, round(cp * (1 - w) + hp * w, 6) AS p, round(cq * (1 - w) + hq * w, 6) AS q, round(cr * (1 - w) + hr * w, 6) AS r FROM t")
@@ -208,11 +220,11 @@ _LABELS = K._METRICS + ", bank AS (SELECT kind AS label, quantile_cont(x, 0.25)
 _CHOSEN = _LABELS + ", g AS (SELECT session, stride_id, cadence, label, greatest(lower - cadence, cadence - upper, 0) AS gap FROM cad, bank WHERE lower IS NOT NULL), ch AS (SELECT session, stride_id, CASE WHEN any_value(cadence) IS NULL THEN (SELECT label FROM bank ORDER BY lower NULLS LAST, label DESC LIMIT 1 OFFSET (SELECT count(*) - 1 FROM bank)) ELSE arg_min(label, {'gap': gap, 'label': label}) END AS label, CASE WHEN any_value(cadence) IS NOT NULL THEN min(gap) END AS gap FROM g GROUP BY session, stride_id)"
 
 
-def _chosen(spark: SparkSession, d: str) -> DataFrame:
-    """Strides, every third without a cadence, with the label of a bank that holds one label without bounds."""
+def _chosen(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    """Strides, all or given ``rows``, every third without a cadence, with the label of a bank that holds one label without bounds."""
     labels = samples(spark, d).groupBy(F.col("kind").alias("label")).agg(F.percentile("x", 0.25).alias("lower"), F.percentile("x", 0.75).alias("upper"))
     labels = labels.unionByName(spark.createDataFrame([("zz_unmeasured", None, None)], "label string, lower double, upper double"))
-    rows = K.strides(spark, d).withColumn("cadence", F.when(F.col("n_samples") % 3 != 0, F.col("stride_time")))
+    rows = (K.strides(spark, d) if rows is None else rows).withColumn("cadence", F.when(F.col("n_samples") % 3 != 0, F.col("stride_time")))
     return models.select_reference(rows, models.as_bank(labels), "cadence")
 
 
@@ -225,20 +237,21 @@ def bank_unknown_cadence(spark, d):
 @query(_CHOSEN + " SELECT session, stride_id, CASE session % 3 WHEN 0 THEN 'healthy_reference:' || label WHEN 1 THEN 'healthy_reference' ELSE 'patient_baseline' END AS source FROM ch")
 def range_source(spark, d):
     """Where each stride's intervals come from: a bank's label, the one reference, or the session's own baseline."""
+    return _chosen(spark, d).select("session", "stride_id", _source())
+
+
+def _source() -> Column:
     kind = F.col("session") % 3
-    return _chosen(spark, d).select("session", "stride_id", models.range_source(kind == 0, kind <= 1, F.col("label")).alias("source"))
+    return models.range_source(kind == 0, kind <= 1, F.col("label")).alias("source")
 
 
 # --- policy ------------------------------------------------------------------------------------
 
-def _policy(scored: DataFrame, **options) -> DataFrame:
-    from strideline.operators.policy import AssistPolicy
-    from strideline.sources.sinks import Config
-
+def _policy(scored: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
     raw = C.assist_score(F.col("e_b"), F.col("e_r")) * 0.8
-    rows = scored.select("session", F.col("stride_id").alias("seq"), F.col("stride_id").cast("double").alias("t"), raw.alias("x"), (F.col("e_r") > 0).alias("ood"), (F.col("e_exc") >= 1).alias("veto"))
-    out = folds.run_machine(rows, AssistPolicy(Config(ood_streak=2, persist=2, settle=4, **options)))
-    return out.select("session", F.col("seq").alias("stride_id"), r6("gain", "gain"), "engaged", "updated", "deficits", "recoveries")
+    rows = scored.select("session", F.col("stride_id").alias("seq"), F.col("stride_id").cast("double").alias("t"), raw.alias("x"), (F.col("e_r") > 0).alias("ood"), (F.col("e_exc") >= 1).alias("veto"), *keep)
+    out = folds.run_machine(rows, AssistPolicy(Config(ood_streak=2, persist=2, settle=4, **options)), keep)
+    return out.select("session", F.col("seq").alias("stride_id"), r6("gain", "gain"), "engaged", "updated", "deficits", "recoveries", *keep)
 
 
 def _policy_sql(*swaps: tuple[str, str]) -> str:
@@ -451,14 +464,25 @@ sl AS (SELECT ds.session, avg(d_patient) + 2 * stddev_pop(d_patient) AS s_patien
 def stride_distances(spark, d):
     """Distances to the session's centre, to a healthy reference and to the target between them, each in its own scale; null is not 0."""
     vectors = _vectors(spark, d).where("v is not null")
-    base = models.baselines(vectors, FIRST).where("reason = ''").select("session", "centre")
+    rows = _measured(vectors, models.baselines(vectors, FIRST))
+    return rows.select("session", "stride_id", *[r6(c, c) for c in ("d_patient", "d_healthy", "d_target")], *_shares())
+
+
+def _measured(rows: DataFrame, base: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` (session, stride_id, v, ...) with distances d_ and their scales scale_; ``how`` joins those that have none."""
+    base = base.where("reason = ''").select("session", "centre")
     healthy = base.where("session % 3 = 0").agg(models.mean_vector("centre", 3).alias("healthy"))  # one row
     refs = base.join(F.broadcast(healthy)).withColumn("healthy", F.when(F.col("session") % 3 != 1, F.col("healthy")))
-    measured = models.distances(vectors, refs, "interpolated_target", 0.3)
-    rows = measured.join(models.distance_scales(measured, FIRST), "session")
+    early = models.distances(rows.select("session", "stride_id", "v"), refs, "interpolated_target", 0.3)
+    return models.distances(rows, refs, "interpolated_target", 0.3, how).join(models.distance_scales(early, FIRST), "session", how)
+
+
+def _shares() -> list[Column]:
+    """Distances of ``_measured`` in their scales."""
     share = lambda n: C.clip(F.col(f"d_{n}") / F.nullif(F.col(f"scale_{n}"), F.lit(0.0)), 0.0, 1.0)
     known = lambda n: F.when((F.col(f"scale_{n}") > 0) & F.col(f"d_{n}").isNotNull(), share(n))
-    return rows.select("session", "stride_id", *[r6(c, c) for c in ("d_patient", "d_healthy", "d_target")], r6(F.coalesce(known("target"), F.lit(0.0)), "e_manifold"), r6(known("patient"), "e_baseline"), r6(known("healthy"), "e_healthy"))
+    target = F.when(F.col("d_target").isNotNull(), F.coalesce(known("target"), F.lit(0.0)))
+    return [r6(target, "e_manifold"), r6(known("patient"), "e_baseline"), r6(known("healthy"), "e_healthy")]
 
 
 #: Terms of the deficit: metric, direction, scale (0: half the interval's width; None: its lower bound) and weight.
@@ -479,13 +503,20 @@ _TERMS = K._RANGES + ", w AS (SELECT m.*, " + ", ".join(f"max(CASE WHEN rg.metri
 @query(_TERMS + " SELECT session, stride_id, " + ", ".join(f"round(e_{t[0]}, 6) AS e_{t[0]}" for t in TERMS) + ", round(least(" + " + ".join(f"{t[3]}::DOUBLE * e_{t[0]}" for t in TERMS) + ", 1), 6) AS deficit FROM te")
 def deficit_terms(spark, d):
     """The four terms of the deficit and their weighted sum."""
-    every = K.ranges(spark, d).agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("lower", "upper")))).alias("r"))  # one row
-    rows = K.strides(spark, d).where("valid").join(F.broadcast(every))
+    rows = _deficits(K.with_ranges(K.strides(spark, d)))
+    return rows.select("session", "stride_id", *[r6(f"e_{t[0]}", f"e_{t[0]}") for t in TERMS], r6("deficit", "deficit"))
+
+
+def _with_shares(rows: DataFrame) -> DataFrame:
+    return rows.select("*", *_shares())
+
+
+def _deficits(rows: DataFrame) -> DataFrame:
+    """Rows of ``K.with_ranges`` with the terms of the deficit and their sum."""
     for metric, direction, scale, _ in TERMS:
         low, high = F.col("r")[metric]["lower"], F.col("r")[metric]["upper"]
         rows = rows.withColumn(f"e_{metric}", C.interval_error(F.col(metric), low, high, low if scale is None else F.lit(scale), direction))
-    deficit = C.weighted_deficit([(t[3], F.col(f"e_{t[0]}")) for t in TERMS])
-    return rows.select("session", "stride_id", *[r6(f"e_{t[0]}", f"e_{t[0]}") for t in TERMS], r6(deficit, "deficit"))
+    return rows.withColumn("deficit", C.weighted_deficit([(t[3], F.col(f"e_{t[0]}")) for t in TERMS]))
 
 
 _TABLE = f"""WITH bl AS (WITH RECURSIVE {K.SAMPLES_SQL}{_BASE} SELECT session, stride_id FROM early), me AS ({K.ORACLE['stride_metrics']}), di AS ({K.ORACLE['stride_distances']}), an AS ({K.ORACLE['stride_analysis']}), tr AS ({K.ORACLE['trunk_rms']}), te AS ({K.ORACLE['deficit_terms']}),
@@ -498,21 +529,40 @@ e_manifold, e_baseline, e_healthy, round(least(0.5::DOUBLE * e_manifold + 0.3::D
 FROM po JOIN me USING (session, stride_id) JOIN an USING (session, stride_id) JOIN tr USING (session, stride_id) JOIN te USING (session, stride_id) JOIN so USING (session, stride_id) JOIN sc USING (session, stride_id) JOIN st USING (session, stride_id) LEFT JOIN di USING (session, stride_id) LEFT JOIN bl USING (session, stride_id) LEFT JOIN sy ON sy.session = po.session AND sy.pair * 2 = po.stride_id"""
 
 
+def stored(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder and read back, so that several uses compute them once."""
+    folder = fresh_folder(spark, name)
+    rows.write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def stride_table(spark, d):
-    """The result table: a row a valid stride with its state, distances, metrics, errors, decision and gain."""
+    """The result table: a row a valid stride with its state, distances, metrics, errors, decision and gain.
+
+    Samples are cut once; metrics, log vector and spread of each stride are one aggregate, which is stored, as are the
+    baselines.  The rest adds columns to those rows: only rows a session, a label or of the whole table are joined.
+    """
     key = ["session", "stride_id"]
-    analysis = stride_analysis(spark, d).select(*key, F.col("valid").alias("analysed"), F.col("state").alias("gait_state"), "inside", "deviation", "delta")
-    sides = K.symmetry(spark, d).select("session", (F.col("pair") * 2).alias("stride_id"), "swing_symmetry", "stance_symmetry", "ratio_symmetry")
-    scored, score = K.scored(spark, d), C.assist_score(F.col("e_b"), F.col("e_r"))
-    scores = scored.select(*key, r6(score, "score"), r6(score * 0.8, "raw_gain"), C.decision_state(F.col("ood"), F.col("e_b"), F.col("e_r")).alias("state"))
-    rows = _policy(scored).drop("deficits", "recoveries").join(K.stride_metrics(spark, d).drop("valid"), key).join(analysis, key).join(trunk_rms(spark, d), key).join(deficit_terms(spark, d), key)
-    rows = rows.join(range_source(spark, d), key).join(scores, key).join(stride_distances(spark, d), key, "left").join(sides, key, "left")
-    rows = rows.join(models.baseline_strides(_vectors(spark, d), FIRST).select(*key, F.lit(1).alias("is_baseline")), key, "left")
+    every = stored(spark, models.with_log_vector(S.metrics(_cut(spark, d), more=(models.log_moments(), S.rms(_axes()).alias("rms")))), "strides")
+    base = stored(spark, models.baselines(every.select(*key, "v"), FIRST), "baselines")
+    nth = F.count("v").over(Window.partitionBy("session").orderBy("stride_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = every.withColumn("is_baseline", (F.col("v").isNotNull() & (nth <= FIRST)).cast("int"))
+    rows = _measured(_analysed(rows, base), base, "left")
+    rows = _deficits(K.with_scores(_with_shares(K.with_ranges(rows))))
+    score = C.assist_score(F.col("e_b"), F.col("e_r"))
+    sides = K.symmetry_of(every).select("session", (F.col("pair") * 2).alias("stride_id"), "swing_symmetry", "stance_symmetry", "ratio_symmetry")
+    columns = [
+        "is_baseline", F.col("state").alias("gait_state"), "inside", "analysed", *[r6(c, c) for c in ("d_patient", "d_healthy", "d_target", "deviation", "delta", *K._METRIC_COLUMNS, "rms", *[f"e_{t[0]}" for t in TERMS], "deficit")],
+        "e_manifold", "e_baseline", "e_healthy", "peak_k", _source(), C.decision_state(F.col("ood"), F.col("e_b"), F.col("e_r")).alias("state"), r6(score, "score"), r6(score * 0.8, "raw_gain"),
+    ]
+    rows = _chosen(spark, d, rows).select(*key, "e_b", "e_r", "e_exc", *columns)
+    kept = tuple(c for c in rows.columns if c not in (*key, "e_b", "e_r", "e_exc"))
+    rows = _policy(rows, kept).drop("deficits", "recoveries").join(sides, key, "left")
     before = F.coalesce(F.lag("gain").over(Window.partitionBy("session").orderBy("stride_id")), F.lit(0.0))
     legacy = F.least(0.5 * F.col("e_manifold") + 0.3 * F.col("e_swing_ratio") + 0.2 * F.col("e_excursion"), F.lit(1.0))
     number = F.when(F.col("gait_state") == "OOD", -2).when(F.col("gait_state") == "UNKNOWN", -1).otherwise(0)
     return rows.select(
-        *key, F.coalesce("is_baseline", F.lit(0)).alias("is_baseline"), "gait_state", number.alias("gait_state_id"), "d_patient", "d_healthy", "d_target", F.col("inside").cast("int").alias("inside_region"), F.col("deviation").alias("manifold_deviation"), F.col("delta").alias("delta_healthy"),
+        *key, "is_baseline", "gait_state", number.alias("gait_state_id"), "d_patient", "d_healthy", "d_target", F.col("inside").cast("int").alias("inside_region"), F.col("deviation").alias("manifold_deviation"), F.col("delta").alias("delta_healthy"),
         "stride_time", "swing_time", "stance_time", "swing_ratio", r6(1 - F.col("swing_ratio"), "stance_ratio"), "swing_stance_ratio", F.lit("recorded").alias("phase_source"), "swing_symmetry", "stance_symmetry", "ratio_symmetry", F.col("excursion").alias("belt_excursion"), F.col("peak_k").alias("peak_belt_velocity"), F.col("rms").alias("trunk_rms"),
         F.col("e_swing_ratio").alias("swing_ratio_error"), F.col("e_excursion").alias("belt_excursion_error"), F.col("e_swing_stance_ratio").alias("temporal_symmetry_error"), F.col("e_rms_x").alias("trunk_error"), F.col("deficit").alias("biomechanical_deviation"), F.col("source").alias("reference_source"), F.col("state").alias("decision_state"), F.col("score").alias("assist_score"), F.col("raw_gain").alias("raw_assist_gain"),
         "e_manifold", "e_baseline", "e_healthy", F.round(legacy, 8).alias("deviation_score"), F.col("gain").alias("assist_gain"), r6(F.col("gain") - before, "gain_delta"), r6(F.col("mean_x") - 30 * F.col("gain"), "target_belt_length"),
