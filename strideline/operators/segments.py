@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strideline.functions.columns import finite, magnitude, resample
+from strideline.functions.columns import finite, magnitude
 
 ORDER = ["t", "seq"]
 
@@ -109,8 +114,37 @@ def feature_matrix(cut_samples: DataFrame, channels: list[str], points: int = 10
     """(session, stride_id, a column for each channel): the channel over the cycle in ``points`` values.
 
     A stride's samples are gathered and put in order once for all channels; strides of one sample are left out.
+    The points of a batch of strides are looked up at once, so a point costs the same in strides of any length.
+    A point beside a missing value is null.
     """
     check_channels(cut_samples, channels)
-    rows = cut_samples.groupBy("session", "stride_id").agg(F.array_sort(F.collect_list(F.struct(*ORDER, *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(channels)]))).alias("rows"))
-    values = lambda i: F.transform("rows", lambda r: r[f"c{i}"])
-    return rows.where(F.size("rows") >= 2).select("session", "stride_id", *[resample(values(i), points).alias(c) for i, c in enumerate(channels)])
+    names = [f"c{i}" for i in range(len(channels))]
+    rows = cut_samples.groupBy("session", "stride_id").agg(F.array_sort(F.collect_list(F.struct(*ORDER, *[F.col(c).cast("double").alias(n) for c, n in zip(channels, names, strict=True)]))).alias("rows"))
+    rows = rows.where(F.size("rows") >= 2).select("session", "stride_id", *[F.col("rows")[n].alias(n) for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, RESAMPLED):
+                part = batch.slice(at, RESAMPLED)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[resampled(c, points) for c in part.columns[2:]]], names=["session", "stride_id", *names])
+
+    kind = T.StructType([*rows.schema.fields[:2], *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in names]])
+    return rows.mapInArrow(run, kind).withColumnsRenamed(dict(zip(names, channels, strict=True)))
+
+
+#: Strides whose points are held at once.
+RESAMPLED = 2000
+
+
+def resampled(lists: pa.ListArray, n: int) -> pa.ListArray:
+    """``columns.resample`` of each list, all of which have 2 values at least."""
+    begin, size = lists.offsets.to_numpy()[:-1].astype(np.int64)[:, None], lists.value_lengths().to_numpy()[:, None]
+    place = np.arange(n) * (size - 1).astype(float) / (n - 1)
+    low = np.minimum(np.floor(place).astype(np.int64), size - 2)
+    at = begin + low
+    values = lists.values.to_numpy(zero_copy_only=False)
+    a, b = values[at], values[at + 1]
+    missing = lists.values.is_null().to_numpy(zero_copy_only=False) if lists.values.null_count else None
+    points = pa.array((a + (b - a) * (place - low)).ravel(), mask=None if missing is None else (missing[at] | missing[at + 1]).ravel())
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * n), points)
+

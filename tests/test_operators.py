@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strideline.functions import columns as C
 from strideline.functions import matrices as M
-from strideline.operators import clusters, folds
+from strideline.operators import clusters, folds, segments
 from strideline.schema import samples
 from strideline.sources import csv_samples, telemetry
 from strideline.streaming import strides as streams
@@ -746,3 +746,14 @@ def test_link_on_odd_lines(spark):
     found = folds.run_machine(table.repartition(3), folds.LinkStates()).orderBy("session", "seq").collect()
     assert [tuple(r)[4:] for r in found] == rows * 2
     assert folds.run_machine(table.limit(0), folds.LinkStates()).count() == 0
+
+
+def test_feature_matrix_looks_each_point_up_once(spark):
+    rows = [(s, i, float(i), None if (s, i) == (1, 3) else (i * 7 % 5) + 0.25 * s) for s in range(3) for i in range((1, 9, 250)[s])]
+    df = spark.createDataFrame(rows, "session long, seq long, t double, x double").withColumn("stride_id", F.lit(0))
+    got = segments.feature_matrix(df, ["x"], 20)
+    # an array built within a point's lambda made the cost of a stride the square of its length
+    assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
+    lists = df.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("t", F.coalesce("x", F.lit(-1.0)).alias("x")))).alias("r")).select("session", F.transform("r", lambda r: F.nullif(r["x"], F.lit(-1.0))).alias("v"))
+    want = lists.where(F.size("v") >= 2).select("session", C.resample(F.col("v"), 20).alias("x"))
+    assert {r.session: r.x for r in got.collect()} == {r.session: r.x for r in want.collect()}
