@@ -147,9 +147,11 @@ def capture_counts(captures: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parser = StreamParser()
-                kinds = [k for k, _ in parser.feed(content or b"")]
-                rows.append((path, kinds.count("frame"), kinds.count("line"), parser.dropped, parser.reason))
+                parser, counts = StreamParser(), {"frame": 0, "line": 0}
+                for begin in range(0, len(content or b""), PIECE):
+                    for kind, _ in parser.feed(content[begin : begin + PIECE]):
+                        counts[kind] += 1
+                rows.append((path, counts["frame"], counts["line"], parser.dropped, parser.reason))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "frames", "lines", "dropped", "reason"])
@@ -159,19 +161,37 @@ def capture_counts(captures: DataFrame) -> DataFrame:
 def decode_captures(captures: DataFrame) -> DataFrame:
     """(path, at, kind, seq, time10ms, values, line) for each event of the captures (path, content).
 
-    A capture's events depend on what came before, so one file is one task's work.
+    A capture's events depend on what came before, so one file is one task's work; it is read
+    in pieces of ``PIECE`` bytes, and at most ``EVENTS`` events and those of a piece are held at once.
     """
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for at, (kind, raw) in enumerate(split_stream(content or b"")):
+    return captures.select("path", "content").mapInArrow(decoded, "path string, at int, kind string, seq int, time10ms long, values array<int>, line string")
+
+
+#: Bytes of a capture that are parsed at a time, and events after which a task hands its rows on.
+PIECE, EVENTS = 1 << 16, 4096
+
+
+def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events of captures (path, content) in batches of bounded size."""
+    rows = []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            path, content, parser, at = batch.column(0)[i].as_py(), batch.column(1)[i].as_buffer(), StreamParser(), 0
+            for begin in range(0, content.size if content else 0, PIECE):
+                for kind, raw in parser.feed(content[begin : begin + PIECE].to_pybytes()):
                     f = parse_frame(raw) if kind == "frame" else None
-                    rows.append((path, at, kind, f[2] if f else None, f[3] if f else None, list(f[4:]) if f else None, raw.decode("latin-1") if not f else None))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "at", "kind", "seq", "time10ms", "values", "line"])
-    return captures.select("path", "content").mapInArrow(run, "path string, at int, kind string, seq int, time10ms long, values array<int>, line string")
+                    rows.append((path, at, kind, f[2] if f else None, f[3] if f else None, f[4:] if f else None, raw.decode("latin-1") if not f else None))
+                    at += 1
+                if len(rows) >= EVENTS:
+                    yield _events(rows)
+                    rows = []
+    if rows:
+        yield _events(rows)
+
+
+def _events(rows: list) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "at", "kind", "seq", "time10ms", "values", "line"])
 
 
 _EVENT = "path string, at long, kind string, seq int, time10ms long, values array<int>, line string"

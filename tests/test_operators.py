@@ -757,3 +757,19 @@ def test_feature_matrix_looks_each_point_up_once(spark):
     lists = df.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("t", F.coalesce("x", F.lit(-1.0)).alias("x")))).alias("r")).select("session", F.transform("r", lambda r: F.nullif(r["x"], F.lit(-1.0))).alias("v"))
     want = lists.where(F.size("v") >= 2).select("session", C.resample(F.col("v"), 20).alias("x"))
     assert {r.session: r.x for r in got.collect()} == {r.session: r.x for r in want.collect()}
+
+
+def test_decoding_holds_a_bounded_number_of_events():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    frame = lambda n: b"OK n\n\0" + telemetry.cobs_encode(struct.pack(telemetry.LAYOUT, 1, 1, n & 0xFFFF, n, *[0] * 24)) + b"\0"
+    contents = [b"".join(map(frame, range(n))) for n in (30_000, 0, 900, 900, 7_000)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(list("abcdef")), pa.array(contents, pa.binary())], names=["path", "content"])
+    found = list(telemetry.decoded(iter([batch])))
+    assert max(b.num_rows for b in found) < telemetry.EVENTS + telemetry.PIECE // 16
+    rows = pa.Table.from_batches(found)
+    for path, content in zip("abcdef", contents, strict=True):
+        own = rows.filter(pc.equal(rows["path"], path))
+        assert own["at"].to_pylist() == list(range(len(own))) and own["kind"].to_pylist() == [k for k, _ in telemetry.split_stream(content or b"")]
+        assert [n for n in own["time10ms"].to_pylist() if n is not None] == list(range((content or b"").count(b"OK n\n")))
