@@ -211,41 +211,62 @@ def thresholds(samples: DataFrame) -> DataFrame:
     return samples.select("session", "x").groupBy("session").applyInArrow(run, "session long, threshold double, reset double")
 
 
+def _label_sums(a: tuple, b: tuple) -> tuple[np.ndarray, ...]:
+    """(key, label, other, d): the summed distances of each row of ``a`` to the rows of each label of ``b``; both are (keys, labels, vectors) by label."""
+    (keys, labels, x), (_, others, y) = a, b
+    names, first = np.unique(others, return_index=True)
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    out = np.empty((len(x), len(names)))
+    for at in range(0, len(x), MEASURED):
+        rows = slice(at, at + MEASURED)
+        most = xx[rows, None] + yy
+        d = most - 2 * (x[rows] @ y.T)
+        # the product loses the digits of small distances, so those are taken from the differences
+        near, to = np.nonzero(~(d > 1e-4 * most))
+        for k in range(0, len(near), CLOSE):
+            r, c = near[k : k + CLOSE], to[k : k + CLOSE]
+            d[r, c] = ((x[at + r] - y[c]) ** 2).sum(1)
+        out[rows] = np.add.reduceat(np.sqrt(d, out=d), first, axis=1)
+    return np.repeat(keys, len(names)), np.repeat(labels, len(names)), np.tile(names, len(keys)), out.ravel()
+
+
+#: Rows of a block that are measured at once, and small distances that are measured anew at once.
+MEASURED, CLOSE = 256, 1 << 15
+
+
 #: Rows of a table whose silhouettes are taken.
 MOST_ROWS = 1_000_000
 
 
-def silhouettes(table: DataFrame, block: int = 512) -> DataFrame:
+def silhouettes(table: DataFrame, block: int = 8192) -> DataFrame:
     """(key, label, silhouette) of rows (key, label, v): Euclidean silhouette of every row against all rows.
 
-    Rows are packed into blocks of about ``block``, and each block meets each other one in
-    a task of its own, which adds its distances up by row and label; so what a task holds does
+    Rows are packed into blocks of about ``block``, and each two blocks meet once in a group of
+    their own, which adds its distances up by row and label for both; so what a task holds does
     not grow with the table.  A row alone in its label has 0.  All pairs are measured, which is
     what a silhouette is: a table of over ``MOST_ROWS`` is an error.
     """
     rows = table.count()
     if rows > MOST_ROWS:
         raise ValueError(f"{rows} rows have too many pairs for a silhouette; {MOST_ROWS} at most")
-    n = -(-rows // block)  # blocks
-    packed = table.select("key", "label", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("key"), F.lit(max(n, 1))).alias("own"))
+    n = max(-(-rows // block), 1)  # blocks
+    packed = table.select("key", "label", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("key"), F.lit(n)).alias("own"))
     packed = packed.groupBy("own").agg(F.collect_list(F.struct("key", "label", "v")).alias("rows"))
-    left = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)).cast("array<long>")))
-    right = packed.select(F.col("own").alias("other"), F.col("rows").alias("against"))
-    pairs = left.join(right, "other").select("rows", "against")
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                a, b = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                x, y = (np.array([r["v"] for r in part]) for part in (a, b))
-                names, code = np.unique([r["label"] for r in b], return_inverse=True)
-                keys = [r["key"] for r in a]
-                sums = np.stack([np.bincount(code, np.sqrt(((y - row) ** 2).sum(1)), len(names)) for row in x])
-                flat = [(k, a[j]["label"], int(names[m]), float(sums[j, m])) for j, k in enumerate(keys) for m in range(len(names))]
-                columns = list(zip(*flat, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.float64())], names=["key", "label", "other", "d"])
-
-    sums = pairs.mapInArrow(run, "key long, label int, other int, d double").groupBy("key", "label", "other").agg(F.sum("d").alias("d"))
+    packed = packed.select("own", F.col("rows.key").alias("keys"), F.col("rows.label").alias("labels"), F.flatten("rows.v").alias("values"))
+    meeting = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
+
+    def run(group: pa.Table) -> pa.Table:
+        sides = []
+        for i in range(len(group)):
+            key, label, v = (group[c][i].values.to_numpy(zero_copy_only=False) for c in ("keys", "labels", "values"))
+            order = np.argsort(label, kind="stable")
+            sides.append((key[order], label[order], v.reshape(len(key), -1)[order]))
+        parts = [_label_sums(a, b) for a, b in ([sides, sides[::-1]] if len(sides) == 2 else [(sides[0], sides[0])] if group["own"][0] == group["other"][0] else [])]
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0)] * 4
+        return pa.table({c: pa.array(x.astype(t)) for c, x, t in zip(("key", "label", "other", "d"), columns, ("i8", "i4", "i4", "f8"), strict=True)})
+
+    pair = meeting.groupBy(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    sums = pair.applyInArrow(run, "key long, label int, other int, d double").groupBy("key", "label", "other").agg(F.sum("d").alias("d"))
     sizes = table.groupBy(F.col("label").alias("other")).agg(F.count("*").alias("n"))
     means = sums.join(sizes, "other").withColumn("mine", F.col("label") == F.col("other"))
     means = means.withColumn("m", F.col("d") / F.nullif(F.col("n") - F.col("mine").cast("int"), F.lit(0)))

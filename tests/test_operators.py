@@ -773,3 +773,15 @@ def test_decoding_holds_a_bounded_number_of_events():
         own = rows.filter(pc.equal(rows["path"], path))
         assert own["at"].to_pylist() == list(range(len(own))) and own["kind"].to_pylist() == [k for k, _ in telemetry.split_stream(content or b"")]
         assert [n for n in own["time10ms"].to_pylist() if n is not None] == list(range((content or b"").count(b"OK n\n")))
+
+
+def test_silhouette_sums_of_blocks_equal_plain_distances():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(300, 6)) + 50, rng.normal(size=(40, 6)) + 50
+    y[:5] = x[:5]
+    y[5] = x[5] + 1e-9
+    labels = np.sort(rng.integers(0, 4, 40))
+    key, label, other, d = clusters._label_sums((np.arange(300), np.zeros(300, int), x), (np.arange(40), labels, y))
+    plain = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
+    want = np.stack([plain[:, labels == n].sum(1) for n in range(4)], 1)
+    assert np.allclose(d.reshape(300, 4), want, rtol=1e-12, atol=0) and len(key) == len(label) == len(other) == 1200
