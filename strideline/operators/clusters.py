@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,24 +14,56 @@ from pyspark.sql import functions as F
 
 def kmeans(x: np.ndarray, k: int, starts: int = 10, seed: int = 0, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Labels and centres of the best of several seeded Lloyd runs; centres are ordered, so the result does not depend on the start."""
-    rng, best = np.random.default_rng(seed), None
-    for _ in range(starts):
-        centres = x[[int(rng.integers(len(x)))]]
-        while len(centres) < k:
-            d = ((x[:, None] - centres[None]) ** 2).sum(-1).min(1)
-            p = d / d.sum() if d.sum() > 0 else None
-            centres = np.vstack([centres, x[rng.choice(len(x), p=p)]])
-        for _ in range(rounds):
-            label = ((x[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
-            new = np.array([x[label == j].mean(0) if (label == j).any() else centres[j] for j in range(k)])
-            if np.allclose(new, centres):
-                break
-            centres = new
-        cost = ((x - centres[label]) ** 2).sum()
-        if best is None or cost < best[0] - 1e-12:
-            best = (cost, label, centres)
-    order = np.lexsort(best[2].T[::-1])
-    return np.argsort(order)[best[1]], best[2][order]
+    label, centres = kmeans_of_each(x[None], k, starts, seed, rounds)
+    return label[0], centres[0]
+
+
+@lru_cache(maxsize=4096)
+def _draws(n: int, k: int, starts: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """First rows of each start, and the numbers in [0, 1) that its further rows are drawn by; the same for every table of n rows."""
+    rng = np.random.default_rng(seed)
+    drawn = [(int(rng.integers(n)), [rng.random() for _ in range(k - 1)]) for _ in range(starts)]
+    return np.array([d[0] for d in drawn]), np.array([d[1] for d in drawn]).reshape(starts, k - 1)
+
+
+def kmeans_of_each(tables: np.ndarray, k: int, starts: int = 10, seed: int = 0, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """``kmeans`` of each of some tables of one size (tables, rows, width), all their starts at once."""
+    b, n, width = tables.shape
+    first, drawn = _draws(n, k, starts, seed)
+    x = np.repeat(tables, starts, axis=0)
+    each = np.arange(len(x))
+    centres = x[each, np.tile(first, b)][:, None]
+    while centres.shape[1] < k:
+        d = ((x[:, :, None] - centres[:, None]) ** 2).sum(-1).min(2)
+        total = d.sum(1)[:, None]
+        # rows that are all centres already are drawn alike
+        share = np.divide(d, total, out=np.full_like(d, 1 / n), where=total > 0).cumsum(1)
+        share /= share[:, -1:]
+        at = (share <= np.tile(drawn[:, centres.shape[1] - 1], b)[:, None]).sum(1)
+        centres = np.concatenate([centres, x[each, at][:, None]], axis=1)
+    label, open_ = np.zeros((len(x), n), np.int64), each
+    for _ in range(rounds):
+        own, old = x[open_], centres[open_]
+        found = ((own[:, :, None] - old[:, None]) ** 2).sum(-1).argmin(2)
+        label[open_] = found
+        member = found[:, None] == np.arange(k)[:, None]
+        count = member.sum(2)[..., None]
+        new = np.divide((member[..., None] * own[:, None]).sum(2), count, out=old.copy(), where=count > 0)
+        moved = ~np.isclose(new, old).all((1, 2))
+        centres[open_[moved]] = new[moved]
+        open_ = open_[moved]
+        if not len(open_):
+            break
+    cost = ((x - centres[each[:, None], label]) ** 2).reshape(b, starts, -1).sum(-1)
+    labels, chosen = np.empty((b, n), np.int64), np.empty((b, k, width))
+    for i in range(b):
+        best = 0
+        for s in range(1, starts):
+            if cost[i, s] < cost[i, best] - 1e-12:
+                best = s
+        order = np.lexsort(centres[i * starts + best].T[::-1])
+        labels[i], chosen[i] = np.argsort(order)[label[i * starts + best]], centres[i * starts + best][order]
+    return labels, chosen
 
 
 def silhouette(x: np.ndarray, label: np.ndarray) -> float:
@@ -39,18 +72,22 @@ def silhouette(x: np.ndarray, label: np.ndarray) -> float:
     if len(groups) < 2:
         return math.nan
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    out = []
-    for i in range(len(x)):
-        own = (label == label[i]) & (np.arange(len(x)) != i)
-        a = d[i, own].mean() if own.any() else None
-        b = min(d[i, label == g].mean() for g in groups if g != label[i])
-        out.append(0.0 if a is None else (b - a) / max(a, b, 1e-300))
+    out, a, b = np.zeros(len(x)), np.zeros(len(x)), np.full(len(x), np.inf)
+    for g in groups:
+        inside = label == g
+        m = int(inside.sum())
+        if m > 1:
+            a[inside] = d[np.ix_(inside, inside)][~np.eye(m, dtype=bool)].reshape(m, m - 1).mean(1)
+        b[~inside] = np.minimum(b[~inside], d[np.ix_(~inside, inside)].mean(1))
+    alone = np.bincount(label)[label] == 1
+    np.divide(b - a, np.maximum(np.maximum(a, b), 1e-300), out=out, where=~alone)
     return float(np.mean(out))
 
 
 def adjusted_rand(a: np.ndarray, b: np.ndarray) -> float:
     """Agreement of two partitions, corrected for chance."""
-    table = np.histogram2d(a, b, bins=(np.arange(a.max() + 2), np.arange(b.max() + 2)))[0]
+    width = int(b.max()) + 1
+    table = np.bincount(a * width + b, minlength=(int(a.max()) + 1) * width).reshape(-1, width)
     pairs = lambda n: (n * (n - 1) / 2).sum()
     both, one, two, total = pairs(table), pairs(table.sum(1)), pairs(table.sum(0)), len(a) * (len(a) - 1) / 2
     chance, most = one * two / total, (one + two) / 2
@@ -62,6 +99,13 @@ def required_size(n: int, least: int = 3, share: float = 0.15) -> int:
     return max(least, math.ceil(share * n), 1)
 
 
+@lru_cache(maxsize=4096)
+def _parts(n: int, k: int, seed: int) -> np.ndarray:
+    """Ten pairs of parts of n rows, each of four fifths of them; the same for every table of n rows."""
+    rng = np.random.default_rng(seed)
+    return np.stack([rng.permutation(n)[: max(k + 1, int(0.8 * n))] for _ in range(20)])
+
+
 def select_k(x: np.ndarray, candidates: tuple[int, ...] = (2, 3, 4), least_silhouette: float = 0.35, least_stability: float = 0.60, seed: int = 0) -> tuple[int, list[tuple]]:
     """The number of clusters and the evidence (k, silhouette, stability, reason) for each candidate.
 
@@ -82,12 +126,13 @@ def select_k(x: np.ndarray, candidates: tuple[int, ...] = (2, 3, 4), least_silho
         if s < least_silhouette:
             evidence.append((k, s, None, "low_silhouette"))
             continue
-        rng, scores = np.random.default_rng(seed + k), []
-        for _ in range(10):
-            parts = [rng.permutation(n)[: max(k + 1, int(0.8 * n))] for _ in range(2)]
-            fits = [dict(zip(p.tolist(), kmeans(x[p], k, starts=3, seed=seed)[0].tolist(), strict=True)) for p in parts]
-            both = sorted(fits[0].keys() & fits[1].keys())
-            scores.append(min(max(adjusted_rand(np.array([fits[0][i] for i in both]), np.array([fits[1][i] for i in both])), 0.0), 1.0))
+        parts, scores = _parts(n, k, seed + k), []
+        fits = kmeans_of_each(x[parts], k, starts=3, seed=seed)[0]
+        place = np.full((len(parts), n), -1)
+        np.put_along_axis(place, parts, fits, axis=1)
+        for one, two in zip(place[0::2], place[1::2], strict=True):
+            both = (one >= 0) & (two >= 0)
+            scores.append(min(max(adjusted_rand(one[both], two[both]), 0.0), 1.0))
         stability = float(np.mean(scores))
         accepted = stability >= least_stability
         evidence.append((k, s, stability, "" if accepted else "unstable"))

@@ -785,3 +785,17 @@ def test_silhouette_sums_of_blocks_equal_plain_distances():
     plain = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
     want = np.stack([plain[:, labels == n].sum(1) for n in range(4)], 1)
     assert np.allclose(d.reshape(300, 4), want, rtol=1e-12, atol=0) and len(key) == len(label) == len(other) == 1200
+
+
+def test_kmeans_of_each_runs_all_tables_at_once():
+    """A session's model asks for 69 Lloyd runs a number of clusters; one by one, each of them drew and looped in Python."""
+    rng = np.random.default_rng(2)
+    tables = rng.normal(size=(5, 12, 3)) + 6 * rng.integers(0, 3, (5, 12, 1))
+    labels, centres = clusters.kmeans_of_each(tables, 3)
+    for x, label, centre in zip(tables, labels, centres, strict=True):
+        alone = clusters.kmeans(x, 3)
+        assert np.array_equal(label, alone[0]) and np.array_equal(centre, alone[1])
+        assert np.array_equal(((x[:, None] - centre) ** 2).sum(-1).argmin(1), label)
+        assert np.allclose(centre, [x[label == j].mean(0) for j in range(3)])
+    same = clusters.kmeans(np.ones((4, 2)), 2)
+    assert np.array_equal(same[1], np.ones((2, 2)))
