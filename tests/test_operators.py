@@ -788,7 +788,7 @@ def test_silhouette_sums_of_blocks_equal_plain_distances():
 
 
 def test_kmeans_of_each_runs_all_tables_at_once():
-    """A session's model asks for 69 Lloyd runs a number of clusters; one by one, each of them drew and looped in Python."""
+    """A session's model asks for 70 Lloyd runs a number of clusters; one by one, each of them drew and looped in Python."""
     rng = np.random.default_rng(2)
     tables = rng.normal(size=(5, 12, 3)) + 6 * rng.integers(0, 3, (5, 12, 1))
     labels, centres = clusters.kmeans_of_each(tables, 3)
