@@ -189,6 +189,34 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v))
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """``matrices.fused`` of columns: a b + c rounded once, twice where a part of it overflows."""
+    def halves(v: Column) -> tuple[Column, Column]:
+        high = v * 134217729.0 - (v * 134217729.0 - v)
+        return high, v - high
+    (a1, a2), (b1, b2), p = halves(a), halves(b), a * b
+    rest, s = ((a1 * b1 - p) + a1 * b2 + a2 * b1) + a2 * b2, p + c
+    found = s + (((p - (s - (s - p))) + (c - (s - p))) + rest)
+    return F.when(finite(found), found).otherwise(s)
+
+
+def quantile(values: Column, share: float) -> Column:
+    """Quantile of a sorted array by linear interpolation, with one rounding of the sum: the quantile of equal values is that value."""
+    place = (F.size(values) - 1) * F.lit(share)
+    low = F.floor(place).cast("int")
+    high = F.least(low + 1, F.size(values) - 1)
+    return fused(F.get(values, low), 1 - (place - low), F.get(values, high) * (place - low))
+
+
+def spread(values: Column) -> Column:
+    """Population standard deviation of an array, its values taken in turn."""
+    def more(m: Column, v: Column) -> Column:
+        mean = m["mean"] + (v - m["mean"]) / (m["n"] + 1)
+        return F.struct((m["n"] + 1).alias("n"), mean.alias("mean"), (m["sum"] + (v - mean) * (v - m["mean"])).alias("sum"))
+    start = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "mean", "sum")])
+    return F.aggregate(values, start, more, lambda m: F.sqrt(m["sum"] / F.nullif(m["n"], F.lit(0.0))))
+
+
 def interpolate(a: Column, b: Column, alpha: float) -> Column:
     """(1 - alpha) a + alpha b, element by element."""
     return F.zip_with(a, b, lambda x, y: x * (1 - alpha) + y * alpha)

@@ -127,3 +127,51 @@ def matrix_checks(table: DataFrame, ridge: float = 1e-6) -> DataFrame:
         return pa.table({"key": pa.array([key], pa.int32()), "n": pa.array([n], pa.int64()), "reason": pa.array([reason]), "least": pa.array([least], pa.float64()), "condition": pa.array([cond], pa.float64())})
 
     return covariances(table, ridge, row, "key int, n long, reason string, least double, condition double")
+
+
+def fused(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """a b + c rounded once (Dekker's exact product); rounded twice where a part of it overflows."""
+    def halves(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        high = v * 134217729.0 - (v * 134217729.0 - v)
+        return high, v - high
+
+    with np.errstate(all="ignore"):
+        (a1, a2), (b1, b2), p = halves(a), halves(b), a * b
+        rest = ((a1 * b1 - p) + a1 * b2 + a2 * b1) + a2 * b2
+        s = p + c
+        found = s + (((p - (s - (s - p))) + (c - (s - p))) + rest)
+    return np.where(np.isfinite(found), found, s)
+
+
+def moments_2x2(x: np.ndarray, k: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sample variance of x, covariance and variance of k of the runs of x and k that start at ``begin``, a row each; NaN for runs of one.
+
+    A run's moments are updated value by value, all runs of a table together, and its last value is added to
+    those of the rest.  Every run has its own order, so the last bit depends on the run alone.
+    """
+    out = np.zeros((len(size), 3))
+    mean = np.zeros((len(size), 2))
+    order = np.argsort(-size, kind="stable")
+    long = np.sort(size)
+    with np.errstate(all="ignore"):
+        for n in range(1, int(size.max(initial=1))):
+            on = order[: len(size) - np.searchsorted(long, n, side="right")]
+            at = begin[on] + n - 1
+            dx, dk = x[at] - mean[on, 0], k[at] - mean[on, 1]
+            mean[on, 0] += dx / n
+            mean[on, 1] += dk / n
+            ex, ek = x[at] - mean[on, 0], k[at] - mean[on, 1]
+            out[on] = np.stack([out[on, 0] + ex * dx, fused(dk, ex, out[on, 1]), out[on, 2] + ek * dk], axis=1)
+        n, at = size - 1.0, begin + size - 1
+        dx, dk = x[at] - mean[:, 0], k[at] - mean[:, 1]
+        out += np.stack([dx * dx * n / size, dk * dx * n / size, dk * dk * n / size], axis=1)
+        return out / np.where(n > 0, n, np.nan)[:, None]
+
+
+def log_vectors_2x2(a: np.ndarray, b: np.ndarray, c: np.ndarray, floor: float = 1e-10) -> np.ndarray:
+    """``columns.vectorise_2x2`` of ``columns.matrix_log_2x2``, a row each, with the C library's logarithm."""
+    with np.errstate(all="ignore"):
+        mid, half = (a + c) / 2, np.sqrt(((a - c) / 2) * ((a - c) / 2) + b * b)
+        high, low = np.log(np.maximum(mid + half, floor)), np.log(np.maximum(mid - half, floor))
+        mean, slope = (high + low) / 2, np.where(half > 0, (high - low) / (2 * half), 0.0)
+        return np.stack([mean + slope * (a - c) / 2, slope * b * np.sqrt(2), mean - slope * (a - c) / 2], axis=1)

@@ -6,11 +6,15 @@ row a label.  What cannot be represented is a reason in a column, never an excep
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strideline.functions import columns as C
-from strideline.operators.segments import check_channels
+from strideline.functions.matrices import log_vectors_2x2, moments_2x2
+from strideline.operators.segments import ORDER, check_channels
 from strideline.sources.sinks import blank_non_finite
 
 #: Least spread that a channel is divided by, and what is added to each variance.
@@ -66,20 +70,35 @@ def log_vectors(cut_samples: DataFrame) -> DataFrame:
 
 
 def log_moments() -> Column:
-    """Aggregate ``moments``: what ``with_log_vector`` needs of a stride's samples."""
-    k, x = F.col("k").cast("double"), F.col("x")
-    return F.struct(
-        F.count("*").alias("n"), F.bool_and(C.finite(x) & C.finite(k)).alias("fine"),
-        (F.var_samp("x") + RIDGE).alias("a"), F.covar_samp("x", k).alias("b"), (F.var_samp(k) + RIDGE).alias("c"),
-    ).alias("moments")
+    """Aggregate ``moments``: what ``with_log_vector`` needs of a stride's samples (t, seq, closing, x, k), which are put in order, the closing one last."""
+    k, x = F.col("k").cast("double"), F.col("x").cast("double")
+    rows = F.array_sort(F.collect_list(F.struct("closing", *ORDER, x.alias("x"), k.alias("k"))))
+    return F.struct(F.count("*").alias("n"), F.bool_and(C.finite(x) & C.finite(k)).alias("fine"), rows["x"].alias("x"), rows["k"].alias("k")).alias("moments")
 
 
 def with_log_vector(rows: DataFrame) -> DataFrame:
-    """``rows`` with v and reason in place of ``moments``."""
-    n, fine, a, b, c = (F.col("moments")[f] for f in ("n", "fine", "a", "b", "c"))
+    """``rows`` with v and reason in place of ``moments``.
+
+    Variances are summed in the order of the samples, so any partitioning gives the same bits, and those of the
+    SQL: two strides lie equally far from their middle, where the last bit tells whether both are inside.
+    """
+    rows = rows.withColumn("log", _log_2x2(F.col("moments")["x"], F.col("moments")["k"]))
+    n, fine, a, b, c = (F.col("moments")["n"], F.col("moments")["fine"], *(F.col("log")[f] for f in "abc"))
     reason = C.first_reason((n < 2, "too_few_samples"), (~fine, "non_finite"), (~(a * c - b * b > 0), "not_positive_definite"))
-    v = C.vectorise_2x2(*C.matrix_log_2x2(a, b, c))
-    return rows.withColumn("reason", reason).withColumn("v", F.when(F.col("reason") == "", v)).select(*[x for x in rows.columns if x != "moments"], "v", "reason")
+    rows = rows.withColumn("reason", reason).withColumn("v", F.when(F.col("reason") == "", F.col("log")["v"]))
+    return rows.select(*[x for x in rows.columns if x not in ("moments", "log", "v", "reason")], "v", "reason")
+
+
+@F.arrow_udf(T.StructType([*[T.StructField(c, T.DoubleType()) for c in "abc"], T.StructField("v", T.ArrayType(T.DoubleType()))]))
+def _log_2x2(x: pa.Array, k: pa.Array) -> pa.Array:
+    """Entries 11, 12, 22 of each stride's covariance and its logarithm as a vector."""
+    begin, size = x.offsets.to_numpy()[:-1].astype(np.int64), x.value_lengths().to_numpy().astype(np.int64)
+    first = x.offsets[0].as_py()
+    moments = moments_2x2(*(c.flatten().to_numpy(zero_copy_only=False).astype(float) for c in (x, k)), begin - first, size)
+    a, b, c = moments[:, 0] + RIDGE, moments[:, 1], moments[:, 2] + RIDGE
+    v = log_vectors_2x2(a, b, c)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * 3), pa.array(v.ravel()))
+    return pa.StructArray.from_arrays([pa.array(a), pa.array(b), pa.array(c), lists], names=["a", "b", "c", "v"])
 
 
 def mean_vector(column: str, width: int) -> Column:
@@ -102,9 +121,10 @@ def baselines(strides: DataFrame, first: int, width: int = 3) -> DataFrame:
     early = baseline_strides(strides, first)
     centre = early.groupBy("session").agg(mean_vector("v", width).alias("centre"))
     near = early.join(centre, "session").withColumn("d", C.distance(F.col("v"), F.col("centre")))
-    out = near.groupBy("session").agg(F.count("*").alias("n"), F.first("centre").alias("centre"), F.avg("d").alias("d_mean"), F.stddev_pop("d").alias("d_std"), F.percentile("d", F.array(F.lit(0.5), F.lit(0.95))).alias("q"))
+    out = near.groupBy("session").agg(F.count("*").alias("n"), F.first("centre").alias("centre"), F.avg("d").alias("d_mean"), F.array_sort(F.collect_list("d")).alias("all"), F.sort_array(F.collect_list(F.struct("stride_id", "d")), asc=False)["d"].alias("late"))
     enough = F.col("n") >= 2
-    out = out.withColumn("threshold", F.col("q")[1]).withColumn("scale", F.greatest(F.col("q")[1] - F.col("q")[0], F.col("d_std"), F.lit(1e-9)))
+    out = out.withColumn("threshold", C.quantile(F.col("all"), 0.95)).withColumn("d_std", C.spread(F.col("late")))
+    out = out.withColumn("scale", F.greatest(F.col("threshold") - C.quantile(F.col("all"), 0.5), F.col("d_std"), F.lit(1e-9)))
     columns = ["centre", "d_mean", "d_std", "threshold", "scale"]
     return out.select("session", "n", *[F.when(enough, F.col(c)).alias(c) for c in columns], F.when(enough, "").otherwise("too_few_strides").alias("reason"))
 
