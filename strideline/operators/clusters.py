@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strideline.operators.segments import ORDER
+
 
 def kmeans(x: np.ndarray, k: int, starts: int = 10, seed: int = 0, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Labels and centres of the best of several seeded Lloyd runs; centres are ordered, so the result does not depend on the start."""
@@ -166,20 +168,21 @@ def two_means_threshold(x: np.ndarray, lower: bool = True, least_gap: float = 5.
     """Threshold and reset at 65 % and 80 % of the way from one mean of a signal to the other; None without a gap.
 
     The way starts at the low mean if the gate opens below the threshold, else at the high
-    one.  On sorted values the groups of two means are what lies up to their middle and
-    what lies beyond, so each of the ``rounds`` is a search and two differences of prefix sums.
+    one.  A value as far from both means is the low one's; distances are compared as they are rounded, not by the means'
+    middle, and values are summed in the order given, so that ties fall as in a plain query.  Missing values are left out.
     """
-    x = np.sort(np.asarray(x, float))
-    upto = np.concatenate([[0.0], np.cumsum(x)])
-    n, split = len(x), -1
-    means = np.array([x[0], x[-1]])
+    x = np.asarray(x, float)
+    x = x[~np.isnan(x)]
+    if not len(x):
+        return None
+    low, means = None, (x.min(), x.max())
     for _ in range(rounds):
-        before, split = split, int(np.searchsorted(x, means.mean(), side="right"))
-        if split == n:
+        before, low = low, np.abs(x - means[0]) <= np.abs(x - means[1])
+        if low.all():
             return None
-        if split == before:
+        if before is not None and (low == before).all():
             break
-        means = np.array([upto[split] / split, (upto[n] - upto[split]) / (n - split)])
+        means = tuple(np.cumsum(part)[-1] / len(part) for part in (x[low], x[~low]))
     if means[1] - means[0] < least_gap:
         return None
     ways = (0.65, 0.8) if lower else (0.35, 0.2)
@@ -251,9 +254,10 @@ def matched_sessions(events: DataFrame, tolerance: float) -> DataFrame:
 def thresholds(samples: DataFrame) -> DataFrame:
     """(session, threshold, reset): two-means threshold of each session's signal, null without a gap."""
     def run(group: pa.Table) -> pa.Table:
-        got = two_means_threshold(np.array(group["x"].to_pylist(), float)) or (None, None)
+        group = group.sort_by([(c, "ascending") for c in ORDER])
+        got = two_means_threshold(group["x"].to_numpy()) or (None, None)
         return pa.table({"session": pa.array([group["session"][0].as_py()]), "threshold": pa.array([got[0]], pa.float64()), "reset": pa.array([got[1]], pa.float64())})
-    return samples.select("session", "x").groupBy("session").applyInArrow(run, "session long, threshold double, reset double")
+    return samples.select("session", *ORDER, "x").groupBy("session").applyInArrow(run, "session long, threshold double, reset double")
 
 
 def _label_sums(a: tuple, b: tuple) -> tuple[np.ndarray, ...]:

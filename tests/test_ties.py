@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from strideline.functions import matrices
+from strideline.operators import clusters
 from strideline.plans import catalogue, catalogue_model  # noqa: F401 - adds its queries
 
 
@@ -51,3 +52,15 @@ def test_moments_of_runs():
     assert matrices.moments_2x2(x[:0], k[:0], begin[:0], size[:0]).shape == (0, 3)
     assert matrices.fused(np.array([1 + 2.0**-30]), np.array([1 - 2.0**-30]), np.array([-1.0]))[0] == -(2.0**-60)
     assert np.isinf(matrices.fused(np.array([1e300]), np.array([1e300]), np.array([1.0]))[0])
+
+
+def test_two_means_of_a_value_between_them(spark, tmp_path):
+    """The middle one of three even steps is as far from both ends, but for the last bit; each session has another."""
+    duckdb.sql(f"copy (select s * 3 + i as event_id, timestamp '2024-01-01' + to_hours(i) as ts, s as user_id, 'view' as event_type, (s % 400 + 1 + i * (600 + s % 7)) / 100.0::double as value, '{{\"k\": 1}}' as props from range(2000) a(s), range(3) b(i) order by all) to '{tmp_path}/events.parquet'")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(catalogue.ORACLE["two_means_threshold"]).fetchall()}
+    got = {r[0]: tuple(r[1:]) for r in catalogue.QUERIES["two_means_threshold"](spark, str(tmp_path)).collect()}
+    assert got == want and len({v[0] > 9 for v in got.values()}) == 2
+    assert clusters.two_means_threshold(np.array([np.nan, 1.0, 9.0])) == clusters.two_means_threshold(np.array([1.0, 9.0]))
+    assert clusters.two_means_threshold(np.array([np.nan])) is None
