@@ -1,5 +1,6 @@
 """The jobs on copies of the tables: growing input, late samples, reruns, odd rows."""
 
+import re
 import uuid
 
 import numpy as np
@@ -125,3 +126,17 @@ def test_screen_equals_plain_version(spark, place):
 def test_screen_of_nothing(spark, place):
     spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{place}/in")
     assert text_log_screen.run(spark, f"{place}/in", f"{place}/out").count() == 0
+
+
+def test_counts_of_odd_texts(spark):
+    """Each text by itself: neither empty ones nor a neighbour's last word change a count, and no pattern is matched character by character."""
+    texts = ["", "a", "b c", None, "", "  x", "end", "Ü ß 𝔘9\n\nZ\r\n", "\x0b\x0c\t", "\x1f\x08 A1", "12 34\n", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s")).coalesce(1)
+    found = rows.select("doc_id", "text", text_log_screen.counts("text").alias("n")).select("text", "n.*").where("doc_id != 1").collect()
+    assert len(found) == len(texts) - 1
+    for text, *got in found:
+        text = text or ""
+        solid = re.sub(r"[\x20\x09-\x0D]", "", text)
+        want = [len(re.findall(r"[^\x20\x09-\x0D]+", text)), len(solid), text.count("\n") + 1, sum("0" <= c <= "9" for c in solid), sum("A" <= c <= "Z" for c in solid)]
+        assert got == want, text
+    assert "regexp" not in text_log_screen.measured(rows)._jdf.queryExecution().toString()
