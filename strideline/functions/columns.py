@@ -205,7 +205,12 @@ def quantile(values: Column, share: float) -> Column:
     place = (F.size(values) - 1) * F.lit(share)
     low = F.floor(place).cast("int")
     high = F.least(low + 1, F.size(values) - 1)
-    return fused(F.get(values, low), 1 - (place - low), F.get(values, high) * (place - low))
+    return between(F.get(values, low), F.get(values, high), place - low)
+
+
+def between(low: Column, high: Column, part: Column) -> Column:
+    """The value ``part`` of the way from low to high, the sum rounded once: between equal values it is that value."""
+    return fused(low, 1 - part, high * part)
 
 
 def spread(values: Column) -> Column:

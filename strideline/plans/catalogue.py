@@ -273,8 +273,15 @@ def ranges(spark: SparkSession, d: str) -> DataFrame:
 
 def ranges_of(rows: DataFrame) -> DataFrame:
     """``ranges`` of given strides."""
-    q = F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    out = unpivoted_of(rows).groupBy("metric").agg(q.alias("q")).select("metric", F.col("q")[0].alias("lower"), F.col("q")[1].alias("median"), F.col("q")[2].alias("upper"))
+    shares = {"lower": 0.05, "median": 0.5, "upper": 0.95}
+    counts = unpivoted_of(rows).groupBy("metric", "value").agg(F.count("value").alias("n"))
+    by_value = Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("upto", F.sum("n").over(by_value)).withColumn("all", F.sum("n").over(Window.partitionBy("metric")))
+    place = {c: (F.col("all") - 1) * F.lit(share) for c, share in shares.items()}
+    # the values on both sides of a quantile: strides lie at an interval's end, where the last bit of their mean decides
+    sides = [F.min(F.when(F.col("upto") > F.least(F.floor(p) + i, F.col("all") - 1), F.col("value"))).alias(f"{c}_{i}") for c, p in place.items() for i in (0, 1)]
+    out = counts.groupBy("metric").agg(F.first("all").alias("all"), *sides)
+    out = out.select("metric", *[C.between(F.col(f"{c}_0"), F.col(f"{c}_1"), p - F.floor(p)).alias(c) for c, p in place.items()])
     return out.withColumn("scale", F.nullif((F.col("upper") - F.col("lower")) / 2, F.lit(0.0)))
 
 

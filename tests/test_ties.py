@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strideline.functions import matrices
 from strideline.operators import clusters
@@ -64,3 +65,18 @@ def test_two_means_of_a_value_between_them(spark, tmp_path):
     assert got == want and len({v[0] > 9 for v in got.values()}) == 2
     assert clusters.two_means_threshold(np.array([np.nan, 1.0, 9.0])) == clusters.two_means_threshold(np.array([1.0, 9.0]))
     assert clusters.two_means_threshold(np.array([np.nan])) is None
+
+
+def test_interval_ends_as_the_sql_rounds_them(spark):
+    """Differences of two decimals are equal but for the last bit, and strides lie at the ends of the intervals."""
+    names = catalogue._METRIC_COLUMNS
+    rng = np.random.default_rng(11)
+    rows = [(True, *(float(a - b) for a, b in zip(np.round(rng.uniform(20, 30, len(names)), 2), np.round(rng.uniform(0, 9, len(names)), 1)))) for _ in range(508)] + [(False, *[1e9] * len(names)), (True, *[None] * len(names))]
+    kind = "valid boolean, " + ", ".join(f"{c} double" for c in names)
+    strides = spark.createDataFrame(rows, kind).withColumns({"session": F.lit(1), "stride_id": F.monotonically_increasing_id()})
+    got = {r["metric"]: (r["lower"], r["median"], r["upper"]) for r in catalogue.ranges_of(strides).collect()}
+    con = duckdb.connect()
+    for i, c in enumerate(names):
+        values = [r[i + 1] for r in rows if r[0]]
+        want = con.execute("select quantile_cont(v, 0.05), quantile_cont(v, 0.5), quantile_cont(v, 0.95) from (select unnest(?::double[]) as v)", [values]).fetchone()
+        assert got[c] == want, c
