@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -101,6 +102,38 @@ def test_both_ways_give_one_score_and_reruns_agree(spark):
     assert np.allclose(one, other)
 
 
+def bytes_moved(spark):
+    """Bytes that stages have shuffled or written so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() + stages.apply(i).outputBytes() for i in range(stages.size()))
+
+
+def test_a_filter_in_shards_moves_few_bytes(spark):
+    """Not a row for each pair of each document, which is stored and joined three times."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    before = bytes_moved(spark)
+    assert lm_score.score_documents(spark.read.parquet(path), shard_bytes=1 << 19, broadcast_bytes=0).count() == 1000
+    assert 1 < (bytes_moved(spark) - before) / os.path.getsize(path) < 9
+
+
+def test_keys_go_packed_and_come_back():
+    rng = np.random.default_rng(4)
+    tokens = rng.integers(0, 2**64, 5000, dtype=np.uint64)
+    keys = np.concatenate([np.unique(lm_score.pair_keys(tokens[:-1], tokens[1:])), np.unique(lm_score.word_keys(tokens))])
+    n = rng.zipf(1.5, len(keys)).astype(np.int64) % 2**40 + 1
+    for number in (1, 7, 70000):
+        shards, columns = lm_score._blocks(keys, number, n)
+        got = {}
+        for i, shard in enumerate(shards.to_pylist()):
+            for kind in (0, 1):
+                back = lm_score._unpacked_keys(columns[2 * kind][i].as_py(), number, shard, np.uint64(kind))
+                got |= zip(back.tolist(), lm_score._unpacked(columns[2 * kind + 1][i].as_py()).tolist(), strict=True)
+        assert got == dict(zip(keys.tolist(), n.tolist(), strict=True))
+    extremes = np.array([0, 1, 255, 256, 2**63, 2**64 - 1], np.uint64)
+    assert (lm_score._unpacked(lm_score._packed(extremes)) == extremes).all() and len(lm_score._unpacked(lm_score._packed(extremes[:0]))) == 0
+
+
 def test_odd_rows_are_scored(spark):
     got = [tuple(r) for r in lm_score.score_documents(odd(spark)).collect()]
     want, _, _ = plain([(r[0], r[1]) for r in ROWS])
