@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -168,10 +170,21 @@ def moments_2x2(x: np.ndarray, k: np.ndarray, begin: np.ndarray, size: np.ndarra
         return out / np.where(n > 0, n, np.nan)[:, None]
 
 
+def c_log(values: np.ndarray) -> np.ndarray:
+    """Logarithms of positive numbers by the C library; numpy's own has another last bit now and then where the machine has wide vectors."""
+    return np.fromiter(map(math.log, values.tolist()), np.float64, len(values))
+
+
+def c_squares(values: np.ndarray) -> np.ndarray:
+    """Squares by the C library's power, as in the SQL; the last bit is that of a product but for one in some thousand."""
+    with np.errstate(over="ignore"):
+        return np.float_power(values, np.full(len(values), 2.0))
+
+
 def log_vectors_2x2(a: np.ndarray, b: np.ndarray, c: np.ndarray, floor: float = 1e-10) -> np.ndarray:
     """``columns.vectorise_2x2`` of ``columns.matrix_log_2x2``, a row each, with the C library's logarithm."""
     with np.errstate(all="ignore"):
         mid, half = (a + c) / 2, np.sqrt(((a - c) / 2) * ((a - c) / 2) + b * b)
-        high, low = np.log(np.maximum(mid + half, floor)), np.log(np.maximum(mid - half, floor))
+        high, low = c_log(np.maximum(mid + half, floor)), c_log(np.maximum(mid - half, floor))
         mean, slope = (high + low) / 2, np.where(half > 0, (high - low) / (2 * half), 0.0)
         return np.stack([mean + slope * (a - c) / 2, slope * b * np.sqrt(2), mean - slope * (a - c) / 2], axis=1)

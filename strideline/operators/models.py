@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strideline.functions import columns as C
-from strideline.functions.matrices import log_vectors_2x2, moments_2x2
+from strideline.functions.matrices import c_squares, log_vectors_2x2, moments_2x2
 from strideline.operators.segments import ORDER, check_channels
 from strideline.sources.sinks import blank_non_finite
 
@@ -101,6 +102,29 @@ def _log_2x2(x: pa.Array, k: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(a), pa.array(b), pa.array(c), lists], names=["a", "b", "c", "v"])
 
 
+@F.arrow_udf(T.DoubleType())
+def distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    """``columns.distance`` with squares as the SQL rounds them, for distances that are held against others."""
+    alike = pc.fill_null(pc.equal(pc.list_value_length(a), pc.list_value_length(b)), False)
+    a, b = a.filter(alike), b.filter(alike)
+    size = pc.list_value_length(a).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin = np.cumsum(size) - size
+    x, y = (c.flatten() for c in (a, b))
+    missing = ~(x.is_valid().to_numpy(zero_copy_only=False) & y.is_valid().to_numpy(zero_copy_only=False))
+    gaps = x.to_numpy(zero_copy_only=False).astype(float) - y.to_numpy(zero_copy_only=False).astype(float)
+    total, known = np.zeros(len(size)), np.ones(len(size), bool)
+    with np.errstate(all="ignore"):
+        squares = c_squares(gaps)
+        for i in range(int(size.max(initial=0))):
+            on = np.flatnonzero(size > i)
+            total[on] += squares[begin[on] + i]
+            known[on] &= ~missing[begin[on] + i]
+    place, ok = np.flatnonzero(alike.to_numpy(zero_copy_only=False)), np.zeros(len(alike), bool)
+    out = np.zeros(len(alike))
+    out[place], ok[place] = np.sqrt(total), known
+    return pa.array(out, mask=~ok)
+
+
 def mean_vector(column: str, width: int) -> Column:
     """Element by element mean of a column of arrays."""
     return F.array(*[F.avg(F.get(column, F.lit(i))) for i in range(width)])
@@ -112,18 +136,20 @@ def baseline_strides(strides: DataFrame, first: int) -> DataFrame:
     return strides.where("v is not null").withColumn("nth", nth).where(F.col("nth") <= first).drop("nth")
 
 
-def baselines(strides: DataFrame, first: int, width: int = 3) -> DataFrame:
+def baselines(strides: DataFrame, first: int, width: int = 3, last_first: bool = False) -> DataFrame:
     """(session, n, centre, d_mean, d_std, threshold, scale, reason): each session's first strides that have a vector (session, stride_id, v).
 
     ``threshold`` is the 95th percentile of the distances to the centre, ``scale`` the
     greatest of its way to the median, their spread and 1e-9.  Fewer than two strides are no baseline.
+    The spread takes the distances in the order of the strides or ``last_first``: of two that differ by their
+    last bit it is 0 in one order and not in the other.
     """
     early = baseline_strides(strides, first)
     centre = early.groupBy("session").agg(mean_vector("v", width).alias("centre"))
-    near = early.join(centre, "session").withColumn("d", C.distance(F.col("v"), F.col("centre")))
-    out = near.groupBy("session").agg(F.count("*").alias("n"), F.first("centre").alias("centre"), F.avg("d").alias("d_mean"), F.array_sort(F.collect_list("d")).alias("all"), F.sort_array(F.collect_list(F.struct("stride_id", "d")), asc=False)["d"].alias("late"))
+    near = early.join(centre, "session").withColumn("d", distance(F.col("v"), F.col("centre")))
+    out = near.groupBy("session").agg(F.count("*").alias("n"), F.first("centre").alias("centre"), F.avg("d").alias("d_mean"), F.array_sort(F.collect_list("d")).alias("all"), F.sort_array(F.collect_list(F.struct("stride_id", "d")), asc=not last_first)["d"].alias("turn"))
     enough = F.col("n") >= 2
-    out = out.withColumn("threshold", C.quantile(F.col("all"), 0.95)).withColumn("d_std", C.spread(F.col("late")))
+    out = out.withColumn("threshold", C.quantile(F.col("all"), 0.95)).withColumn("d_std", C.spread(F.col("turn")))
     out = out.withColumn("scale", F.greatest(F.col("threshold") - C.quantile(F.col("all"), 0.5), F.col("d_std"), F.lit(1e-9)))
     columns = ["centre", "d_mean", "d_std", "threshold", "scale"]
     return out.select("session", "n", *[F.when(enough, F.col(c)).alias(c) for c in columns], F.when(enough, "").otherwise("too_few_strides").alias("reason"))
@@ -194,7 +220,7 @@ def distances(strides: DataFrame, references: DataFrame, mode: str, alpha: float
     """
     chosen = references.withColumn("target", target_of(F.col("centre"), F.col("healthy"), mode, alpha)[1])
     rows = strides.join(chosen.select("session", "centre", "healthy", "target"), "session", how)
-    rows = rows.withColumns({f"d_{n}": C.distance(F.col("v"), F.col(c)) for n, c in (("patient", "centre"), ("healthy", "healthy"), ("target", "target"))})
+    rows = rows.withColumns({f"d_{n}": distance(F.col("v"), F.col(c)) for n, c in (("patient", "centre"), ("healthy", "healthy"), ("target", "target"))})
     return rows.drop("centre", "healthy", "target")
 
 

@@ -2,11 +2,13 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from strideline.functions import matrices
-from strideline.operators import clusters
+from strideline.operators import clusters, models
 from strideline.plans import catalogue, catalogue_model  # noqa: F401 - adds its queries
 
 
@@ -38,6 +40,40 @@ def test_strides_as_far_as_their_threshold(spark, few_strides):
     assert n > 1000 and not wrong
 
 
+@pytest.fixture(scope="module")
+def two_strides(tmp_path_factory):
+    """Sessions of two strides and 30 samples: most have many samples for a baseline's strides, as the given tables do."""
+    folder, n, rng = str(tmp_path_factory.mktemp("two")), 600, np.random.default_rng(5)
+    strikes = np.concatenate([np.sort(rng.choice(30, 3, replace=False)) + 30 * i for i in range(n)])
+    kinds = rng.choice(["view", "error", "purchase", "click"], 30 * n)
+    kinds[strikes] = "signup"
+    columns = {"event_id": np.arange(30 * n), "user_id": np.repeat(np.arange(n), 30), "event_type": kinds, "value": np.round(rng.exponential(50, 30 * n), 2), "props": [f'{{"k": {k}}}' for k in rng.integers(0, 100, 30 * n)]}
+    rows = pa.table(columns).append_column("ts", pa.array(np.arange(30 * n) % 30 * 14_400_000_000 + np.arange(30 * n) + 1_704_067_200_000_000, pa.timestamp("us")))
+    pq.write_table(rows, f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["stride_analysis"])
+def test_spread_of_two_distances_but_for_the_last_bit(spark, two_strides, name):
+    """Whether the farther stride is beyond the spread is told by the order in which the spread takes the two."""
+    wrong, n = differing(spark, two_strides, name)
+    assert n > 300 and not wrong
+
+
+def test_logarithms_and_squares_as_the_sql_rounds_them():
+    x = np.random.default_rng(6).exponential(1, 100_000)
+    rows = pa.table({"i": np.arange(len(x)), "x": x})  # noqa: F841 - read by the SQL
+    want = duckdb.sql("select ln(x) as log, x ** 2 as square from rows order by i").fetchnumpy()
+    assert (matrices.c_log(x) == want["log"]).all() and (matrices.c_squares(x) == want["square"]).all()
+    assert np.isinf(matrices.c_squares(np.array([1e300]))).all()
+
+
+def test_distances_of_arrays(spark):
+    rows = [([1.0, 2.0, 2.0], [0.0, 0.0, 0.0], 3.0), (None, [1.0], None), ([1.0], None, None), ([1.0, 2.0], [1.0], None), ([1.0, None], [1.0, 2.0], None), ([], [], 0.0), ([1e300], [0.0], float("inf"))]
+    got = spark.createDataFrame(rows, "a array<double>, b array<double>, d double").select(models.distance("a", "b").alias("got"), "d").collect()
+    assert [r["got"] for r in got] == [r["d"] for r in got]
+
+
 def test_moments_of_runs():
     rng = np.random.default_rng(3)
     size = np.array([1, 2, 5, 40, 2, 3])
